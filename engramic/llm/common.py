@@ -189,3 +189,25 @@ def pack_bits(bits: np.ndarray) -> np.ndarray:
 
 def popcount(x: np.ndarray) -> np.ndarray:
     return np.bitwise_count(x)
+
+
+# ---------------------------------------------------------------- key ranges
+
+
+def range_splits(df: DataFrame, key: str, n: int) -> list[int]:
+    """At most n - 1 ascending split points of the integer column ``key`` (approximate quantiles): a
+    list as long as the partition count, which is all that reaches the driver."""
+    if n < 2:
+        return []
+    got = df.select(F.percentile_approx(F.col(key).cast("long"), [i / n for i in range(1, n)], 20_000)).first()[0]
+    return sorted(set(got or []))
+
+
+def range_of(key: Column, splits: list[int]) -> Column:
+    """How many of the ascending splits are not above the key (null: 0): a binary search in a literal."""
+    if not splits:
+        return F.lit(0)
+    points = F.array(*[F.lit(s).cast("long") for s in splits])
+    hops = F.array(*[F.lit(1 << k) for k in reversed(range(len(splits).bit_length()))])
+    found = F.aggregate(hops, F.lit(0), lambda lo, hop: F.when((lo + hop <= len(splits)) & (F.try_element_at(points, lo + hop) <= key), lo + hop).otherwise(lo))
+    return F.when(key.isNull(), F.lit(0)).otherwise(found)

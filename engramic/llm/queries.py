@@ -5,17 +5,49 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import near_dedup
+from . import fingerprints, mixing, near_dedup, packing, token_index
 from .common import documents
 
+TOKENIZER = "word_bpe_49k.json"
+
+
+def tokenizer_path(name: str = TOKENIZER) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
 
 def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     groups = near_dedup.near_duplicates(documents(spark, sf_dir))
     return groups.select("doc_id", near_dedup.fingerprint_hex().alias("fingerprint"), "component_id")
 
 
+def op2_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    fps = fingerprints.fingerprint_classes(documents(spark, sf_dir))
+    own, other = fingerprints.hex_of("f0", "f1"), fingerprints.hex_of("e0", "e1")
+    return fps.select("doc_id", "n_chars", "edited_sha256", own.alias("fingerprint"), other.alias("edited_fingerprint"), "near_edited", "near_next", "class_id")
+
+
+def op3_token_id_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    root, _ = token_index.write_tokens(documents(spark, sf_dir), tokenizer_path())
+    return token_index.read_tokens(spark, root)
+
+
+def op6_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mixed_documents(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken", "copies")
+
+
+def op8_length_bucket_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.packed_documents(documents(spark, sf_dir))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash_near_dedup": op1_simhash_near_dedup,
+    "op2_document_fingerprints": op2_document_fingerprints,
+    "op3_token_id_index": op3_token_id_index,
+    "op6_source_mixing": op6_source_mixing,
+    "op8_length_bucket_packing": op8_length_bucket_packing,
 }
 ORACLE_SQL: dict[str, str] = {}
