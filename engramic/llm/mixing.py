@@ -6,7 +6,8 @@ margin (the source, and any other categorical columns) and 0 <= r <= ``max_copie
 convex, and its solution tilts the rates exponentially: r = min(max_copies, exp(sum of the
 multipliers of the document's values)). Newton steps on the dual run over the cells (distinct
 combinations of margin values) with their summed sizes, which stay distributed tables: for a
-multiplier the gradient is target - mass and the curvature the mass that the bound doesn't hold.
+multiplier the gradient is target - mass and the curvature the mass that the bound doesn't hold; the
+steps are taken on the logarithm of both, where the bound makes no step overshoot.
 Rates become whole copies by error diffusion within salted groups of a source: from the largest
 document to the smallest each gets the copies that bring the words taken so far nearest to those due,
 so a group ends within about the size of its smallest documents.
@@ -97,8 +98,10 @@ def balance(cells: DataFrame, margins: dict[str, DataFrame], cap: float = MAX_CO
             free = F.when(rate < cap, F.col("mass") * rate).otherwise(0.0)
             sums = t.withColumn("_got", F.col("mass") * rate).withColumn("_free", free).groupBy(column).agg(F.sum("_got").alias("_got"), F.sum("_free").alias("_free"), F.sum("mass").alias("_mass"))
             sums = sums.withColumnRenamed(column, "_value")
-            # of a convex dual in exponentials a full step may overshoot: steps are held to 1
-            step = F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.coalesce(F.try_divide(F.col("target") - F.col("_got"), F.col("_free")), F.signum(F.col("target") - F.col("_got")))))
+            # Newton on the logarithm of the mass: it is concave in the multiplier, so steps from the
+            # left never pass the solution, and one from the right lands left of it
+            step = F.coalesce(F.try_divide(F.log(F.col("target")) - F.log(F.col("_got")), F.try_divide(F.col("_free"), F.col("_got"))), F.signum(F.col("target") - F.col("_got")))
+            step = F.greatest(F.lit(-50.0), F.least(F.lit(50.0), step))
             full = F.col("target") >= F.col("_mass") * cap
             j = solved[column].join(sums, F.col(column).eqNullSafe(F.col("_value")), "left")
             off = F.when(F.coalesce("_mass", F.lit(0.0)) == 0, 0.0).otherwise(F.abs(F.col("target") - F.col("_got")) / F.greatest(F.col("target"), F.lit(1.0)))
