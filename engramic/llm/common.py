@@ -9,6 +9,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -211,3 +212,21 @@ def range_of(key: Column, splits: list[int]) -> Column:
     hops = F.array(*[F.lit(1 << k) for k in reversed(range(len(splits).bit_length()))])
     found = F.aggregate(hops, F.lit(0), lambda lo, hop: F.when((lo + hop <= len(splits)) & (F.try_element_at(points, lo + hop) <= key), lo + hop).otherwise(lo))
     return F.when(key.isNull(), F.lit(0)).otherwise(found)
+
+
+class Sent:
+    """A small object for all tasks. It travels with the code of its classes, so executors need not
+    have the package; each task unpacks it once."""
+
+    def __init__(self, spark: SparkSession, thing: object):
+        self._raw = spark.sparkContext.broadcast(cloudpickle.dumps(thing))
+        self._thing: list[object] = []
+
+    @property
+    def value(self):
+        if not self._thing:
+            self._thing.append(cloudpickle.loads(self._raw.value))
+        return self._thing[0]
+
+    def __getstate__(self):
+        return {"_raw": self._raw, "_thing": []}

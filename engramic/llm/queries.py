@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import functions as F
 
-from . import fingerprints, mixing, near_dedup, packing, token_index
+from . import fingerprints, language_id, license_scan, mixing, near_dedup, packing, quality, token_index, topk
 from .common import documents
 
 TOKENIZER = "word_bpe_49k.json"
@@ -35,19 +36,39 @@ def op3_token_id_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_index.read_tokens(spark, root)
 
 
+def op4_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), F.col("vec_id") % 100 == 0)
+
+
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.predicted_languages(documents(spark, sf_dir)).select("doc_id", "held_out", "lang_pred", "score", "rejected")
+
+
 def op6_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed_documents(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken", "copies")
 
 
+def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality_scores(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def op8_length_bucket_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed_documents(documents(spark, sf_dir))
 
 
+def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan_licenses(documents(spark, sf_dir)).drop("spans")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash_near_dedup": op1_simhash_near_dedup,
     "op2_document_fingerprints": op2_document_fingerprints,
     "op3_token_id_index": op3_token_id_index,
+    "op4_exact_top_k": op4_exact_top_k,
+    "op5_language_id": op5_language_id,
     "op6_source_mixing": op6_source_mixing,
+    "op7_quality_classifier": op7_quality_classifier,
     "op8_length_bucket_packing": op8_length_bucket_packing,
+    "op10_license_scan": op10_license_scan,
 }
 ORACLE_SQL: dict[str, str] = {}
