@@ -165,3 +165,20 @@ def mixed_documents(docs: DataFrame, weights: Sequence[float] = WEIGHTS, share:
     got = mix(sized, targets, cap=cap)
     names = targets.select(F.col("source").alias("_s"), "source_size", "target")
     return got.join(names, F.col("source").eqNullSafe(F.col("_s")), "left").drop("_s").withColumn("taken", F.col("copies") * F.col("size"))
+
+
+def mixed_copies(docs: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = SHARE, cap: int = MAX_COPIES) -> DataFrame:
+    """``docs`` with each row as many times as the mix takes it; documents without words, which take no
+    part in a token mix, stay once. Rows that repeat a doc_id and size share its copies evenly."""
+    got = mixed_documents(docs, weights, share, cap)
+    per = got.groupBy("doc_id", "source", "size").agg(F.sum("copies").alias("_copies"), F.count(F.lit(1)).alias("_rows"))
+    per = staged(per.select(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("size").alias("_size"), "_copies", "_rows"), "copies")
+    size = F.coalesce(F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
+    sized = docs.withColumn("_n", size)
+    j = sized.join(per, sized["doc_id"].cast("long").eqNullSafe(F.col("_id")) & sized["source"].eqNullSafe(F.col("_source")) & (F.col("_n") == F.col("_size")))
+    one = j.where("_rows = 1 or _n = 0").withColumn("_take", F.when(F.col("_n") == 0, 1).otherwise(F.col("_copies")))
+    # of rows that differ in the text at most, the first by text take the odd copies
+    at = F.row_number().over(Window.partitionBy("_id", "_source", "_size").orderBy("text"))
+    many = j.where("_rows > 1 and _n > 0").withColumn("_take", F.floor(F.col("_copies") / F.col("_rows")) + (at <= F.pmod(F.col("_copies"), F.col("_rows"))).cast("long"))
+    taken = one.unionByName(many).where("_take > 0")
+    return taken.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_take").cast("long")))).select(*[docs[c] for c in docs.columns])

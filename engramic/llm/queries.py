@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import functions as F
 
-from . import fingerprints, language_id, license_scan, mixing, near_dedup, packing, quality, token_index, topk
+from . import fingerprints, language_id, license_scan, mixing, near_dedup, packing, passages, quality, token_index, topk
 from .common import documents
 
 TOKENIZER = "word_bpe_49k.json"
@@ -56,10 +56,21 @@ def op8_length_bucket_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed_documents(documents(spark, sf_dir))
 
 
+def op9_paragraph_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages.repeated_passages(documents(spark, sf_dir))
+
+
 def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan_licenses(documents(spark, sf_dir)).drop("spans")
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages of corpus_pipeline.py, one after the other."""
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash_near_dedup": op1_simhash_near_dedup,
     "op2_document_fingerprints": op2_document_fingerprints,
@@ -69,6 +80,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_source_mixing": op6_source_mixing,
     "op7_quality_classifier": op7_quality_classifier,
     "op8_length_bucket_packing": op8_length_bucket_packing,
+    "op9_paragraph_dedup": op9_paragraph_dedup,
     "op10_license_scan": op10_license_scan,
+    "pipeline": pipeline,
 }
 ORACLE_SQL: dict[str, str] = {}
