@@ -18,7 +18,10 @@ dataset; other columns are ignored.
 from __future__ import annotations
 
 import itertools
+import os
 import re
+import sys
+import types
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -29,66 +32,90 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix64, range_of, range_splits, record_batch, scratch_path, spread
+from .common import mix64, range_of, range_splits, record_batch, scratch_path, spread, text_slices
 
 END_ID = 1
 MAGIC, VERSION = b"EGTOKIDX", 1
 KEYS_PER_BUCKET = 4
-#: Word pieces that an encoder remembers before it starts anew.
-CACHE_WORDS = 150_000
-#: A run of these characters is encoded by its pieces; anything else goes to the library whole.
-_PLAIN = re.compile(r"[!-~À-ÖØ-öø-ÿ]+")
-_PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9]+")
+#: Pieces that an encoder remembers before it starts anew.
+CACHE_PIECES = 400_000
+#: Texts of these characters and white space are cut into pieces here; others go to the library word by word.
+_OTHER = re.compile(r"[^\t\n\r -~À-ÖØ-öø-ÿ]|<\|")
+_SPACES = re.compile(r"[\t\n\r ]+")
+_PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^\sa-zß-öø-ÿ0-9]+")
 
 
 class Encoder:
-    """Encodes with the tokenizers library, remembering words: white space always parts them, so a
-    text's ids are those of its words in turn (the vocabulary files whose pre-tokeniser drops white
-    space and never joins across it; others are encoded text by text)."""
+    """Encodes with the tokenizers library, remembering the pieces that its pre-tokeniser makes.
+
+    The library encodes each piece by itself, so a text's ids are those of its pieces in turn. Which
+    pieces a plain text has is checked against the library when the encoder is made; a vocabulary
+    with another pre-tokeniser, and words with characters beyond the plain ones, are left to the
+    library alone.
+    """
 
     def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
         self.dtype = np.dtype("<u2") if self.tok.get_vocab_size() <= 1 << 16 else np.dtype("<u4")
-        self.words: dict[str, bytes] = {}
-        self.pieces: dict[str, bytes] = {}
-        self.by_word = [self._ids(x) for x in ("a b", "it's ok!")] == [self._ids("a") + self._ids("b"), self._ids("it's") + self._ids("ok!")]
+        self.known: dict[str, bytes] = {}
+        probe = "It's  we'LL 4th c'est\tÉtÉ -- (a_b) x9.y\n'tis $1,200! naïve ''s"
+        self.plain = self.tok.pre_tokenizer is not None and [self._ids(p) for p in _PIECES.findall(probe.lower())] == self._by_word(probe)
 
     def _ids(self, text: str) -> list[int]:
         return self.tok.encode(text, add_special_tokens=False).ids
 
-    def _all(self, texts: list[str]) -> list[bytes]:
-        return [np.array(x.ids, self.dtype).tobytes() for x in self.tok.encode_batch(texts, add_special_tokens=False)]
-
-    def _learn(self, words: list[str]) -> None:
-        if len(self.words) > CACHE_WORDS:
-            self.words.clear()
-        if len(self.pieces) > CACHE_WORDS:
-            self.pieces.clear()
-        plain, other = {}, []
-        for w in words:
-            if _PLAIN.fullmatch(w) and "<|" not in w:
-                plain[w] = _PIECES.findall(w.lower())
-            else:
-                other.append(w)
-        new = [p for p in {p for ps in plain.values() for p in ps} if p not in self.pieces]
-        self.pieces.update(zip(new, self._all(new), strict=True))
-        self.words.update((w, b"".join([self.pieces[p] for p in ps])) for w, ps in plain.items())
-        self.words.update(zip(other, self._all(other), strict=True))
-
-    def __call__(self, text: str) -> bytes:
-        if not self.by_word:
-            return self._all([text])[0]
-        words = text.split()
-        try:
-            return b"".join([self.words[w] for w in words])
-        except KeyError:
-            self._learn([w for w in set(words) if w not in self.words])
-            missing = [w for w in words if w not in self.words]
-            if missing:  # the memory was emptied in between
-                self._learn(list(set(words)))
-            return b"".join([self.words[w] for w in words])
+    def _by_word(self, text: str) -> list[list[int]]:
+        e = self.tok.encode(text, add_special_tokens=False)
+        out: dict[int, list[int]] = {}
+        for word, i in zip(e.word_ids, e.ids, strict=True):
+            out.setdefault(word, []).append(i)
+        return list(out.values())
+
+    def _bytes(self, text: str) -> bytes:
+        return np.array(self._ids(text), self.dtype).tobytes()
+
+    def _learn(self, pieces: list[str]) -> None:
+        """Many pieces as one text with spaces between: the library gives the piece of each id."""
+        for lo in range(0, len(pieces), 2000):
+            some = pieces[lo : lo + 2000]
+            e = self.tok.encode(" ".join(some), add_special_tokens=False)
+            ids, word = np.array(e.ids, self.dtype), np.array(e.word_ids)
+            cut = np.flatnonzero(word[1:] != word[:-1]) + 1
+            if len(cut) + 1 != len(some):  # a piece that falls apart or away: one by one
+                self.known.update((p, self._bytes(p)) for p in some)
+                continue
+            raw, edge = ids.tobytes(), (np.concatenate([[0], cut, [len(ids)]]) * ids.itemsize).tolist()
+            self.known.update(zip(some, [raw[a:b] for a, b in itertools.pairwise(edge)], strict=True))
+
+    def __call__(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text as bytes."""
+        if not self.plain:
+            return [np.array(e.ids, self.dtype).tobytes() for e in self.tok.encode_batch(texts, add_special_tokens=False)]
+        # these four spaces part words in any text, so words of other characters can be encoded by themselves
+        cut = [_PIECES.findall(t.lower()) if not _OTHER.search(t) else None for t in texts]
+        words = [[w if _OTHER.search(w) else _PIECES.findall(w.lower()) for w in _SPACES.split(t) if w] if c is None else [] for t, c in zip(texts, cut, strict=True)]
+        needed = set().union(*[c for c in cut if c], *[w for ws in words for w in ws if type(w) is list])
+        missing = [p for p in needed if p not in self.known]
+        if len(self.known) + len(missing) > CACHE_PIECES:
+            self.known.clear()
+            missing = list(needed)
+        self._learn(missing)
+        known = self.known
+        return [
+            b"".join([known[p] for p in c]) if c is not None else b"".join([self._bytes(w) if type(w) is str else b"".join([known[p] for p in w]) for w in ws])
+            for c, ws in zip(cut, words, strict=True)
+        ]
+
+
+def encoder(path: str) -> Encoder:
+    """One encoder for each process and vocabulary: a task does not load it anew."""
+    held = sys.modules.setdefault("_engramic_encoders", types.ModuleType("_engramic_encoders")).__dict__
+    if path not in held:
+        held[path] = Encoder(path)
+    return held[path]
 
 
 # ---------------------------------------------------------------- minimal perfect hash
@@ -216,13 +243,13 @@ def write_tokens(docs: DataFrame, tokenizer: str, root: str | None = None, shard
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, end, shard, ids, known, counts, parts = None, b"", -1, [], [], [], []
-        for batch in batches:
-            encode = encode or Encoder(tokenizer)
+        for batch, texts in text_slices(batches):
+            encode = encode or encoder(tokenizer)
             end = np.array([end_id], encode.dtype).tobytes()
-            for shard, doc_id, text in zip(batch.column("shard").to_pylist(), batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                got = (encode(text) if text else b"") + end
-                parts.append(got)
-                counts.append(len(got) // encode.dtype.itemsize)
+            shard = batch.column("shard")[0].as_py()
+            for doc_id, got in zip(batch.column("doc_id").to_pylist(), encode([t.decode() for t in texts]), strict=True):
+                parts.append(got + end)
+                counts.append(len(got) // encode.dtype.itemsize + 1)
                 ids.append(doc_id or 0)
                 known.append(doc_id is not None)
         if encode is None:
