@@ -9,12 +9,13 @@ combinations of margin values) with their summed sizes, which stay distributed t
 multiplier the gradient is target - mass and the curvature the mass that the bound doesn't hold; the
 steps are taken on the logarithm of both, where the bound makes no step overshoot.
 Rates become whole copies by error diffusion within salted groups of a source: from the largest
-document to the smallest each gets the copies that bring the words taken so far nearest to those due,
-so a group ends within about the size of its smallest documents.
+document to the smallest each gets the copies that bring the words taken so far nearest to those due.
+What is left then (a few words, or more where one document is most of a source) is a part copy of one
+document.
 
 Defined results: a null text has size 0; documents of size 0 take nothing; a null source is a source
 of its own, ordered last; repeated rows are documents of their own; very long documents are taken
-whole, 0 to ``max_copies`` times; a source without words has target 0; an empty table gives an
+0 to ``max_copies`` times; a source without words has target 0; an empty table gives an
 empty result; other columns are ignored.
 """
 
@@ -115,19 +116,31 @@ def balance(cells: DataFrame, margins: dict[str, DataFrame], cap: float = MAX_CO
 
 
 def _diffuse(group: pd.DataFrame) -> pd.DataFrame:
-    """Copies of the documents of one group, largest first, carrying the error on."""
+    """Copies of the documents of one group, largest first, carrying the error on. What whole copies
+    leave over goes to part_words: the smallest document that can takes so many words more or less."""
     g = group.sort_values(["size", "_order", "doc_id"], ascending=[False, True, True], kind="stable")
     due, taken, copies = 0.0, 0, []
-    for size, rate, most in zip(g["size"].tolist(), g["rate"].tolist(), g["_most"].tolist(), strict=True):
-        due += size * rate
-        k = min(most, max(0, int(np.floor((due - taken) / size + 0.5)))) if size else 0
-        taken += k * size
+    size = g["size"].to_numpy()
+    for n, rate, most in zip(size.tolist(), g["rate"].tolist(), g["_most"].tolist(), strict=True):
+        due += n * rate
+        k = min(most, max(0, int(np.floor((due - taken) / n + 0.5)))) if n else 0
+        taken += k * n
         copies.append(k)
-    return g.assign(copies=np.array(copies, np.int64))[["_row", "doc_id", "copies"]]
+    made = np.array(copies, np.int64)
+    rest, part = int(np.floor(due + 0.5)) - taken, np.zeros(len(g), np.int64)
+    room = (g["_most"].to_numpy() - made) * size if rest > 0 else made * size
+    while rest and room.any():
+        fits = np.flatnonzero(room >= abs(rest))
+        at = int(fits[room[fits].argmin()]) if len(fits) else int(room.argmax())
+        step = int(min(abs(rest), room[at])) * (1 if rest > 0 else -1)
+        part[at] += step
+        rest -= step
+        room[at] = 0
+    return g.assign(copies=made, part_words=part)[["_row", "copies", "part_words"]]
 
 
 def mix(docs: DataFrame, targets: DataFrame, source: str = "source", margins: dict[str, DataFrame] | None = None, cap: int = MAX_COPIES, group_rows: int = GROUP_ROWS) -> DataFrame:
-    """``docs`` (doc_id, size, source and any margin columns) with rate and copies.
+    """``docs`` (doc_id, size, source and any margin columns) with rate, copies and part_words.
 
     ``targets(source, target)`` is the token constraint of each source; ``margins`` may hold more of
     them, by column.
@@ -150,25 +163,25 @@ def mix(docs: DataFrame, targets: DataFrame, source: str = "source", margins: di
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
         group["_row"] = np.arange(len(group))
-        done = _diffuse(group).set_index("_row")["copies"]
-        return group.assign(copies=done.reindex(group["_row"]).to_numpy())[[*keep, "copies"]]
+        done = _diffuse(group).set_index("_row").reindex(group["_row"])
+        return group.assign(copies=done["copies"].to_numpy(), part_words=done["part_words"].to_numpy())[[*keep, "copies", "part_words"]]
 
-    schema = ", ".join(f"`{n}` {t}" for n, t in joined.select(*keep).dtypes) + ", copies long"
+    schema = ", ".join(f"`{n}` {t}" for n, t in joined.select(*keep).dtypes) + ", copies long, part_words long"
     return joined.groupBy("_key", "_salt").applyInPandas(run, schema).drop("_key", "_salt")
 
 
 def mixed_documents(docs: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = SHARE, cap: int = MAX_COPIES) -> DataFrame:
-    """doc_id, source, size, source_size, target, rate, copies, taken for every row of ``docs``."""
+    """doc_id, source, size, source_size, target, rate, copies, part_words, taken for every row of ``docs``."""
     sized = staged(word_counts(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", "text")).drop("text"), "sizes")
     sources = staged(sized.groupBy("source").agg(F.sum("size").alias("source_size")), "sources")
     targets = staged(water_filled_targets(sources, weights, share, cap), "targets")
     got = mix(sized, targets, cap=cap)
     names = targets.select(F.col("source").alias("_s"), "source_size", "target")
-    return got.join(names, F.col("source").eqNullSafe(F.col("_s")), "left").drop("_s").withColumn("taken", F.col("copies") * F.col("size"))
+    return got.join(names, F.col("source").eqNullSafe(F.col("_s")), "left").drop("_s").withColumn("taken", F.col("copies") * F.col("size") + F.col("part_words"))
 
 
 def mixed_copies(docs: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = SHARE, cap: int = MAX_COPIES) -> DataFrame:
-    """``docs`` with each row as many times as the mix takes it; documents without words, which take no
+    """``docs`` with each row as many times as the mix takes it whole (part copies aside); documents without words, which take no
     part in a token mix, stay once. Rows that repeat a doc_id and size share its copies evenly."""
     got = mixed_documents(docs, weights, share, cap)
     per = got.groupBy("doc_id", "source", "size").agg(F.sum("copies").alias("_copies"), F.count(F.lit(1)).alias("_rows"))

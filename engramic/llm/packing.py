@@ -62,7 +62,7 @@ def pieces_of(docs: DataFrame, max_len: int = MAX_LEN, length: str = "size") ->
     """(doc_id, piece, start_word, n_words): each document in pieces of at most ``max_len`` words."""
     last = F.ceil(F.col(length) / max_len).cast("long") - 1
     p = docs.select("doc_id", length, F.explode_outer(F.when(F.col(length) > 0, F.sequence(F.lit(0).cast("long"), last))).alias("piece"))
-    return p.select("doc_id", "piece", (F.col("piece") * max_len).alias("start_word"), F.least(F.lit(max_len).cast("long"), F.col(length) - F.col("piece") * max_len).alias("n_words"))
+    return p.select("doc_id", "piece", (F.col("piece") * max_len).alias("start_word"), F.when(F.col("piece").isNotNull(), F.least(F.lit(max_len).cast("long"), F.col(length) - F.col("piece") * max_len)).alias("n_words"))
 
 
 def pack(docs: DataFrame, max_len: int = MAX_LEN, buckets: int = BUCKETS, budget: int = BUDGET, group_batches: int = GROUP_BATCHES, length: str = "size") -> DataFrame:

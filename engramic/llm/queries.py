@@ -45,7 +45,7 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mixed_documents(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken", "copies")
+    return mixing.mixed_documents(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken", "copies", "part_words")
 
 
 def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
