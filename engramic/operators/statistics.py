@@ -39,8 +39,8 @@ def moments(df: DataFrame, keys: list[str], value: str) -> DataFrame:
         F.percentile(x, 0.5).alias("median"),
         F.var_samp(x).alias("variance"),
         F.stddev_samp(x).alias("std_dev"),
-        (F.skewness(x) * F.pow((n - 1) / n, 1.5)).alias("skewness"),
-        ((F.kurtosis(x) + 3) * F.pow((n - 1) / n, 2) - 3).alias("kurtosis"),
+        (F.skewness(x) * F.pow(safe_div(n - 1, n), F.lit(1.5))).alias("skewness"),
+        ((F.kurtosis(x) + 3) * F.pow(safe_div(n - 1, n), F.lit(2.0)) - 3).alias("kurtosis"),
         F.min(x).alias("min"),
         F.max(x).alias("max"),
     )
@@ -127,7 +127,7 @@ def confidence_interval(df: DataFrame, keys: list[str], value: str, confidence:
     """mean +- z * standard error; z is the one-sided quantile unless ``two_sided``."""
     level = confidence if two_sided else 2 * confidence - 1
     z = math.sqrt(2) * erf_inv(F.lit(level))
-    g = _values(df, keys, value).groupBy(*keys).agg(F.avg("x").alias("m"), F.sqrt(F.var_samp("x") / F.count("x")).alias("se"))
+    g = _values(df, keys, value).groupBy(*keys).agg(F.avg("x").alias("m"), F.sqrt(safe_div(F.var_samp("x"), F.count("x"), None)).alias("se"))
     return g.select(*keys, (F.col("m") - z * F.col("se")).alias("lower"), (F.col("m") + z * F.col("se")).alias("upper"))
 
 
