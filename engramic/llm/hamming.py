@@ -21,14 +21,28 @@ from .components import local_forest
 UNIT_ROWS = 4096
 #: Buckets of up to so many rows are compared together by shifts; larger ones by a search of their own.
 SMALL = 48
+#: Cells that rows are counted in before keys are.
+CELLS = 1 << 14
 #: Hot keys are broadcast up to so many rows; beyond it they are joined by a shuffle.
 BROADCAST_ROWS = 100_000
 
 
+def hot_keys(rows: DataFrame, unit_rows: int, cells: int = CELLS) -> DataFrame:
+    """(key, table, _n) of the keys with more than ``unit_rows`` rows.
+
+    Rows are first counted by cells of many keys, which leaves a few rows of each task to shuffle; only
+    the keys of cells with that many rows can be hot, and are counted themselves.
+    """
+    cell = F.pmod(F.xxhash64("key", "table"), F.lit(cells))
+    full = staged(rows.groupBy(cell.alias("_cell")).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > unit_rows).select("_cell"), "cells")
+    suspects = rows.select("key", "table", cell.alias("_cell")).join(F.broadcast(full), "_cell", "left_semi")  # cells rows at most
+    return staged(suspects.groupBy("key", "table").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > unit_rows), "hot")
+
+
 def deal_units(rows: DataFrame, unit_rows: int = UNIT_ROWS) -> DataFrame:
     """``rows(key, table, id, ...)`` with a column ``unit``: 0, or for hot keys one row for each pair
     of chunks that the row's chunk takes part in."""
-    hot = staged(rows.groupBy("key", "table").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > unit_rows), "hot")
+    hot = hot_keys(rows, unit_rows)
     n = hot.count()
     if not n:
         return rows.withColumn("unit", F.lit(0).cast("long"))

@@ -34,7 +34,7 @@ from .hamming import UNIT_ROWS, _whole_runs, deal_units, linked
 SHINGLE_WORDS, THRESHOLD, RECALL, MIN_WORDS = 5, 0.8, 0.998, 50
 #: ANCHOR_RUN + ANCHOR_WORDS - 1 + WINDOW_WORDS = 51.
 ANCHOR_RUN, ANCHOR_WORDS, WINDOW_WORDS = 23, 2, 27
-BAND_ROWS, SEED = 4, 11
+BAND_ROWS, SEED = 3, 11
 #: An odd base, and its inverse modulo 2 to the 64th.
 _ODD = 0x9E3779B97F4A7C15
 _INVERSE = pow(_ODD, -1, 1 << 64)
