@@ -183,9 +183,9 @@ QUERIES = {
     "ttl_expiry": lambda s, d: cache.live(cache_entries(s, d), as_of(), 29.95 * 86_400_000).select("key"),
     "lru_eviction": lambda s, d: cache.evict_lru(cache_entries(s, d), as_of(), 100, 40_000, 60 * 86_400_000).select("key", "size"),
     "value_trim": lambda s, d: cache.trim_by_value(cache_entries(s, d), as_of(), 60_000).select("key", "size"),
-    "cache_stats": lambda s, d: rounded(cache.stats(cache_entries(s, d)), "mean_access_ms", "hit_rate"),
+    "cache_stats": lambda s, d: rounded(cache.stats(cache_entries(s, d)), "hit_rate").withColumn("mean_access_ms", F.round("mean_access_ms", 1)),
     "priority_queue": lambda s, d: pool.queue_order(tasks(s, d)).select("id", "priority", "place"),
-    "pool_telemetry": lambda s, d: rounded(pool.telemetry(tasks(s, d), ("worker_id",)), "avg_latency", "min_latency", "max_latency", "error_rate"),
+    "pool_telemetry": lambda s, d: rounded(pool.telemetry(tasks(s, d), ("worker_id",)).withColumn("avg_latency", F.col("avg_latency") + 1e-9), "avg_latency", "min_latency", "max_latency", "error_rate"),
     "worker_probability": lambda s, d: pool.probabilities(_pool_workers(s, d)).select("worker_id", r6("weight").alias("weight")),
     "least_healthy": lambda s, d: pool.least_healthy(_pool_workers(s, d), 5).select("worker_id", r6("health").alias("health")),
     "state_times": lambda s, d: rounded(pool.state_times(table(s, d, "events").select(F.col("user_id").alias("worker_id"), "ts", F.col("event_type").alias("to"))), "ms"),
@@ -301,9 +301,9 @@ ORACLE_SQL = {
     "ttl_expiry": _q(f"SELECT key FROM entries WHERE {_AGE} <= 29.95 * 86400000", ENTRIES, _NOW),
     "lru_eviction": _q("SELECT key, size FROM (SELECT key, size, sum(size) OVER (ORDER BY last_accessed DESC, key DESC ROWS UNBOUNDED PRECEDING) AS run FROM entries) WHERE run + 100 <= 40000", ENTRIES),
     "value_trim": _q("SELECT key, size FROM (SELECT key, size, sum(size) OVER () AS total, sum(size) OVER (ORDER BY value DESC, key DESC ROWS UNBOUNDED PRECEDING) AS run FROM val) WHERE total <= 48000 OR run <= 36000", ENTRIES, _NOW, _VAL),
-    "cache_stats": _q(f"SELECT count(*) AS entries, sum(size) AS bytes, round(avg({sms('last_accessed')} - {sms('ts')}), 6) + 0.0 AS mean_access_ms, round(sum(access_count - 1) / sum(access_count), 6) + 0.0 AS hit_rate FROM entries", ENTRIES),
+    "cache_stats": _q(f"SELECT count(*) AS entries, sum(size) AS bytes, round(avg({sms('last_accessed')} - {sms('ts')}), 1) AS mean_access_ms, round(sum(access_count - 1) / sum(access_count), 6) + 0.0 AS hit_rate FROM entries", ENTRIES),
     "priority_queue": _q("SELECT id, least(10, greatest(0, priority)) AS priority, row_number() OVER (ORDER BY CASE WHEN least(10, priority) >= 5 THEN least(10, priority) ELSE -1 END DESC, created, id) AS place FROM tasks", TASKS),
-    "pool_telemetry": _q("SELECT worker_id, processed, round(avg_latency, 6) + 0.0 AS avg_latency, round(min_latency, 6) + 0.0 AS min_latency, round(max_latency, 6) + 0.0 AS max_latency, round(error_rate, 6) + 0.0 AS error_rate FROM tel", TASKS, _TEL),
+    "pool_telemetry": _q("SELECT worker_id, processed, round(avg_latency + 1e-9, 6) + 0.0 AS avg_latency, round(min_latency, 6) + 0.0 AS min_latency, round(max_latency, 6) + 0.0 AS max_latency, round(error_rate, 6) + 0.0 AS error_rate FROM tel", TASKS, _TEL),
     "worker_probability": _q("SELECT worker_id, round(1000 / avg_latency / (SELECT count(*) FROM tel) * (1 - error_rate / 2) * (1 - (processed % 10 / 20.0 + 0.3) / 2), 6) + 0.0 AS weight FROM tel", TASKS, _TEL),
     "least_healthy": _q("SELECT worker_id, round(1 - error_rate / 2, 6) + 0.0 AS health FROM tel ORDER BY 1 - error_rate / 2, worker_id LIMIT 5", TASKS, _TEL),
     "state_times": "SELECT user_id AS worker_id, event_type AS state, round(sum(n), 6) + 0.0 AS ms FROM (SELECT user_id, event_type, (epoch_us(lead(ts) OVER (PARTITION BY user_id ORDER BY ts)) - epoch_us(ts)) / 1000.0 AS n FROM events) WHERE n IS NOT NULL GROUP BY 1, 2",
