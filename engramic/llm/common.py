@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import contextlib
 import os
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -31,15 +32,47 @@ def scratch_path(spark: SparkSession, tag: str) -> str:
     return f"{scratch_dir(spark).rstrip('/')}/{tag}-{uuid.uuid4().hex}"
 
 
+#: Paths of the tables staged by this driver, in order, and of those that a scope keeps.
+_PATHS: list[str] = []
+
+
 def staged(df: DataFrame, tag: str) -> DataFrame:
     """``df`` written as Parquet to the shared folder and read back: cuts the lineage, so a lost
-    executor never forces what stands before it to run again."""
+    executor never forces what stands before it to run again. ``scratch`` and ``release`` delete it."""
     spark = df.sparkSession
     path = scratch_path(spark, tag)
+    _PATHS.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _delete(spark: SparkSession, paths: list[str]) -> None:
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    for path in paths:
+        p = jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(conf).delete(p, True)
+        _PATHS.remove(path)
+
+
+@contextlib.contextmanager
+def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """Deletes, at its end, what was staged inside it but the tables given to ``keep``. What leaves the
+    scope must rest on kept tables alone."""
+    mark, kept = len(_PATHS), set()
+
+    def keep(df: DataFrame) -> DataFrame:
+        kept.add(_PATHS[-1])  # the table staged last
+        return df
+
+    yield keep
+    _delete(spark, [p for p in _PATHS[mark:] if p not in kept])
+
+
+def release(spark: SparkSession) -> None:
+    """Deletes all staged tables of this driver: call it when no result that rests on them is needed."""
+    _delete(spark, list(_PATHS))
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 

@@ -28,7 +28,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import salted, staged
+from .common import salted, scratch, staged
 
 WEIGHTS, SHARE, MAX_COPIES = (5.0, 2.0, 1.0), 1.5, 2
 #: Documents of one source that one rounding task holds (three numbers each).
@@ -183,15 +183,16 @@ def mixed_documents(docs: DataFrame, weights: Sequence[float] = WEIGHTS, share:
 def mixed_copies(docs: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = SHARE, cap: int = MAX_COPIES) -> DataFrame:
     """``docs`` with each row as many times as the mix takes it whole (part copies aside); documents without words, which take no
     part in a token mix, stay once. Rows that repeat a doc_id and size share its copies evenly."""
-    got = mixed_documents(docs, weights, share, cap)
-    per = got.groupBy("doc_id", "source", "size").agg(F.sum("copies").alias("_copies"), F.count(F.lit(1)).alias("_rows"))
-    per = staged(per.select(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("size").alias("_size"), "_copies", "_rows"), "copies")
+    key = lambda doc, src, n: F.concat_ws("\x00", *[F.coalesce(c.cast("string"), F.lit("\x01")) for c in (doc, src, n)])
+    with scratch(docs.sparkSession) as keep:
+        got = mixed_documents(docs, weights, share, cap)
+        per = got.groupBy(key(F.col("doc_id"), F.col("source"), F.col("size")).alias("_key")).agg(F.sum("copies").alias("_copies"), F.count(F.lit(1)).alias("_rows"))
+        per = keep(staged(per, "copies"))
     size = F.coalesce(F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
-    sized = docs.withColumn("_n", size)
-    j = sized.join(per, sized["doc_id"].cast("long").eqNullSafe(F.col("_id")) & sized["source"].eqNullSafe(F.col("_source")) & (F.col("_n") == F.col("_size")))
-    one = j.where("_rows = 1 or _n = 0").withColumn("_take", F.when(F.col("_n") == 0, 1).otherwise(F.col("_copies")))
-    # of rows that differ in the text at most, the first by text take the odd copies
-    at = F.row_number().over(Window.partitionBy("_id", "_source", "_size").orderBy("text"))
-    many = j.where("_rows > 1 and _n > 0").withColumn("_take", F.floor(F.col("_copies") / F.col("_rows")) + (at <= F.pmod(F.col("_copies"), F.col("_rows"))).cast("long"))
-    taken = one.unionByName(many).where("_take > 0")
-    return taken.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_take").cast("long")))).select(*[docs[c] for c in docs.columns])
+    sized = docs.withColumn("_n", size).withColumn("_key", key(F.col("doc_id").cast("long"), F.col("source"), F.col("_n")))
+    # one exchange of the texts: the join and the places among repeated rows use the same key
+    j = sized.join(per.hint("merge"), "_key")
+    at = F.row_number().over(Window.partitionBy("_key").orderBy("text"))
+    share_of = F.floor(F.col("_copies") / F.col("_rows")) + (at <= F.pmod(F.col("_copies"), F.col("_rows"))).cast("long")
+    taken = j.withColumn("_take", F.when(F.col("_n") == 0, F.lit(1).cast("long")).otherwise(share_of)).where("_take > 0")
+    return taken.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_take")))).select(*docs.columns)

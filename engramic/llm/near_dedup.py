@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordTable, bit_votes, mix64, pack_bits, record_batch, staged, text_slices, xxh64_spans
+from .common import WordTable, bit_votes, mix64, pack_bits, record_batch, scratch, staged, text_slices, xxh64_spans
 from .components import connected_components
 from .hamming import UNIT_ROWS, linked
 
@@ -107,13 +107,14 @@ def fingerprint_links(reps: DataFrame, layout: tuple[tuple[int, int], ...], radi
 def near_duplicates(docs: DataFrame, radius: int = RADIUS, shingle_words: int = SHINGLE_WORDS, layout: tuple[tuple[int, int], ...] | None = None, unit_rows: int = UNIT_ROWS) -> DataFrame:
     """One row per row of ``docs``: doc_id, fp long, component_id (the smallest doc_id reachable by
     links of at most ``radius`` differing bits)."""
-    fps = staged(simhash_fingerprints(docs, shingle_words), "fingerprints")
-    reps = staged(fps.groupBy("fp").agg(F.min("doc_id").alias("id")), "representatives")
-    known = reps.where("id is not null")
-    edges = fingerprint_links(known, layout or choose_layout(known.count()), radius, unit_rows)
-    comps = staged(connected_components(edges), "components")
-    named = reps.join(comps, reps.id == comps.node, "left").select("fp", F.coalesce("component", "id").alias("component_id"))
-    return fps.join(staged(named, "named"), "fp").select("doc_id", "fp", "component_id")
+    with scratch(docs.sparkSession) as keep:
+        fps = keep(staged(simhash_fingerprints(docs, shingle_words), "fingerprints"))
+        reps = staged(fps.groupBy("fp").agg(F.min("doc_id").alias("id")), "representatives")
+        known = reps.where("id is not null")
+        edges = fingerprint_links(known, layout or choose_layout(known.count()), radius, unit_rows)
+        comps = staged(connected_components(edges), "components")
+        named = keep(staged(reps.join(comps, reps.id == comps.node, "left").select("fp", F.coalesce("component", "id").alias("component_id")), "named"))
+    return fps.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
 def fingerprint_hex(fp: str = "fp"):

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WordTable, mix64, record_batch, spread, staged, text_slices, xxh64_spans
+from .common import WordTable, mix64, record_batch, scratch, spread, staged, text_slices, xxh64_spans
 from .components import connected_components, local_forest
 from .hamming import UNIT_ROWS, _whole_runs, deal_units, linked
 
@@ -204,29 +204,32 @@ def line_classes(lines: DataFrame, threshold: float = THRESHOLD, unit_rows: int
 
 def repeated_units(docs: DataFrame, threshold: float = THRESHOLD, min_words: int = MIN_WORDS, unit_rows: int = UNIT_ROWS) -> DataFrame:
     """(doc_id, start, n_words, class, first_doc): the units that lie in two documents or more."""
-    units = staged(paragraph_units(docs, tuned_bands(threshold), min_words=min_words), "units")
-    lines = units.where("kind = 0")
-    classes = staged(line_classes(lines, threshold, unit_rows), "classes")
-    place = ["doc_id", "start", "n_words"]
-    named = lines.select("unit_hash", *place).join(classes, "unit_hash", "left").select(F.coalesce("class", "unit_hash").alias("class"), *place)
-    every = named.unionByName(units.where("kind = 1").select(F.col("unit_hash").alias("class"), *place))
-    # few classes repeat; their extremes are found from the keys alone, then the rows are picked
-    repeats = staged(every.groupBy("class").agg(F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc")).where("first_doc < last_doc").drop("last_doc"), "repeats")
-    return staged(every.join(repeats, "class"), "repeated")
+    with scratch(docs.sparkSession) as keep:
+        units = staged(paragraph_units(docs, tuned_bands(threshold), min_words=min_words), "units")
+        lines = units.where("kind = 0")
+        classes = staged(line_classes(lines, threshold, unit_rows), "classes")
+        place = ["doc_id", "start", "n_words"]
+        # neither side of these joins has a bound: they are merged, not broadcast, at any size
+        named = lines.select("unit_hash", *place).join(classes.hint("merge"), "unit_hash", "left").select(F.coalesce("class", "unit_hash").alias("class"), *place)
+        every = named.unionByName(units.where("kind = 1").select(F.col("unit_hash").alias("class"), *place))
+        # few classes repeat; their extremes are found from the keys alone, then the rows are picked
+        repeats = staged(every.groupBy("class").agg(F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc")).where("first_doc < last_doc").drop("last_doc"), "repeats")
+        return keep(staged(every.join(repeats.hint("merge"), "class"), "repeated"))
 
 
 def passage_spans(repeated: DataFrame, unit_rows: int = UNIT_ROWS) -> DataFrame:
     """(doc_id, start_word, n_words, removed_words, component_id): runs of overlapping repeated units of
     a document; component_id is the smallest doc_id that shares a passage of the component."""
-    by_doc = Window.partitionBy("doc_id").orderBy("start", "n_words")
-    end = F.max(F.col("start") + F.col("n_words")).over(by_doc.rowsBetween(Window.unboundedPreceding, -1))
-    r = repeated.withColumn("_new", (end.isNull() | (F.col("start") > end)).cast("int"))
-    r = r.withColumn("_span", F.sum("_new").over(by_doc.rowsBetween(Window.unboundedPreceding, 0)))
-    r = staged(r.withColumn("node", F.xxhash64("doc_id", "_span")), "spans")
-    rows = r.select(F.col("class").alias("key"), F.lit(0).alias("table"), F.col("node").alias("id"), F.lit(True).alias("resident"), F.lit(0).cast("long").alias("f0")).distinct()
-    comps = staged(connected_components(linked(rows, ["f0"], 0, unit_rows)), "components")
-    spans = r.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.min("start").alias("start_word"), F.max(F.col("start") + F.col("n_words")).alias("_end"), F.max((F.col("first_doc") < F.col("doc_id")).cast("int")).alias("_late"))
-    spans = staged(spans.join(comps, "node").drop("node"), "named")
+    with scratch(repeated.sparkSession) as keep:
+        by_doc = Window.partitionBy("doc_id").orderBy("start", "n_words")
+        end = F.max(F.col("start") + F.col("n_words")).over(by_doc.rowsBetween(Window.unboundedPreceding, -1))
+        r = repeated.withColumn("_new", (end.isNull() | (F.col("start") > end)).cast("int"))
+        r = r.withColumn("_span", F.sum("_new").over(by_doc.rowsBetween(Window.unboundedPreceding, 0)))
+        r = staged(r.withColumn("node", F.xxhash64("doc_id", "_span")), "spans")
+        rows = r.select(F.col("class").alias("key"), F.lit(0).alias("table"), F.col("node").alias("id"), F.lit(True).alias("resident"), F.lit(0).cast("long").alias("f0")).distinct()
+        comps = staged(connected_components(linked(rows, ["f0"], 0, unit_rows)), "components")
+        spans = r.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.min("start").alias("start_word"), F.max(F.col("start") + F.col("n_words")).alias("_end"), F.max((F.col("first_doc") < F.col("doc_id")).cast("int")).alias("_late"))
+        spans = keep(staged(spans.join(comps, "node").drop("node"), "named"))
     heads = spans.groupBy("component").agg(F.min("doc_id").alias("component_id"))
     return spans.join(heads, "component").select("doc_id", "start_word", (F.col("_end") - F.col("start_word")).alias("n_words"), (F.col("_late") == 1).alias("removed"), "component_id")
 
@@ -262,9 +265,11 @@ def cut_words(text: bytes, ranges: list[tuple[int, int]]) -> bytes:
 def without_repeats(docs: DataFrame, threshold: float = THRESHOLD, min_words: int = MIN_WORDS) -> DataFrame:
     """``docs`` with every repeated unit cut out but in its first document; documents that lose all
     their words go, others keep their columns, n_chars by the text left."""
-    late = repeated_units(docs, threshold, min_words).where("first_doc < doc_id")
-    ranges = late.groupBy("doc_id").agg(F.collect_list(F.struct("start", (F.col("start") + F.col("n_words")).alias("end"))).alias("_cut"))
-    joined = docs.join(staged(ranges.withColumnRenamed("doc_id", "_cut_id"), "cuts"), docs["doc_id"] == F.col("_cut_id"), "left").drop("_cut_id")
+    repeated = repeated_units(docs, threshold, min_words)
+    ranges = repeated.where("first_doc < doc_id").groupBy("doc_id").agg(F.collect_list(F.struct("start", (F.col("start") + F.col("n_words")).alias("end"))).alias("_cut"))
+    with scratch(docs.sparkSession) as keep:
+        cuts = keep(staged(ranges.withColumnRenamed("doc_id", "_cut_id"), "cuts"))
+    joined = docs.join(cuts.hint("merge"), docs["doc_id"] == F.col("_cut_id"), "left").drop("_cut_id")
     names = docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
