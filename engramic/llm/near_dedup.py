@@ -8,6 +8,10 @@ coordinates: a layout deals the segments into groups with a reach each, where th
 reach 1 also sends each row up by one step in every coordinate, reach 2 sends both sides to all
 cells one step away, so that they meet halfway. Pairs that meet are verified on the fingerprints.
 
+The pipeline's stage (``keep_one``) has a contract of its own: a pair at 0.8 of the 5-word shingles
+differs in about 10 of 64 bits, where the chance pairs of a radius that reaches it grow with the square
+of the table. Its pairs collide by MinHash bands instead and are verified on the whole shingle sets.
+
 Defined results: null or empty texts and texts of white space have fingerprint 0 and link like any
 other; equal fingerprints are one class; repeated rows share a class; rows with a null doc_id keep
 their fingerprint and have the class of its smallest doc_id (null if none); an empty table gives an
@@ -26,8 +30,11 @@ from pyspark.sql import functions as F
 from .common import WordTable, bit_votes, mix64, pack_bits, record_batch, scratch, staged, text_slices, xxh64_spans
 from .components import connected_components
 from .hamming import UNIT_ROWS, linked
+from .passages import set_links, tuned_bands
 
 SHINGLE_WORDS, RADIUS, SEED = 4, 4, 42
+#: The pipeline's stage: exact Jaccard similarity of 5-word shingles; bands that bring pairs at it together.
+SET_WORDS, SIMILARITY, RECALL, BAND_ROWS = 5, 0.8, 0.9995, 4
 SEGMENTS = 32
 #: (segments, reach) of each group.
 COARSE = ((11, 1), (11, 1), (10, 0))
@@ -121,10 +128,81 @@ def fingerprint_hex(fp: str = "fp"):
     return F.lower(F.lpad(F.hex(F.col(fp)), 16, "0"))
 
 
-def keep_one(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
+# ---------------------------------------------------------------- the pipeline's stage
+
+
+def _sets_of(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, list[np.ndarray], np.ndarray]:
+    """Hashes of all 5-word shingles, the first of each text, each text's sorted distinct ones and the
+    hash of that set (a text without words: no shingles and 0)."""
+    words = WordTable(texts)
+    start, size, first = words.shingles(SET_WORDS)
+    h = xxh64_spans(words.joined, start, size, SEED)
+    sets = [np.unique(h[a:b]) for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True)]
+    whole = mix64(np.array([mix64(x).sum(dtype=np.uint64) for x in sets], np.uint64))
+    whole[np.diff(first) == 0] = 0
+    return h, first, sets, whole
+
+
+def shingle_signatures(docs: DataFrame, bands: int, band_rows: int = BAND_ROWS) -> DataFrame:
+    """(doc_id, set_hash, bands): the hash of the set of 5-word shingles and its MinHash band keys."""
+    schema = pa.schema([("doc_id", pa.int64()), ("set_hash", pa.int64()), ("bands", pa.list_(pa.int64()))])
+    rng = np.random.default_rng(SEED)
+    salt = rng.integers(0, 2**63, bands * band_rows, dtype=np.uint64)
+    odd = rng.integers(0, 2**63, bands * band_rows, dtype=np.uint64) | np.uint64(1)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, texts in text_slices(batches):
+            h, first, _, whole = _sets_of(texts)
+            some = np.flatnonzero(np.diff(first))
+            keys = np.zeros((len(some), bands), np.uint64)
+            with np.errstate(over="ignore"):
+                for k in range(bands * band_rows if len(some) else 0):
+                    least = np.minimum.reduceat((h ^ salt[k]) * odd[k], first[some])
+                    keys[:, k // band_rows] = mix64(keys[:, k // band_rows] ^ least)
+                keys = mix64(keys ^ np.arange(1, bands + 1, dtype=np.uint64))
+            ends = np.concatenate([[0], np.cumsum(np.where(np.diff(first) > 0, bands, 0))]).astype(np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(keys.view(np.int64).ravel()))
+            yield record_batch({"doc_id": batch.column("doc_id"), "set_hash": whole.view(np.int64), "bands": lists}, schema)
+
+    return docs.mapInArrow(run, "doc_id long, set_hash long, bands array<long>")
+
+
+def first_copies(docs: DataFrame, threshold: float = SIMILARITY, unit_rows: int = UNIT_ROWS) -> DataFrame:
+    """(doc_id): the smallest of each component of documents that are linked by a Jaccard similarity of
+    their 5-word shingles at or above the threshold.
+
+    Equal sets are one; sets that collide in a band are gathered, and only their documents are read
+    again for the exact similarities.
+    """
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null")
+    schema = pa.schema([("key", pa.int64()), ("table", pa.int32()), ("id", pa.int64()), ("shingles", pa.binary())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, texts in text_slices(batches):
+            _, _, sets, whole = _sets_of(texts)
+            # of rows that repeat a doc_id with other texts, those with the set that is looked for
+            own = np.flatnonzero(whole.view(np.int64) == batch.column("node").to_numpy())
+            ids = whole.view(np.int64)[own]
+            yield record_batch({"key": batch.column("component").to_numpy()[own], "table": np.zeros(len(own), np.int32), "id": ids, "shingles": [sets[i].tobytes() for i in own]}, schema)
+
+    with scratch(docs.sparkSession) as keep:
+        signed = shingle_signatures(docs, tuned_bands(threshold, RECALL, BAND_ROWS))
+        sets = staged(signed.groupBy("set_hash").agg(F.min("doc_id").alias("doc_id"), F.first("bands").alias("bands")), "sets")
+        rows = sets.select("set_hash", F.posexplode("bands").alias("table", "key"))
+        rows = rows.select("key", "table", F.col("set_hash").alias("id"), F.lit(True).alias("resident"), F.lit(0).cast("long").alias("f0"))
+        coarse = staged(connected_components(linked(rows, ["f0"], 0, unit_rows)), "coarse")
+        # neither side of these joins has a bound: they are merged, not broadcast, at any size
+        where = sets.select("set_hash", "doc_id").join(coarse.hint("merge"), F.col("set_hash") == F.col("node")).select("doc_id", "node", "component")
+        texts = docs.join(where.hint("merge"), "doc_id").mapInArrow(run, "key long, table int, id long, shingles binary")
+        groups = staged(texts.dropDuplicates(["id"]), "collided")
+        comps = staged(connected_components(set_links(groups, threshold, unit_rows, "<u8")), "components")
+        named = sets.select("set_hash", "doc_id").join(comps.hint("merge"), F.col("set_hash") == F.col("node"), "left")
+        return keep(staged(named.groupBy(F.coalesce("component", "set_hash").alias("class")).agg(F.min("doc_id").alias("doc_id")).select("doc_id").distinct(), "heads"))
+
+
+def keep_one(docs: DataFrame, threshold: float = SIMILARITY) -> DataFrame:
     """``docs`` with one document of each near-duplicate group, the one with the smallest doc_id; of
-    rows that repeat it, one. Rows with a null doc_id stay."""
-    groups = near_duplicates(docs, radius)
-    heads = groups.where("doc_id = component_id").select(F.col("component_id").alias("_head")).distinct()
-    kept = docs.join(heads, docs["doc_id"] == F.col("_head"), "left_semi")
+    rows that repeat it, one. Rows with a null doc_id stay. The groups are those of ``first_copies``."""
+    heads = first_copies(docs, threshold).select(F.col("doc_id").alias("_head"))
+    kept = docs.join(heads.hint("merge"), docs["doc_id"] == F.col("_head"), "left_semi")
     return kept.dropDuplicates(["doc_id"]).unionByName(docs.where("doc_id is null"))

@@ -171,23 +171,15 @@ def jaccard_search(sets: list[np.ndarray], threshold: float) -> tuple[np.ndarray
     return (np.concatenate(a), np.concatenate(b)) if a else (np.zeros(0, np.int64), np.zeros(0, np.int64))
 
 
-def line_classes(lines: DataFrame, threshold: float = THRESHOLD, unit_rows: int = UNIT_ROWS) -> DataFrame:
-    """(unit_hash, class) of the lines that have a near duplicate of other text: class is the smallest
-    unit_hash of their component of verified pairs."""
-    spark = lines.sparkSession
-    distinct = staged(lines.select("unit_hash", "bands").dropDuplicates(["unit_hash"]), "lines")
-    rows = distinct.select("unit_hash", F.posexplode("bands").alias("table", "key"))
-    rows = rows.select("key", "table", F.col("unit_hash").alias("id"), F.lit(True).alias("resident"), F.lit(0).cast("long").alias("f0"))
-    # colliding lines as one coarse group each: a line then carries its shingles once, not by band
-    coarse = staged(connected_components(linked(rows, ["f0"], 0, unit_rows)), "coarse")
-    texts = lines.select(F.col("unit_hash").alias("node"), "shingles").join(coarse, "node").dropDuplicates(["node"])
-    groups = staged(texts.select(F.col("component").alias("key"), F.lit(0).alias("table"), F.col("node").alias("id"), "shingles"), "collided")
+def set_links(groups: DataFrame, threshold: float, unit_rows: int = UNIT_ROWS, width: str = "<u4") -> DataFrame:
+    """Edges (u, v) that connect all pairs of ``groups(key, table, id, shingles)`` of one key at or above
+    the threshold; shingles: sorted hashes of that width."""
     schema = pa.schema([("u", pa.int64()), ("v", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in _whole_runs(batches):
             key, unit, ids = (t.column(c).to_numpy() for c in ("key", "unit", "id"))
-            sets = [np.frombuffer(x, "<u4") for x in t.column("shingles").to_pylist()]
+            sets = [np.frombuffer(x, width) for x in t.column("shingles").to_pylist()]
             cut = [0, *(np.flatnonzero((key[1:] != key[:-1]) | (unit[1:] != unit[:-1])) + 1).tolist(), len(key)]
             u, v = [], []
             for lo, hi in zip(cut, cut[1:], strict=False):
@@ -198,8 +190,22 @@ def line_classes(lines: DataFrame, threshold: float = THRESHOLD, unit_rows: int
                 one, two = local_forest(np.concatenate(u), np.concatenate(v))
                 yield record_batch({"u": one, "v": two}, schema)
 
-    dealt = deal_units(groups, unit_rows).repartition(spread(spark), "key", "table", "unit").sortWithinPartitions("key", "table", "unit")
-    return connected_components(dealt.mapInArrow(run, "u long, v long")).select(F.col("node").alias("unit_hash"), F.col("component").alias("class"))
+    dealt = deal_units(groups, unit_rows).repartition(spread(groups.sparkSession), "key", "table", "unit").sortWithinPartitions("key", "table", "unit")
+    return dealt.mapInArrow(run, "u long, v long")
+
+
+def line_classes(lines: DataFrame, threshold: float = THRESHOLD, unit_rows: int = UNIT_ROWS) -> DataFrame:
+    """(unit_hash, class) of the lines that have a near duplicate of other text: class is the smallest
+    unit_hash of their component of verified pairs."""
+    distinct = staged(lines.select("unit_hash", "bands").dropDuplicates(["unit_hash"]), "lines")
+    rows = distinct.select("unit_hash", F.posexplode("bands").alias("table", "key"))
+    rows = rows.select("key", "table", F.col("unit_hash").alias("id"), F.lit(True).alias("resident"), F.lit(0).cast("long").alias("f0"))
+    # colliding lines as one coarse group each: a line then carries its shingles once, not by band
+    coarse = staged(connected_components(linked(rows, ["f0"], 0, unit_rows)), "coarse")
+    texts = lines.select(F.col("unit_hash").alias("node"), "shingles").join(coarse, "node").dropDuplicates(["node"])
+    groups = staged(texts.select(F.col("component").alias("key"), F.lit(0).alias("table"), F.col("node").alias("id"), "shingles"), "collided")
+    links = set_links(groups, threshold, unit_rows)
+    return connected_components(links).select(F.col("node").alias("unit_hash"), F.col("component").alias("class"))
 
 
 def repeated_units(docs: DataFrame, threshold: float = THRESHOLD, min_words: int = MIN_WORDS, unit_rows: int = UNIT_ROWS) -> DataFrame:

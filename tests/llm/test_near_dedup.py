@@ -83,6 +83,27 @@ def test_empty_and_keep_one(docs, nothing):
     assert kept.columns == docs.columns and len(ids) == len(set(ids)) and None in ids and 0 in ids and 40 not in ids
 
 
+def test_keep_one_finds_edited_copies(spark):
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(7))
+    texts = []
+    for _ in range(120):
+        own = [word() for _ in range(rng.randint(60, 400))]
+        edited = list(own)
+        for _ in range(rng.randint(1, max(1, len(own) // 30))):
+            edited[rng.randrange(len(own))] = word()
+        texts += [own, edited]
+    sets = [{tuple(t[i : i + 5]) for i in range(len(t) - 4)} for t in texts]
+    same = [len(a & b) / len(a | b) for a, b in zip(sets[::2], sets[1::2], strict=True)]
+    d = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    got = {r["doc_id"] for r in near_dedup.keep_one(d).collect()}
+    assert sum(s >= 0.8 for s in same) > 20 and sum(s < 0.8 for s in same) > 20
+    assert got == {2 * i for i in range(120)} | {2 * i + 1 for i, s in enumerate(same) if s < 0.8}
+    # most of the pairs that go are further apart than operator 1's radius
+    far = sum(bin(fingerprint(" ".join(texts[2 * i])) ^ fingerprint(" ".join(texts[2 * i + 1]))).count("1") > 4 for i, s in enumerate(same) if s >= 0.8)
+    assert far > 10
+
+
 def test_components(spark):
     e = spark.createDataFrame([(1, 2), (3, 2), (5, 6), (7, 7), (None, 1), (9, 8), (8, 10), (10, 1)], "u long, v long")
     got = {r["node"]: r["component"] for r in connected_components(e).collect()}
