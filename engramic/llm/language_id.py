@@ -10,8 +10,8 @@ language of the least cross-entropy per character. Its score is the posterior of
 temperature, and it is rejected beyond the cross-entropy that all but ``REJECT_SHARE`` of documents
 of that language keep; both are calibrated on training documents.
 
-Counts cover all training documents and grow with them; the model that is sent out keeps at most
-``MODEL_GRAMS`` n-grams of the highest order, those with the greatest counts.
+Counts cover all training documents and grow with them, and so does the model that is sent out: it
+keeps every n-gram of every language. Discounts, contexts and lower orders rest on all of them.
 
 Defined results: a text that is null or has no letters is ``und`` with score 0 and cross-entropy
 null; ties of two languages go to the first by code point; repeated rows each give a row and count
@@ -33,8 +33,8 @@ from .common import Sent, mix64, record_batch, staged, text_slices
 from .quality import remainder
 
 ORDER = 5
-#: Bounds of the model that is sent out, of the calibration sample, and of a task's table of counts.
-MODEL_GRAMS, CALIBRATION_ROWS, TASK_GRAMS = 600_000, 1500, 1_500_000
+#: Bounds of the calibration sample and of a task's table of counts.
+CALIBRATION_ROWS, TASK_GRAMS = 1500, 1_500_000
 REJECT_SHARE, FLOOR = 0.001, 1 / 400
 UNKNOWN = "und"
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -259,13 +259,14 @@ def fit_languages(docs: DataFrame, train: Column) -> LanguageModels | None:
     spark = docs.sparkSession
     rows = docs.where(train & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "text", "lang")
     counts = staged(gram_counts(rows), "grams")
-    top = counts.orderBy(F.desc("n"), "lang", "gram").limit(MODEL_GRAMS).toArrow().combine_chunks()
-    if not top.num_rows:
+    known = counts.toArrow().combine_chunks()
+    if not known.num_rows:
         return None
-    lang = np.array(top.column("lang").to_pylist(), object)
-    langs = sorted(set(lang.tolist()))
-    grams = np.frombuffer("".join(top.column("gram").to_pylist()).encode("utf-32-le"), np.uint32).reshape(-1, ORDER)
-    model = kneser_ney(langs, np.searchsorted(np.array(langs, object), lang).astype(np.int64), grams, np.asarray(top.column("n")))
+    names, lang = np.unique(known.column("lang").to_numpy(), return_inverse=True)
+    langs = names.tolist()
+    grams = np.frombuffer("".join(known.column("gram").to_pylist()).encode("utf-32-le"), np.uint32).reshape(-1, ORDER)
+    model = kneser_ney(langs, lang.astype(np.int64), grams, np.asarray(known.column("n")))
+    del known, lang, grams
     # calibration: entropies of a bounded sample of training documents, by hash of doc_id
     ids = staged(rows.select("doc_id").where("doc_id is not null").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(CALIBRATION_ROWS), "calibration")
     sample = rows.join(F.broadcast(ids), "doc_id", "left_semi")
@@ -302,7 +303,7 @@ def fit_languages(docs: DataFrame, train: Column) -> LanguageModels | None:
 def identify(docs: DataFrame, model: LanguageModels | None) -> DataFrame:
     """(doc_id, lang_pred, score, entropy, rejected) of every row of ``docs(doc_id, text)``."""
     schema = pa.schema([("doc_id", pa.int64()), ("lang_pred", pa.string()), ("score", pa.float64()), ("entropy", pa.float64()), ("rejected", pa.bool_())])
-    sent = Sent(docs.sparkSession, model)  # MODEL_GRAMS n-grams at most
+    sent = Sent(docs.sparkSession, model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in text_slices(batches):

@@ -34,6 +34,17 @@ def test_languages(spark):
     assert {r["lang_pred"] for r in blind.collect()} == {"und"}
 
 
+def test_a_rare_language_keeps_its_grams(spark):
+    # 650,000 n-grams of one language with greater counts than any of the other's
+    rng = np.random.default_rng(4)
+    hot = ["".join(map(chr, rng.integers(0x4E00, 0x9F00, 65_000))) for _ in range(10)]
+    rare = "the and with house stone"
+    d = spark.createDataFrame([(i, t, "hot") for i, t in enumerate(hot * 2)] + [(100, rare, "rare")], "doc_id long, text string, lang string")
+    model = language_id.fit_languages(d, F.lit(True))
+    assert model.langs == ["hot", "rare"] and len(model.hashes[-1]) > 650_000
+    assert language_id.identify(d.where("doc_id = 100"), model).first()["lang_pred"] == "rare"
+
+
 def test_counts_cover_every_text(spark):
     d = spark.createDataFrame([("abc abc", "x"), ("abc", "x"), ("Zé!", "y")], "text string, lang string")
     got = {(r["lang"], r["gram"]): r["n"] for r in language_id.gram_counts(d).collect()}
