@@ -77,29 +77,30 @@ CREATIVE_COMMONS = ("by", "by-sa", "by-nd", "by-nc", "by-nc-sa", "by-nc-nd")
 CC_VERSIONS = ("1.0", "2.0", "2.5", "3.0", "4.0")
 _CC_WORDS = {"by": "attribution", "sa": "share\\s?-?alike", "nd": "no\\s?-?deriv(?:ative)?s?(?:\\s+works)?", "nc": "non\\s?-?commercial"}
 
-#: (label, keyword, pattern): whole clauses written by hand.
+#: (label, keyword, pattern): whole clauses written by hand. A keyword is one word, or a part of one, that
+#: every alternative of its pattern contains, so that white space in the text cannot hide it.
 TEXTS = (
-    ("mit", "free of charge", r"permission\s+is\s+hereby\s+granted,?\s+free\s+of\s+charge,?\s+to\s+any\s+person\s+obtaining\s+a\s+copy"),
-    ("mit-0", "mit no attribution", r"mit\s+no\s+attribution"),
-    ("isc", "permission to use", r"permission\s+to\s+use,\s+copy,\s+modify,?\s+and(?:/or)?\s+distribute\s+this\s+software\s+for\s+any\s+purpose"),
+    ("mit", "hereby", r"permission\s+is\s+hereby\s+granted,?\s+free\s+of\s+charge,?\s+to\s+any\s+person\s+obtaining\s+a\s+copy"),
+    ("mit-0", "attribution", r"mit\s+no\s+attribution"),
+    ("isc", "permission", r"permission\s+to\s+use,\s+copy,\s+modify,?\s+and(?:/or)?\s+distribute\s+this\s+software\s+for\s+any\s+purpose"),
     ("bsd-2-clause", "redistribution", r"redistributions?\s+(?:of\s+source\s+code|in\s+binary\s+form)\s+must\s+(?:retain|reproduce)\s+the\s+above\s+copyright"),
     ("bsd-3-clause", "endorse", r"neither\s+the\s+names?\s+of\s+.{0,120}?may\s+be\s+used\s+to\s+endorse\s+or\s+promote\s+products"),
-    ("bsd-4-clause", "advertising material", r"all\s+advertising\s+materials?\s+mentioning\s+features\s+or\s+use"),
-    ("bsd-2-clause", "2-clause", r"(?:simplified\s+bsd|bsd\s+2-clause|2-clause\s+bsd)(?:\s+licen[sc]e)?"),
+    ("bsd-4-clause", "advertising", r"all\s+advertising\s+materials?\s+mentioning\s+features\s+or\s+use"),
+    ("bsd-2-clause", "bsd", r"(?:simplified\s+bsd|bsd\s+2-clause|2-clause\s+bsd)(?:\s+licen[sc]e)?"),
     ("bsd-3-clause", "3-clause", r"(?:bsd\s+3-clause|3-clause\s+bsd)(?:\s+licen[sc]e)?"),
-    ("bsd-3-clause", "new bsd", r"(?:new|modified|revised)\s+bsd\s+licen[sc]e"),
-    ("zlib", "altered source", r"altered\s+source\s+versions\s+must\s+be\s+plainly\s+marked"),
-    ("gpl", "free software foundation", r"published\s+by\s+the\s+free\s+software\s+foundation"),
-    ("gpl-or-later", "any later version", r"(?:either\s+)?version\s+\d(?:\.\d)?(?:\s+of\s+the\s+licen[sc]e)?,?\s+or\s+\(?at\s+your\s+option\)?\s+any\s+later\s+version"),
+    ("bsd-3-clause", "bsd", r"(?:new|modified|revised)\s+bsd\s+licen[sc]e"),
+    ("zlib", "altered", r"altered\s+source\s+versions\s+must\s+be\s+plainly\s+marked"),
+    ("gpl", "foundation", r"published\s+by\s+the\s+free\s+software\s+foundation"),
+    ("gpl-or-later", "later", r"(?:either\s+)?version\s+\d(?:\.\d)?(?:\s+of\s+the\s+licen[sc]e)?,?\s+or\s+\(?at\s+your\s+option\)?\s+any\s+later\s+version"),
     ("cc0-1.0", "cc0", r"cc0(?:[\s-]+(?:v(?:ersion)?\s*)?1\.0)?(?:\s+universal)?"),
-    ("cc0-1.0", "public domain dedication", r"public\s+domain\s+dedication"),
-    ("public-domain", "public domain", r"(?:released|placed|dedicated|is)\s+(?:in|into|to)\s+the\s+public\s+domain"),
+    ("cc0-1.0", "dedication", r"public\s+domain\s+dedication"),
+    ("public-domain", "domain", r"(?:released|placed|dedicated|is)\s+(?:in|into|to)\s+the\s+public\s+domain"),
     ("unlicense", "unencumbered", r"free\s+and\s+unencumbered\s+software\s+released\s+into\s+the\s+public\s+domain"),
-    ("proprietary", "all rights reserved", r"all\s+rights\s+reserved"),
+    ("proprietary", "reserved", r"all\s+rights\s+reserved"),
     ("copyright-notice", "copyright", r"copyright\s+(?:\(c\)\s*|©\s*)?(?:\d{4}(?:\s*[-–,]\s*\d{4})*)"),
     ("no-warranty", "warrant", r"without\s+warrant(?:y|ies)(?:\s+or\s+conditions)?\s+of\s+any\s+kind"),
-    ("apache-2.0", "unless required", r"unless\s+required\s+by\s+applicable\s+law\s+or\s+agreed\s+to\s+in\s+writing"),
-    ("mpl-2.0", "source code form", r"this\s+source\s+code\s+form\s+is\s+subject\s+to\s+the\s+terms\s+of\s+the\s+mozilla"),
+    ("apache-2.0", "applicable", r"unless\s+required\s+by\s+applicable\s+law\s+or\s+agreed\s+to\s+in\s+writing"),
+    ("mpl-2.0", "mozilla", r"this\s+source\s+code\s+form\s+is\s+subject\s+to\s+the\s+terms\s+of\s+the\s+mozilla"),
     ("confidential", "confidential", r"(?:strictly\s+)?confidential\s+and\s+proprietary"),
     ("see-license", "licen", r"see\s+(?:the\s+)?(?:file\s+)?licen[sc]e(?:\.(?:txt|md))?\s+(?:file\s+)?for\s+(?:details|more|the\s+full)"),
 )

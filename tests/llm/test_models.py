@@ -119,6 +119,25 @@ def test_licenses(spark, docs):
     assert license_scan.scan_licenses(docs).count() == docs.count() and license_scan.scan_licenses(docs.limit(0)).count() == 0
 
 
+def test_keywords_hide_no_rule():
+    texts = [
+        "permission is hereby granted, free of charge, to any person obtaining a copy", "mit no attribution",
+        "permission to use, copy, modify, and distribute this software for any purpose", "all advertising materials mentioning features or use",
+        "simplified bsd license", "bsd 2-clause", "modified bsd license", "revised bsd license", "new bsd license",
+        "altered source versions must be plainly marked", "published by the free software foundation",
+        "either version 2 of the license, or (at your option) any later version", "public domain dedication", "placed in the public domain",
+        "all rights reserved", "unless required by applicable law or agreed to in writing", "this source code form is subject to the terms of the mozilla",
+        "licensed under the gnu lesser general public license, version 2.1", "creative commons attribution share alike license 4.0", "do what the fun you want to public license",
+    ]
+    scanner = license_scan.Scanner()
+    assert not any(c.isspace() for r in scanner.rules for c in r.keyword)
+    for text in texts:
+        for gap in (" ", "  ", "\n", "\n\t "):
+            t = text.replace(" ", gap)
+            every = [(m.start(), m.end(), r, i) for i, r in enumerate(scanner.rules) for m in r.pattern.finditer(t)]
+            assert every and scanner.detections(t) == license_scan.suppress(every), t
+
+
 def test_suppression_and_rules():
     rules = license_scan.build_rules()
     assert len(rules) > 300 and [r.priority for r in rules] == sorted((r.priority for r in rules), reverse=True)
