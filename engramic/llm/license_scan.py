@@ -1,12 +1,12 @@
 """License detection by ordered signature rules.
 
 A rule is a regular expression with a label, a priority, a confidence and a keyword without which it
-cannot match. Rules are generated from a table of license families: for each family and version an
-SPDX tag, a notice ("licensed under ..."), a plain name and a URL, and hand-written texts. One
-Aho-Corasick pass finds the keywords that a text has, and only the rules behind them run, over the
-whole text. Detections that lie inside another one of higher priority (or of the same and longer)
-are suppressed; what is left gives the labels. Base places (the fixed phrases) are counted on the
-words and their labels always stay.
+cannot match; the rules are written by hand in ``license_rules``: clauses of the licenses' own texts,
+names with and without versions, addresses, notices and hints, and the SPDX tag. One Aho-Corasick
+pass finds the keywords that a text has, and only the rules behind them run, over the whole text.
+Detections that lie inside another one of higher priority (or of the same and longer) are suppressed;
+what is left gives the labels. Base places (the fixed phrases) are counted on the words and their
+labels always stay.
 
 Defined results: a null text counts as empty; a text without words has n_words 0, no labels and
 score 0; repeated rows each give a row; ties between detections of one span go to the rule that
@@ -17,14 +17,17 @@ are ignored.
 from __future__ import annotations
 
 import re
+import sys
+import types
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import license_rules as rules
 from .common import record_batch, text_slices
 
 #: Phrases whose places are counted, with their labels.
@@ -35,80 +38,12 @@ BASE_PHRASES = {
     "mit license": "mit",
 }
 
-#: family: (names as patterns, keyword, versions). Versions are joined to the label.
-FAMILIES: dict[str, tuple[tuple[str, ...], str, tuple[str, ...]]] = {
-    "gpl": ((r"gnu\s+general\s+public\s+licen[sc]e", r"gnu\s+gpl", r"gpl"), "g", ("1.0", "2.0", "3.0")),
-    "lgpl": ((r"gnu\s+(?:lesser|library)\s+general\s+public\s+licen[sc]e", r"gnu\s+lgpl", r"lgpl"), "g", ("2.0", "2.1", "3.0")),
-    "agpl": ((r"gnu\s+affero\s+general\s+public\s+licen[sc]e", r"gnu\s+agpl", r"agpl"), "g", ("1.0", "3.0")),
-    "gfdl": ((r"gnu\s+free\s+documentation\s+licen[sc]e", r"gfdl"), "g", ("1.1", "1.2", "1.3")),
-    "apache": ((r"apache\s+(?:software\s+)?licen[sc]e", r"asl", r"apache"), "apache", ("1.0", "1.1", "2.0")),
-    "mpl": ((r"mozilla\s+public\s+licen[sc]e", r"mpl"), "m", ("1.0", "1.1", "2.0")),
-    "epl": ((r"eclipse\s+public\s+licen[sc]e", r"epl"), "e", ("1.0", "2.0")),
-    "cddl": ((r"common\s+development\s+and\s+distribution\s+licen[sc]e", r"cddl"), "c", ("1.0", "1.1")),
-    "eupl": ((r"european\s+union\s+public\s+licen[sc]e", r"eupl"), "e", ("1.0", "1.1", "1.2")),
-    "osl": ((r"open\s+software\s+licen[sc]e", r"osl"), "o", ("1.0", "2.0", "2.1", "3.0")),
-    "afl": ((r"academic\s+free\s+licen[sc]e", r"afl"), "a", ("1.1", "1.2", "2.0", "2.1", "3.0")),
-    "artistic": ((r"(?:perl\s+)?artistic\s+licen[sc]e",), "artistic", ("1.0", "2.0")),
-    "boost": ((r"boost\s+software\s+licen[sc]e", r"bsl"), "b", ("1.0",)),
-    "cpl": ((r"common\s+public\s+licen[sc]e", r"cpl"), "c", ("1.0",)),
-    "lppl": ((r"latex\s+project\s+public\s+licen[sc]e", r"lppl"), "l", ("1.0", "1.1", "1.2", "1.3")),
-    "ms": ((r"microsoft\s+(?:public|reciprocal)\s+licen[sc]e", r"ms-[pr]l"), "m", ()),
-    "ofl": ((r"sil\s+open\s+font\s+licen[sc]e", r"ofl"), "o", ("1.0", "1.1")),
-    "php": ((r"php\s+licen[sc]e",), "php", ("3.0", "3.01")),
-    "python": ((r"python\s+software\s+foundation\s+licen[sc]e", r"psf\s+licen[sc]e"), "p", ("2.0",)),
-    "zlib": ((r"zlib(?:/libpng)?\s+licen[sc]e",), "zlib", ()),
-    "isc": ((r"isc\s+licen[sc]e",), "isc", ()),
-    "wtfpl": ((r"wtfpl", r"do\s+what\s+the\s+f\w*\s+you\s+want\s+to\s+public\s+licen[sc]e"), "w", ("2.0",)),
-    "unlicense": ((r"the\s+unlicense", r"unlicense"), "unlicense", ()),
-    "odbl": ((r"open\s+(?:data\s+commons\s+open\s+)?database\s+licen[sc]e", r"odbl"), "o", ("1.0",)),
-    "odc-by": ((r"open\s+data\s+commons\s+attribution\s+licen[sc]e", r"odc-by"), "o", ("1.0",)),
-    "pddl": ((r"public\s+domain\s+dedication\s+and\s+licen[sc]e", r"pddl"), "p", ("1.0",)),
-    "openssl": ((r"openssl\s+licen[sc]e",), "openssl", ()),
-    "postgresql": ((r"postgresql\s+licen[sc]e",), "postgresql", ()),
-    "sspl": ((r"server\s+side\s+public\s+licen[sc]e", r"sspl"), "s", ("1.0",)),
-    "busl": ((r"business\s+source\s+licen[sc]e", r"busl"), "b", ("1.1",)),
-    "elastic": ((r"elastic\s+licen[sc]e",), "elastic", ("1.0", "2.0")),
-    "mit": ((r"mit\s+licen[sc]e", r"x11\s+licen[sc]e", r"expat\s+licen[sc]e"), "licen", ()),
-    "bsd": ((r"bsd\s+licen[sc]e", r"berkeley\s+software\s+distribution\s+licen[sc]e"), "licen", ()),
-    "upl": ((r"universal\s+permissive\s+licen[sc]e", r"upl"), "u", ("1.0",)),
-    "openrail": ((r"(?:creativeml\s+)?open\s*rail(?:\+\+)?(?:-[ms])?",), "rail", ()),
-}
-CREATIVE_COMMONS = ("by", "by-sa", "by-nd", "by-nc", "by-nc-sa", "by-nc-nd")
-CC_VERSIONS = ("1.0", "2.0", "2.5", "3.0", "4.0")
-_CC_WORDS = {"by": "attribution", "sa": "share\\s?-?alike", "nd": "no\\s?-?deriv(?:ative)?s?(?:\\s+works)?", "nc": "non\\s?-?commercial"}
-
-#: (label, keyword, pattern): whole clauses written by hand. A keyword is one word, or a part of one, that
-#: every alternative of its pattern contains, so that white space in the text cannot hide it.
-TEXTS = (
-    ("mit", "hereby", r"permission\s+is\s+hereby\s+granted,?\s+free\s+of\s+charge,?\s+to\s+any\s+person\s+obtaining\s+a\s+copy"),
-    ("mit-0", "attribution", r"mit\s+no\s+attribution"),
-    ("isc", "permission", r"permission\s+to\s+use,\s+copy,\s+modify,?\s+and(?:/or)?\s+distribute\s+this\s+software\s+for\s+any\s+purpose"),
-    ("bsd-2-clause", "redistribution", r"redistributions?\s+(?:of\s+source\s+code|in\s+binary\s+form)\s+must\s+(?:retain|reproduce)\s+the\s+above\s+copyright"),
-    ("bsd-3-clause", "endorse", r"neither\s+the\s+names?\s+of\s+.{0,120}?may\s+be\s+used\s+to\s+endorse\s+or\s+promote\s+products"),
-    ("bsd-4-clause", "advertising", r"all\s+advertising\s+materials?\s+mentioning\s+features\s+or\s+use"),
-    ("bsd-2-clause", "bsd", r"(?:simplified\s+bsd|bsd\s+2-clause|2-clause\s+bsd)(?:\s+licen[sc]e)?"),
-    ("bsd-3-clause", "3-clause", r"(?:bsd\s+3-clause|3-clause\s+bsd)(?:\s+licen[sc]e)?"),
-    ("bsd-3-clause", "bsd", r"(?:new|modified|revised)\s+bsd\s+licen[sc]e"),
-    ("zlib", "altered", r"altered\s+source\s+versions\s+must\s+be\s+plainly\s+marked"),
-    ("gpl", "foundation", r"published\s+by\s+the\s+free\s+software\s+foundation"),
-    ("gpl-or-later", "later", r"(?:either\s+)?version\s+\d(?:\.\d)?(?:\s+of\s+the\s+licen[sc]e)?,?\s+or\s+\(?at\s+your\s+option\)?\s+any\s+later\s+version"),
-    ("cc0-1.0", "cc0", r"cc0(?:[\s-]+(?:v(?:ersion)?\s*)?1\.0)?(?:\s+universal)?"),
-    ("cc0-1.0", "dedication", r"public\s+domain\s+dedication"),
-    ("public-domain", "domain", r"(?:released|placed|dedicated|is)\s+(?:in|into|to)\s+the\s+public\s+domain"),
-    ("unlicense", "unencumbered", r"free\s+and\s+unencumbered\s+software\s+released\s+into\s+the\s+public\s+domain"),
-    ("proprietary", "reserved", r"all\s+rights\s+reserved"),
-    ("copyright-notice", "copyright", r"copyright\s+(?:\(c\)\s*|©\s*)?(?:\d{4}(?:\s*[-–,]\s*\d{4})*)"),
-    ("no-warranty", "warrant", r"without\s+warrant(?:y|ies)(?:\s+or\s+conditions)?\s+of\s+any\s+kind"),
-    ("apache-2.0", "applicable", r"unless\s+required\s+by\s+applicable\s+law\s+or\s+agreed\s+to\s+in\s+writing"),
-    ("mpl-2.0", "mozilla", r"this\s+source\s+code\s+form\s+is\s+subject\s+to\s+the\s+terms\s+of\s+the\s+mozilla"),
-    ("confidential", "confidential", r"(?:strictly\s+)?confidential\s+and\s+proprietary"),
-    ("see-license", "licen", r"see\s+(?:the\s+)?(?:file\s+)?licen[sc]e(?:\.(?:txt|md))?\s+(?:file\s+)?for\s+(?:details|more|the\s+full)"),
-)
-
 
 @dataclass(frozen=True)
 class Rule:
-    label: str
+    """``label`` None: the label is what the pattern's group ``id`` matched."""
+
+    label: str | None
     priority: int
     confidence: float
     keyword: str
@@ -117,57 +52,37 @@ class Rule:
 
 def _version(v: str) -> str:
     """Matches a version number, with or without its last zero."""
-    return r"(?:v\.?\s*|version\s+|-)?" + (re.escape(v[:-2]) + r"(?:\.0)?" if v.endswith(".0") else re.escape(v)) + r"(?![\d.]*\d)"
+    number = re.escape(v.removesuffix(".0")) + r"(?:\.0)?" if v.endswith(".0") else re.escape(v)
+    return r"[,\s-]*(?:v\.?\s*|version\s+)?" + number + r"(?![\d.]*\d)"
 
 
-def _keyword_of(name: str, fallback: str) -> str:
-    """The longest run of literal letters in a name pattern."""
-    plain = re.sub(r"\(\?:[^()]*\)\??|\[[^\]]*\]|\\[a-z][+*?]?", "\x00", name)
-    return max(re.findall(r"[a-z0-9-]+", plain), key=len, default=fallback)
+def compiled(pattern: str) -> re.Pattern:
+    """A hand-written pattern (see ``license_rules``) as a regular expression of whole words."""
+    full = re.sub(r"~(\d+(?:\.\d+)?)", lambda m: _version(m[1]), pattern.replace("license", "licen[sc]e"))
+    return re.compile(r"(?<![a-z0-9])(?:" + full.replace(" ", r"\s+") + r")(?![a-z0-9])")
 
 
 def build_rules() -> list[Rule]:
-    """All rules, in the order of their priority: texts and SPDX tags first, plain names last."""
-    rules: list[Rule] = []
-
-    def add(label: str, priority: int, confidence: float, keyword: str, pattern: str) -> None:
-        rules.append(Rule(label, priority, confidence, keyword, re.compile(r"(?<![a-z0-9])(?:" + pattern + r")(?![a-z0-9])", re.S)))
-
-    for label, keyword, pattern in TEXTS:
-        add(label, 40 if label not in ("copyright-notice", "proprietary", "no-warranty") else 10, 0.9, keyword, pattern)
-    notice = r"(?:licen[sc]ed|released|distributed|available|covered|provided)\s+under\s+(?:the\s+)?(?:terms\s+(?:and\s+conditions\s+)?of\s+(?:the\s+)?)?"
-    for family, (names, fallback, versions) in FAMILIES.items():
-        add(family, 45, 1.0, "spdx", rf"spdx-license-identifier:\s*{re.escape(family)}(?:-[\w.]+)?")
-        for v in versions:
-            add(f"{family}-{v}", 50, 1.0, "spdx", rf"spdx-license-identifier:\s*{re.escape(family)}-{re.escape(v)}(?:-(?:only|or-later))?\+?")
-        for name in names:
-            keyword = _keyword_of(name, fallback)
-            add(family, 25, 0.8, keyword, notice + name)
-            if len(keyword) > 3:
-                add(family, 15, 0.6, keyword, name)
-            for v in versions:
-                add(f"{family}-{v}", 35, 0.95, keyword, notice + name + r"[,\s]*" + _version(v))
-                add(f"{family}-{v}", 30, 0.85, keyword, name + r"[,\s]*" + _version(v))
-    for kind in CREATIVE_COMMONS:
-        short = r"[\s-]+".join(kind.split("-"))
-        long = r"[\s-]*".join(_CC_WORDS[p] for p in kind.split("-"))
-        add(f"cc-{kind}", 20, 0.7, "cc", r"cc[\s-]+" + short)
-        add(f"cc-{kind}", 25, 0.8, "creative", r"creative\s+commons\s+" + long)
-        add(f"cc-{kind}", 28, 0.9, "creativecommons", rf"creativecommons\.org/licenses/{kind}")
-        for v in CC_VERSIONS:
-            add(f"cc-{kind}-{v}", 30, 0.95, "cc", r"cc[\s-]+" + short + r"[\s-]+" + _version(v))
-            add(f"cc-{kind}-{v}", 32, 0.95, "creative", r"creative\s+commons\s+" + long + r"(?:\s+licen[sc]e)?[,\s]*" + _version(v))
-            add(f"cc-{kind}-{v}", 34, 0.95, "creativecommons", rf"creativecommons\.org/licenses/{kind}/{re.escape(v)}")
-    return sorted(rules, key=lambda r: -r.priority)
+    """All rules, in the order of their priority."""
+    tables = {"clause": rules.CLAUSES, "versioned": rules.VERSIONED, "address": rules.ADDRESSES, "notice": rules.NOTICES, "name": rules.NAMES, "hint": rules.HINTS}
+    out = [Rule(None, *rules.SECTIONS["tag"], rules.TAG[0], re.compile(rules.TAG[1]))]
+    for section, table in tables.items():
+        out += [Rule(label, *rules.SECTIONS[section], keyword, compiled(pattern)) for label, keyword, pattern in table]
+    return sorted(out, key=lambda r: -r.priority)
+
+
+def tag_label(identifier: str) -> str:
+    """The label of an SPDX identifier: without "only", "or later" and its plus."""
+    return re.sub(r"(?:-only|-or-later|\+)+$", "", identifier)
 
 
 class Scanner:
     """The rules behind one Aho-Corasick automaton of their keywords."""
 
-    def __init__(self, rules: list[Rule] | None = None):
+    def __init__(self, rules_: list[Rule] | None = None):
         import ahocorasick
 
-        self.rules = build_rules() if rules is None else rules
+        self.rules = build_rules() if rules_ is None else rules_
         self.by_keyword: dict[str, list[int]] = {}
         for i, r in enumerate(self.rules):
             self.by_keyword.setdefault(r.keyword, []).append(i)
@@ -179,8 +94,20 @@ class Scanner:
     def detections(self, text: str) -> list[tuple[int, int, Rule]]:
         """All matches in the lower-cased text, by start; contained ones suppressed."""
         present = {k for _, k in self.automaton.iter(text)}
-        found = [(m.start(), m.end(), i) for k in present for i in self.by_keyword[k] for m in self.rules[i].pattern.finditer(text)]
-        return suppress([(a, b, self.rules[i], i) for a, b, i in found])
+        return suppress([x for k in present for i in self.by_keyword[k] for x in self.matches(i, text)])
+
+    def matches(self, i: int, text: str) -> list[tuple[int, int, Rule, int]]:
+        """All matches of rule ``i``, each with the rule under its label."""
+        rule = self.rules[i]
+        return [(m.start(), m.end(), rule if rule.label else replace(rule, label=tag_label(m["id"])), i) for m in rule.pattern.finditer(text)]
+
+
+def scanner() -> Scanner:
+    """One scanner for each process: a task does not build the rules anew."""
+    held = sys.modules.setdefault("_engramic_scanner", types.ModuleType("_engramic_scanner")).__dict__
+    if "scanner" not in held:
+        held["scanner"] = Scanner()
+    return held["scanner"]
 
 
 def suppress(found: list[tuple[int, int, Rule, int]]) -> list[tuple[int, int, Rule]]:
@@ -235,17 +162,17 @@ def scan_licenses(docs: DataFrame) -> DataFrame:
     schema = pa.schema([(c, pa.int64()) for c in ints] + [("base_labels", pa.string()), ("labels", pa.string()), ("score", pa.float64()), ("spans", pa.list_(span))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scanner = Scanner()
+        scan = scanner()
         upper = {c: c + 32 for c in range(65, 91)}
         for batch, texts in text_slices(batches):
             out: dict[str, list] = {f.name: [] for f in schema}
             for text in texts:
                 n, places, base = base_places(text)
                 low = text.decode().translate(upper)
-                found = scanner.detections(low)
+                found = scan.detections(low)
                 labels = {r.label for _, _, r in found} | set(base)
                 # a base phrase is certain of its family, a rule as certain as it is specific
-                score = 1.0 - float(np.prod([1.0 - r.confidence * 0.95 for _, _, r in found[:50]])) * (0.2 if base else 1.0) if labels else 0.0
+                score = 1.0 - float(np.prod([1.0 - r.confidence * 0.95 for _, _, r in found])) * (0.2 if base else 1.0) if labels else 0.0
                 row = (n, len(places), places[0] if places else None, places[-1] if places else None, ",".join(base), ",".join(sorted(labels)), min(1.0, max(0.0, score)))
                 for c, v in zip([*ints[1:], "base_labels", "labels", "score"], row, strict=True):
                     out[c].append(v)

@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import random
+import re
 
 import numpy as np
 import pytest
@@ -90,6 +91,16 @@ def test_quality(spark, docs):
     assert quality.quality_scores(d.limit(0), lab).count() == 0
 
 
+def test_equal_texts_have_equal_scores(spark):
+    rng = random.Random(4)
+    lab = spark.createDataFrame([(i, i % 2, 0) for i in range(60)], "doc_id long, quality int, toxic int")
+    rows = [(i, " ".join(rng.choices(["a", "bb", "Ccc", "d#", "e1"], k=rng.randint(0, 50)))) for i in range(60)]
+    same = "the one text, which stands 2000 times; and 3 numbers"
+    d = spark.createDataFrame(rows + [(1000 + i, same) for i in range(2000)], "doc_id long, text string")
+    got = quality.quality_scores(d.orderBy(F.hash("doc_id")), lab).where("doc_id >= 1000").select("score").distinct().collect()
+    assert len(got) == 1
+
+
 def test_sum_of_squares_identity():
     m = quality.FactorisationMachine(20, 3, 1)
     m.w[:] = np.arange(20) / 10
@@ -119,28 +130,74 @@ def test_licenses(spark, docs):
     assert license_scan.scan_licenses(docs).count() == docs.count() and license_scan.scan_licenses(docs.limit(0)).count() == 0
 
 
+def sample(rng, parsed):
+    """A random string that a parsed pattern matches."""
+    out = ""
+    for op, arg in parsed:
+        name = str(op)
+        if name == "LITERAL":
+            out += chr(arg)
+        elif name == "IN":
+            item = rng.choice([x for x in arg if str(x[0]) != "NEGATE"])
+            kind = str(item[0])
+            out += chr(item[1]) if kind == "LITERAL" else chr(rng.randint(*item[1])) if kind == "RANGE" else {"CATEGORY_SPACE": rng.choice(" \n\t"), "CATEGORY_DIGIT": rng.choice("0123456789"), "CATEGORY_WORD": rng.choice("abz09")}[str(item[1])]
+        elif name in ("MAX_REPEAT", "MIN_REPEAT"):
+            low, high, inner = arg
+            out += "".join(sample(rng, inner) for _ in range(rng.randint(low, min(int(high), low + 2))))
+        elif name == "SUBPATTERN":
+            out += sample(rng, arg[3])
+        elif name == "BRANCH":
+            out += sample(rng, rng.choice(arg[1]))
+        elif name not in ("ASSERT", "ASSERT_NOT", "AT"):
+            raise AssertionError(name)
+    return out
+
+
+def ungated(scan, text):
+    return license_scan.suppress([x for i in range(len(scan.rules)) for x in scan.matches(i, text)])
+
+
 def test_keywords_hide_no_rule():
+    rng = random.Random(1)
+    scan = license_scan.Scanner()
+    filler = ["the", "of", "cc", "gpl", "version 2", "license", "software\nis", "copyright 2001", "x" * 30]
+    for i, rule in enumerate(scan.rules):
+        assert rule.keyword and not any(c.isspace() for c in rule.keyword)
+        for _ in range(4):
+            found = sample(rng, re._parser.parse(rule.pattern.pattern))
+            assert rule.keyword in found and scan.matches(i, f"( {found} )"), (rule.pattern.pattern, found)
+            text = " ".join([*rng.choices(filler, k=3), found, *rng.choices(filler, k=3)])
+            assert scan.detections(text) == ungated(scan, text), text
+
+
+def test_wrapped_license_texts():
     texts = [
         "permission is hereby granted, free of charge, to any person obtaining a copy", "mit no attribution",
-        "permission to use, copy, modify, and distribute this software for any purpose", "all advertising materials mentioning features or use",
+        "permission to use, copy, modify, and distribute this software for any purpose with or without fee", "all advertising materials mentioning features or use of this software",
         "simplified bsd license", "bsd 2-clause", "modified bsd license", "revised bsd license", "new bsd license",
-        "altered source versions must be plainly marked", "published by the free software foundation",
+        "altered source versions must be plainly marked as such", "published by the free software foundation",
         "either version 2 of the license, or (at your option) any later version", "public domain dedication", "placed in the public domain",
-        "all rights reserved", "unless required by applicable law or agreed to in writing", "this source code form is subject to the terms of the mozilla",
+        "all rights reserved", "unless required by applicable law or agreed to in writing", "this source code form is subject to the terms of the mozilla public license",
         "licensed under the gnu lesser general public license, version 2.1", "creative commons attribution share alike license 4.0", "do what the fun you want to public license",
     ]
-    scanner = license_scan.Scanner()
-    assert not any(c.isspace() for r in scanner.rules for c in r.keyword)
+    scan = license_scan.Scanner()
     for text in texts:
+        want = [x[2].label for x in scan.detections(text)]
         for gap in (" ", "  ", "\n", "\n\t "):
-            t = text.replace(" ", gap)
-            every = [(m.start(), m.end(), r, i) for i, r in enumerate(scanner.rules) for m in r.pattern.finditer(t)]
-            assert every and scanner.detections(t) == license_scan.suppress(every), t
+            got = scan.detections(text.replace(" ", gap))
+            assert got and [x[2].label for x in got] == want and got == ungated(scan, text.replace(" ", gap)), text
+
+
+def test_score_reads_every_detection(spark):
+    many = "copyright 2001 x. " * 60 + "spdx-license-identifier: mpl-2.0"
+    few = "copyright 2001 x. " * 60
+    got = [r["score"] for r in license_scan.scan_licenses(spark.createDataFrame([(0, few), (1, many)], "doc_id long, text string")).orderBy("doc_id").collect()]
+    assert got[0] < got[1] <= 1
 
 
 def test_suppression_and_rules():
     rules = license_scan.build_rules()
-    assert len(rules) > 300 and [r.priority for r in rules] == sorted((r.priority for r in rules), reverse=True)
+    assert len(rules) > 300 and license_scan.tag_label("gpl-2.0-or-later") == "gpl-2.0" and [r.priority for r in rules] == sorted((r.priority for r in rules), reverse=True)
     for r in rules:
         assert r.keyword
     wide, narrow = (license_scan.Rule(n, p, 0.5, "k", None) for n, p in (("wide", 5), ("narrow", 9)))

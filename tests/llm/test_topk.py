@@ -1,5 +1,8 @@
 from __future__ import annotations
 
+import math
+from fractions import Fraction
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -51,6 +54,36 @@ def test_coordinate_pruning_loses_nothing():
     s = q @ v.T
     floor = np.sort(s, axis=1)[:, -3]
     state = topk.Queries(np.arange(1000, 1020), q, floor, 3)
-    got = list(state.visit(np.arange(500), v, np.sqrt((v * v).sum(axis=1))))
-    best = {i: max(c.max() for a, _, c in got if (a == i).any()) for i in range(1000, 1020)}
+    state.visit(np.arange(500), v, np.sqrt((v * v).sum(axis=1)))
+    best = {}
+    for r in state.found().to_pylist():
+        best[r["query_id"]] = max(best.get(r["query_id"], r["score"]), r["score"])
     assert [best[1000 + i] for i in range(20)] == s.max(axis=1).tolist()
+
+
+def exactly(rows, k):
+    q = [(i, [math.floor(1024 * Fraction(x)) for x in v]) for i, v in rows]
+    out = set()
+    for i, a in q:
+        best = sorted((-sum(x * y for x, y in zip(a, b, strict=True)), j) for j, b in q if j != i and len(b) == len(a))[:k]
+        out |= {(i, r + 1, j, -s) for r, (s, j) in enumerate(best)}
+    return out
+
+
+@pytest.mark.parametrize("top", [3e6, 7e6, 5e7])
+def test_large_components_are_exact(spark, monkeypatch, top):
+    monkeypatch.setattr(topk, "BUCKET", 16)
+    rng = np.random.default_rng(8)
+    rows = [(0, [top, 1.0]), (1, [1.0, 1.0]), (2, [2.0, 1.0])]
+    rows += [(3 + i, [float(x) for x in rng.normal(size=2) * rng.choice([1e-3, 1, 30, 1e3])]) for i in range(60)]
+    # products that differ by one beyond 2 to the 53rd
+    rows += [(100, [100_000.5, 0.0]), (101, [99_999.0, 3 / 1024]), (102, [99_999.0, 2 / 1024]), (103, [1.0, 2.0, 3.0]), (104, [2.0, 0.0, 1.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    for query_slice in (None, 9):
+        assert sorted(map(tuple, topk.top_k(df, F.lit(True), 5, query_slice=query_slice).collect())) == sorted(exactly(rows, 5))
+
+
+def test_a_score_beyond_64_bits_is_an_error(spark):
+    df = spark.createDataFrame([(0, [1e30, 1.0]), (1, [1e30, 1.0])], "vec_id long, embedding array<double>")
+    with pytest.raises(Exception, match="exceeds 64 bits"):
+        topk.top_k(df, F.lit(True)).collect()
