@@ -17,6 +17,7 @@ dataset; other columns are ignored.
 
 from __future__ import annotations
 
+import contextlib
 import itertools
 import os
 import re
@@ -24,7 +25,7 @@ import sys
 import types
 import uuid
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -37,30 +38,52 @@ from .common import mix64, range_of, range_splits, record_batch, scratch_path, s
 END_ID = 1
 MAGIC, VERSION = b"EGTOKIDX", 1
 KEYS_PER_BUCKET = 4
-#: Pieces that an encoder remembers before it starts anew.
-CACHE_PIECES = 400_000
-#: Texts of these characters and white space are cut into pieces here; others go to the library word by word.
+#: Text of one shard, the most shards, documents whose ids are read at a time.
+SHARD_BYTES, MAX_SHARDS, READ_ROWS = 256 << 20, 1 << 16, 4096
+#: Words, and as many pieces, that an encoder remembers.
+CACHE_WORDS = 200_000
+#: Words without these are cut into pieces here; others go to the library whole.
 _OTHER = re.compile(r"[^\t\n\r -~À-ÖØ-öø-ÿ]|<\|")
-_SPACES = re.compile(r"[\t\n\r ]+")
 _PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^\sa-zß-öø-ÿ0-9]+")
 
 
+class Remembered(dict):
+    """What ``make`` gives for a key, kept for the first ``most`` keys; starts anew when so many others
+    were made that the keys kept have become stale."""
+
+    def __init__(self, make: Callable[[str], bytes], most: int):
+        self.make, self.most, self.missed = make, most, 0
+
+    def __missing__(self, key: str) -> bytes:
+        made = self.make(key)
+        if len(self) >= self.most:
+            self.missed += 1
+            if self.missed < 4 * self.most:
+                return made
+            self.clear()
+            self.missed = 0
+        self[key] = made
+        return made
+
+
 class Encoder:
-    """Encodes with the tokenizers library, remembering the pieces that its pre-tokeniser makes.
+    """Encodes with the tokenizers library, remembering the words and pieces that it has met.
 
-    The library encodes each piece by itself, so a text's ids are those of its pieces in turn. Which
-    pieces a plain text has is checked against the library when the encoder is made; a vocabulary
-    with another pre-tokeniser, and words with characters beyond the plain ones, are left to the
-    library alone.
+    The library encodes each piece that its pre-tokeniser makes by itself, and no piece has white
+    space in it, so a text's ids are those of its words in turn, and a word's those of its pieces.
+    Which pieces a plain word has is checked against the library when the encoder is made; a
+    vocabulary with another pre-tokeniser, and words with characters beyond the plain ones, are left
+    to the library alone.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, most: int | None = None):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
         self.dtype = np.dtype("<u2") if self.tok.get_vocab_size() <= 1 << 16 else np.dtype("<u4")
-        self.known: dict[str, bytes] = {}
+        self.pieces = Remembered(self._bytes, most or CACHE_WORDS)
+        self.words = Remembered(self._word, most or CACHE_WORDS)
         probe = "It's  we'LL 4th c'est\tÉtÉ -- (a_b) x9.y\n'tis $1,200! naïve ''s"
         self.plain = self.tok.pre_tokenizer is not None and [self._ids(p) for p in _PIECES.findall(probe.lower())] == self._by_word(probe)
 
@@ -77,37 +100,27 @@ class Encoder:
     def _bytes(self, text: str) -> bytes:
         return np.array(self._ids(text), self.dtype).tobytes()
 
-    def _learn(self, pieces: list[str]) -> None:
-        """Many pieces as one text with spaces between: the library gives the piece of each id."""
-        for lo in range(0, len(pieces), 2000):
-            some = pieces[lo : lo + 2000]
-            e = self.tok.encode(" ".join(some), add_special_tokens=False)
-            ids, word = np.array(e.ids, self.dtype), np.array(e.word_ids)
-            cut = np.flatnonzero(word[1:] != word[:-1]) + 1
-            if len(cut) + 1 != len(some):  # a piece that falls apart or away: one by one
-                self.known.update((p, self._bytes(p)) for p in some)
-                continue
-            raw, edge = ids.tobytes(), (np.concatenate([[0], cut, [len(ids)]]) * ids.itemsize).tolist()
-            self.known.update(zip(some, [raw[a:b] for a, b in itertools.pairwise(edge)], strict=True))
+    def _word(self, word: str) -> bytes:
+        if _OTHER.search(word):
+            return self._bytes(word)
+        return b"".join(map(self.pieces.__getitem__, _PIECES.findall(word.lower())))
+
+    def _cut(self, text: str) -> list[str]:
+        """``text`` cut at four spaces that part words in any text."""
+        if not _OTHER.search(text):
+            return text.lower().split()  # no other white space in it
+        return text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as bytes."""
         if not self.plain:
             return [np.array(e.ids, self.dtype).tobytes() for e in self.tok.encode_batch(texts, add_special_tokens=False)]
-        # these four spaces part words in any text, so words of other characters can be encoded by themselves
-        cut = [_PIECES.findall(t.lower()) if not _OTHER.search(t) else None for t in texts]
-        words = [[w if _OTHER.search(w) else _PIECES.findall(w.lower()) for w in _SPACES.split(t) if w] if c is None else [] for t, c in zip(texts, cut, strict=True)]
-        needed = set().union(*[c for c in cut if c], *[w for ws in words for w in ws if type(w) is list])
-        missing = [p for p in needed if p not in self.known]
-        if len(self.known) + len(missing) > CACHE_PIECES:
-            self.known.clear()
-            missing = list(needed)
-        self._learn(missing)
-        known = self.known
-        return [
-            b"".join([known[p] for p in c]) if c is not None else b"".join([self._bytes(w) if type(w) is str else b"".join([known[p] for p in w]) for w in ws])
-            for c, ws in zip(cut, words, strict=True)
-        ]
+        known = self.words.__getitem__
+        return [b"".join(map(known, self._cut(t))) for t in texts]
+
+    def counts(self, texts: list[str]) -> list[int]:
+        """The number of ids of each text."""
+        return [len(b) // self.dtype.itemsize for b in self(texts)]
 
 
 def encoder(path: str) -> Encoder:
@@ -169,20 +182,30 @@ def find_slots(keys: np.ndarray, shift: np.ndarray, stored: np.ndarray) -> np.nd
 # ---------------------------------------------------------------- shards
 
 
-def _put(root: str, name: str, parts: list[bytes]) -> None:
+def _open(root: str, name: str) -> pa.NativeFile:
+    fs, path = pafs.FileSystem.from_uri(root)
+    return fs.open_input_file(f"{path}/{name}")
+
+
+@contextlib.contextmanager
+def _put(root: str, name: str) -> Iterator[pa.NativeFile]:
+    """A file to write, under a temporary name that becomes ``name`` if all went well."""
     fs, path = pafs.FileSystem.from_uri(root)
     fs.create_dir(path, recursive=True)
     temporary = f"{path}/.{name}.{uuid.uuid4().hex}"
-    with fs.open_output_stream(temporary) as f:
-        for p in parts:
-            f.write(p)
+    try:
+        with fs.open_output_stream(temporary) as f:
+            yield f
+    except BaseException:
+        with contextlib.suppress(OSError):
+            fs.delete_file(temporary)
+        raise
     fs.move(temporary, f"{path}/{name}")
 
 
-def _get(root: str, name: str) -> bytes:
-    fs, path = pafs.FileSystem.from_uri(root)
-    with fs.open_input_file(f"{path}/{name}") as f:
-        return f.read()
+#: The sections of an index after its header: the documents in file order, then the hash.
+_SECTIONS = (("doc_id", "<i8", "rows"), ("known", "u1", "rows"), ("count", "<u4", "rows"), ("shift", "<u4", "buckets"), ("stored", "<u8", "keys"), ("where", "<u8", "keys"), ("many", "<u4", "keys"))
+_HEAD = 8 + 5 * 8
 
 
 def index_bytes(doc_ids: np.ndarray, known: np.ndarray, offset: np.ndarray, count: np.ndarray, width: int) -> bytes:
@@ -198,66 +221,92 @@ def index_bytes(doc_ids: np.ndarray, known: np.ndarray, offset: np.ndarray, coun
 
 
 class Shard:
-    """One shard, opened for keyed access and for reading in order."""
+    """One shard, opened for keyed access. A lookup seeks: it reads one displacement, one slot and the
+    document's ids, whatever the size of the shard. ``bytes_read`` counts what was read."""
 
     def __init__(self, root: str, shard: int):
-        raw, at = _get(root, f"shard-{shard:06d}.mph"), 8
-        if raw[:8] != MAGIC:
+        self.index, self.data, self.bytes_read = _open(root, f"shard-{shard:06d}.mph"), _open(root, f"shard-{shard:06d}.ids"), 0
+        head = self._at(self.index, 0, _HEAD)
+        if head[:8] != MAGIC:
             raise ValueError(f"shard {shard} of {root} is not a token index")
-
-        def take(dtype: str, n: int) -> np.ndarray:
-            nonlocal at
-            out = np.frombuffer(raw, dtype, n, at)
-            at += out.nbytes
-            return out
-
-        _, width, rows, keys, buckets = take("<u8", 5).tolist()
-        self.doc_ids, self.known, self.count, self.shift = take("<i8", rows), take("u1", rows).astype(bool), take("<u4", rows), take("<u4", buckets)
-        self.stored, self.where, self.many = take("<u8", keys), take("<u8", keys), take("<u4", keys)
-        self.offset = np.cumsum(self.count, dtype=np.int64) - self.count
-        self.ids = np.frombuffer(_get(root, f"shard-{shard:06d}.ids"), f"<u{width}")
-
-    def lookup(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(offset, id count) of each key; count 0 if the shard has no such document."""
-        slot = find_slots(keys.astype(np.int64).view(np.uint64), self.shift, self.stored)
-        at = np.maximum(slot, 0)
-        return (self.where[at].astype(np.int64), np.where(slot < 0, 0, self.many[at])) if len(self.stored) else (np.zeros(len(keys), np.int64), np.zeros(len(keys), np.int64))
+        _, width, self.rows, self.keys, buckets = np.frombuffer(head, "<u8", 5, 8).tolist()
+        self.width, sizes, at = np.dtype(f"<u{width}"), {"rows": self.rows, "keys": self.keys, "buckets": buckets}, _HEAD
+        self.section: dict[str, tuple[int, np.dtype, int]] = {}
+        for name, kind, size in _SECTIONS:
+            dtype = np.dtype(kind)
+            self.section[name] = (at, dtype, sizes[size])
+            at += dtype.itemsize * sizes[size]
+
+    def _at(self, file: pa.NativeFile, at: int, size: int) -> bytes:
+        file.seek(at)
+        self.bytes_read += size
+        return file.read(size)
+
+    def read(self, name: str, lo: int = 0, hi: int | None = None) -> np.ndarray:
+        """Entries lo to hi of a section."""
+        at, dtype, n = self.section[name]
+        hi = n if hi is None else min(hi, n)
+        return np.frombuffer(self._at(self.index, at + lo * dtype.itemsize, (hi - lo) * dtype.itemsize), dtype)
+
+    def read_ids(self, offset: int, n: int) -> np.ndarray:
+        return np.frombuffer(self._at(self.data, offset * self.width.itemsize, n * self.width.itemsize), self.width)
+
+    def find(self, doc_id: int) -> tuple[int, int] | None:
+        """(offset, number) of the document's ids, None if the shard does not have it."""
+        if not self.keys:
+            return None
+        fp = mix64(np.array([doc_id], np.int64).view(np.uint64))
+        bucket = int((fp[0] >> np.uint64(32)) % np.uint64(self.section["shift"][2]))
+        slot = int(_slot_hash(fp, self.read("shift", bucket, bucket + 1), self.keys)[0])
+        if self.read("stored", slot, slot + 1)[0] != fp[0]:
+            return None
+        return int(self.read("where", slot, slot + 1)[0]), int(self.read("many", slot, slot + 1)[0])
 
     def __getitem__(self, doc_id: int) -> np.ndarray:
-        offset, n = (int(x[0]) for x in self.lookup(np.array([doc_id])))
-        if not n:
+        found = self.find(doc_id)
+        if found is None:
             raise KeyError(doc_id)
-        return self.ids[offset : offset + n]
+        return self.read_ids(*found)
+
+    def lookup(self, keys: np.ndarray, shift: np.ndarray, stored: np.ndarray) -> np.ndarray:
+        """The slots of many keys, with the sections of the hash in memory (-1: not stored)."""
+        return find_slots(keys.astype(np.int64).view(np.uint64), shift, stored)
+
+    def close(self) -> None:
+        self.index.close()
+        self.data.close()
 
 
 def write_tokens(docs: DataFrame, tokenizer: str, root: str | None = None, shards: int | None = None, end_id: int = END_ID) -> tuple[str, DataFrame]:
     """Writes the dataset and returns its folder and manifest (shard, first_key, n_docs, n_ids, base):
-    a row for each shard; base counts the ids of all shards before it."""
+    a row for each shard; base counts the ids of all shards before it. A task writes ids as it makes
+    them; it keeps a doc_id and a count for each of its documents."""
     spark = docs.sparkSession
-    root, n = root or scratch_path(spark, "tokens"), shards or spread(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    root, n = root or scratch_path(spark, "tokens"), shards or shard_count(docs)
     splits = range_splits(docs, "doc_id", n)
     placed = docs.withColumn("shard", range_of(F.col("doc_id"), splits).cast("int"))
     placed = placed.repartitionById(n, F.col("shard")).sortWithinPartitions("shard", F.col("doc_id").asc_nulls_first(), "text")
     schema = pa.schema([("shard", pa.int32()), ("first_key", pa.int64()), ("n_docs", pa.int64()), ("n_ids", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, end, shard, ids, known, counts, parts = None, b"", -1, [], [], [], []
-        for batch, texts in text_slices(batches):
-            encode = encode or encoder(tokenizer)
-            end = np.array([end_id], encode.dtype).tobytes()
-            shard = batch.column("shard")[0].as_py()
-            for doc_id, got in zip(batch.column("doc_id").to_pylist(), encode([t.decode() for t in texts]), strict=True):
-                parts.append(got + end)
-                counts.append(len(got) // encode.dtype.itemsize + 1)
-                ids.append(doc_id or 0)
-                known.append(doc_id is not None)
-        if encode is None:
+        slices = text_slices(batches)
+        got = next(slices, None)
+        if got is None:
             return
-        count = np.array(counts, np.int64)
-        keys, valid = np.array(ids, np.int64), np.array(known, bool)
-        _put(root, f"shard-{shard:06d}.ids", parts)
-        _put(root, f"shard-{shard:06d}.mph", [index_bytes(keys, valid, np.cumsum(count) - count, count, encode.dtype.itemsize)])
+        shard, encode, ids, counts = got[0].column("shard")[0].as_py(), encoder(tokenizer), [], []
+        end, width = np.array([end_id], encode.dtype).tobytes(), encode.dtype.itemsize
+        with _put(root, f"shard-{shard:06d}.ids") as f:
+            while got is not None:
+                made = encode([t.decode() for t in got[1]])
+                f.write(end.join([*made, b""]))
+                counts.append(np.array([len(x) for x in made], np.int64) // width + 1)
+                ids.append(got[0].column("doc_id"))
+                got = next(slices, None)
+        count, column = np.concatenate(counts), pa.chunked_array(ids)
+        valid, keys = np.asarray(column.is_valid()), np.asarray(column.fill_null(0))
+        with _put(root, f"shard-{shard:06d}.mph") as f:
+            f.write(index_bytes(keys, valid, np.cumsum(count) - count, count, width))
         yield record_batch({"shard": [shard], "first_key": [int(keys[valid][0]) if valid.any() else None], "n_docs": [len(keys)], "n_ids": [int(count.sum())]}, schema)
 
     rows = sorted(placed.mapInArrow(run, "shard int, first_key long, n_docs long, n_ids long").collect(), key=lambda r: r["shard"])
@@ -267,9 +316,27 @@ def write_tokens(docs: DataFrame, tokenizer: str, root: str | None = None, shard
     return root, manifest
 
 
+def shard_count(docs: DataFrame) -> int:
+    """Shards of about SHARD_BYTES of text, no fewer than there are tasks at a time."""
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    return max(spread(docs.sparkSession), min(-(-size // SHARD_BYTES), MAX_SHARDS))
+
+
+def token_counts(docs: DataFrame, tokenizer: str) -> DataFrame:
+    """(doc_id, size): the number of ids of every row's whole text (null: 0), without an end id."""
+    schema = pa.schema([("doc_id", pa.int64()), ("size", pa.int64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, texts in text_slices(batches):
+            yield record_batch({"doc_id": batch.column("doc_id"), "size": encoder(tokenizer).counts([t.decode() for t in texts])}, schema)
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, size long")
+
+
 def read_tokens(spark, root: str, with_ids: bool = False) -> DataFrame:
     """Per document of a dataset, from its files: doc_id, start, n_tokens, ids_crc32 (and the ids).
-    Documents with a key are found through the index, the others by their place."""
+    Documents with a key are found through the index, the others by their place. A task holds the
+    index of one shard and the ids of READ_ROWS documents."""
     manifest = spark.read.parquet(f"{root}/manifest")
     schema = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64()), ("ids_crc32", pa.int64())] + [("ids", pa.list_(pa.int64()))] * with_ids)
 
@@ -277,15 +344,26 @@ def read_tokens(spark, root: str, with_ids: bool = False) -> DataFrame:
         for batch in batches:
             for shard, base in zip(batch.column("shard").to_pylist(), batch.column("base").to_pylist(), strict=True):
                 s = Shard(root, shard)
-                for lo in range(0, len(s.doc_ids), 4096):
-                    part = slice(lo, lo + 4096)
-                    offset, count = s.offset[part].copy(), s.count[part].astype(np.int64)
-                    key, valid = s.doc_ids[part], s.known[part]
-                    new = valid & np.concatenate([[lo == 0 or not s.known[lo - 1] or s.doc_ids[lo - 1] != key[0]], (key[1:] != key[:-1]) | ~valid[:-1]])
-                    offset[new], count[new] = s.lookup(key[new])
-                    ids = [s.ids[o : o + c].astype("<u4") for o, c in zip(offset.tolist(), count.tolist(), strict=True)]
-                    out = {"doc_id": pa.array(key, mask=~valid), "start": base + offset, "n_tokens": count, "ids_crc32": [zlib.crc32(x.tobytes()) for x in ids]}
+                shift, stored, where, many = (s.read(x) for x in ("shift", "stored", "where", "many"))
+                at, before = 0, None
+                for lo in range(0, s.rows, READ_ROWS):
+                    key, valid, count = s.read("doc_id", lo, lo + READ_ROWS), s.read("known", lo, lo + READ_ROWS).astype(bool), s.read("count", lo, lo + READ_ROWS).astype(np.int64)
+                    offset = at + np.cumsum(count) - count
+                    at += int(count.sum())
+                    # of rows that repeat a doc_id the index leads to the first
+                    new = valid & np.concatenate([[key[0] != before], (key[1:] != key[:-1]) | ~valid[:-1]])
+                    before = int(key[-1]) if valid[-1] else None
+                    slot = s.lookup(key[new], shift, stored)
+                    if (slot < 0).any():
+                        raise ValueError(f"shard {shard} of {root}: its index lacks documents")
+                    if len(slot):
+                        offset[new], count[new] = where[slot], many[slot]
+                    low = int(offset.min())
+                    raw = s.read_ids(low, int((offset + count).max()) - low)
+                    ids = [raw[o : o + c].astype("<u4") for o, c in zip((offset - low).tolist(), count.tolist(), strict=True)]
+                    out = {"doc_id": pa.array(key, mask=~valid), "start": base + offset, "n_tokens": count, "ids_crc32": [zlib.crc32(x) for x in ids]}
                     yield record_batch(out | ({"ids": [x.tolist() for x in ids]} if with_ids else {}), schema)
+                s.close()
 
     n = max(1, manifest.count())
     return manifest.select("shard", "base").repartitionById(n, F.pmod(F.col("shard"), F.lit(n)).cast("int")).mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids array<long>" * with_ids)
@@ -302,14 +380,19 @@ def lookup_tokens(spark, root: str, keys: DataFrame) -> DataFrame:
     schema = pa.schema([("doc_id", pa.int64()), ("ids", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, Shard] = {}
+        number, held = None, None
         for batch in batches:
+            out: dict[str, list] = {"doc_id": [], "ids": []}
             for shard, key in zip(batch.column("shard").to_pylist(), batch.column("doc_id").to_pylist(), strict=True):
-                if shard not in held:
-                    held = {shard: Shard(root, shard)}
-                offset, n = (int(x[0]) for x in held[shard].lookup(np.array([key])))
-                if n:
-                    yield record_batch({"doc_id": [key], "ids": [held[shard].ids[offset : offset + n].astype(np.int64).tolist()]}, schema)
+                if shard != number:
+                    if held is not None:
+                        held.close()
+                    number, held = shard, Shard(root, shard)
+                found = held.find(key)
+                if found is not None:
+                    out["doc_id"].append(key)
+                    out["ids"].append(held.read_ids(*found).astype(np.int64).tolist())
+            yield record_batch(out, schema)
 
     wanted = keys.select(F.col("doc_id").cast("long").alias("doc_id")).where("doc_id is not null").distinct().withColumn("shard", at)
-    return wanted.repartition("shard").sortWithinPartitions("shard").mapInArrow(run, "doc_id long, ids array<long>")
+    return wanted.repartition("shard").sortWithinPartitions("shard", "doc_id").mapInArrow(run, "doc_id long, ids array<long>")

@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import random
 import zlib
 
 import numpy as np
@@ -17,9 +18,10 @@ def test_encoder_equals_the_library(name, rows):
     texts = ODD + [t or "" for _, t, *_ in rows]
     want = [x.ids for x in e.tok.encode_batch(texts, add_special_tokens=False)]
     assert [np.frombuffer(b, e.dtype).tolist() for b in e(texts)] == want
-    token_index.CACHE_PIECES, kept = 50, token_index.CACHE_PIECES
-    assert [np.frombuffer(b, e.dtype).tolist() for b in e(texts)] == want
-    token_index.CACHE_PIECES = kept
+    forgetful = token_index.Encoder(tokenizer_path(name), 20)
+    for _ in range(3):
+        assert [np.frombuffer(b, e.dtype).tolist() for b in forgetful(texts)] == want
+    assert e.counts(texts) == [len(x) for x in want]
 
 
 @pytest.mark.parametrize("n", [0, 1, 2, 7, 500])
@@ -55,3 +57,24 @@ def test_empty(spark, nothing):
     root, _ = token_index.write_tokens(nothing, tokenizer_path(), shards=2)
     assert token_index.read_tokens(spark, root).count() == 0
     assert token_index.lookup_tokens(spark, root, spark.createDataFrame([(1,)], "doc_id long")).count() == 0
+
+
+def test_a_lookup_reads_a_bounded_number_of_bytes(spark, docs):
+    more = spark.range(1000, 9000).selectExpr("id as doc_id", "concat('word ', repeat('more words ', 40), id) as text")
+    root, _ = token_index.write_tokens(docs.select("doc_id", "text").union(more), tokenizer_path(), shards=1)
+    s = token_index.Shard(root, 0)
+    e = token_index.Encoder(tokenizer_path())
+    for key in (1000, 4321, 8999):
+        before = s.bytes_read
+        assert s[key].tolist() == [*e._ids("word " + "more words " * 40 + str(key)), token_index.END_ID]
+        assert s.bytes_read - before <= 24 + 4 * len(s[key])
+    with pytest.raises(KeyError):
+        s[123456]
+
+
+def test_random_strings_equal_the_library():
+    rng = random.Random(6)
+    alphabet = "abzAZ09 \t\n\r'\x0b\x1c\x85\xa0éÉßİıſΣς日語<|>_-.,!?\u2019\u200b\ufeff¼²ºª"
+    e = token_index.Encoder(tokenizer_path())
+    texts = ["".join(rng.choices(alphabet, k=rng.randint(0, 30))) for _ in range(3000)]
+    assert [np.frombuffer(b, e.dtype).tolist() for b in e(texts)] == [x.ids for x in e.tok.encode_batch(texts, add_special_tokens=False)]
