@@ -40,9 +40,9 @@ MAGIC, VERSION = b"EGTOKIDX", 1
 KEYS_PER_BUCKET = 4
 #: Text of one shard, the most shards, documents whose ids are read at a time.
 SHARD_BYTES, MAX_SHARDS, READ_ROWS = 256 << 20, 1 << 16, 4096
-#: Words, and as many pieces, that an encoder remembers.
-CACHE_WORDS = 200_000
-#: Words without these are cut into pieces here; others go to the library whole.
+#: Pieces that an encoder remembers.
+CACHE_PIECES = 400_000
+#: Texts without these are cut into pieces here; of others the words that have them go to the library.
 _OTHER = re.compile(r"[^\t\n\r -~À-ÖØ-öø-ÿ]|<\|")
 _PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^\sa-zß-öø-ÿ0-9]+")
 
@@ -66,14 +66,21 @@ class Remembered(dict):
         return made
 
 
+def _byte_letters() -> dict[int, int]:
+    """The letter that a byte-level vocabulary has for each byte: printable bytes stand for themselves,
+    the others for the code points from 256 on."""
+    plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    return {b: b if b in plain else 256 + b - sum(x < b for x in plain) for b in range(256)}
+
+
 class Encoder:
-    """Encodes with the tokenizers library, remembering the words and pieces that it has met.
+    """Encodes with the tokenizers library, remembering the pieces that it has met.
 
     The library encodes each piece that its pre-tokeniser makes by itself, and no piece has white
-    space in it, so a text's ids are those of its words in turn, and a word's those of its pieces.
-    Which pieces a plain word has is checked against the library when the encoder is made; a
-    vocabulary with another pre-tokeniser, and words with characters beyond the plain ones, are left
-    to the library alone.
+    space in it, so a text's ids are those of its pieces in turn. Which pieces a plain text has, and
+    that the vocabulary's model gives their ids, is checked against the library when the encoder is
+    made; a vocabulary with another pre-tokeniser, and words with characters beyond the plain ones,
+    are left to the library alone.
     """
 
     def __init__(self, path: str, most: int | None = None):
@@ -81,11 +88,13 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
+        self.model, self.letters = self.tok.model, _byte_letters()
         self.dtype = np.dtype("<u2") if self.tok.get_vocab_size() <= 1 << 16 else np.dtype("<u4")
-        self.pieces = Remembered(self._bytes, most or CACHE_WORDS)
-        self.words = Remembered(self._word, most or CACHE_WORDS)
-        probe = "It's  we'LL 4th c'est\tÉtÉ -- (a_b) x9.y\n'tis $1,200! naïve ''s"
-        self.plain = self.tok.pre_tokenizer is not None and [self._ids(p) for p in _PIECES.findall(probe.lower())] == self._by_word(probe)
+        self.pieces = Remembered(self._piece, most or CACHE_PIECES)
+        self.words = Remembered(self._word, most or CACHE_PIECES // 8)
+        probe = "It's  we'LL 4th c'est\tÉtÉ -- (a_b) x9.y\n'tis $1,200! naïve ''s ÿþà anderebungschließlichkeit"
+        want = [np.array(x, self.dtype).tobytes() for x in self._by_word(probe)] if self.tok.pre_tokenizer is not None else None
+        self.plain = want == [self._piece(p) for p in _PIECES.findall(probe.lower())]
 
     def _ids(self, text: str) -> list[int]:
         return self.tok.encode(text, add_special_tokens=False).ids
@@ -97,26 +106,27 @@ class Encoder:
             out.setdefault(word, []).append(i)
         return list(out.values())
 
-    def _bytes(self, text: str) -> bytes:
-        return np.array(self._ids(text), self.dtype).tobytes()
+    def _piece(self, piece: str) -> bytes:
+        spelt = piece if piece.isascii() else piece.encode().decode("latin-1").translate(self.letters)
+        return np.array([t.id for t in self.model.tokenize(spelt)], self.dtype).tobytes()
 
     def _word(self, word: str) -> bytes:
         if _OTHER.search(word):
-            return self._bytes(word)
+            return np.array(self._ids(word), self.dtype).tobytes()
         return b"".join(map(self.pieces.__getitem__, _PIECES.findall(word.lower())))
 
-    def _cut(self, text: str) -> list[str]:
-        """``text`` cut at four spaces that part words in any text."""
+    def _text(self, text: str) -> bytes:
         if not _OTHER.search(text):
-            return text.lower().split()  # no other white space in it
-        return text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
+            return b"".join(map(self.pieces.__getitem__, _PIECES.findall(text.lower())))
+        # these four spaces part words in any text, so words of other characters are encoded by themselves
+        words = text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
+        return b"".join(map(self.words.__getitem__, words))
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as bytes."""
         if not self.plain:
             return [np.array(e.ids, self.dtype).tobytes() for e in self.tok.encode_batch(texts, add_special_tokens=False)]
-        known = self.words.__getitem__
-        return [b"".join(map(known, self._cut(t))) for t in texts]
+        return [self._text(t) for t in texts]
 
     def counts(self, texts: list[str]) -> list[int]:
         """The number of ids of each text."""
