@@ -3,74 +3,127 @@
 from __future__ import annotations
 
 import contextlib
+import contextvars
 import os
+import re
 import tempfile
+import threading
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: At most about so many bytes of text are held at once by the vectorised kernels.
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 2 << 20
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share.
-
-    The cluster names it in ``spark.checkpoint.dir``; only where that is unset (tests on one
-    machine) a folder under the system's temporary one is used.
-    """
+    """The folder that the driver and all executors share, from ``spark.checkpoint.dir``. Only on a
+    single machine (a local master, as in tests) may it be unset: then it is a temporary folder."""
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    return named or "file://" + os.path.join(tempfile.gettempdir(), "checkpoints")
+    if named:
+        return named
+    if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    return "file://" + os.path.join(tempfile.gettempdir(), "checkpoints")
 
 
 def scratch_path(spark: SparkSession, tag: str) -> str:
     return f"{scratch_dir(spark).rstrip('/')}/{tag}-{uuid.uuid4().hex}"
 
 
-#: Paths of the tables staged by this driver, in order, and of those that a scope keeps.
-_PATHS: list[str] = []
+#: The paths staged in the innermost scope of this thread, if there is one.
+_SCOPE: contextvars.ContextVar[list[str] | None] = contextvars.ContextVar("scope", default=None)
 
 
 def staged(df: DataFrame, tag: str) -> DataFrame:
     """``df`` written as Parquet to the shared folder and read back: cuts the lineage, so a lost
-    executor never forces what stands before it to run again. ``scratch`` and ``release`` delete it."""
-    spark = df.sparkSession
+    executor never forces what stands before it to run again. The scope around the call deletes it,
+    or else the end of the application."""
+    spark, scope = df.sparkSession, _SCOPE.get()
     path = scratch_path(spark, tag)
-    _PATHS.append(path)
+    if scope is not None:
+        scope.append(path)
     df.write.parquet(path)
+    delete_at_exit(spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def _delete(spark: SparkSession, paths: list[str]) -> None:
+def delete_at_exit(spark: SparkSession, path: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(p)
+
+
+def delete_paths(spark: SparkSession, paths: Iterable[str]) -> None:
     jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
     for path in paths:
         p = jvm.org.apache.hadoop.fs.Path(path)
         p.getFileSystem(conf).delete(p, True)
-        _PATHS.remove(path)
 
 
 @contextlib.contextmanager
 def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
     """Deletes, at its end, what was staged inside it but the tables given to ``keep``. What leaves the
-    scope must rest on kept tables alone."""
-    mark, kept = len(_PATHS), set()
+    scope must rest on kept tables alone; those belong to the scope around it."""
+    own: list[str] = []
+    kept: list[str] = []
 
     def keep(df: DataFrame) -> DataFrame:
-        kept.add(_PATHS[-1])  # the table staged last
+        kept.append(own[-1])  # the table staged last
         return df
 
-    yield keep
-    _delete(spark, [p for p in _PATHS[mark:] if p not in kept])
+    token = _SCOPE.set(own)
+    try:
+        yield keep
+    finally:
+        _SCOPE.reset(token)
+        outer = _SCOPE.get()
+        if outer is not None:
+            outer.extend(kept)
+        delete_paths(spark, [p for p in own if p not in kept])
+
+
+class Run:
+    """The staged tables of a chain of stages: what a stage staged is deleted when the chain's next
+    stage begins, since its result is written by then. Each thread has a chain of its own."""
+
+    def __init__(self):
+        self._held = threading.local()
+
+    @contextlib.contextmanager
+    def stage(self, spark: SparkSession) -> Iterator[None]:
+        self.clear(spark)
+        token = _SCOPE.set(self._held.paths)
+        try:
+            yield
+        finally:
+            _SCOPE.reset(token)
+
+    def clear(self, spark: SparkSession) -> None:
+        delete_paths(spark, getattr(self._held, "paths", []))
+        self._held.paths = []
+
+
+def numbered_times(rows: DataFrame, times: Column, name: str, block: int = 1 << 16) -> DataFrame:
+    """Each row ``times`` times (a row of 0: not at all), numbered from 0 in column ``name``. Numbers are
+    made in blocks, so that no array grows with ``times``."""
+    many = rows.withColumn(name, times.cast("long")).where(F.col(name) > 0)
+    many = many.withColumn("_last", F.col(name) - 1).withColumn("_block", F.explode(F.sequence(F.lit(0).cast("long"), F.floor(F.col("_last") / block))))
+    low = F.col("_block") * block
+    return many.withColumn(name, F.explode(F.sequence(low, F.least(F.col("_last"), low + (block - 1))))).drop("_last", "_block")
 
 
-def release(spark: SparkSession) -> None:
-    """Deletes all staged tables of this driver: call it when no result that rests on them is needed."""
-    _delete(spark, list(_PATHS))
+def row_names(docs: DataFrame) -> DataFrame:
+    """``docs`` as one column ``row``, so that columns of any name travel along, with what names a row:
+    doc_id, its text, and hashes of its text and of all its other columns."""
+    others = [F.to_json(F.struct(F.col(f"`{f.name}`"))) if f.dataType.typeName() == "map" else F.col(f"`{f.name}`") for f in docs.schema if f.name not in ("doc_id", "text")]
+    row_hash = F.xxhash64(*others) if others else F.lit(0).cast("long")
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("text_hash"), row_hash.alias("row_hash"))
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -82,25 +135,27 @@ def spread(spark: SparkSession) -> int:
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
 
 
-def salted(key: Column, rows: Column, bound: int, *by: Column) -> Column:
+def salted(key: Column, rows: Column, bound: int | Column, *by: Column) -> Column:
     """A salt in 0..ceil(rows / bound) - 1, from the hash of ``by``: splits a hot key into groups
     of about ``bound`` rows. The same row gets the same salt in every run."""
-    n = F.greatest(F.lit(1), F.ceil(rows / F.lit(bound))).cast("long")
+    n = F.greatest(F.lit(1), F.ceil(rows / (bound if isinstance(bound, Column) else F.lit(bound)))).cast("long")
     return F.pmod(F.xxhash64(key, *by), n)
 
 
 def text_slices(batches: Iterator[pa.RecordBatch], column: str = "text") -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
-    """Slices of the batches with about CHUNK_BYTES of text, and their texts as UTF-8 (null: empty)."""
+    """Slices of the batches with about CHUNK_BYTES of text, and their texts as UTF-8 (null: empty).
+    Only a slice at a time is copied out of its batch."""
+    pool = pa.default_memory_pool()
     for batch in batches:
-        texts = [t or b"" for t in batch.column(column).cast(pa.binary()).to_pylist()]
+        ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
         at = 0
-        while at < len(texts):
-            end, size = at, 0
-            while end < len(texts) and (end == at or size + len(texts[end]) <= CHUNK_BYTES):
-                size += len(texts[end])
-                end += 1
-            yield batch.slice(at, end - at), texts[at:end]
+        while at < len(ends):
+            before = ends[at - 1] if at else 0
+            end = max(at + 1, int(np.searchsorted(ends, before + CHUNK_BYTES, side="right")))
+            part = batch.slice(at, end - at)
+            yield part, [t or b"" for t in part.column(column).cast(pa.binary()).to_pylist()]
             at = end
+        pool.release_unused()
 
 
 def record_batch(columns: dict[str, object], schema: pa.Schema) -> pa.RecordBatch:

@@ -14,9 +14,10 @@ What is left then (a few words, or more where one document is most of a source)
 document.
 
 Defined results: a null text has size 0; documents of size 0 take nothing; a null source is a source
-of its own, ordered last; repeated rows are documents of their own; very long documents are taken
-0 to ``max_copies`` times; a source without words has target 0; an empty table gives an
-empty result; other columns are ignored.
+of its own, ordered last; repeated rows are documents of their own, counted before they are
+planned; very long documents are taken 0 to ``max_copies`` times; a source without words has target
+0; targets that no rates can meet together raise; an empty table gives an empty result; other columns
+are ignored, or travel along with the copies.
 """
 
 from __future__ import annotations
@@ -28,11 +29,11 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import salted, scratch, staged
+from .common import numbered_times, row_names, salted, scratch, staged
 
 WEIGHTS, SHARE, MAX_COPIES = (5.0, 2.0, 1.0), 1.5, 2
-#: Documents of one source that one rounding task holds (three numbers each).
-GROUP_ROWS = 50_000
+#: Distinct documents of one source that one rounding group holds (a few numbers each).
+GROUP_ROWS = 8192
 TOLERANCE, MAX_STEPS = 1e-9, 60
 
 
@@ -111,24 +112,26 @@ def balance(cells: DataFrame, margins: dict[str, DataFrame], cap: float = MAX_CO
             solved[column] = done.select(column, "target", "lam")
             worst = max(worst, done.agg(F.max("off")).first()[0] or 0.0)
         if worst <= tolerance:
-            break
-    return solved
+            return solved
+    raise RuntimeError(f"the multipliers did not settle within {MAX_STEPS} steps: {worst:.3g} off")
 
 
 def _diffuse(group: pd.DataFrame) -> pd.DataFrame:
-    """Copies of the documents of one group, largest first, carrying the error on. What whole copies
-    leave over goes to part_words: the smallest document that can takes so many words more or less."""
-    g = group.sort_values(["size", "_order", "doc_id"], ascending=[False, True, True], kind="stable")
+    """Copies of the documents of one group, largest first, carrying the error on; a row stands for
+    ``_rows`` equal documents and gets the copies of all of them. What whole copies leave over goes to
+    part_words: the smallest document that can takes so many words more or less."""
+    g = group.sort_values(["size", "_order", "doc_id", "_tie"], ascending=[False, True, True, True])
     due, taken, copies = 0.0, 0, []
-    size = g["size"].to_numpy()
-    for n, rate, most in zip(size.tolist(), g["rate"].tolist(), g["_most"].tolist(), strict=True):
-        due += n * rate
-        k = min(most, max(0, int(np.floor((due - taken) / n + 0.5)))) if n else 0
+    size, rows, most = (g[c].to_numpy() for c in ("size", "_rows", "_most"))
+    for n, m, rate, top in zip(size.tolist(), rows.tolist(), g["rate"].tolist(), most.tolist(), strict=True):
+        due += m * n * rate
+        k = min(m * top, max(0, int(np.floor((due - taken) / n + 0.5)))) if n else 0
         taken += k * n
         copies.append(k)
     made = np.array(copies, np.int64)
     rest, part = int(np.floor(due + 0.5)) - taken, np.zeros(len(g), np.int64)
-    room = (g["_most"].to_numpy() - made) * size if rest > 0 else made * size
+    # of equal documents the one with the fewest copies can take more, the one with the most give most
+    room = (most - made // rows) * size if rest > 0 else -(-made // rows) * size
     while rest and room.any():
         fits = np.flatnonzero(room >= abs(rest))
         at = int(fits[room[fits].argmin()]) if len(fits) else int(room.argmax())
@@ -136,63 +139,88 @@ def _diffuse(group: pd.DataFrame) -> pd.DataFrame:
         part[at] += step
         rest -= step
         room[at] = 0
-    return g.assign(copies=made, part_words=part)[["_row", "copies", "part_words"]]
+    return g.assign(copies=made, part_words=part)[["_at", "copies", "part_words"]]
 
 
-def mix(docs: DataFrame, targets: DataFrame, source: str = "source", margins: dict[str, DataFrame] | None = None, cap: int = MAX_COPIES, group_rows: int = GROUP_ROWS) -> DataFrame:
-    """``docs`` (doc_id, size, source and any margin columns) with rate, copies and part_words.
-
-    ``targets(source, target)`` is the token constraint of each source; ``margins`` may hold more of
-    them, by column.
-    """
+def plan_copies(counted: DataFrame, targets: DataFrame, source: str = "source", margins: dict[str, DataFrame] | None = None, cap: int = MAX_COPIES, group_rows: int = GROUP_ROWS) -> DataFrame:
+    """``counted`` (distinct rows with doc_id, size, source, any margin columns, and _rows: how many
+    documents a row stands for) with rate, copies and part_words of them together."""
     margins = {source: targets.select(source, "target")} | (margins or {})
-    cells = staged(docs.groupBy(*margins).agg(F.sum("size").cast("double").alias("mass"), F.count(F.lit(1)).alias("_n")), "cells")
+    cells = staged(counted.groupBy(*margins).agg(F.sum(F.col("size") * F.col("_rows")).cast("double").alias("mass"), F.count(F.lit(1)).alias("_n")), "cells")
     solved = balance(cells, margins, cap)
-    tilted = docs.withColumn("_lam", F.lit(0.0))
     rates = cells.withColumn("_lam", F.lit(0.0))
     for c, m in solved.items():
         rates = rates.join(m.select(F.col(c).alias("_value"), F.col("lam").alias("_add")), F.col(c).eqNullSafe(F.col("_value")), "left").withColumn("_lam", F.col("_lam") + F.coalesce("_add", F.lit(0.0))).drop("_value", "_add")
     rates = staged(rates.select(*[F.col(c).alias(f"_{c}") for c in margins], F.least(F.lit(float(cap)), F.exp("_lam")).alias("rate"), "_n"), "rates")
-    on = [docs[c].eqNullSafe(F.col(f"_{c}")) for c in margins]
-    # a row's place among equal rows does not matter: they differ in nothing
-    joined = tilted.join(rates, on, "left").drop("_lam", *[f"_{c}" for c in margins])
+    on = [counted[c].eqNullSafe(F.col(f"_{c}")) for c in margins]
+    joined = counted.join(rates, on, "left").drop(*[f"_{c}" for c in margins])
     key = F.concat_ws("\x00", *[F.coalesce(F.col(c).cast("string"), F.lit("\x01")) for c in margins])
-    joined = joined.withColumn("_key", F.xxhash64(key)).withColumn("_order", F.xxhash64("doc_id", "size")).withColumn("_most", F.lit(int(cap)))
-    joined = joined.withColumn("_salt", salted(F.col("_key"), F.col("_n"), group_rows, F.col("doc_id"), F.col("size"))).withColumn("_row", F.lit(0).cast("long"))
-    keep = [c for c in joined.columns if c not in ("_n", "_most", "_row", "_order")]
+    names = [F.col(f"`{c}`") for c in counted.columns]
+    joined = joined.withColumn("_key", F.xxhash64(key)).withColumn("_order", F.xxhash64("doc_id", "size")).withColumn("_tie", F.xxhash64(*names)).withColumn("_most", F.lit(int(cap)).cast("long"))
+    joined = joined.withColumn("_salt", salted(F.col("_key"), F.col("_n"), group_rows, F.col("_order")))
+    # a long with nulls would become a double in pandas
+    joined = joined.withColumn("_none", F.col("doc_id").isNull()).withColumn("doc_id", F.coalesce("doc_id", F.lit(0).cast("long")))
+    keep = [*counted.columns, "rate", "_none"]
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
-        group["_row"] = np.arange(len(group))
-        done = _diffuse(group).set_index("_row").reindex(group["_row"])
+        group["_at"] = np.arange(len(group))
+        done = _diffuse(group).set_index("_at").reindex(group["_at"])
         return group.assign(copies=done["copies"].to_numpy(), part_words=done["part_words"].to_numpy())[[*keep, "copies", "part_words"]]
 
     schema = ", ".join(f"`{n}` {t}" for n, t in joined.select(*keep).dtypes) + ", copies long, part_words long"
-    return joined.groupBy("_key", "_salt").applyInPandas(run, schema).drop("_key", "_salt")
+    planned = joined.groupBy("_key", "_salt").applyInPandas(run, schema)
+    return planned.withColumn("doc_id", F.when(~F.col("_none"), F.col("doc_id"))).drop("_none")
+
+
+def one_by_one(planned: DataFrame) -> DataFrame:
+    """The documents that the rows of ``plan_copies`` stand for, each with its own copies and part_words."""
+    at = numbered_times(planned, F.col("_rows"), "_i")
+    own = F.floor(F.col("copies") / F.col("_rows")) + (F.col("_i") < F.pmod(F.col("copies"), F.col("_rows"))).cast("long")
+    # the last has the fewest copies, the first the most
+    takes = F.when(F.col("part_words") > 0, F.col("_i") == F.col("_rows") - 1).otherwise(F.col("_i") == 0)
+    return at.withColumn("copies", own).withColumn("part_words", F.when(takes, F.col("part_words")).otherwise(0)).drop("_i", "_rows")
+
+
+def mix(docs: DataFrame, targets: DataFrame, source: str = "source", margins: dict[str, DataFrame] | None = None, cap: int = MAX_COPIES, group_rows: int = GROUP_ROWS) -> DataFrame:
+    """``docs`` (doc_id, size, source and any margin columns) with rate, copies and part_words.
+
+    ``targets(source, target)`` is the token constraint of each source; ``margins`` may hold more of
+    them, by column.
+    """
+    counted = staged(docs.groupBy(*docs.columns).agg(F.count(F.lit(1)).alias("_rows")), "counted")
+    return one_by_one(plan_copies(counted, targets, source, margins, cap, group_rows))
+
+
+def source_targets(sized: DataFrame, weights: Sequence[float], share: float, cap: int) -> DataFrame:
+    """(source, source_size, target) of ``sized(source, size, _rows)``."""
+    sources = staged(sized.groupBy("source").agg(F.sum(F.col("size") * F.col("_rows")).alias("source_size")), "sources")
+    return staged(water_filled_targets(sources, weights, share, cap), "targets")
 
 
 def mixed_documents(docs: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = SHARE, cap: int = MAX_COPIES) -> DataFrame:
     """doc_id, source, size, source_size, target, rate, copies, part_words, taken for every row of ``docs``."""
-    sized = staged(word_counts(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", "text")).drop("text"), "sizes")
-    sources = staged(sized.groupBy("source").agg(F.sum("size").alias("source_size")), "sources")
-    targets = staged(water_filled_targets(sources, weights, share, cap), "targets")
-    got = mix(sized, targets, cap=cap)
+    sized = word_counts(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", "text")).drop("text")
+    counted = staged(sized.groupBy("doc_id", "source", "size").agg(F.count(F.lit(1)).alias("_rows")), "counted")
+    targets = source_targets(counted, weights, share, cap)
+    got = one_by_one(plan_copies(counted, targets, cap=cap))
     names = targets.select(F.col("source").alias("_s"), "source_size", "target")
     return got.join(names, F.col("source").eqNullSafe(F.col("_s")), "left").drop("_s").withColumn("taken", F.col("copies") * F.col("size") + F.col("part_words"))
 
 
 def mixed_copies(docs: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = SHARE, cap: int = MAX_COPIES) -> DataFrame:
-    """``docs`` with each row as many times as the mix takes it whole (part copies aside); documents without words, which take no
-    part in a token mix, stay once. Rows that repeat a doc_id and size share its copies evenly."""
-    key = lambda doc, src, n: F.concat_ws("\x00", *[F.coalesce(c.cast("string"), F.lit("\x01")) for c in (doc, src, n)])
+    """``docs`` with each row as many times as the mix takes it whole (part copies aside); documents
+    without words, which take no part in a token mix, stay once each. Rows equal in all columns are
+    planned together. Columns of any name travel along."""
+    named = word_counts(row_names(docs).withColumn("source", F.col("row.source"))).drop("text")
+    on = ["doc_id", "text_hash", "row_hash"]
+    # the names of a row that joins can compare
+    own = [F.coalesce("doc_id", F.lit(0).cast("long")).alias("doc_id"), F.col("doc_id").isNull().alias("none"), "text_hash", "row_hash"]
     with scratch(docs.sparkSession) as keep:
-        got = mixed_documents(docs, weights, share, cap)
-        per = got.groupBy(key(F.col("doc_id"), F.col("source"), F.col("size")).alias("_key")).agg(F.sum("copies").alias("_copies"), F.count(F.lit(1)).alias("_rows"))
-        per = keep(staged(per, "copies"))
-    size = F.coalesce(F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
-    sized = docs.withColumn("_n", size).withColumn("_key", key(F.col("doc_id").cast("long"), F.col("source"), F.col("_n")))
-    # one exchange of the texts: the join and the places among repeated rows use the same key
-    j = sized.join(per.hint("merge"), "_key")
-    at = F.row_number().over(Window.partitionBy("_key").orderBy("text"))
-    share_of = F.floor(F.col("_copies") / F.col("_rows")) + (at <= F.pmod(F.col("_copies"), F.col("_rows"))).cast("long")
-    taken = j.withColumn("_take", F.when(F.col("_n") == 0, F.lit(1).cast("long")).otherwise(share_of)).where("_take > 0")
-    return taken.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_take")))).select(*docs.columns)
+        counted = staged(named.groupBy(*on, "source", "size").agg(F.count(F.lit(1)).alias("_rows")), "counted")
+        planned = plan_copies(counted, source_targets(counted, weights, share, cap), cap=cap)
+        taken = F.when(F.col("size") == 0, F.col("_rows")).otherwise(F.col("copies")).alias("taken")
+        plan = keep(staged(planned.select(*own, taken).where("taken > 0"), "copies"))
+    # one exchange of the texts: equal rows are dropped where the plan meets them
+    on = ["doc_id", "none", "text_hash", "row_hash"]
+    met = named.select(*own, "row").join(plan.hint("merge"), on).dropDuplicates(on)
+    return numbered_times(met, F.col("taken"), "copy").select("row.*")

@@ -6,7 +6,8 @@ are therefore within it in the grid, and by the pigeonhole principle close in at
 coordinates: a layout deals the segments into groups with a reach each, where the sum of
 (reach + 1) exceeds the radius. The grid range join goes by equal cells: reach 0 joins equal cells,
 reach 1 also sends each row up by one step in every coordinate, reach 2 sends both sides to all
-cells one step away, so that they meet halfway. Pairs that meet are verified on the fingerprints.
+cells one step away, so that they meet halfway. Of pairs that meet the Manhattan distance of all
+segments is taken first, as the lower bound that it is; what it leaves is verified on the fingerprints.
 
 The pipeline's stage (``keep_one``) has a contract of its own: a pair at 0.8 of the 5-word shingles
 differs in about 10 of 64 bits, where the chance pairs of a radius that reaches it grow with the square
@@ -27,9 +28,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordTable, bit_votes, mix64, pack_bits, record_batch, scratch, staged, text_slices, xxh64_spans
+from .common import WordTable, bit_votes, mix64, pack_bits, popcount, record_batch, row_names, scratch, staged, text_slices, xxh64_spans
 from .components import connected_components
-from .hamming import UNIT_ROWS, linked
+from .hamming import UNIT_ROWS, equal_links, linked
 from .passages import set_links, tuned_bands
 
 SHINGLE_WORDS, RADIUS, SEED = 4, 4, 42
@@ -63,6 +64,23 @@ def segment_counts(fp: np.ndarray) -> np.ndarray:
     return ((pair & np.uint64(1)) + (pair >> np.uint64(1))).astype(np.uint8)
 
 
+_LOW = np.uint64(0x5555555555555555)
+
+
+def packed_counts(fp: np.ndarray) -> np.ndarray:
+    """The bit counts of all segments in one word, two bits each, of the first column of ``fp``."""
+    x = fp[:, 0]
+    return x - ((x >> np.uint64(1)) & _LOW)
+
+
+def manhattan(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """The Manhattan distance of packed bit counts. Counts 0, 1, 2 differ by one where the low bits of
+    their two-bit fields differ, and by two where only the high ones do."""
+    z = x ^ y
+    low, high = z & _LOW, (z >> np.uint64(1)) & _LOW
+    return popcount(low) + 2 * popcount(high & ~low)
+
+
 def cell_keys(fp: np.ndarray, layout: tuple[tuple[int, int], ...]) -> Iterator[tuple[int, np.ndarray, np.ndarray, bool]]:
     """(group, rows, cell keys, resident) of all rows that the layout sends to cells."""
     counts, at = segment_counts(fp).astype(np.uint64), 0
@@ -108,7 +126,7 @@ def fingerprint_links(reps: DataFrame, layout: tuple[tuple[int, int], ...], radi
                 n = len(rows)
                 yield record_batch({"key": mix64(cell).view(np.int64), "table": np.full(n, g, np.int32), "id": ids[rows], "resident": np.full(n, resident), "fp": fps[rows]}, schema)
 
-    return linked(reps.select("fp", "id").mapInArrow(run, "key long, table int, id long, resident boolean, fp long"), ["fp"], radius, unit_rows)
+    return linked(reps.select("fp", "id").mapInArrow(run, "key long, table int, id long, resident boolean, fp long"), ["fp"], radius, unit_rows, packed_counts, manhattan)
 
 
 def near_duplicates(docs: DataFrame, radius: int = RADIUS, shingle_words: int = SHINGLE_WORDS, layout: tuple[tuple[int, int], ...] | None = None, unit_rows: int = UNIT_ROWS) -> DataFrame:
@@ -144,65 +162,72 @@ def _sets_of(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, list[np.ndarra
 
 
 def shingle_signatures(docs: DataFrame, bands: int, band_rows: int = BAND_ROWS) -> DataFrame:
-    """(doc_id, set_hash, bands): the hash of the set of 5-word shingles and its MinHash band keys."""
-    schema = pa.schema([("doc_id", pa.int64()), ("set_hash", pa.int64()), ("bands", pa.list_(pa.int64()))])
+    """(doc_id, text_hash, row_hash, set_hash, bands) of ``docs(doc_id, text, text_hash, row_hash)``: the
+    hash of the set of 5-word shingles and its MinHash band keys."""
+    keep = ("doc_id", "text_hash", "row_hash")
+    schema = pa.schema([(c, pa.int64()) for c in (*keep, "set_hash")] + [("bands", pa.list_(pa.int64()))])
     rng = np.random.default_rng(SEED)
     salt = rng.integers(0, 2**63, bands * band_rows, dtype=np.uint64)
     odd = rng.integers(0, 2**63, bands * band_rows, dtype=np.uint64) | np.uint64(1)
 
+    def signed(batch: pa.RecordBatch, texts: list[bytes]) -> pa.RecordBatch:
+        h, first, _, whole = _sets_of(texts)
+        some = np.flatnonzero(np.diff(first))
+        keys = np.zeros((len(some), bands), np.uint64)
+        with np.errstate(over="ignore"):
+            for k in range(bands * band_rows if len(some) else 0):
+                least = np.minimum.reduceat((h ^ salt[k]) * odd[k], first[some])
+                keys[:, k // band_rows] = mix64(keys[:, k // band_rows] ^ least)
+            keys = mix64(keys ^ np.arange(1, bands + 1, dtype=np.uint64))
+        ends = np.concatenate([[0], np.cumsum(np.where(np.diff(first) > 0, bands, 0))]).astype(np.int32)
+        lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(keys.view(np.int64).ravel()))
+        return record_batch({c: batch.column(c) for c in keep} | {"set_hash": whole.view(np.int64), "bands": lists}, schema)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in text_slices(batches):
-            h, first, _, whole = _sets_of(texts)
-            some = np.flatnonzero(np.diff(first))
-            keys = np.zeros((len(some), bands), np.uint64)
-            with np.errstate(over="ignore"):
-                for k in range(bands * band_rows if len(some) else 0):
-                    least = np.minimum.reduceat((h ^ salt[k]) * odd[k], first[some])
-                    keys[:, k // band_rows] = mix64(keys[:, k // band_rows] ^ least)
-                keys = mix64(keys ^ np.arange(1, bands + 1, dtype=np.uint64))
-            ends = np.concatenate([[0], np.cumsum(np.where(np.diff(first) > 0, bands, 0))]).astype(np.int32)
-            lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(keys.view(np.int64).ravel()))
-            yield record_batch({"doc_id": batch.column("doc_id"), "set_hash": whole.view(np.int64), "bands": lists}, schema)
+            yield signed(batch, texts)
 
-    return docs.mapInArrow(run, "doc_id long, set_hash long, bands array<long>")
+    return docs.mapInArrow(run, "doc_id long, text_hash long, row_hash long, set_hash long, bands array<long>")
 
 
-def first_copies(docs: DataFrame, threshold: float = SIMILARITY, unit_rows: int = UNIT_ROWS) -> DataFrame:
-    """(doc_id): the smallest of each component of documents that are linked by a Jaccard similarity of
-    their 5-word shingles at or above the threshold.
+def first_copies(named: DataFrame, threshold: float = SIMILARITY, unit_rows: int = UNIT_ROWS) -> DataFrame:
+    """(doc_id, text_hash, row_hash): of each component of documents that are linked by a Jaccard
+    similarity of their 5-word shingles at or above the threshold, the row with the smallest doc_id
+    (then the smallest hashes).
 
     Equal sets are one; sets that collide in a band are gathered, and only their documents are read
     again for the exact similarities.
     """
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null")
+    docs = named.select("doc_id", "text", "text_hash", "row_hash").where("doc_id is not null")
     schema = pa.schema([("key", pa.int64()), ("table", pa.int32()), ("id", pa.int64()), ("shingles", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in text_slices(batches):
             _, _, sets, whole = _sets_of(texts)
-            # of rows that repeat a doc_id with other texts, those with the set that is looked for
-            own = np.flatnonzero(whole.view(np.int64) == batch.column("node").to_numpy())
-            ids = whole.view(np.int64)[own]
-            yield record_batch({"key": batch.column("component").to_numpy()[own], "table": np.zeros(len(own), np.int32), "id": ids, "shingles": [sets[i].tobytes() for i in own]}, schema)
+            yield record_batch({"key": batch.column("component"), "table": np.zeros(len(texts), np.int32), "id": whole.view(np.int64), "shingles": [x.tobytes() for x in sets]}, schema)
 
+    head = F.struct("doc_id", "text_hash", "row_hash")
     with scratch(docs.sparkSession) as keep:
         signed = shingle_signatures(docs, tuned_bands(threshold, RECALL, BAND_ROWS))
-        sets = staged(signed.groupBy("set_hash").agg(F.min("doc_id").alias("doc_id"), F.first("bands").alias("bands")), "sets")
-        rows = sets.select("set_hash", F.posexplode("bands").alias("table", "key"))
-        rows = rows.select("key", "table", F.col("set_hash").alias("id"), F.lit(True).alias("resident"), F.lit(0).cast("long").alias("f0"))
-        coarse = staged(connected_components(linked(rows, ["f0"], 0, unit_rows)), "coarse")
+        sets = staged(signed.groupBy("set_hash").agg(F.min(head).alias("head"), F.first("bands").alias("bands")), "sets")
+        rows = sets.select("set_hash", F.posexplode("bands").alias("table", "key")).select("key", "table", F.col("set_hash").alias("id"))
+        coarse = staged(connected_components(equal_links(rows, unit_rows)), "coarse")
         # neither side of these joins has a bound: they are merged, not broadcast, at any size
-        where = sets.select("set_hash", "doc_id").join(coarse.hint("merge"), F.col("set_hash") == F.col("node")).select("doc_id", "node", "component")
-        texts = docs.join(where.hint("merge"), "doc_id").mapInArrow(run, "key long, table int, id long, shingles binary")
-        groups = staged(texts.dropDuplicates(["id"]), "collided")
+        where = sets.select("set_hash", "head").join(coarse.hint("merge"), F.col("set_hash") == F.col("node")).select("head.*", "component")
+        texts = docs.join(where.hint("merge"), ["doc_id", "text_hash", "row_hash"]).select("component", "text")
+        groups = staged(texts.mapInArrow(run, "key long, table int, id long, shingles binary").dropDuplicates(["id"]), "collided")
         comps = staged(connected_components(set_links(groups, threshold, unit_rows, "<u8")), "components")
-        named = sets.select("set_hash", "doc_id").join(comps.hint("merge"), F.col("set_hash") == F.col("node"), "left")
-        return keep(staged(named.groupBy(F.coalesce("component", "set_hash").alias("class")).agg(F.min("doc_id").alias("doc_id")).select("doc_id").distinct(), "heads"))
+        grouped = sets.select("set_hash", "head").join(comps.hint("merge"), F.col("set_hash") == F.col("node"), "left")
+        return keep(staged(grouped.groupBy(F.coalesce("component", "set_hash").alias("class")).agg(F.min("head").alias("head")).select("head.*"), "heads"))
 
 
 def keep_one(docs: DataFrame, threshold: float = SIMILARITY) -> DataFrame:
-    """``docs`` with one document of each near-duplicate group, the one with the smallest doc_id; of
-    rows that repeat it, one. Rows with a null doc_id stay. The groups are those of ``first_copies``."""
-    heads = first_copies(docs, threshold).select(F.col("doc_id").alias("_head"))
-    kept = docs.join(heads.hint("merge"), docs["doc_id"] == F.col("_head"), "left_semi")
-    return kept.dropDuplicates(["doc_id"]).unionByName(docs.where("doc_id is null"))
+    """``docs`` with one document of each near-duplicate group, the one with the smallest doc_id; groups
+    are those of ``first_copies``. Rows that repeat a doc_id are documents of their own by their texts
+    (rows equal in all columns count as one). Rows with a null doc_id stay. Columns of any name
+    travel along."""
+    named = row_names(docs)
+    heads = first_copies(named, threshold)
+    on = ["doc_id", "text_hash", "row_hash"]
+    kept = named.drop("text").join(heads.hint("merge"), on, "left_semi").dropDuplicates(on)
+    return kept.unionByName(named.drop("text").where("doc_id is null")).select("row.*")

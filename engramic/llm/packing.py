@@ -1,14 +1,16 @@
 """Packing sequences into token-budget batches by optimal length buckets.
 
-Documents are cut into pieces of at most ``max_len`` words (no word is lost), so the global length
+Documents are cut into pieces of at most ``max_len`` tokens (no token is lost), so the global length
 histogram has ``max_len`` bins however many documents there are. Dynamic programming over it chooses
 the bucket boundaries that minimise the padding: boundary b_j pads every piece of length (b_{j-1},
 b_j] to b_j. Inside each bucket batches of budget // boundary pieces are formed, in salted groups
-that hold whole batches, so that no bucket is ever sorted in one task.
+of a bounded number of pieces, so that no bucket is ever sorted in one task. Pieces stand in the order
+of a hash that has the number of the copy in it, so copies of a document lie apart.
 
 Defined results: a null or empty text has no pieces and gives one row with piece null (it takes no
-room); ties of the programme go to the smaller boundary; repeated rows are pieces of their own; very
-long texts give many pieces; an empty table gives an empty result; other columns are kept out.
+room); ties of the programme go to the smaller boundary; repeated rows are pieces of their own, told
+apart by ``copy``; very long texts give many pieces; an empty table gives an empty result; other
+columns are kept out.
 """
 
 from __future__ import annotations
@@ -17,12 +19,12 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import salted, staged
-from .mixing import word_counts
+from .common import numbered_times, salted, staged
+from .token_index import token_counts
 
 MAX_LEN, BUCKETS, BUDGET = 4096, 16, 65_536
-#: Batches that one group of a bucket holds on the average.
-GROUP_BATCHES = 256
+#: Pieces that one group of a bucket holds on the average.
+GROUP_ROWS = 65_536
 
 
 def optimal_boundaries(lengths: np.ndarray, counts: np.ndarray, buckets: int = BUCKETS) -> tuple[list[int], int]:
@@ -59,40 +61,45 @@ def optimal_boundaries(lengths: np.ndarray, counts: np.ndarray, buckets: int = B
 
 
 def pieces_of(docs: DataFrame, max_len: int = MAX_LEN, length: str = "size") -> DataFrame:
-    """(doc_id, piece, start_word, n_words): each document in pieces of at most ``max_len`` words."""
+    """(doc_id, copy, piece, start_token, n_tokens): each document in pieces of at most ``max_len`` tokens.
+    Rows that are equal in doc_id and length are counted before anything else, and numbered by copy."""
     last = F.ceil(F.col(length) / max_len).cast("long") - 1
-    p = docs.select("doc_id", length, F.explode_outer(F.when(F.col(length) > 0, F.sequence(F.lit(0).cast("long"), last))).alias("piece"))
-    return p.select("doc_id", "piece", (F.col("piece") * max_len).alias("start_word"), F.when(F.col("piece").isNotNull(), F.least(F.lit(max_len).cast("long"), F.col(length) - F.col("piece") * max_len)).alias("n_words"))
+    p = docs.groupBy("doc_id", length).agg(F.count(F.lit(1)).alias("_rows"))
+    p = numbered_times(p, F.col("_rows"), "copy").select("doc_id", length, "copy", F.explode_outer(F.when(F.col(length) > 0, F.sequence(F.lit(0).cast("long"), last))).alias("piece"))
+    return p.select("doc_id", "copy", "piece", (F.col("piece") * max_len).alias("start_token"), F.when(F.col("piece").isNotNull(), F.least(F.lit(max_len).cast("long"), F.col(length) - F.col("piece") * max_len)).alias("n_tokens"))
 
 
-def pack(docs: DataFrame, max_len: int = MAX_LEN, buckets: int = BUCKETS, budget: int = BUDGET, group_batches: int = GROUP_BATCHES, length: str = "size") -> DataFrame:
+def pack(docs: DataFrame, max_len: int = MAX_LEN, buckets: int = BUCKETS, budget: int = BUDGET, group_rows: int = GROUP_ROWS, length: str = "size") -> DataFrame:
     """Every piece with its bucket's boundary, its padding and the batch it is in.
 
-    ``docs(doc_id, size)``. Columns: doc_id, piece, start_word, n_words, boundary, padding, group,
-    batch (unique with boundary and group), row_in_batch.
+    ``docs(doc_id, size)``. Columns: doc_id, copy, piece, start_token, n_tokens, boundary, padding,
+    group, batch (unique with boundary and group), row_in_batch.
     """
     if budget < max_len:
         raise ValueError("a batch must hold at least one piece of the greatest length")
     pieces = staged(pieces_of(docs, max_len, length), "pieces")
-    hist = pieces.where("n_words is not null").groupBy("n_words").agg(F.count(F.lit(1)).alias("n")).collect()  # max_len rows at most
-    edges, _ = optimal_boundaries(np.array([r["n_words"] for r in hist], np.int64), np.array([r["n"] for r in hist], np.int64), buckets)
+    hist = pieces.where("n_tokens is not null").groupBy("n_tokens").agg(F.count(F.lit(1)).alias("n")).collect()  # max_len rows at most
+    edges, _ = optimal_boundaries(np.array([r["n_tokens"] for r in hist], np.int64), np.array([r["n"] for r in hist], np.int64), buckets)
     rows_in = {e: 0 for e in edges}
     for r in hist:
-        rows_in[min(e for e in edges if e >= r["n_words"])] += r["n"]
+        rows_in[min(e for e in edges if e >= r["n_tokens"])] += r["n"]
     boundary, number = F.lit(None).cast("long"), F.lit(None).cast("long")
     for e in reversed(edges):
-        boundary = F.when(F.col("n_words") <= e, F.lit(e).cast("long")).otherwise(boundary)
-        number = F.when(F.col("n_words") <= e, F.lit(rows_in[e]).cast("long")).otherwise(number)
+        boundary = F.when(F.col("n_tokens") <= e, F.lit(e).cast("long")).otherwise(boundary)
+        number = F.when(F.col("n_tokens") <= e, F.lit(rows_in[e]).cast("long")).otherwise(number)
     room = F.floor(F.lit(budget) / F.col("boundary"))
     t = pieces.withColumn("boundary", boundary).withColumn("_n", number)
-    t = t.withColumn("group", salted(F.col("boundary"), F.ceil(F.col("_n") / room), group_batches, F.col("doc_id"), F.col("piece")))
-    at = F.row_number().over(Window.partitionBy("boundary", "group").orderBy(F.xxhash64("doc_id", "piece"), "doc_id", "piece")) - 1
-    packed = t.where("n_words is not null").withColumn("_at", at).withColumn("batch", F.floor(F.col("_at") / room)).withColumn("row_in_batch", F.pmod(F.col("_at"), room).cast("long"))
-    packed = packed.withColumn("padding", F.col("boundary") - F.col("n_words"))
-    cols = ["doc_id", "piece", "start_word", "n_words", "boundary", "padding", "group", "batch", "row_in_batch"]
-    nothing = [F.col(c) if c in ("doc_id", "piece", "start_word", "n_words") else F.lit(None).cast("long").alias(c) for c in cols]
-    return packed.select(*cols).unionByName(t.where("n_words is null").select(*nothing))
-
-
-def packed_documents(docs: DataFrame, max_len: int = MAX_LEN, buckets: int = BUCKETS, budget: int = BUDGET) -> DataFrame:
-    return pack(word_counts(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")).drop("text"), max_len, buckets, budget)
+    # a group holds about group_rows pieces, or one batch where that is more
+    names = ["doc_id", "piece", "copy"]
+    t = t.withColumn("group", salted(F.col("boundary"), F.col("_n"), F.greatest(F.lit(group_rows), room), *[F.col(c) for c in names]))
+    at = F.row_number().over(Window.partitionBy("boundary", "group").orderBy(F.xxhash64(*names), *names)) - 1
+    packed = t.where("n_tokens is not null").withColumn("_at", at).withColumn("batch", F.floor(F.col("_at") / room)).withColumn("row_in_batch", F.pmod(F.col("_at"), room).cast("long"))
+    packed = packed.withColumn("padding", F.col("boundary") - F.col("n_tokens"))
+    cols = ["doc_id", "copy", "piece", "start_token", "n_tokens", "boundary", "padding", "group", "batch", "row_in_batch"]
+    nothing = [F.col(c) if c in cols[:5] else F.lit(None).cast("long").alias(c) for c in cols]
+    return packed.select(*cols).unionByName(t.where("n_tokens is null").select(*nothing))
+
+
+def packed_documents(docs: DataFrame, tokenizer: str, max_len: int = MAX_LEN, buckets: int = BUCKETS, budget: int = BUDGET) -> DataFrame:
+    """``pack`` for the lengths of the whole texts in ids of the vocabulary at ``tokenizer``."""
+    return pack(token_counts(docs, tokenizer), max_len, buckets, budget)

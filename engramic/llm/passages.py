@@ -7,14 +7,20 @@ colliding lines are gathered, and their exact Jaccard similarities decide. Passa
 other text have no line of their own: words that are least by hash in a run of ``ANCHOR_RUN``
 neighbours start a window of ``WINDOW_WORDS`` words, which depend on the words around them only. By
 their sizes every passage of 51 words or more holds a whole window wherever it stands; equal windows
-collide in one band over the whole of it. Units (lines and windows) that lie in two documents or
-more make up spans; spans that share a unit class are one component. Of each unit class the first
-document keeps its text, and the others' words are removed.
+collide in one band over the whole of it, at every place of every document. Of each class of units
+the first document keeps the text. Runs of overlapping units that an earlier document has are spans;
+the windows at their ends are compared word by word with the place that is kept, so that a span
+reaches as far as the repetition does, and spans of fewer than ``MIN_WORDS`` words are let go. Spans
+that share a unit class are one component, and the words of those that are not kept are removed.
+
+Words beyond a window are compared by 16 bits of their hashes, so one end in 65,536 may reach a word
+too far.
 
 Defined results: a null or empty text has no units; documents without doc_id take no part and stay as
-they are; rows that repeat a doc_id count as one document; a repetition inside one document alone is
-left; of documents with one passage the smallest doc_id keeps it; very long texts are read whole;
-an empty table gives an empty result; other columns are ignored.
+they are; rows that repeat a doc_id are one document when repetitions are looked for, and each is cut
+by its own text; a repetition inside one document alone is left; of documents with one passage the
+smallest doc_id keeps it; very long texts are read whole; an empty table gives an empty result;
+columns of any name travel along.
 """
 
 from __future__ import annotations
@@ -27,17 +33,23 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WordTable, mix64, record_batch, scratch, spread, staged, text_slices, xxh64_spans
+from .common import WordTable, mix64, record_batch, row_names, scratch, spread, staged, text_slices, xxh64_spans
 from .components import connected_components, local_forest
-from .hamming import UNIT_ROWS, _whole_runs, deal_units, linked
+from .hamming import UNIT_ROWS, _whole_runs, deal_units, equal_links
 
-SHINGLE_WORDS, THRESHOLD, RECALL, MIN_WORDS = 5, 0.8, 0.998, 50
+SHINGLE_WORDS, THRESHOLD, RECALL, MIN_WORDS = 5, 0.8, 0.998, 51
 #: ANCHOR_RUN + ANCHOR_WORDS - 1 + WINDOW_WORDS = 51.
 ANCHOR_RUN, ANCHOR_WORDS, WINDOW_WORDS = 23, 2, 27
+#: Words beyond a span's first and last window that can belong to it: with one more there would be an anchor.
+REACH = ANCHOR_RUN + ANCHOR_WORDS - 2
 BAND_ROWS, SEED = 3, 11
 #: An odd base, and its inverse modulo 2 to the 64th.
 _ODD = 0x9E3779B97F4A7C15
 _INVERSE = pow(_ODD, -1, 1 << 64)
+#: The kinds of rows that documents give: lines, windows, and the tags of all their words.
+LINE, WINDOW, TAGS = 0, 1, 2
+#: The column of a row's cuts, found by its place; no other has this name.
+_CUT = "\x00cut"
 
 
 def tuned_bands(threshold: float = THRESHOLD, recall: float = RECALL, rows: int = BAND_ROWS) -> int:
@@ -81,12 +93,13 @@ def anchors(h: np.ndarray, doc: np.ndarray, run: int = ANCHOR_RUN) -> np.ndarray
     return np.unique((least[inside] & low).astype(np.int64))
 
 
-_UNITS = "kind int, unit_hash long, doc_id long, start int, n_words int, bands array<long>, shingles binary"
+_UNITS = "kind int, unit_hash long, doc_id long, text_hash long, start int, n_words int, bands array<long>, payload binary"
+_SCHEMA = pa.schema([("kind", pa.int32()), ("unit_hash", pa.int64()), ("doc_id", pa.int64()), ("text_hash", pa.int64()), ("start", pa.int32()), ("n_words", pa.int32()), ("bands", pa.list_(pa.int64())), ("payload", pa.binary())])
 
 
 def paragraph_units(docs: DataFrame, bands: int, band_rows: int = BAND_ROWS, min_words: int = MIN_WORDS) -> DataFrame:
-    """Lines (kind 0, with band keys and sorted shingle hashes) and windows (kind 1) of all documents."""
-    schema = pa.schema([("kind", pa.int32()), ("unit_hash", pa.int64()), ("doc_id", pa.int64()), ("start", pa.int32()), ("n_words", pa.int32()), ("bands", pa.list_(pa.int64())), ("shingles", pa.binary())])
+    """Lines (with band keys and, as payload, sorted shingle hashes), windows, and for each document
+    with a window the 16-bit tags of its words."""
     rng = np.random.default_rng(SEED)
     salt = rng.integers(0, 2**63, bands * band_rows, dtype=np.uint64)
     odd = rng.integers(0, 2**63, bands * band_rows, dtype=np.uint64) | np.uint64(1)
@@ -102,52 +115,57 @@ def paragraph_units(docs: DataFrame, bands: int, band_rows: int = BAND_ROWS, min
         keep = size >= min_words
         return start[keep], start[keep] + size[keep]
 
+    def windows_of(roll: Rolling, w: WordTable, doc: np.ndarray) -> np.ndarray:
+        n = roll.n
+        two = roll.of(np.arange(n - ANCHOR_WORDS + 1), np.arange(ANCHOR_WORDS, n + 1)) if n >= ANCHOR_WORDS else np.zeros(0, np.uint64)
+        at = anchors(two, doc[: len(two)])
+        return at[at + WINDOW_WORDS <= w.first[doc[at] + 1]]
+
+    def units(batch: pa.RecordBatch, texts: list[bytes]) -> Iterator[pa.RecordBatch]:
+        w = WordTable(texts)
+        if not len(w.start):
+            return
+        ids, named = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("doc_id", "text_hash"))
+        words = xxh64_spans(w.joined, w.start, w.size, 0)
+        roll, doc = Rolling(words), np.repeat(np.arange(len(texts)), np.diff(w.first))
+        place = lambda at: {"doc_id": ids[doc[at]], "text_hash": named[doc[at]], "start": (at - w.first[doc[at]]).astype(np.int32)}
+        at = windows_of(roll, w, doc)
+        if len(at):
+            k = len(at)
+            yield record_batch({"kind": np.full(k, WINDOW, np.int32), "unit_hash": roll.of(at, at + WINDOW_WORDS).view(np.int64), **place(at), "n_words": np.full(k, WINDOW_WORDS, np.int32), "bands": pa.nulls(k, pa.list_(pa.int64())), "payload": pa.nulls(k, pa.binary())}, _SCHEMA)
+            some, tags = np.unique(doc[at]), (words >> np.uint64(48)).astype("<u2")
+            k = len(some)
+            own = [tags[w.first[d] : w.first[d + 1]].tobytes() for d in some.tolist()]
+            yield record_batch({"kind": np.full(k, TAGS, np.int32), "unit_hash": np.zeros(k, np.int64), **place(w.first[some]), "n_words": np.diff(w.first)[some].astype(np.int32), "bands": pa.nulls(k, pa.list_(pa.int64())), "payload": own}, _SCHEMA)
+        a, b = lines_of(texts, w.first)
+        if not len(a):
+            return
+        number = np.maximum(b - a - SHINGLE_WORDS + 1, 1)
+        begin = np.cumsum(number) - number
+        s = np.arange(number.sum()) - np.repeat(begin - a, number)
+        sh = roll.of(s, np.minimum(s + SHINGLE_WORDS, np.repeat(b, number)))
+        keys = np.zeros((len(a), bands), np.uint64)
+        with np.errstate(over="ignore"):
+            for k in range(bands * band_rows):
+                least = np.minimum.reduceat((sh ^ salt[k]) * odd[k], begin)
+                keys[:, k // band_rows] = mix64(keys[:, k // band_rows] ^ least)
+            keys = mix64(keys ^ np.arange(1, bands + 1, dtype=np.uint64))
+        payload = [np.unique(sh[x : x + y]).astype("<u8").tobytes() for x, y in zip(begin.tolist(), number.tolist(), strict=True)]
+        lists = pa.ListArray.from_arrays(pa.array(np.arange(0, len(a) * bands + 1, bands, dtype=np.int32)), pa.array(keys.view(np.int64).ravel()))
+        yield record_batch({"kind": np.full(len(a), LINE, np.int32), "unit_hash": roll.of(a, b).view(np.int64), **place(a), "n_words": (b - a).astype(np.int32), "bands": lists, "payload": payload}, _SCHEMA)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in text_slices(batches):
-            ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
-            w = WordTable(texts)
-            if not len(w.start):
-                continue
-            roll = Rolling(xxh64_spans(w.joined, w.start, w.size, 0))
-            n, doc = roll.n, np.repeat(np.arange(len(texts)), np.diff(w.first))
-            # windows
-            two = roll.of(np.arange(n - ANCHOR_WORDS + 1), np.arange(ANCHOR_WORDS, n + 1)) if n >= ANCHOR_WORDS else np.zeros(0, np.uint64)
-            at = anchors(two, doc[: len(two)])
-            at = at[at + WINDOW_WORDS <= w.first[doc[at] + 1]]
-            h = roll.of(at, at + WINDOW_WORDS)
-            _, once = np.unique(mix64(h ^ mix64(doc[at].astype(np.uint64))), return_index=True)
-            at, h = at[np.sort(once)], h[np.sort(once)]
-            if len(at):
-                k = len(at)
-                yield record_batch({"kind": np.ones(k, np.int32), "unit_hash": h.view(np.int64), "doc_id": ids[doc[at]], "start": (at - w.first[doc[at]]).astype(np.int32), "n_words": np.full(k, WINDOW_WORDS, np.int32), "bands": pa.nulls(k, pa.list_(pa.int64())), "shingles": pa.nulls(k, pa.binary())}, schema)
-            # lines
-            a, b = lines_of(texts, w.first)
-            if not len(a):
-                continue
-            number = np.maximum(b - a - SHINGLE_WORDS + 1, 1)
-            begin = np.cumsum(number) - number
-            s = np.arange(number.sum()) - np.repeat(begin - a, number)
-            e = np.minimum(s + SHINGLE_WORDS, np.repeat(b, number))
-            sh = roll.of(s, e)
-            keys = np.zeros((len(a), bands), np.uint64)
-            with np.errstate(over="ignore"):
-                for k in range(bands * band_rows):
-                    least = np.minimum.reduceat((sh ^ salt[k]) * odd[k], begin)
-                    keys[:, k // band_rows] = mix64(keys[:, k // band_rows] ^ least)
-                keys = mix64(keys ^ np.arange(1, bands + 1, dtype=np.uint64))
-            small = (sh >> np.uint64(32)).astype("<u4")
-            payload = [np.unique(small[x : x + y]).tobytes() for x, y in zip(begin.tolist(), number.tolist(), strict=True)]
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(0, len(a) * bands + 1, bands, dtype=np.int32)), pa.array(keys.view(np.int64).ravel()))
-            yield record_batch({"kind": np.zeros(len(a), np.int32), "unit_hash": roll.of(a, b).view(np.int64), "doc_id": ids[doc[a]], "start": (a - w.first[doc[a]]).astype(np.int32), "n_words": (b - a).astype(np.int32), "bands": lists, "shingles": payload}, schema)
-
-    known = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null")
+            yield from units(batch, texts)
+
+    known = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text").where("doc_id is not null")
     return known.mapInArrow(run, _UNITS)
 
 
 def jaccard_search(sets: list[np.ndarray], threshold: float) -> tuple[np.ndarray, np.ndarray]:
     """A spanning forest of the pairs of sets at or above the threshold; sets are sorted arrays."""
     size = np.array([len(s) for s in sets])
-    flat = np.concatenate(sets) if sets else np.zeros(0, np.uint32)
+    flat = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
     begin = np.cumsum(size) - size
     left, a, b = np.arange(len(sets)), [], []
     while len(left):
@@ -171,7 +189,7 @@ def jaccard_search(sets: list[np.ndarray], threshold: float) -> tuple[np.ndarray
     return (np.concatenate(a), np.concatenate(b)) if a else (np.zeros(0, np.int64), np.zeros(0, np.int64))
 
 
-def set_links(groups: DataFrame, threshold: float, unit_rows: int = UNIT_ROWS, width: str = "<u4") -> DataFrame:
+def set_links(groups: DataFrame, threshold: float, unit_rows: int = UNIT_ROWS, width: str = "<u8") -> DataFrame:
     """Edges (u, v) that connect all pairs of ``groups(key, table, id, shingles)`` of one key at or above
     the threshold; shingles: sorted hashes of that width."""
     schema = pa.schema([("u", pa.int64()), ("v", pa.int64())])
@@ -198,57 +216,145 @@ def line_classes(lines: DataFrame, threshold: float = THRESHOLD, unit_rows: int
     """(unit_hash, class) of the lines that have a near duplicate of other text: class is the smallest
     unit_hash of their component of verified pairs."""
     distinct = staged(lines.select("unit_hash", "bands").dropDuplicates(["unit_hash"]), "lines")
-    rows = distinct.select("unit_hash", F.posexplode("bands").alias("table", "key"))
-    rows = rows.select("key", "table", F.col("unit_hash").alias("id"), F.lit(True).alias("resident"), F.lit(0).cast("long").alias("f0"))
+    rows = distinct.select("unit_hash", F.posexplode("bands").alias("table", "key")).select("key", "table", F.col("unit_hash").alias("id"))
     # colliding lines as one coarse group each: a line then carries its shingles once, not by band
-    coarse = staged(connected_components(linked(rows, ["f0"], 0, unit_rows)), "coarse")
-    texts = lines.select(F.col("unit_hash").alias("node"), "shingles").join(coarse, "node").dropDuplicates(["node"])
-    groups = staged(texts.select(F.col("component").alias("key"), F.lit(0).alias("table"), F.col("node").alias("id"), "shingles"), "collided")
+    coarse = staged(connected_components(equal_links(rows, unit_rows)), "coarse")
+    texts = lines.select(F.col("unit_hash").alias("node"), "payload").join(coarse.hint("merge"), "node").dropDuplicates(["node"])
+    groups = staged(texts.select(F.col("component").alias("key"), F.lit(0).alias("table"), F.col("node").alias("id"), F.col("payload").alias("shingles")), "collided")
     links = set_links(groups, threshold, unit_rows)
     return connected_components(links).select(F.col("node").alias("unit_hash"), F.col("component").alias("class"))
 
 
-def repeated_units(docs: DataFrame, threshold: float = THRESHOLD, min_words: int = MIN_WORDS, unit_rows: int = UNIT_ROWS) -> DataFrame:
-    """(doc_id, start, n_words, class, first_doc): the units that lie in two documents or more."""
-    with scratch(docs.sparkSession) as keep:
-        units = staged(paragraph_units(docs, tuned_bands(threshold), min_words=min_words), "units")
-        lines = units.where("kind = 0")
+_PLACE = ["doc_id", "text_hash", "start"]
+
+
+def repeated_units(units: DataFrame, threshold: float = THRESHOLD, unit_rows: int = UNIT_ROWS) -> DataFrame:
+    """(doc_id, text_hash, start, n_words, kind, class, first_doc): every place of the units that lie in
+    two documents or more."""
+    with scratch(units.sparkSession) as keep:
+        lines = units.where(F.col("kind") == LINE)
         classes = staged(line_classes(lines, threshold, unit_rows), "classes")
-        place = ["doc_id", "start", "n_words"]
+        place = [*_PLACE, "n_words", "kind"]
         # neither side of these joins has a bound: they are merged, not broadcast, at any size
         named = lines.select("unit_hash", *place).join(classes.hint("merge"), "unit_hash", "left").select(F.coalesce("class", "unit_hash").alias("class"), *place)
-        every = named.unionByName(units.where("kind = 1").select(F.col("unit_hash").alias("class"), *place))
+        every = named.unionByName(units.where(F.col("kind") == WINDOW).select(F.col("unit_hash").alias("class"), *place))
         # few classes repeat; their extremes are found from the keys alone, then the rows are picked
         repeats = staged(every.groupBy("class").agg(F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc")).where("first_doc < last_doc").drop("last_doc"), "repeats")
         return keep(staged(every.join(repeats.hint("merge"), "class"), "repeated"))
 
 
-def passage_spans(repeated: DataFrame, unit_rows: int = UNIT_ROWS) -> DataFrame:
-    """(doc_id, start_word, n_words, removed_words, component_id): runs of overlapping repeated units of
-    a document; component_id is the smallest doc_id that shares a passage of the component."""
-    with scratch(repeated.sparkSession) as keep:
-        by_doc = Window.partitionBy("doc_id").orderBy("start", "n_words")
-        end = F.max(F.col("start") + F.col("n_words")).over(by_doc.rowsBetween(Window.unboundedPreceding, -1))
-        r = repeated.withColumn("_new", (end.isNull() | (F.col("start") > end)).cast("int"))
-        r = r.withColumn("_span", F.sum("_new").over(by_doc.rowsBetween(Window.unboundedPreceding, 0)))
-        r = staged(r.withColumn("node", F.xxhash64("doc_id", "_span")), "spans")
-        rows = r.select(F.col("class").alias("key"), F.lit(0).alias("table"), F.col("node").alias("id"), F.lit(True).alias("resident"), F.lit(0).cast("long").alias("f0")).distinct()
-        comps = staged(connected_components(linked(rows, ["f0"], 0, unit_rows)), "components")
-        spans = r.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.min("start").alias("start_word"), F.max(F.col("start") + F.col("n_words")).alias("_end"), F.max((F.col("first_doc") < F.col("doc_id")).cast("int")).alias("_late"))
-        spans = keep(staged(spans.join(comps, "node").drop("node"), "named"))
-    heads = spans.groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    return spans.join(heads, "component").select("doc_id", "start_word", (F.col("_end") - F.col("start_word")).alias("n_words"), (F.col("_late") == 1).alias("removed"), "component_id")
+def _merged(rows: DataFrame, name: str, by: list[str]) -> DataFrame:
+    """``rows`` with the number of their run of overlapping (start, end) among those of the same ``by``."""
+    order = Window.partitionBy(*by).orderBy("start", "end")
+    before = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    fresh = rows.withColumn(name, (before.isNull() | (F.col("start") > before)).cast("int"))
+    return fresh.withColumn(name, F.sum(name).over(order.rowsBetween(Window.unboundedPreceding, 0)))
+
 
+def _neighbours(units: DataFrame, places: DataFrame) -> DataFrame:
+    """(doc_id, text_hash, start, left, right) of ``places``: the tags of the REACH words on each side of
+    the window there, fewer at a text's ends."""
+    schema = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("start", pa.int32()), ("left", pa.binary()), ("right", pa.binary())])
+    wanted = places.groupBy("doc_id", "text_hash").agg(F.collect_set("start").alias("starts"))  # no more than a document has words
+    tags = units.where(F.col("kind") == TAGS).select("doc_id", "text_hash", F.col("payload").alias("tags"))
 
-def repeated_passages(docs: DataFrame, threshold: float = THRESHOLD, min_words: int = MIN_WORDS) -> DataFrame:
-    """The repeated spans of all documents (see ``passage_spans``): removed where an earlier document
-    keeps words of the span."""
-    return passage_spans(repeated_units(docs, threshold, min_words))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: dict[str, list] = {c: [] for c in schema.names}
+            for d, h, tags, starts in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text_hash", "tags", "starts")), strict=True):
+                for s in starts:
+                    end = 2 * (s + WINDOW_WORDS)
+                    for c, v in zip(schema.names, (d, h, s, tags[max(0, 2 * (s - REACH)) : 2 * s], tags[end : end + 2 * REACH]), strict=True):
+                        out[c].append(v)
+            yield record_batch(out, schema)
+
+    found = tags.join(wanted.hint("merge"), ["doc_id", "text_hash"]).mapInArrow(run, "doc_id long, text_hash long, start int, left binary, right binary")
+    return found.dropDuplicates(_PLACE)  # equal rows of a document
+
+
+def common_words(a: list[bytes], b: list[bytes], backwards: bool) -> np.ndarray:
+    """How many tags the pairs have in common, from their ends if ``backwards``, else from their starts."""
+    if not a:
+        return np.zeros(0, np.int32)
+    turn = (lambda x: x[::-1]) if backwards else (lambda x: x)
+    pad = lambda xs: np.array([np.pad(turn(np.frombuffer(x, "<u2")), (0, REACH - len(x) // 2)) for x in xs])
+    same = np.logical_and.accumulate(pad(a) == pad(b), axis=1).sum(axis=1)
+    return np.minimum(same, [min(len(x), len(y)) // 2 for x, y in zip(a, b, strict=True)]).astype(np.int32)
+
+
+def _reaches(units: DataFrame, borders: DataFrame) -> DataFrame:
+    """``borders`` (a place, side -1 or 1, first_doc, first_text, first_start) with ``reach``: how many
+    words beyond the window its text and the kept one have in common on that side."""
+    first = [F.col(c).alias(n) for c, n in zip(("first_doc", "first_text", "first_start"), _PLACE, strict=True)]
+    words = staged(_neighbours(units, borders.select(*_PLACE).unionByName(borders.select(*first))), "neighbours")
+    side = lambda c: F.when(F.col("side") < 0, F.col(f"{c}_left")).otherwise(F.col(f"{c}_right"))
+    own = words.select(*_PLACE, F.col("left").alias("own_left"), F.col("right").alias("own_right"))
+    other = words.select(*[F.col(n).alias(c) for c, n in zip(("first_doc", "first_text", "first_start"), _PLACE, strict=True)], F.col("left").alias("kept_left"), F.col("right").alias("kept_right"))
+    both = borders.join(own.hint("merge"), _PLACE).withColumn("own", side("own")).drop("own_left", "own_right")
+    both = both.join(other.hint("merge"), ["first_doc", "first_text", "first_start"]).withColumn("kept", side("kept")).drop("kept_left", "kept_right")
+    names = borders.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            a, b, left = batch.column("own").to_pylist(), batch.column("kept").to_pylist(), batch.column("side").to_numpy() < 0
+            reach = np.where(left, common_words(a, b, True), common_words(a, b, False)).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in names], pa.array(reach)], names=[*names, "reach"])
+
+    return both.mapInArrow(run, ", ".join(f"`{c}` {t}" for c, t in borders.dtypes) + ", reach int")
+
+
+def passage_spans(units: DataFrame, repeated: DataFrame, unit_rows: int = UNIT_ROWS, min_words: int = MIN_WORDS) -> DataFrame:
+    """(doc_id, text_hash, start_word, n_words, removed, component_id): runs of overlapping units that an
+    earlier document has (removed), and the places that are kept for them; component_id is the smallest
+    doc_id that shares a passage of the component."""
+    text = ["doc_id", "text_hash"]
+    with scratch(repeated.sparkSession) as keep:
+        whole = repeated.withColumn("end", F.col("start") + F.col("n_words"))
+        late = staged(_merged(whole.where("first_doc < doc_id"), "span", text).select(*text, "span", "start", "end", "kind", "class"), "late")
+        first = F.min(F.struct("text_hash", "start", "end", "doc_id"))  # of the first document's places the first
+        kept = staged(whole.where("first_doc = doc_id").groupBy("class").agg(first.alias("f")).select("class", F.col("f.doc_id").alias("first_doc"), F.col("f.text_hash").alias("first_text"), F.col("f.start").alias("first_start"), F.col("f.end").alias("first_end")), "kept")
+        # the outermost units of each run; where a line ends a run it ends there
+        outer = staged(late.groupBy(*text, "span").agg(F.min(F.struct("start", "kind", "class")).alias("l"), F.max(F.struct("end", (-F.col("kind")).alias("kind"), "start", "class")).alias("r")), "outer")
+        left = outer.where(F.col("l.kind") == WINDOW).select(*text, "span", F.col("l.start").alias("start"), F.col("l.class").alias("class"), F.lit(-1).alias("side"))
+        right = outer.where(F.col("r.kind") == -WINDOW).select(*text, "span", F.col("r.start").alias("start"), F.col("r.class").alias("class"), F.lit(1).alias("side"))
+        borders = left.unionByName(right).join(kept.hint("merge"), "class")
+        reaches = staged(_reaches(units, staged(borders, "borders")), "reaches")
+        far = lambda side: F.coalesce(F.max(F.when(F.col("side") == side, F.col("reach"))), F.lit(0))
+        moved = outer.join(reaches.groupBy(*text, "span").agg(far(-1).alias("before"), far(1).alias("after")).hint("merge"), [*text, "span"], "left")
+        moved = moved.select(*text, "span", (F.col("l.start") - F.coalesce("before", F.lit(0))).alias("start"), (F.col("r.end") + F.coalesce("after", F.lit(0))).alias("end"))
+        # runs that now touch are one; short ones are let go
+        joined = _merged(moved, "passage", text)
+        passage = Window.partitionBy(*text, "passage")
+        low, high = F.min("start").over(passage), F.max("end").over(passage)
+        long = staged(joined.select(*text, "span", low.alias("start"), high.alias("end")).where(F.col("end") - F.col("start") >= min_words).withColumn("node", F.xxhash64(*text, "start", "end", F.lit("removed"))), "long")
+        # what is kept for them: the first place of each class, as far as the outermost ones reach
+        inside = staged(late.join(long.select(*text, "span", "node").hint("merge"), [*text, "span"]).select("class", "node").distinct(), "inside")
+        wide = reaches.join(long.select(*text, "span").hint("merge"), [*text, "span"], "left_semi")
+        wide = wide.groupBy("class").agg(far(-1).alias("before"), far(1).alias("after"))
+        held = kept.join(inside.select("class").distinct().hint("merge"), "class", "left_semi").join(wide.hint("merge"), "class", "left")
+        held = held.select("class", F.col("first_doc").alias("doc_id"), F.col("first_text").alias("text_hash"), (F.col("first_start") - F.coalesce("before", F.lit(0))).alias("start"), (F.col("first_end") + F.coalesce("after", F.lit(0))).alias("end"))
+        held = _merged(held, "passage", text)
+        low, high = F.min("start").over(passage), F.max("end").over(passage)
+        held = staged(held.select("class", *text, low.alias("start"), high.alias("end")).withColumn("node", F.xxhash64(*text, "start", "end", F.lit("kept"))), "held")
+        spans = staged(long.select("node", *text, "start", "end", F.lit(True).alias("removed")).unionByName(held.select("node", *text, "start", "end", F.lit(False).alias("removed"))).distinct(), "spans")
+        rows = inside.unionByName(held.select("class", "node").distinct()).select(F.col("class").alias("key"), F.lit(0).alias("table"), F.col("node").alias("id"))
+        comps = staged(connected_components(equal_links(rows, unit_rows)), "components")
+        named = keep(staged(spans.join(comps.hint("merge"), "node").drop("node"), "named"))
+        heads = keep(staged(named.groupBy("component").agg(F.min("doc_id").alias("component_id")), "heads"))
+    return named.join(heads.hint("merge"), "component").select(*text, F.col("start").alias("start_word"), (F.col("end") - F.col("start")).alias("n_words"), "removed", "component_id")
+
+
+def repeated_passages(docs: DataFrame, threshold: float = THRESHOLD, min_words: int = MIN_WORDS, unit_rows: int = UNIT_ROWS) -> DataFrame:
+    """The repeated spans of all documents (see ``passage_spans``)."""
+    with scratch(docs.sparkSession) as keep:
+        units = staged(paragraph_units(docs, tuned_bands(threshold), min_words=min_words), "units")
+        spans = passage_spans(units, repeated_units(units, threshold, unit_rows), unit_rows, min_words)
+        return keep(staged(spans, "passages"))
 
 
 def cut_words(text: bytes, ranges: list[tuple[int, int]]) -> bytes:
-    """``text`` without the words whose numbers lie in the ranges [start, end); lines left empty by it
-    go as well."""
+    """``text`` without the words whose numbers lie in the ranges [start, end); a space stands for what
+    goes from between two words."""
     raw = np.frombuffer(text, np.uint8)
     solid = ~((raw == 32) | ((raw >= 9) & (raw <= 13)))
     starts = np.flatnonzero(solid & ~np.concatenate([[False], solid[:-1]]))
@@ -269,23 +375,22 @@ def cut_words(text: bytes, ranges: list[tuple[int, int]]) -> bytes:
 
 
 def without_repeats(docs: DataFrame, threshold: float = THRESHOLD, min_words: int = MIN_WORDS) -> DataFrame:
-    """``docs`` with every repeated unit cut out but in its first document; documents that lose all
-    their words go, others keep their columns, n_chars by the text left."""
-    repeated = repeated_units(docs, threshold, min_words)
-    ranges = repeated.where("first_doc < doc_id").groupBy("doc_id").agg(F.collect_list(F.struct("start", (F.col("start") + F.col("n_words")).alias("end"))).alias("_cut"))
-    with scratch(docs.sparkSession) as keep:
-        cuts = keep(staged(ranges.withColumnRenamed("doc_id", "_cut_id"), "cuts"))
-    joined = docs.join(cuts.hint("merge"), docs["doc_id"] == F.col("_cut_id"), "left").drop("_cut_id")
+    """``docs`` with every repeated passage cut out but where it is kept; documents that lose all their
+    words go, others keep their columns, n_chars by the text left."""
+    removed = repeated_passages(docs, threshold, min_words).where("removed")
+    span = F.struct(F.col("start_word").alias("start"), (F.col("start_word") + F.col("n_words")).alias("end"))
+    cuts = removed.groupBy("doc_id", "text_hash").agg(F.collect_list(span).alias("cut"))
+    named = row_names(docs).drop("text", "row_hash")
+    joined = named.join(cuts.hint("merge"), ["doc_id", "text_hash"], "left").select("row.*", F.col("cut").alias(_CUT))
     names = docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            cuts = batch.column("_cut").to_pylist()
+            cuts = batch.column(len(names)).to_pylist()
             texts = batch.column("text").cast(pa.binary()).to_pylist()
             made = [t if not c or t is None else cut_words(t, [(x["start"], x["end"]) for x in c]) for t, c in zip(texts, cuts, strict=True)]
             keep = [not c or bool(m and m.strip()) for c, m in zip(cuts, made, strict=True)]
-            text = pa.array(made, pa.binary()).cast(pa.string())
-            columns = {n: text if n == "text" else batch.column(n) for n in names}
+            columns = {n: batch.column(n) for n in names} | {"text": pa.array(made, pa.binary()).cast(pa.string())}
             if "n_chars" in columns:
                 old = batch.column("n_chars").to_pylist()
                 columns["n_chars"] = pa.array([len(m.decode()) if c else o for m, c, o in zip(made, cuts, old, strict=True)], batch.column("n_chars").type)

@@ -6,7 +6,6 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import functions as F
 
 from . import fingerprints, language_id, license_scan, mixing, near_dedup, packing, passages, quality, token_index, topk
 from .common import documents
@@ -53,11 +52,11 @@ def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_length_bucket_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.packed_documents(documents(spark, sf_dir))
+    return packing.packed_documents(documents(spark, sf_dir), tokenizer_path())
 
 
 def op9_paragraph_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return passages.repeated_passages(documents(spark, sf_dir))
+    return passages.repeated_passages(documents(spark, sf_dir)).drop("text_hash")
 
 
 def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -33,7 +33,7 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix64, range_of, range_splits, record_batch, scratch_path, spread, text_slices
+from .common import delete_at_exit, mix64, range_of, range_splits, record_batch, scratch_path, spread, text_slices
 
 END_ID = 1
 MAGIC, VERSION = b"EGTOKIDX", 1
@@ -133,12 +133,12 @@ class Encoder:
         return [len(b) // self.dtype.itemsize for b in self(texts)]
 
 
-def encoder(path: str) -> Encoder:
+def encoder(path: str, most: int = CACHE_PIECES) -> Encoder:
     """One encoder for each process and vocabulary: a task does not load it anew."""
     held = sys.modules.setdefault("_engramic_encoders", types.ModuleType("_engramic_encoders")).__dict__
-    if path not in held:
-        held[path] = Encoder(path)
-    return held[path]
+    if (path, most) not in held:
+        held[path, most] = Encoder(path, most)
+    return held[path, most]
 
 
 # ---------------------------------------------------------------- minimal perfect hash
@@ -289,11 +289,13 @@ class Shard:
 
 def write_tokens(docs: DataFrame, tokenizer: str, root: str | None = None, shards: int | None = None, end_id: int = END_ID) -> tuple[str, DataFrame]:
     """Writes the dataset and returns its folder and manifest (shard, first_key, n_docs, n_ids, base):
-    a row for each shard; base counts the ids of all shards before it. A task writes ids as it makes
+    a row for each shard; base counts the ids of all shards before it. Without ``root`` the dataset is a
+    scratch table that goes at the end of the application. A task writes ids as it makes
     them; it keeps a doc_id and a count for each of its documents."""
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    root, n = root or scratch_path(spark, "tokens"), shards or shard_count(docs)
+    own, n = root is None, shards or shard_count(docs)
+    root = root or scratch_path(spark, "tokens")
     splits = range_splits(docs, "doc_id", n)
     placed = docs.withColumn("shard", range_of(F.col("doc_id"), splits).cast("int"))
     placed = placed.repartitionById(n, F.col("shard")).sortWithinPartitions("shard", F.col("doc_id").asc_nulls_first(), "text")
@@ -323,6 +325,8 @@ def write_tokens(docs: DataFrame, tokenizer: str, root: str | None = None, shard
     base = itertools.accumulate([0, *(r["n_ids"] for r in rows)])
     manifest = spark.createDataFrame([(*r, b) for r, b in zip(rows, base, strict=False)], "shard int, first_key long, n_docs long, n_ids long, base long")
     manifest.coalesce(1).write.parquet(f"{root}/manifest")
+    if own:
+        delete_at_exit(spark, root)
     return root, manifest
 
 
@@ -332,13 +336,13 @@ def shard_count(docs: DataFrame) -> int:
     return max(spread(docs.sparkSession), min(-(-size // SHARD_BYTES), MAX_SHARDS))
 
 
-def token_counts(docs: DataFrame, tokenizer: str) -> DataFrame:
+def token_counts(docs: DataFrame, tokenizer: str, pieces: int = CACHE_PIECES // 4) -> DataFrame:
     """(doc_id, size): the number of ids of every row's whole text (null: 0), without an end id."""
     schema = pa.schema([("doc_id", pa.int64()), ("size", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in text_slices(batches):
-            yield record_batch({"doc_id": batch.column("doc_id"), "size": encoder(tokenizer).counts([t.decode() for t in texts])}, schema)
+            yield record_batch({"doc_id": batch.column("doc_id"), "size": encoder(tokenizer, pieces).counts([t.decode() for t in texts])}, schema)
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, size long")
 
