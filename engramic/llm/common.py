@@ -14,6 +14,7 @@ from collections.abc import Callable, Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import pyarrow.fs as pafs
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -126,6 +127,28 @@ def row_names(docs: DataFrame) -> DataFrame:
     return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("text_hash"), row_hash.alias("row_hash"))
 
 
+def open_file(root: str, name: str) -> pa.NativeFile:
+    fs, path = pafs.FileSystem.from_uri(root)
+    return fs.open_input_file(f"{path}/{name}")
+
+
+@contextlib.contextmanager
+def put_file(root: str, name: str) -> Iterator[pa.NativeFile]:
+    """A file to write, under a temporary name that becomes ``name`` if all went well: a repeated or
+    lost task leaves a whole file or none."""
+    fs, path = pafs.FileSystem.from_uri(root)
+    fs.create_dir(path, recursive=True)
+    temporary = f"{path}/.{name}.{uuid.uuid4().hex}"
+    try:
+        with fs.open_output_stream(temporary) as f:
+            yield f
+    except BaseException:
+        with contextlib.suppress(OSError):
+            fs.delete_file(temporary)
+        raise
+    fs.move(temporary, f"{path}/{name}")
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 

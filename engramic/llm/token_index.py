@@ -17,23 +17,20 @@ dataset; other columns are ignored.
 
 from __future__ import annotations
 
-import contextlib
 import itertools
 import os
 import re
 import sys
 import types
-import uuid
 import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.fs as pafs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import delete_at_exit, mix64, range_of, range_splits, record_batch, scratch_path, spread, text_slices
+from .common import delete_at_exit, mix64, open_file, put_file, range_of, range_splits, record_batch, scratch_path, spread, text_slices
 
 END_ID = 1
 MAGIC, VERSION = b"EGTOKIDX", 1
@@ -192,27 +189,6 @@ def find_slots(keys: np.ndarray, shift: np.ndarray, stored: np.ndarray) -> np.nd
 # ---------------------------------------------------------------- shards
 
 
-def _open(root: str, name: str) -> pa.NativeFile:
-    fs, path = pafs.FileSystem.from_uri(root)
-    return fs.open_input_file(f"{path}/{name}")
-
-
-@contextlib.contextmanager
-def _put(root: str, name: str) -> Iterator[pa.NativeFile]:
-    """A file to write, under a temporary name that becomes ``name`` if all went well."""
-    fs, path = pafs.FileSystem.from_uri(root)
-    fs.create_dir(path, recursive=True)
-    temporary = f"{path}/.{name}.{uuid.uuid4().hex}"
-    try:
-        with fs.open_output_stream(temporary) as f:
-            yield f
-    except BaseException:
-        with contextlib.suppress(OSError):
-            fs.delete_file(temporary)
-        raise
-    fs.move(temporary, f"{path}/{name}")
-
-
 #: The sections of an index after its header: the documents in file order, then the hash.
 _SECTIONS = (("doc_id", "<i8", "rows"), ("known", "u1", "rows"), ("count", "<u4", "rows"), ("shift", "<u4", "buckets"), ("stored", "<u8", "keys"), ("where", "<u8", "keys"), ("many", "<u4", "keys"))
 _HEAD = 8 + 5 * 8
@@ -235,7 +211,7 @@ class Shard:
     document's ids, whatever the size of the shard. ``bytes_read`` counts what was read."""
 
     def __init__(self, root: str, shard: int):
-        self.index, self.data, self.bytes_read = _open(root, f"shard-{shard:06d}.mph"), _open(root, f"shard-{shard:06d}.ids"), 0
+        self.index, self.data, self.bytes_read = open_file(root, f"shard-{shard:06d}.mph"), open_file(root, f"shard-{shard:06d}.ids"), 0
         head = self._at(self.index, 0, _HEAD)
         if head[:8] != MAGIC:
             raise ValueError(f"shard {shard} of {root} is not a token index")
@@ -308,7 +284,7 @@ def write_tokens(docs: DataFrame, tokenizer: str, root: str | None = None, shard
             return
         shard, encode, ids, counts = got[0].column("shard")[0].as_py(), encoder(tokenizer), [], []
         end, width = np.array([end_id], encode.dtype).tobytes(), encode.dtype.itemsize
-        with _put(root, f"shard-{shard:06d}.ids") as f:
+        with put_file(root, f"shard-{shard:06d}.ids") as f:
             while got is not None:
                 made = encode([t.decode() for t in got[1]])
                 f.write(end.join([*made, b""]))
@@ -317,7 +293,7 @@ def write_tokens(docs: DataFrame, tokenizer: str, root: str | None = None, shard
                 got = next(slices, None)
         count, column = np.concatenate(counts), pa.chunked_array(ids)
         valid, keys = np.asarray(column.is_valid()), np.asarray(column.fill_null(0))
-        with _put(root, f"shard-{shard:06d}.mph") as f:
+        with put_file(root, f"shard-{shard:06d}.mph") as f:
             f.write(index_bytes(keys, valid, np.cumsum(count) - count, count, width))
         yield record_batch({"shard": [shard], "first_key": [int(keys[valid][0]) if valid.any() else None], "n_docs": [len(keys)], "n_ids": [int(count.sum())]}, schema)
 

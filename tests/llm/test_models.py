@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import math
 import random
 import re
 
@@ -42,7 +43,7 @@ def test_a_rare_language_keeps_its_grams(spark):
     rare = "the and with house stone"
     d = spark.createDataFrame([(i, t, "hot") for i, t in enumerate(hot * 2)] + [(100, rare, "rare")], "doc_id long, text string, lang string")
     model = language_id.fit_languages(d, F.lit(True))
-    assert model.langs == ["hot", "rare"] and len(model.hashes[-1]) > 650_000
+    assert model.langs == ["hot", "rare"] and sum(len(language_id.LanguageModels.load(model.root, k).hashes[-1].table) for k in range(model.shards)) > 650_000
     assert language_id.identify(d.where("doc_id = 100"), model).first()["lang_pred"] == "rare"
 
 
@@ -52,6 +53,66 @@ def test_counts_cover_every_text(spark):
     assert got[("x", "    a")] == 2 and got[("x", "c abc")] == 1 and got[("x", " abc ")] == 3 and got[("y", "  zé ")] == 1
 
 
+def plain_kneser_ney(counts, order=5):
+    """log2 p(c | context) by the textbook recursion over dictionaries, for one language."""
+    from collections import defaultdict
+
+    types = {order: dict(counts)}
+    for n in range(order - 1, 0, -1):
+        types[n] = defaultdict(int)
+        for g in types[n + 1]:
+            types[n][g[1:]] += 1
+    d = {}
+    for n, t in types.items():
+        one, two = sum(c == 1 for c in t.values()), sum(c == 2 for c in t.values())
+        d[n] = one / (one + 2 * two) if one and two else 0.75
+    followers = {n: defaultdict(list) for n in types}
+    for n, t in types.items():
+        for g, c in t.items():
+            followers[n][g[:-1]].append(c)
+
+    def p(context, c):
+        n = len(context) + 1
+        below = p(context[1:], c) if n > 1 else language_id.FLOOR
+        cs = followers[n].get(context)
+        if not cs:
+            return below
+        return max(types[n].get(context + c, 0) - d[n], 0) / sum(cs) + d[n] * len(cs) / sum(cs) * below
+
+    return p
+
+
+def test_against_plain_kneser_ney(spark):
+    rng = random.Random(12)
+    syllables = {"x": ["ba", "ko", "zu", "né", "ri "], "y": ["th", "er", "in ", "gon", "a"], "z": ["ba ", "er", "日本", "語 ", "к"]}
+    texts = [(lang, "".join(rng.choices(syllables[lang], k=rng.randint(5, 60)))) for lang in "xyz" for _ in range(30)]
+    d = spark.createDataFrame([(i, t, lang) for i, (lang, t) in enumerate(texts)], "doc_id long, text string, lang string")
+    counts = {lang: {} for lang in "xyz"}
+    for r in language_id.gram_counts(d).collect():
+        counts[r["lang"]][r["gram"]] = r["n"]
+    plain = [plain_kneser_ney(counts[lang]) for lang in "xyz"]
+    probes = [t for _, t in texts[::7]] + ["unseen wörter q", "日 ba", "x", "ererer in gon"]
+    want = []
+    for t in probes:
+        s = "    " + " ".join("".join(c if c.isalpha() else " " for c in t.lower()).split()) + " "
+        want.append([-sum(math.log2(p(s[i - 4 : i], s[i])) for i in range(4, len(s))) / (len(s) - 4) for p in plain])
+    for cells in (10**9, 60):  # one shard, and many
+        fitted = language_id.fit_languages(d, F.lit(True), cells)
+        assert (fitted.shards == 1) == (cells > 60)
+        got, _ = fitted.entropies([t.encode() for t in probes])
+        assert np.abs(got - np.array(want)).max() < 1e-4
+        assert got.argmin(axis=1).tolist() == np.array(want).argmin(axis=1).tolist()
+
+
+def test_sorted_hashes():
+    rng = np.random.default_rng(3)
+    for n in (0, 1, 5, 1000):
+        h = np.sort(rng.integers(0, 2**64, n, dtype=np.uint64))
+        t = language_id.SortedHashes(h)
+        assert t.find(h[::-1].copy()).tolist() == list(range(n))[::-1]
+        assert (t.find(rng.integers(0, 2**64, 50, dtype=np.uint64)) == -1).all()
+
+
 def test_kneser_ney_sums_to_one():
     text = "abracadabra alakazam abra".encode()
     chars, _, real = language_id.sequences([text])
