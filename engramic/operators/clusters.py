@@ -10,9 +10,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numeric import ms, safe_div
-from ..functions.vectors import cosine, euclidean, norm
+from ..functions.vectors import euclidean, norm
 from ..params import Partitions
-from .search import centroids, nearest
+from .search import centroids, nearest, pairs_within
 
 P = Partitions()
 
@@ -68,11 +68,12 @@ def growth(history: DataFrame, group: str, order: str, size: str) -> DataFrame:
 
 
 def merge_recommendations(points: DataFrame, key: str, threshold: float = 0.8) -> DataFrame:
-    """(cluster1, cluster2, similarity) of centroid pairs at or above the threshold (as many rows as there
-    are clusters on either side)."""
-    a, b = points.alias("a"), points.alias("b")
-    j = a.join(b, F.col(f"a.{key}") < F.col(f"b.{key}"))
-    return j.select(F.col(f"a.{key}").alias("cluster1"), F.col(f"b.{key}").alias("cluster2"), cosine("a.centroid", "b.centroid").alias("similarity")).where(F.col("similarity") >= threshold)
+    """(cluster1, cluster2, similarity) of centroid pairs at or above the threshold: blocks of centroids
+    against blocks, no product of rows."""
+    rows = points.select(F.lit(0).alias("all"), F.col(key).alias("id"), F.col("centroid").alias("vector"))
+    kind = points.schema[key].dataType
+    pairs = pairs_within(rows, "all", threshold)
+    return pairs.select(F.col("id_a").cast(kind).alias("cluster1"), F.col("id_b").cast(kind).alias("cluster2"), "similarity")
 
 
 def metadata(memories: DataFrame, top: int = 3) -> DataFrame:
@@ -156,11 +157,12 @@ def rebalance_plan(sizes: DataFrame, p: Partitions = P) -> DataFrame:
 def merge_targets(parts: DataFrame, threshold: float = P.similarity) -> DataFrame:
     """(partition_id, target, similarity): the most similar other partition of the type, if above the
     threshold; ``parts(partition_id, type, centroid)``."""
-    a, b = parts.alias("a"), parts.alias("b")
-    j = a.join(b, (F.col("a.type") == F.col("b.type")) & (F.col("a.partition_id") != F.col("b.partition_id")))
-    j = j.select(F.col("a.partition_id").alias("partition_id"), F.col("b.partition_id").alias("target"), cosine("a.centroid", "b.centroid").alias("similarity"))
-    best = j.groupBy("partition_id").agg(F.max_by(F.struct("target", "similarity"), F.struct("similarity", -F.col("target"))).alias("b")).select("partition_id", "b.*")
-    return best.where(F.col("similarity") > threshold)
+    rows = parts.select("type", F.col("partition_id").alias("id"), F.col("centroid").alias("vector"))
+    kind = parts.schema["partition_id"].dataType
+    pairs = pairs_within(rows, "type", threshold).where(F.col("similarity") > threshold)
+    both = pairs.select(F.col("id_a").alias("p"), F.col("id_b").alias("target"), "similarity").unionByName(pairs.select(F.col("id_b").alias("p"), F.col("id_a").alias("target"), "similarity"))
+    best = both.groupBy("p").agg(F.max_by(F.struct("target", "similarity"), F.struct("similarity", -F.col("target"))).alias("b"))
+    return best.select(F.col("p").cast(kind).alias("partition_id"), F.col("b.target").cast(kind).alias("target"), F.col("b.similarity").alias("similarity"))
 
 
 def density_metrics(sizes: DataFrame) -> DataFrame:

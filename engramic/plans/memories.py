@@ -26,7 +26,7 @@ def _queries(s, d):
 
 
 def _knn(s, d):
-    return search.top_k(search.scored_pairs(_queries(s, d), _vectors(s, d)), K, digits=6).withColumn("similarity", r6("similarity"))
+    return search.knn(_queries(s, d), _vectors(s, d), K, digits=6).withColumn("similarity", r6("similarity"))
 
 
 def _cent(s, d):
