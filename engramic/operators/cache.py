@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.numeric import ms, safe_div
 from ..functions.scores import cache_value
 from ..params import Cache
+from .ordering import carried, ranges
 
 C = Cache()
 
@@ -22,16 +25,10 @@ def live(entries: DataFrame, as_of: Column, ttl_ms: float = C.ttl_ms) -> DataFra
 
 def _kept_sums(entries: DataFrame, *order: Column) -> DataFrame:
     """``entries`` with _left: the bytes of all entries that stand after it in the order of eviction, and
-    _total. Prefix sums in two steps, by ranges, so no task sorts the whole table."""
-    t = entries.repartitionByRange(*order).sortWithinPartitions(*order).select("*", F.spark_partition_id().alias("_p"), F.monotonically_increasing_id().alias("_m")).cache()
-    sizes = t.groupBy("_p").agg(F.sum("size").alias("_ps")).orderBy("_p").collect()  # a row for each partition
-    base, pairs, total = 0, [], sum(r["_ps"] for r in sizes)
-    for r in sizes:
-        pairs += [F.lit(r["_p"]), F.lit(base)]
-        base += r["_ps"]
-    before = F.element_at(F.create_map(*pairs), F.col("_p")) if pairs else F.lit(0)
-    run = F.sum("size").over(Window.partitionBy("_p").orderBy("_m").rowsBetween(Window.unboundedPreceding, 0))
-    return t.withColumn("_left", F.lit(total) - (before + run)).withColumn("_total", F.lit(total)).drop("_p", "_m")
+    _total. Prefix sums by ranges, so no task sorts the whole table."""
+    t = carried(ranges(entries, [], list(order)), [], F.col("size"), "_before").drop("_part", "_at")
+    total = t.agg(F.coalesce(F.sum("size"), F.lit(0)).alias("_total"))
+    return t.join(F.broadcast(total), F.lit(True)).withColumn("_left", F.col("_total") - F.col("_before") - F.col("size")).drop("_before")
 
 
 def evict_lru(entries: DataFrame, as_of: Column, required: int = 0, max_bytes: int = C.max_bytes, ttl_ms: float = C.ttl_ms) -> DataFrame:
@@ -61,3 +58,19 @@ def stats(entries: DataFrame) -> DataFrame:
 
 def delete(entries: DataFrame, keys: DataFrame) -> DataFrame:
     return entries.join(keys.select("key"), "key", "left_anti")
+
+
+def query_key(vector: Column, kind: Column, k: int) -> Column:
+    """What a similarity result is remembered by: the query's vector, type and number of results."""
+    return F.xxhash64(vector, kind, F.lit(k))
+
+
+def remembered(queries: DataFrame, results: DataFrame, k: int, search: Callable[[DataFrame], DataFrame]) -> tuple[DataFrame, DataFrame]:
+    """(results of all ``queries(query_id, query, type)``, rows to remember). Queries whose key is in
+    ``results(key, query_id, id, similarity, rank)`` are answered from it, the others by ``search``."""
+    keyed = queries.withColumn("key", query_key(F.col("query"), F.col("type"), k))
+    old = keyed.select("key", "query_id").join(results.drop("query_id"), "key")
+    fresh = keyed.join(results.select("key").distinct(), "key", "left_anti")
+    new = search(fresh.drop("key")).join(fresh.select("query_id", "key"), "query_id")
+    names = ["key", "query_id", "id", "similarity", "rank"]
+    return old.select(*names).unionByName(new.select(*names)), new.select(*names)

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..functions.numeric import ms, safe_div
 from ..functions.vectors import euclidean, norm
 from ..params import Partitions
+from ..scratch import staged
 from .search import centroids, nearest, pairs_within
 
 P = Partitions()
@@ -170,12 +171,22 @@ def density_metrics(sizes: DataFrame) -> DataFrame:
     return sizes.agg(safe_div(F.sum("size"), F.count(F.lit(1))).alias("density"), safe_div(F.sum("access_count"), F.sum("size")).alias("access_rate"))
 
 
-def kmeans(rows: DataFrame, k: int, seed: int = 7) -> DataFrame:
-    """``rows`` with cluster_id by k-means over unit vectors."""
-    from pyspark.ml.clustering import KMeans
-    from pyspark.ml.functions import array_to_vector
-
-    unit = rows.withColumn("_n", norm("vector")).withColumn("_u", F.transform("vector", lambda x: F.coalesce(F.try_divide(x.cast("double"), F.col("_n")), F.lit(0.0))))
-    f = unit.withColumn("features", array_to_vector("_u")).drop("cluster_id")
-    model = KMeans(k=k, seed=seed, featuresCol="features", predictionCol="cluster_id").fit(f)
-    return model.transform(f).drop("_n", "_u", "features")
+def kmeans(rows: DataFrame, k: int, iterations: int = 10) -> DataFrame:
+    """``rows`` with cluster_id 0..k-1 by spherical k-means: the first seed is the vector of the least id,
+    each further one the vector least similar to its nearest seed (the least id on ties); then
+    ``iterations`` rounds of assignment to the most similar mean. The same rows give the same clusters."""
+    base = staged(rows.drop("cluster_id"), "rows")
+    first = base.where(F.col("vector").isNotNull()).orderBy("id").select("vector").head()
+    if first is None:
+        return base.withColumn("cluster_id", F.lit(None).cast("int"))
+    spark, seeds = base.sparkSession, [first["vector"]]
+    table = lambda vs: spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(vs)], "cluster_id int, centroid array<double>")
+    for _ in range(k - 1):
+        far = nearest(base, table(seeds), "cluster_id").orderBy("similarity", "id").select("id").head()
+        seeds.append(base.where(F.col("id") == far["id"]).select("vector").head()["vector"])
+    means = table(seeds)
+    for _ in range(iterations):
+        own = staged(base.join(nearest(base, means, "cluster_id").select("id", "cluster_id"), "id"), "assigned")
+        unit = own.withColumn("_n", norm("vector")).withColumn("vector", F.transform("vector", lambda x: safe_div(x.cast("double"), F.col("_n"))))
+        means = staged(centroids(unit, "cluster_id").drop("n"), "means")  # k rows
+    return base.join(nearest(base, means, "cluster_id").select("id", "cluster_id"), "id")

@@ -11,7 +11,9 @@ from ..functions import scores as X
 from ..functions.numeric import age_days
 from ..functions.vectors import neural_weights
 from ..params import Decay
+from ..scratch import staged
 from . import predict
+from .ordering import numbered
 
 D = Decay()
 
@@ -44,36 +46,69 @@ def split_archive(decayed: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 #: Rows of one cluster that a single greedy pass may hold.
-GREEDY_ROWS = 50_000
+GREEDY_ROWS = 20_000
 
 
-def greedy_groups(memories: DataFrame, threshold: float = 0.8, group: str = "cluster_id") -> DataFrame:
+def _sets(column: pd.Series) -> list[set]:
+    return [set(x) if x is not None else set() for x in column]
+
+
+def _unit(column: pd.Series) -> np.ndarray:
+    a = np.array([np.asarray(x, float) for x in column])
+    length = np.linalg.norm(a, axis=1, keepdims=True)
+    return np.divide(a, length, out=np.zeros_like(a), where=length > 0)
+
+
+class _Rows:
+    """The parts of the composite similarity of some memories."""
+
+    def __init__(self, f: pd.DataFrame):
+        self.v = _unit(f["vector"])
+        self.w = _unit(f["neural_weights"]) if "neural_weights" in f else None
+        self.tags = _sets(f["ai_generated_tags"]) if "ai_generated_tags" in f else None
+        self.context = _sets(f["semantic_context"]) if "semantic_context" in f else None
+
+    def similarity(self, at: np.ndarray, other: _Rows, i: int) -> np.ndarray:
+        """Of the rows ``at`` to row i of ``other``."""
+        jaccard = lambda one, many: np.array([len(one & many[k]) / len(one | many[k]) if one | many[k] else 0.0 for k in at.tolist()])
+        s = 0.4 * (self.v[at] @ other.v[i])
+        if self.tags is not None:
+            s = s + 0.3 * jaccard(other.tags[i], self.tags)
+        if self.context is not None:
+            s = s + 0.2 * jaccard(other.context[i], self.context)
+        if self.w is not None:
+            s = s + 0.1 * (self.w[at] @ other.w[i])
+        return s
+
+
+def _taken(rows: _Rows, seeds: _Rows, left: np.ndarray, threshold: float) -> np.ndarray:
+    """For each row the first seed that takes it, or -1; seeds in order."""
+    out, at = np.full(len(left), -1), np.arange(len(left))
+    for i in range(len(seeds.v)):
+        if not len(at):
+            break
+        hit = rows.similarity(left[at], seeds, i) >= threshold
+        out[at[hit]] = i
+        at = at[~hit]
+    return out
+
+
+def greedy_groups(memories: DataFrame, threshold: float = 0.8, group: str = "cluster_id", block_rows: int = GREEDY_ROWS) -> DataFrame:
     """(group, id, seed): in order of id, a memory not yet taken seeds a group and takes every later one
-    whose composite similarity to it reaches the threshold.
+    whose composite similarity to it reaches the threshold. Tags and context may be missing.
 
-    The pass is sequential by nature and runs once for each cluster, a row against arrays (clusters
-    above GREEDY_ROWS are refused: split them first). Tags and context may be missing.
+    The pass is sequential by nature. A cluster of more than ``block_rows`` rows goes block by block: the
+    first block of rows not yet taken is passed over by one task, and its seeds take from all later rows,
+    which are dealt into chunks; every round settles a block at least, with the same result.
     """
     cols = [c for c in ("ai_generated_tags", "semantic_context", "neural_weights") if c in memories.columns]
-    big = memories.groupBy(group).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > GREEDY_ROWS).limit(1).count()
-    if big:
-        raise ValueError(f"a cluster has more than {GREEDY_ROWS} rows: split it first")
     kind = dict(memories.dtypes)[group]
+    schema = f"`{group}` {kind}, id long, seed long"
+    rows = memories.select(group, "id", "vector", *cols)
 
-    def sets_of(column: pd.Series) -> list[set]:
-        return [set(x) if x is not None else set() for x in column]
-
-    def jaccard(one: set, many: list[set], at: np.ndarray) -> np.ndarray:
-        return np.array([len(one & many[i]) / len(one | many[i]) if one | many[i] else 0.0 for i in at])
-
-    def run(f: pd.DataFrame) -> pd.DataFrame:
+    def one_pass(f: pd.DataFrame) -> pd.DataFrame:
         f = f.sort_values("id").reset_index(drop=True)
-        unit = lambda c: (lambda a: np.divide(a, np.linalg.norm(a, axis=1, keepdims=True), out=np.zeros_like(a), where=np.linalg.norm(a, axis=1, keepdims=True) > 0))(np.array([np.asarray(x, float) for x in c]))
-        v = unit(f["vector"])
-        w = unit(f["neural_weights"]) if "neural_weights" in cols else None
-        tags = sets_of(f["ai_generated_tags"]) if "ai_generated_tags" in cols else None
-        context = sets_of(f["semantic_context"]) if "semantic_context" in cols else None
-        seed = np.full(len(f), -1)
+        r, seed = _Rows(f), np.full(len(f), -1)
         for i in range(len(f)):
             if seed[i] >= 0:
                 continue
@@ -81,17 +116,36 @@ def greedy_groups(memories: DataFrame, threshold: float = 0.8, group: str = "clu
             left = np.flatnonzero(seed < 0)
             if not len(left):
                 break
-            s = 0.4 * (v[left] @ v[i])
-            if tags is not None:
-                s = s + 0.3 * jaccard(tags[i], tags, left)
-            if context is not None:
-                s = s + 0.2 * jaccard(context[i], context, left)
-            if w is not None:
-                s = s + 0.1 * (w[left] @ w[i])
-            seed[left[s >= threshold]] = i
+            seed[left[r.similarity(left, r, i) >= threshold]] = i
         return pd.DataFrame({group: f[group], "id": f["id"], "seed": f["id"].to_numpy()[seed]})
 
-    return memories.select(group, "id", "vector", *cols).groupBy(group).applyInPandas(run, f"`{group}` {kind}, id long, seed long")
+    def take(rest: pd.DataFrame, seeds: pd.DataFrame) -> pd.DataFrame:
+        if not len(rest) or not len(seeds):
+            return pd.DataFrame({group: [], "id": [], "seed": []})
+        seeds = seeds.sort_values("id").reset_index(drop=True)
+        got = _taken(_Rows(rest), _Rows(seeds), np.arange(len(rest)), threshold)
+        mine = rest[got >= 0]
+        return pd.DataFrame({group: mine[group], "id": mine["id"], "seed": seeds["id"].to_numpy()[got[got >= 0]]})
+
+    most = rows.groupBy(group).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
+    if most <= block_rows:
+        return rows.groupBy(group).applyInPandas(one_pass, schema)
+    left, done = staged(rows, "left"), []
+    while left.limit(1).count():
+        placed = staged(numbered(left, [group], [F.col("id")], "_i"), "placed")
+        head = staged(placed.where(F.col("_i") < block_rows).drop("_i").groupBy(group).applyInPandas(one_pass, schema), "head")
+        done.append(head)
+        rest = placed.where(F.col("_i") >= block_rows).withColumn("_chunk", F.floor(F.col("_i") / block_rows)).drop("_i")
+        chunks = rest.select(group, "_chunk").distinct()
+        seeds = placed.drop("_i").join(head.where("id = seed").select("id"), "id", "left_semi").join(chunks, group)
+        got = rest.groupBy(group, "_chunk").cogroup(seeds.select(group, "_chunk", "id", "vector", *cols).groupBy(group, "_chunk")).applyInPandas(take, schema)
+        got = staged(got, "taken")
+        done.append(got)
+        left = staged(rest.drop("_chunk").join(got.select("id"), "id", "left_anti").select(*rows.columns), "left")
+    out = done[0]
+    for d in done[1:]:
+        out = out.unionByName(d)
+    return out
 
 
 def merge_groups(memories: DataFrame, groups: DataFrame) -> DataFrame:

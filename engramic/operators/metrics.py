@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from ..functions.numeric import age_days, ms, or_default, safe_div
 from ..functions.scores import health_status, threshold_status, trend_label
 from ..params import DAY_MS, Decay, Metrics
-from .series import last_level, smooth
+from .ordering import numbered
+from .series import last_level, rolling_z, smooth
 
 M, D = Metrics(), Decay()
 
@@ -103,3 +104,33 @@ def store_telemetry(memories: DataFrame, kind: str) -> DataFrame:
     t = memories.where(F.col("type") == kind)
     n = t.agg(F.count(F.lit(1)).alias("memory_count"))
     return t.select("id", "last_accessed", "strength").join(F.broadcast(n), F.lit(True)).orderBy("last_accessed", "id")
+
+
+#: The metrics that a new log knows. Fixed values.
+REGISTRY = ("memoryUsage", "clusterStability", "systemPerformance", "errorRate", "accessLatency", "operationsCount", "cpuUsage")
+
+
+def registry(log: DataFrame, names: tuple[str, ...] = REGISTRY, m: Metrics = M) -> DataFrame:
+    """(metric, n, normal, warning, critical) of every registered metric and every other one of the log;
+    those without values have the configured thresholds."""
+    known = log.sparkSession.createDataFrame([(x,) for x in names], "metric string")
+    counted = log.groupBy("metric").agg(F.count(F.lit(1)).alias("n"))
+    every = known.join(counted, "metric", "full_outer").withColumn("n", F.coalesce("n", F.lit(0).cast("long")))
+    limits = every.join(dynamic_thresholds(log, m=m), "metric", "left")
+    return limits.select("metric", "n", *[F.coalesce(c, F.lit(d)).alias(c) for c, d in (("normal", m.normal), ("warning", m.warning), ("critical", m.critical))])
+
+
+def history(log: DataFrame, metric: str) -> DataFrame:
+    """(ts, value) of one metric in the order of time."""
+    return log.where(F.col("metric") == metric).select("ts", "value").orderBy("ts")
+
+
+def metric_view(log: DataFrame, m: Metrics = M) -> DataFrame:
+    """(metric, idx, ts, value, level, anomaly, forecast): the rows of a metric's chart. level is smoothed,
+    an anomaly is far from the window before it, and the last ``horizon`` levels stand for the forecast."""
+    level = smooth(log, ["metric"], ["ts"], "value", m.smoothing)
+    last = level.groupBy("metric").agg(F.max("idx").alias("_last"))
+    odd = rolling_z(log, ["metric"], ["ts"], "value", m.anomaly_window).select("metric", "ts", F.lit(True).alias("_a"))
+    rows = numbered(log.select("metric", "ts", "value"), ["metric"], [F.col("ts")], "idx")
+    j = rows.join(level.select("metric", "idx", "level"), ["metric", "idx"]).join(odd, ["metric", "ts"], "left").join(last, "metric")
+    return j.select("metric", "idx", "ts", "value", "level", F.coalesce("_a", F.lit(False)).alias("anomaly"), (F.col("idx") > F.col("_last") - m.horizon).alias("forecast"))

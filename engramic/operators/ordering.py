@@ -82,14 +82,14 @@ def exact_quantiles(df: DataFrame, keys: list[str], x: str, qs: list[float], key
     return g.select(*keys, *[(F.col(f"_l{k}") + (F.col(f"_h{k}") - F.col(f"_l{k}")) * part(q)).alias(f"q{k}") for k, q in enumerate(qs)])
 
 
-def in_blocks(df: DataFrame, keys: list[str], order: list[Column], before: int, block: int, key_rows: int | None = None) -> tuple[DataFrame, list[str]]:
+def in_blocks(df: DataFrame, keys: list[str], order: list[Column], before: int, block: int, key_rows: int | None = None, place: str | None = None) -> tuple[DataFrame, list[str]]:
     """(rows, keys of blocks): for windows over the ``before`` rows ahead of each row. Up to ``key_rows`` rows
     of a key the blocks are the keys; beyond it a key is cut into blocks, each with the last ``before`` rows
-    of the one before it, marked _own false."""
+    of the one before it, marked _own false; ``place`` then holds the row's place in its key."""
     if most_rows(df, keys) <= (KEY_ROWS if key_rows is None else key_rows):
         return df.withColumn("_own", F.lit(True)), keys
     t = numbered(df, keys, order, "_i", 0)
     own = F.floor(F.col("_i") / block)
     also = F.when(F.pmod(F.col("_i"), F.lit(block)) >= block - before, F.array(own, own + 1)).otherwise(F.array(own))
     t = t.withColumn("_block", F.explode(also)).withColumn("_own", F.col("_block") == own)
-    return t.drop("_i"), [*keys, "_block"]
+    return t.withColumnRenamed("_i", place) if place else t.drop("_i"), [*keys, "_block"]

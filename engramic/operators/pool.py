@@ -6,8 +6,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numeric import ms
-from ..functions.scores import clamped_priority, worker_probability
+from ..functions.scores import clamped_priority, scaled_pool, worker_probability
 from ..params import Pool
+from .ordering import numbered
 
 P = Pool()
 
@@ -17,8 +18,8 @@ def queue_order(tasks: DataFrame, threshold: int = P.priority_threshold, keys: t
     stands before all of lower priority, the others in order of arrival behind them."""
     p = clamped_priority(F.col("priority"))
     band = F.when(p >= threshold, p).otherwise(F.lit(-1))
-    w = Window.partitionBy(*(keys or [F.lit(0)])).orderBy(band.desc(), "created", "id")
-    return tasks.withColumn("priority", p.cast("int")).withColumn("place", F.row_number().over(w))
+    t = numbered(tasks.withColumn("_band", band), list(keys), [F.desc("_band"), F.col("created"), F.col("id")], "place")
+    return t.withColumn("priority", p.cast("int")).withColumn("place", F.col("place") + 1).drop("_band")
 
 
 def probabilities(workers: DataFrame) -> DataFrame:
@@ -51,6 +52,56 @@ def state_times(transitions: DataFrame) -> DataFrame:
     return t.where("_ms is not null").groupBy("worker_id", F.col("to").alias("state")).agg(F.sum("_ms").alias("ms"))
 
 
+def latency_spikes(log: DataFrame, n: int = 10, limit: float = 2.0) -> DataFrame:
+    """(ts, kind, value): of the last ``n`` telemetry rows of ``log(ts, value)`` those further than ``limit``
+    population deviations from their mean; none for fewer than two rows."""
+    last = log.orderBy(F.desc("ts"), F.desc("value")).limit(n)
+    stats = last.agg(F.avg("value").alias("_m"), F.stddev_pop("value").alias("_s"), F.count(F.lit(1)).alias("_n"))
+    far = last.join(F.broadcast(stats), F.lit(True)).where((F.col("_n") >= 2) & (F.abs(F.col("value") - F.col("_m")) > limit * F.col("_s")))
+    return far.select("ts", F.lit("latency_spike").alias("kind"), "value")
+
+
+def timed_out(tasks: DataFrame, workers: DataFrame, as_of: Column, timeout_ms: float = P.timeout_ms) -> DataFrame:
+    """(id, worker_id, error) of the tasks that a worker holds for longer than allowed: the task is rejected
+    and the worker replaced."""
+    held = tasks.join(workers.select("worker_id", F.col("task_id").alias("id")), "id")
+    return held.where((ms(as_of) - ms("created")) > timeout_ms).select("id", "worker_id", F.lit("Task timeout").alias("error"))
+
+
+def health_actions(workers: DataFrame, least_efficiency: float = 0.5) -> DataFrame:
+    """(worker_id, action): replace below a health of 0.2; heal below 0.5, above five errors or below the
+    least efficiency; workers that need nothing are left out."""
+    ill = (F.col("health") < 0.5) | (F.col("errors") > 5) | (F.col("efficiency") < least_efficiency)
+    action = F.when(ill & (F.col("health") < 0.2), "replace").when(ill, "heal")
+    return workers.select("worker_id", action.alias("action")).where("action is not null")
+
+
+def scaling_target(tasks: DataFrame, workers: DataFrame, p: Pool = P) -> DataFrame:
+    """One row: active workers, queued tasks (that no worker holds) and the size the pool should have."""
+    queued = tasks.join(workers.select(F.col("task_id").alias("id")), "id", "left_anti").agg(F.count(F.lit(1)).alias("queued"))
+    w = workers.agg(F.count(F.lit(1)).alias("active"), F.coalesce(F.avg("cpu"), F.lit(0.0)).alias("_c"), F.coalesce(F.avg("memory"), F.lit(0.0)).alias("_m"))
+    j = w.join(F.broadcast(queued), F.lit(True))
+    return j.select("active", "queued", scaled_pool(F.col("active"), F.col("queued"), F.col("_c"), F.col("_m"), p.min_workers, p.max_workers, p.scaling_factor).alias("target"))
+
+
+def resize(workers: DataFrame, least: int, most: int) -> tuple[int, DataFrame]:
+    """(workers to create, workers to stop): the idle ones of least health go first."""
+    n = workers.count()
+    return max(0, least - n), least_healthy(workers.where(~F.col("busy")), max(0, n - most)).select("worker_id")
+
+
+def pool_state(tasks: DataFrame, workers: DataFrame) -> DataFrame:
+    """One row: tasks in the queue, busy workers, and whether the pool is idle."""
+    q = tasks.agg(F.count(F.lit(1)).alias("queue_length"))
+    b = workers.agg(F.count_if(F.col("busy")).alias("busy"))
+    return q.join(F.broadcast(b), F.lit(True)).withColumn("idle", (F.col("queue_length") == 0) & (F.col("busy") == 0))
+
+
+def terminated(tasks: DataFrame) -> DataFrame:
+    """(id, error) of all tasks that a pool rejects when it ends."""
+    return tasks.select("id", F.lit("Worker pool terminated").alias("error"))
+
+
 def idle_to_stop(workers: DataFrame, as_of: Column, idle_ms: float = 60_000, least: int = P.min_workers) -> DataFrame:
     """Workers idle for longer than allowed, the longest idle first, as long as ``least`` remain."""
     n = workers.count()

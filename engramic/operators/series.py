@@ -1,42 +1,49 @@
 """Ordered series: rolling scores, smoothing, trends, cycles, lags, recurring runs.
 
 A series is a key and its rows in the order of given columns. Rolling frames and lags are window
-functions by key; folds that need every earlier value run over the key's ordered array up to
-``FOLD_ROWS`` rows and by a streaming pass over sorted partitions beyond it, with equal results.
+functions by key, and by blocks of a key where that has too many rows for one task; folds that need
+every earlier value run over sorted rows, by ranges beyond ``FOLD_ROWS`` rows of a key, with equal
+results up to the rounding of sums.
 """
 
 from __future__ import annotations
 
+import itertools
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.numeric import half_up
+from ..functions.numeric import half_up, normal_pdf
 from ..params import Correlation, Metrics, Statistics
-from .statistics import iqr_outliers, pearson, sigma_anomalies
+from ..scratch import staged
+from .ordering import in_blocks, numbered
+from .statistics import best_fit, density_curve, distribution_fits, histogram, iqr_outliers, pearson, sigma_anomalies
 
 M, S, C = Metrics(), Statistics(), Correlation()
-#: Rows of one key that an ordered array may hold.
-FOLD_ROWS = 100_000
+#: Rows of one key that one task folds; rows of one block of a rolling frame.
+FOLD_ROWS, BLOCK_ROWS = 1_000_000, 200_000
 
 
-def rolling_z(df: DataFrame, keys: list[str], order: list[str], value: str, rows: int = M.anomaly_window, sample: bool = False, limit: float = 2.0) -> DataFrame:
+def rolling_z(df: DataFrame, keys: list[str], order: list[str], value: str, rows: int = M.anomaly_window, sample: bool = False, limit: float = 2.0, key_rows: int | None = None) -> DataFrame:
     """Rows whose distance from the mean of the ``rows`` before them exceeds ``limit`` deviations of those.
 
     Population deviation, and 0 for a flat window; with ``sample`` the sample deviation, and a flat
-    window makes any other value infinitely far. The first ``rows`` rows are never flagged.
+    window makes any other value infinitely far. The first ``rows`` rows are never flagged. A key with
+    too many rows for one task goes in blocks that carry the rows before them.
     """
-    w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(-rows, -1)
+    r, by = in_blocks(df, keys, [F.col(c) for c in order], rows, max(rows, BLOCK_ROWS), key_rows)
+    w = Window.partitionBy(*by).orderBy(*order).rowsBetween(-rows, -1)
     x = F.col(value).cast("double")
     sd = (F.stddev_samp if sample else F.stddev_pop)(x).over(w)
-    r = df.withColumn("_m", F.avg(x).over(w)).withColumn("_s", sd).withColumn("_n", F.count(x).over(w))
+    r = r.withColumn("_m", F.avg(x).over(w)).withColumn("_s", sd).withColumn("_n", F.count(x).over(w)).where("_own")
     off = F.abs(x - F.col("_m"))
     flat = F.when(off > 0, F.lit(float("inf"))).otherwise(0.0) if sample else F.lit(0.0)
     z = F.when(F.col("_s") == 0, flat).otherwise(F.try_divide(off, F.col("_s")))
-    return r.withColumn("z", z).where((F.col("_n") == rows) & (F.col("z") > limit) & ~F.isnan("z")).drop("_m", "_s", "_n")
+    return r.withColumn("z", z).where((F.col("_n") == rows) & (F.col("z") > limit) & ~F.isnan("z")).select(*df.columns, "z")
 
 
 def latest(df: DataFrame, keys: list[str], order: list[str], n: int) -> DataFrame:
@@ -63,41 +70,83 @@ def mean_change(df: DataFrame, keys: list[str], order: list[str], value: str) ->
 
 
 def smooth(df: DataFrame, keys: list[str], order: list[str], value: str, alpha: float = S.smoothing, fold_rows: int = FOLD_ROWS) -> DataFrame:
-    """Exponential smoothing s0 = x0, si = alpha xi + (1 - alpha) s(i-1): (keys, idx, x, level)."""
-    cols = [c for c in order]
-    base = df.select(*keys, *cols, F.col(value).cast("double").alias("x"))
-    counts = base.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    if (counts.agg(F.max("_n")).first()[0] or 0) > fold_rows:
-        return _smooth_sorted(base, keys, cols, alpha)
-    arrays = base.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(*cols, "x"))).alias("_a"))
-    return _fold(arrays, keys, F.transform("_a", lambda e: e["x"]), alpha)
+    """Exponential smoothing s0 = x0, si = alpha xi + (1 - alpha) s(i-1): (keys, idx, x, level).
 
-
-def _fold(arrays: DataFrame, keys: list[str], xs: Column, alpha: float) -> DataFrame:
-    step = lambda acc, x: F.concat(acc, F.array(F.when(F.size(acc) == 0, x).otherwise(alpha * x + (1 - alpha) * F.try_element_at(acc, F.lit(-1)))))
-    levels = F.aggregate(xs, F.array().cast("array<double>"), step)
-    return arrays.select(*keys, F.posexplode(F.arrays_zip(xs.alias("x"), levels.alias("level"))).alias("idx", "e")).select(*keys, "idx", F.col("e.x").alias("x"), F.col("e.level").alias("level"))
-
-
-def _smooth_sorted(base: DataFrame, keys: list[str], order: list[str], alpha: float) -> DataFrame:
-    schema = ", ".join([f"`{n}` {t}" for n, t in base.select(*keys).dtypes] + ["idx int", "x double", "level double"])
+    Up to ``fold_rows`` rows a key is folded in one task. Beyond it a key goes in blocks, each folded from
+    so many rows before it that what stood before those has faded below the last bit of a level."""
+    base = df.select(*keys, *order, F.col(value).cast("double").alias("x"))
+    fade = math.ceil(60 * math.log(2) / -math.log1p(-alpha)) if 0 < alpha < 1 else 1
+    t, by = in_blocks(base, keys, [F.col(c) for c in order], fade, max(fade, BLOCK_ROWS), fold_rows, "_i")
+    if "_i" not in t.columns:
+        t = t.withColumn("_i", F.lit(None).cast("long"))
+    kinds = dict(t.dtypes)
+    schema = ", ".join([*[f"`{k}` {kinds[k]}" for k in keys], "idx int", "x double", "level double"])
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         key, level, idx = None, 0.0, 0
         for f in frames:
-            levels, places = np.empty(len(f)), np.empty(len(f), np.int64)
-            for i, (k, x) in enumerate(zip(f[keys].itertuples(index=False, name=None), f["x"].to_numpy(), strict=True)):
-                level, idx = (x, 0) if k != key else (alpha * x + (1 - alpha) * level, idx + 1)
-                key, levels[i], places[i] = k, level, idx
-            yield f[keys].assign(idx=places, x=f["x"], level=levels)
-
-    return base.repartition(*keys).sortWithinPartitions(*keys, *order).mapInPandas(run, schema)
+            if not len(f):
+                continue
+            own = list(f[by].itertuples(index=False, name=None))
+            edge = [0, *[i for i in range(1, len(own)) if own[i] != own[i - 1]], len(own)]
+            xs, levels, places = f["x"].to_numpy(), np.empty(len(f)), np.empty(len(f), np.int64)
+            for a, b in zip(edge, edge[1:], strict=False):
+                if own[a] != key:
+                    # the first value is a level itself: as if one equal to it stood before
+                    key, level, idx = own[a], xs[a], 0
+                    levels[a] = level
+                    rest = list(itertools.accumulate(xs[a + 1 : b].tolist(), lambda s, x: alpha * x + (1 - alpha) * s, initial=level))
+                    levels[a:b] = rest
+                else:
+                    levels[a:b] = list(itertools.accumulate(xs[a:b].tolist(), lambda s, x: alpha * x + (1 - alpha) * s, initial=level))[1:]
+                level = levels[b - 1]
+                places[a:b] = np.arange(idx, idx + b - a)
+                idx += b - a
+            if len(by) > len(keys):
+                places = f["_i"].to_numpy()
+            out = f[keys].assign(idx=places, x=xs, level=levels)
+            yield out[f["_own"].to_numpy(bool)]
+
+    sort = [*by, "_i"] if len(by) > len(keys) else [*keys, *order]
+    rows = t.repartition(*by) if by else t.coalesce(1)
+    return rows.sortWithinPartitions(*sort).mapInPandas(run, schema)
 
 
 def last_level(smoothed: DataFrame, keys: list[str]) -> DataFrame:
     return smoothed.groupBy(*keys).agg(F.max_by("level", "idx").alias("level"), F.max("idx").alias("last"))
 
 
+def forecast_tail(smoothed: DataFrame, keys: list[str], steps: int = 5) -> DataFrame:
+    """(keys, step, value): the last ``steps`` levels, in order, from 1."""
+    last = smoothed.groupBy(*keys).agg(F.max("idx").alias("_last"))
+    j = smoothed.join(last, keys).where(F.col("idx") > F.col("_last") - steps)
+    first = F.greatest(F.col("_last") - steps + 1, F.lit(0))
+    return j.select(*keys, (F.col("idx") - first + 1).cast("int").alias("step"), F.col("level").alias("value"))
+
+
+def forecast_curve(smoothed: DataFrame, keys: list[str], best: DataFrame, shift: DataFrame, steps: int = 100) -> DataFrame:
+    """(keys, step, x, y): the shifted normal density at steps + 1 places over the range of the levels; 0 for
+    series whose best fit is not normal."""
+    span = smoothed.groupBy(*keys).agg(F.min("level").alias("_a"), F.max("level").alias("_b"))
+    j = span.join(best.select(*keys, "kind"), keys).join(shift.select(*keys, "mean", "std_dev"), keys)
+    j = j.withColumn("step", F.explode(F.sequence(F.lit(0), F.lit(steps)))).withColumn("x", F.col("_a") + (F.col("_b") - F.col("_a")) * F.col("step") / steps)
+    y = F.when((F.col("kind") == "normal") & (F.col("std_dev") > 0), normal_pdf(F.col("x"), F.col("mean"), F.col("std_dev"))).otherwise(0.0)
+    return j.select(*keys, "step", "x", y.alias("y"))
+
+
+def stats_view(df: DataFrame, keys: list[str], order: list[str], value: str) -> DataFrame:
+    """(keys, part, x, y): the points of a distribution's chart: histogram bins, the density of the best fit,
+    outliers by place, and the forecast curve."""
+    hist = histogram(df, keys, value).select(*keys, F.lit("histogram").alias("part"), F.col("bin").alias("x"), F.col("n").cast("double").alias("y"))
+    best = staged(best_fit(distribution_fits(df, keys, value), keys), "best")
+    curve = density_curve(df, keys, value, best).select(*keys, F.lit("density").alias("part"), "x", "y")
+    placed = numbered(df.select(*keys, *order, F.col(value).cast("double").alias("x")), keys, [F.col(c) for c in order], "_i")
+    out = rolling_z(placed, keys, order, "x", S.rolling, sample=True).select(*keys, F.lit("outlier").alias("part"), F.col("_i").cast("double").alias("_x"), F.col("x").alias("y")).withColumnRenamed("_x", "x")
+    level = staged(smooth(df, keys, order, value), "levels")
+    ahead = forecast_curve(level, keys, best, distribution_shift(level, keys)).select(*keys, F.lit("forecast").alias("part"), "x", "y")
+    return hist.unionByName(curve).unionByName(out).unionByName(ahead)
+
+
 def forecast(smoothed: DataFrame, keys: list[str], steps: int = 5) -> DataFrame:
     """(keys, step, value): the flat continuation of the last level."""
     return last_level(smoothed, keys).select(*keys, F.explode(F.sequence(F.lit(1), F.lit(steps))).alias("step"), F.col("level").alias("value"))
@@ -114,7 +163,7 @@ def distribution_shift(smoothed: DataFrame, keys: list[str], rows: int = S.rolli
 
 def linear_trend(df: DataFrame, keys: list[str], order: list[str], value: str, limit: float = C.min_correlation) -> DataFrame:
     """(keys, n, r, trend): correlation of the value with its place."""
-    r = df.withColumn("_i", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)).cast("double"))
+    r = numbered(df, keys, [F.col(c) for c in order], "_i").withColumn("_i", (F.col("_i") + 1).cast("double"))
     return pearson(r, keys, "_i", value).withColumn("trend", F.when(F.col("r") > limit, "increasing").when(F.col("r") < -limit, "decreasing").otherwise("stable"))
 
 
@@ -131,8 +180,7 @@ def recurring_runs(df: DataFrame, keys: list[str], order: list[str], value: str,
 
 
 def indexed(df: DataFrame, keys: list[str], order: list[str], value: str) -> DataFrame:
-    w = Window.partitionBy(*(keys or [F.lit(0)])).orderBy(*order)
-    return df.select(*keys, (F.row_number().over(w) - 1).alias("i"), F.col(value).cast("double").alias("x"))
+    return numbered(df, keys, [F.col(c) for c in order], "i").select(*keys, "i", F.col(value).cast("double").alias("x"))
 
 
 def spectrum(df: DataFrame, keys: list[str], order: list[str], value: str) -> DataFrame:

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from ..functions.numeric import erf_inv, normal_cdf, normal_pdf, safe_div
 from ..functions.scores import direction_label, strength_label
 from ..params import Correlation, Statistics
+from .ordering import exact_quantiles, numbered
 
 S, C = Statistics(), Correlation()
 
@@ -32,11 +33,11 @@ def _joined(parts: list[DataFrame], keys: list[str]) -> DataFrame:
 def moments(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     """n, mean, median, variance and std_dev (sample), skewness = m3 / s^3 and kurtosis = m4 / s^4 - 3 with
     the sample deviation s, min and max."""
-    x, n = F.col("x"), F.count("x")
-    return _values(df, keys, value).groupBy(*keys).agg(
+    x, n, v = F.col("x"), F.count("x"), _values(df, keys, value)
+    middle = exact_quantiles(v, keys, "x", [0.5]).withColumnRenamed("q0", "median")
+    rest = v.groupBy(*keys).agg(
         n.alias("n"),
         F.avg(x).alias("mean"),
-        F.percentile(x, 0.5).alias("median"),
         F.var_samp(x).alias("variance"),
         F.stddev_samp(x).alias("std_dev"),
         (F.skewness(x) * F.pow(safe_div(n - 1, n), F.lit(1.5))).alias("skewness"),
@@ -44,6 +45,7 @@ def moments(df: DataFrame, keys: list[str], value: str) -> DataFrame:
         F.min(x).alias("min"),
         F.max(x).alias("max"),
     )
+    return _joined([rest, middle], keys).select(*keys, "n", "mean", "median", *rest.columns[len(keys) + 2 :])
 
 
 def modes(df: DataFrame, keys: list[str], value: str) -> DataFrame:
@@ -55,20 +57,20 @@ def modes(df: DataFrame, keys: list[str], value: str) -> DataFrame:
 
 def half_quartiles(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     """q1, q2, q3: medians of the halves, the middle row left out of both for odd counts."""
-    w = Window.partitionBy(*(keys or [F.lit(0)]))
-    r = _values(df, keys, value).withColumn("_i", F.row_number().over(w.orderBy("x"))).withColumn("_n", F.count(F.lit(1)).over(w))
-    half = F.floor(F.col("_n") / 2)
-    return r.groupBy(*keys).agg(
-        F.percentile(F.when(F.col("_i") <= half, F.col("x")), 0.5).alias("q1"),
-        F.percentile("x", 0.5).alias("q2"),
-        F.percentile(F.when(F.col("_i") > F.col("_n") - half, F.col("x")), 0.5).alias("q3"),
-    )
+    v = _values(df, keys, value)
+    r = _joined([numbered(v, keys, [F.col("x")], "_i"), v.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))], keys)
+    half, i = F.floor(F.col("_n") / 2), F.col("_i")
+    # the median of h values from place a on: the mean of the places a + (h - 1) / 2, rounded down and up
+    middle = lambda a, h: F.avg(F.when((i == a + F.floor((h - 1) / 2)) | (i == a + F.ceil((h - 1) / 2)), F.col("x")))
+    return r.groupBy(*keys).agg(middle(F.lit(0), half).alias("q1"), middle(F.lit(0), F.col("_n")).alias("q2"), middle(F.col("_n") - half, half).alias("q3"))
 
 
 def quantiles(df: DataFrame, keys: list[str], value: str, qs: list[float], exact: bool = True) -> DataFrame:
     """Linear-interpolated quantiles (exact), or approximate ones that keep a bounded sketch each."""
-    f = F.percentile if exact else (lambda c, q: F.percentile_approx(c, q, 10_000))
-    return _values(df, keys, value).groupBy(*keys).agg(*[f("x", q).alias(f"q{round(q * 100)}") for q in qs])
+    v, names = _values(df, keys, value), [f"q{round(q * 100)}" for q in qs]
+    if not exact:
+        return v.groupBy(*keys).agg(*[F.percentile_approx("x", q, 10_000).alias(n) for q, n in zip(qs, names, strict=True)])
+    return exact_quantiles(v, keys, "x", qs).select(*keys, *[F.col(f"q{k}").alias(n) for k, n in enumerate(names)])
 
 
 def iqr_outliers(df: DataFrame, keys: list[str], value: str, k: float = 1.5) -> DataFrame:
@@ -85,10 +87,12 @@ def sigma_anomalies(df: DataFrame, keys: list[str], value: str, order: list[str]
     rows = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("x"), F.struct(*order).alias("_o"))
     stats = rows.groupBy(*keys).agg(F.avg("x").alias("_m"), F.stddev_pop("x").alias("_s"), F.count(F.lit(1)).alias("_n"))
     far = _joined([rows, stats], keys).where(F.abs(F.col("x") - F.col("_m")) > k * F.col("_s"))
-    first = far.withColumn("_r", F.row_number().over(Window.partitionBy(*(keys or [F.lit(0)])).orderBy("_o")))
-    return first.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("support"), F.max(F.lit(1.0) / F.col("_n")).alias("_w"), F.array_sort(F.collect_list(F.when(F.col("_r") <= examples, F.struct("_r", "x")))).alias("_e")
-    ).select(*keys, "support", (F.col("support") * F.col("_w")).alias("confidence"), F.transform("_e", lambda e: e["x"]).alias("examples"))
+    # the first examples by a window that takes its limit before the exchange, the share by an aggregate
+    rank = F.row_number().over(Window.partitionBy(*(keys or [F.lit(0)])).orderBy("_o"))
+    first = far.select(*keys, "_o", "x").withColumn("_r", rank).where(F.col("_r") <= examples)
+    first = first.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("_r", "x"))), lambda e: e["x"]).alias("examples"))
+    share = far.groupBy(*keys).agg(F.count(F.lit(1)).alias("support"), F.max(F.lit(1.0) / F.col("_n")).alias("_w"))
+    return _joined([share, first], keys).select(*keys, "support", (F.col("support") * F.col("_w")).alias("confidence"), "examples")
 
 
 def pearson(df: DataFrame, keys: list[str], x: str, y: str) -> DataFrame:
@@ -159,8 +163,8 @@ def distribution_fits(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     params = {"normal": ("nm", "ns"), "lognormal": ("lm", "ls"), "exponential": ("lam", None)}
     out = None
     for k, inside in domain.items():
-        w = Window.partitionBy(*(keys or [F.lit(0)]))
-        r = j.where(inside).withColumn("_i", F.row_number().over(w.orderBy("x"))).withColumn("_n", F.count(F.lit(1)).over(w))
+        own = j.where(inside)
+        r = _joined([numbered(own, keys, [F.col("x")], "_i").withColumn("_i", F.col("_i") + 1), own.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))], keys)
         far = r.groupBy(*keys).agg((1 - F.max(F.abs(F.col("_i") / F.col("_n") - cdf[k]))).alias("fit"))
         a, b = params[k]
         rows = g.select(*keys, F.lit(k).alias("kind"), F.col(a).alias("p1"), (F.col(b) if b else F.lit(None).cast("double")).alias("p2"))
