@@ -328,7 +328,9 @@ def passage_spans(units: DataFrame, repeated: DataFrame, unit_rows: int = UNIT_R
         low, high = F.min("start").over(passage), F.max("end").over(passage)
         long = staged(joined.select(*text, "span", low.alias("start"), high.alias("end")).where(F.col("end") - F.col("start") >= min_words).withColumn("node", F.xxhash64(*text, "start", "end", F.lit("removed"))), "long")
         # what is kept for them: the first place of each class, as far as the outermost ones reach
-        inside = staged(late.join(long.select(*text, "span", "node").hint("merge"), [*text, "span"]).select("class", "node").distinct(), "inside")
+        # a span has a class once, at however many places of it
+        classes = late.select(*text, "span", "class").distinct()
+        inside = staged(classes.join(long.select(*text, "span", "node").hint("merge"), [*text, "span"]).select("class", "node").distinct(), "inside")
         wide = reaches.join(long.select(*text, "span").hint("merge"), [*text, "span"], "left_semi")
         wide = wide.groupBy("class").agg(far(-1).alias("before"), far(1).alias("after"))
         held = kept.join(inside.select("class").distinct().hint("merge"), "class", "left_semi").join(wide.hint("merge"), "class", "left")
