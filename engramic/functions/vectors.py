@@ -41,3 +41,12 @@ def neural_weights(relevance: Column, importance: Column, key: Column, size: int
     row has the same weights in every run."""
     u = lambda i: F.pmod(F.xxhash64(key, i), F.lit(1_000_000)) / F.lit(1_000_000.0)
     return F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda i: F.tanh(relevance * F.when(i % 2 == 0, 1.0).otherwise(-1.0) + importance * u(i)))
+
+
+def cosine_fixed(a: Column | str, b: Column | str, size: int) -> Column:
+    """Cosine similarity over the first ``size`` components without any guard: NaN where either vector is
+    shorter or has length zero."""
+    first = lambda v: F.slice(num(v), 1, size)
+    whole = (F.size(num(a)) >= size) & (F.size(num(b)) >= size)
+    c = F.try_divide(dot(first(a), first(b)), norm(first(a)) * norm(first(b)))
+    return F.coalesce(F.when(whole, c), F.lit(float("nan")))

@@ -1,6 +1,6 @@
 """The registered queries and their SQL twins."""
 
-from . import memories, statistics, streams
+from . import memories, partitions, statistics, streams, views
 
-QUERIES = {**memories.QUERIES, **statistics.QUERIES, **streams.QUERIES}
-ORACLE_SQL = {**memories.ORACLE_SQL, **statistics.ORACLE_SQL, **streams.ORACLE_SQL}
+QUERIES = {**memories.QUERIES, **partitions.QUERIES, **statistics.QUERIES, **streams.QUERIES, **views.QUERIES}
+ORACLE_SQL = {**memories.ORACLE_SQL, **partitions.ORACLE_SQL, **statistics.ORACLE_SQL, **streams.ORACLE_SQL, **views.ORACLE_SQL}

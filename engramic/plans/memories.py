@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scores as X
 from ..functions.numeric import age_days
-from ..functions.vectors import euclidean, jaccard
+from ..functions.vectors import cosine, euclidean, jaccard
 from ..operators import cache, clusters, lifecycle, listing, metrics, pool, predict, search, series, statistics
 from ..operators import memories as mem
 from .common import AS_OF_TEXT, CENT, ENTRIES, LOG, MEM, TASKS, as_of, cache_entries, edges, log, memories, r6, rounded, table, tasks
@@ -78,11 +78,11 @@ def _decayed(s, d):
 
 
 def _composite(s, d):
-    m = _m(s, d).select("id", "cluster_id", "vector", "emotions", F.split(X.day_part("ts"), ",").alias("ctx"))
+    m = _m(s, d).select("id", "cluster_id", "vector", "emotions", F.split(X.day_part("ts"), ",").alias("ctx"), F.slice("vector", 1, 8).alias("w"))
     p = search.pairs_within(m, "cluster_id", 0.3)
-    side = lambda k: m.select(F.col("id").alias(f"id_{k}"), F.col("emotions").alias(f"e{k}"), F.col("ctx").alias(f"c{k}"))
+    side = lambda k: m.select(F.col("id").alias(f"id_{k}"), F.col("emotions").alias(f"e{k}"), F.col("ctx").alias(f"c{k}"), F.col("w").alias(f"w{k}"))
     j = p.join(side("a"), "id_a").join(side("b"), "id_b")
-    return j.select("id_a", "id_b", r6(X.composite_similarity(F.col("similarity"), jaccard("ea", "eb"), jaccard("ca", "cb"), F.lit(0.0))).alias("score"))
+    return j.select("id_a", "id_b", r6(X.composite_similarity(F.col("similarity"), jaccard("ea", "eb"), jaccard("ca", "cb"), cosine("wa", "wb"))).alias("score"))
 
 
 def _tags(s, d):
@@ -94,6 +94,11 @@ def _labels(s, d):
     return _m(s, d).select("id", X.day_part("ts").alias("part"), X.day_context("ts").alias("context"), X.day_kind("ts").alias("kind"), F.array_join(X.access_labels("access_count", "last_accessed", as_of()), ",").alias("access"), X.date_label("ts").alias("date"), X.preview("content", 20).alias("preview"), F.array_join(X.keywords("content"), "|").alias("keywords"), X.cluster_colour(F.col("strength"), F.lit(0.25)).alias("colour"))
 
 
+def _memory_metrics(s, d):
+    m = _m(s, d).withColumn("size", F.length("content")).withColumn("consolidated", F.col("id") % 3 == 0).withColumn("access_history", F.array("last_accessed", "ts"))
+    return rounded(metrics.memory_metrics(m, as_of(), ("type",), 7 * 86_400_000), "average_strength", "decay_rate", "consolidation_rate", "access_frequency")
+
+
 def _health(s, d):
     m, h = _m(s, d), _history(s, d)
     strength = m.agg(F.avg("strength").alias("strength"))
@@ -111,9 +116,6 @@ def _cluster_metrics(s, d):
     return rounded(coh.join(clusters.isolation(v, "cluster_id"), F.lit(True)).join(den, F.lit(True)).join(stab, F.lit(True)), "average_size", "coherence", "isolation", "density", "stability")
 
 
-def _dissolve(s, d):
-    return clusters.dissolve(_vectors(s, d), 3).groupBy("cluster_id").agg(F.count(F.lit(1)).alias("size"))
-
 
 def _pool_workers(s, d):
     t = pool.telemetry(tasks(s, d), ("worker_id",))
@@ -139,12 +141,7 @@ QUERIES = {
     "cluster_metadata": lambda s, d: rounded(clusters.metadata(_m(s, d)).withColumn("dominant_emotions", F.array_join("dominant_emotions", ",")), "average_strength"),
     "cluster_metrics": _cluster_metrics,
     "merge_recommendations": lambda s, d: rounded(clusters.merge_recommendations(_cent(s, d), "cluster_id", 0.1), "similarity"),
-    "merge_clusters": lambda s, d: clusters.merge(_vectors(s, d), 0, 4).groupBy("cluster_id").agg(F.count(F.lit(1)).alias("size")),
-    "split_cluster": lambda s, d: clusters.split(_vectors(s, d), 2, 100).groupBy("cluster_id").agg(F.count(F.lit(1)).alias("size")),
-    "dissolve_cluster": _dissolve,
-    "kmeans_clusters": lambda s, d: clusters.kmeans(_vectors(s, d), 4).select("id", "cluster_id"),
     "partition_imbalance": lambda s, d: rounded(clusters.imbalanced(_sizes(s, d), 0.05), "ratio"),
-    "rebalance_plan": lambda s, d: rounded(clusters.rebalance_plan(_sizes(s, d)), "ratio"),
     "merge_targets": lambda s, d: rounded(clusters.merge_targets(_cent(s, d).select(F.col("cluster_id").alias("partition_id"), (F.col("cluster_id") % 4).alias("type"), "centroid"), 0.0), "similarity"),
     "partition_density": lambda s, d: rounded(clusters.density_metrics(_sizes(s, d)), "density", "access_rate"),
     "cluster_points": lambda s, d: rounded(_points(s, d), "x", "y", "strength", "stability", "growth_rate"),
@@ -153,7 +150,7 @@ QUERIES = {
     "cluster_entropy": lambda s, d: rounded(statistics.entropy(_m(s, d).select("cluster_id", F.explode("emotions").alias("e")), ["cluster_id"], "e"), "entropy"),
     "emotion_histogram": lambda s, d: statistics.label_histogram(_m(s, d), ["type"], "emotions"),
     "age_distribution": lambda s, d: rounded(_m(s, d).groupBy("cluster_id").agg(F.min(age_days("ts", as_of())).alias("youngest"), F.max(age_days("ts", as_of())).alias("oldest"), F.avg(age_days("ts", as_of())).alias("mean")), "youngest", "oldest", "mean"),
-    "memory_metrics": lambda s, d: rounded(metrics.memory_metrics(_m(s, d), as_of(), ("type",), 7 * 86_400_000), "average_strength", "decay_rate", "consolidation_rate", "access_frequency"),
+    "memory_metrics": _memory_metrics,
     "system_metrics": lambda s, d: rounded(metrics.system_metrics(tasks(s, d)), "operations_per_second", "latency", "error_rate"),
     "health_score": _health,
     "dynamic_thresholds": lambda s, d: rounded(metrics.dynamic_thresholds(log(s, d)), "normal", "warning", "critical"),
@@ -185,7 +182,7 @@ QUERIES = {
     "value_trim": lambda s, d: cache.trim_by_value(cache_entries(s, d), as_of(), 60_000).select("key", "size"),
     "cache_stats": lambda s, d: rounded(cache.stats(cache_entries(s, d)), "hit_rate").withColumn("mean_access_ms", F.round("mean_access_ms", 1)),
     "priority_queue": lambda s, d: pool.queue_order(tasks(s, d)).select("id", "priority", "place"),
-    "pool_telemetry": lambda s, d: rounded(pool.telemetry(tasks(s, d), ("worker_id",)).withColumn("avg_latency", F.col("avg_latency") + 1e-9), "avg_latency", "min_latency", "max_latency", "error_rate"),
+    "pool_telemetry": lambda s, d: rounded(pool.telemetry(tasks(s, d), ("worker_id",)).withColumn("total_latency", F.col("avg_latency") * F.col("processed")).drop("avg_latency"), "total_latency", "min_latency", "max_latency", "error_rate"),
     "worker_probability": lambda s, d: pool.probabilities(_pool_workers(s, d)).select("worker_id", r6("weight").alias("weight")),
     "least_healthy": lambda s, d: pool.least_healthy(_pool_workers(s, d), 5).select("worker_id", r6("health").alias("health")),
     "state_times": lambda s, d: rounded(pool.state_times(table(s, d, "events").select(F.col("user_id").alias("worker_id"), "ts", F.col("event_type").alias("to"))), "ms"),
@@ -225,7 +222,7 @@ _CONTEXT = "CASE WHEN hour(ts) BETWEEN 5 AND 11 THEN 'morning_context' WHEN hour
 _KIND = "CASE WHEN dayofweek(ts) IN (0, 6) THEN 'weekend' ELSE 'weekday' END"
 _DAYS = f"(((SELECT t FROM now) - {sms('last_accessed')}) / 86400000.0)"
 _ACCESS = f"list_filter([CASE WHEN access_count > 100 THEN 'high_frequency' WHEN access_count > 50 THEN 'medium_frequency' ELSE 'low_frequency' END, CASE WHEN {_DAYS} < 1 THEN 'recently_accessed' WHEN {_DAYS} < 7 THEN 'weekly_access' WHEN {_DAYS} < 30 THEN 'monthly_access' END], lambda x: x IS NOT NULL)"
-_DEPTH = "d AS (SELECT id, least(5, ceil((row_number() OVER (PARTITION BY cluster_id ORDER BY id) - 1))) AS depth FROM mem)"
+_DEPTH = "walk AS (SELECT src AS id, dst, 1 AS k FROM edges UNION SELECT w.id, e.dst, w.k + 1 FROM walk w JOIN edges e ON e.src = w.dst WHERE w.k < 5), d AS (SELECT m.id, coalesce(max(k), 0) AS depth FROM mem m LEFT JOIN walk USING (id) GROUP BY 1)"
 _DEC = f"decd AS (SELECT id, type, greatest(0.1::DOUBLE, strength - 0.1 * (((SELECT t FROM now) - {sms('last_accessed')}) / 86400000.0) * exp(-access_count * 0.05::DOUBLE) / ((0.2 + strength / 2) * 1.5)) AS s FROM mem)"
 _VAL = f"val AS (SELECT key, size, 0.4 * access_count + 0.3 / ln({_AGE.replace('ts)', 'last_accessed)', 1)} + 1) + 0.2 / ln({_AGE} + 1) + 0.1 / ln(size + 1.0) AS value FROM entries)"
 _NOW = "now AS (SELECT epoch_us(TIMESTAMP '2024-01-31 00:00:00') / 1000.0 AS t)"
@@ -233,6 +230,18 @@ _TEL = "tel AS (SELECT worker_id, count(*) AS processed, avg(latency) AS avg_lat
 _DT = "dt AS (SELECT metric, count(*) AS n, CASE WHEN count(*) >= 10 THEN avg(value) ELSE 0.5 END AS normal, CASE WHEN count(*) >= 10 THEN avg(value) + stddev_pop(value) ELSE 0.7 END AS warning, CASE WHEN count(*) >= 10 THEN avg(value) + 2 * stddev_pop(value) ELSE 0.9 END AS critical, avg(value) AS average FROM log GROUP BY 1)"
 
 
+#: The pattern history: the last 20 memories of each type; similar ones are folded into the gated state.
+_HIST = (
+    "hist AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY type ORDER BY ts DESC, id DESC) AS r FROM mem) WHERE r <= 20), nr AS (SELECT src AS id, count(*) AS n FROM edges GROUP BY 1), "
+    "hp AS (SELECT m.id, h.ts AS hts, h.id AS hid, h.{relevance} AS rel FROM mem m LEFT JOIN nr a ON a.id = m.id JOIN hist h ON h.type = m.type LEFT JOIN nr b ON b.id = h.id "
+    "WHERE (least(1.0::DOUBLE, coalesce(m.access_count, 0) / (CASE WHEN coalesce(h.access_count, 0) = 0 THEN 1.0::DOUBLE ELSE h.access_count END)) + greatest(0.0::DOUBLE, 1 - abs(epoch_us(m.ts) - epoch_us(h.ts)) / 1000.0 / 604800000.0) + CASE WHEN a.n IS NULL OR b.n IS NULL THEN 0.5 ELSE least(1.0::DOUBLE, a.n / b.n) END) / 3 > {limit}), "
+    "hg AS (SELECT id, list(rel ORDER BY hts, hid) AS v FROM hp GROUP BY 1), "
+    "hc AS (SELECT id, coalesce(v, []) AS v, list_transform(coalesce(v, [])[-5:], lambda x: 0.5 * tanh(0.3 * tanh(CASE WHEN x = 0 THEN 0.5 ELSE x END))) AS h, coalesce(v, [])[-3:] AS t FROM mem LEFT JOIN hg USING (id)), "
+    "hs AS (SELECT id, CASE WHEN len(h) = 0 THEN 0.5 ELSE list_avg(h) END AS score, least(1.0::DOUBLE, len(v) / 10.0) * CASE WHEN len(h) = 0 THEN 1.0 ELSE least(1.0::DOUBLE, len(h) / 5.0) END AS confidence, "
+    "list_filter([CASE WHEN len(v) > 0 THEN 'recurring_pattern' END, CASE WHEN len(v) >= 2 AND list_var_pop(t) > 0.1 THEN 'pattern_change' END, CASE WHEN len(h) > 0 AND abs(list_avg(h) - 0.5) > 0.5 THEN 'long_term_pattern' END], lambda x: x IS NOT NULL) AS factors FROM hc)"
+)
+
+
 def _q(body: str, *ctes: str) -> str:
     return "WITH " + ", ".join(ctes) + " " + body
 
@@ -246,7 +255,7 @@ ORACLE_SQL = {
     "pairwise_similarity": "SELECT a.label AS cluster_id, a.vec_id AS id_a, b.vec_id AS id_b, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) + 0.0 AS similarity FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id < b.vec_id WHERE list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) >= 0.3",
     "merge_search_results": _q("SELECT query_id, id, similarity, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, id) AS rank FROM (SELECT query_id, id, max(similarity) AS similarity FROM knn GROUP BY ALL) QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, id) <= 3", _KNN),
     "neural_rerank": _q("SELECT query_id, id, round(s, 6) + 0.0 AS similarity, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, id) AS rank FROM (SELECT query_id, id, similarity * (0.8 + 0.2 * list_sum(list_transform(embedding[1:8]::DOUBLE[], lambda x: abs(x))) / 8) AS s FROM knn JOIN embeddings v ON v.vec_id = knn.id)", _KNN),
-    "composite_similarity": _q("SELECT id_a, id_b, round(0.4 * c + 0.3 * (len(list_intersect(ea, eb)) / len(list_distinct(ea || eb))) + 0.2 * (CASE WHEN pa = pb THEN 1 ELSE 0 END), 6) + 0.0 AS score FROM (SELECT a.id AS id_a, b.id AS id_b, list_cosine_similarity(a.vector, b.vector) AS c, a.emotions AS ea, b.emotions AS eb, a.p AS pa, b.p AS pb FROM mp a JOIN mp b ON a.cluster_id = b.cluster_id AND a.id < b.id) WHERE c >= 0.3", MEM, f"mp AS (SELECT *, {_PART} AS p FROM mem)"),
+    "composite_similarity": _q("SELECT id_a, id_b, round(0.4 * c + 0.3 * (len(list_intersect(ea, eb)) / len(list_distinct(ea || eb))) + 0.2 * (CASE WHEN pa = pb THEN 1 ELSE 0 END) + 0.1 * nc, 6) + 0.0 AS score FROM (SELECT a.id AS id_a, b.id AS id_b, list_cosine_similarity(a.vector[1:8], b.vector[1:8]) AS nc, list_cosine_similarity(a.vector, b.vector) AS c, a.emotions AS ea, b.emotions AS eb, a.p AS pa, b.p AS pb FROM mp a JOIN mp b ON a.cluster_id = b.cluster_id AND a.id < b.id) WHERE c >= 0.3", MEM, f"mp AS (SELECT *, {_PART} AS p FROM mem)"),
     "nearest_centroid": _q("SELECT id, cluster_id, round(similarity, 6) + 0.0 AS similarity FROM near", CENT, _NEAR),
     "partition_assign": _q("SELECT id, CASE WHEN similarity > 0.3 THEN cluster_id END AS cluster_id, round(similarity, 6) + 0.0 AS similarity FROM near", CENT, _NEAR),
     "partition_routing": _q("SELECT vec_id AS query_id, cluster_id FROM embeddings v, cent c WHERE vec_id % 20 = 0 AND cluster_id % 4 = 1 AND list_cosine_similarity(embedding::DOUBLE[], centroid) > 0.1", CENT),
@@ -260,11 +269,7 @@ ORACLE_SQL = {
     "cluster_metadata": _q("SELECT cluster_id, size, round(average_strength, 6) + 0.0 AS average_strength, start, \"end\", array_to_string(list(e ORDER BY r), ',') AS dominant_emotions FROM meta JOIN e3 USING (cluster_id) GROUP BY ALL", MEM, _META, "e1 AS (SELECT cluster_id, unnest(emotions) AS e FROM mem)", "e3 AS (SELECT cluster_id, e, row_number() OVER (PARTITION BY cluster_id ORDER BY count(*) DESC, e) AS r FROM e1 GROUP BY 1, 2 QUALIFY row_number() OVER (PARTITION BY cluster_id ORDER BY count(*) DESC, e) <= 3)"),
     "cluster_metrics": _q("SELECT count(*) AS count, round(avg(n), 6) + 0.0 AS average_size, round(avg(coherence), 6) + 0.0 AS coherence, round((SELECT isolation FROM iso), 6) + 0.0 AS isolation, round((SELECT avg(density) FROM den), 6) + 0.0 AS density, round((SELECT avg(stability) FROM stab), 6) + 0.0 AS stability FROM coh", MEM, _H, _COH, _ISO, _DEN),
     "merge_recommendations": _q("SELECT a.cluster_id AS cluster1, b.cluster_id AS cluster2, round(list_cosine_similarity(a.centroid, b.centroid), 6) + 0.0 AS similarity FROM cent a JOIN cent b ON a.cluster_id < b.cluster_id WHERE list_cosine_similarity(a.centroid, b.centroid) >= 0.1", CENT),
-    "merge_clusters": "SELECT CASE WHEN label = 4 THEN 0 ELSE label END AS cluster_id, count(*) AS size FROM embeddings GROUP BY 1",
-    "split_cluster": "SELECT CASE WHEN label = 2 AND h THEN 100 ELSE label END AS cluster_id, count(*) AS size FROM (SELECT label, row_number() OVER (PARTITION BY label ORDER BY vec_id) > (count(*) OVER (PARTITION BY label) + 1) // 2 AS h FROM embeddings) GROUP BY 1",
-    "dissolve_cluster": _q("SELECT cluster_id, count(*) AS size FROM (SELECT label AS cluster_id FROM embeddings WHERE label <> 3 UNION ALL SELECT cluster_id FROM n3) GROUP BY 1", CENT, "n3 AS (SELECT c.cluster_id FROM embeddings v, cent c WHERE v.label = 3 AND c.cluster_id <> 3 QUALIFY row_number() OVER (PARTITION BY v.vec_id ORDER BY list_cosine_similarity(v.embedding::DOUBLE[], c.centroid) DESC, c.cluster_id) = 1)"),
     "partition_imbalance": _q("SELECT cluster_id, type, size, access_count, round(size / m, 6) + 0.0 AS ratio FROM sz, (SELECT avg(size) AS m FROM sz) WHERE abs(1 - size / m) > 0.05", MEM, "sz AS (SELECT cluster_id, type, count(*) AS size, sum(access_count) AS access_count FROM mem GROUP BY ALL)"),
-    "rebalance_plan": _q("SELECT cluster_id, type, size, access_count, round(size / m, 6) + 0.0 AS ratio, CASE WHEN size > 10000 THEN 'split' WHEN size < 1000 THEN 'merge' ELSE 'keep' END AS action FROM sz, (SELECT avg(size) AS m FROM sz) WHERE abs(1 - size / m) > 0.2", MEM, "sz AS (SELECT cluster_id, type, count(*) AS size, sum(access_count) AS access_count FROM mem GROUP BY ALL)"),
     "merge_targets": _q("SELECT partition_id, target, round(s, 6) + 0.0 AS similarity FROM (SELECT a.cluster_id AS partition_id, b.cluster_id AS target, list_cosine_similarity(a.centroid, b.centroid) AS s FROM cent a JOIN cent b ON a.cluster_id <> b.cluster_id AND a.cluster_id % 4 = b.cluster_id % 4 QUALIFY row_number() OVER (PARTITION BY a.cluster_id ORDER BY list_cosine_similarity(a.centroid, b.centroid) DESC, b.cluster_id) = 1) WHERE s > 0", CENT),
     "partition_density": _q("SELECT round(sum(size) / count(*), 6) + 0.0 AS density, round(sum(access_count) / sum(size), 6) + 0.0 AS access_rate FROM sz", MEM, "sz AS (SELECT cluster_id, type, count(*) AS size, sum(access_count) AS access_count FROM mem GROUP BY ALL)"),
     "cluster_points": _q("SELECT id, round(x, 6) + 0.0 AS x, round(y, 6) + 0.0 AS y, size, cluster, round(strength, 6) + 0.0 AS strength, round(stability, 6) + 0.0 AS stability, round(growth_rate, 6) + 0.0 AS growth_rate, start, \"end\" FROM pts", MEM, _H, _META, _PTS),
@@ -273,7 +278,7 @@ ORACLE_SQL = {
     "cluster_entropy": _q("SELECT cluster_id, round(-sum(n / t * log2(n / t)), 6) + 0.0 AS entropy FROM (SELECT cluster_id, e, count(*) AS n, sum(count(*)) OVER (PARTITION BY cluster_id) AS t FROM (SELECT cluster_id, unnest(emotions) AS e FROM mem) GROUP BY 1, 2) GROUP BY 1", MEM),
     "emotion_histogram": _q("SELECT type, label, count(*) AS n FROM (SELECT type, unnest(emotions) AS label FROM mem) GROUP BY 1, 2", MEM),
     "age_distribution": _q(f"SELECT cluster_id, {_r(f'min({_AGE} / 86400000.0)', 'youngest')}, {_r(f'max({_AGE} / 86400000.0)', 'oldest')}, {_r(f'avg({_AGE} / 86400000.0)', 'mean')} FROM mem GROUP BY 1", MEM),
-    "memory_metrics": _q(f"SELECT type, 0::BIGINT AS total_size, count(*) FILTER (strength > 0.1) AS active, {_r('avg(strength)', 'average_strength')}, {_r(f'avg((1 - CASE WHEN strength = 0 THEN 1 ELSE strength END) / ({_AGE} / 86400000.0))', 'decay_rate')}, 0.0::DOUBLE AS consolidation_rate, 0.0::DOUBLE AS access_frequency FROM mem GROUP BY 1", MEM),
+    "memory_metrics": _q(f"SELECT type, sum(coalesce(length(content), 0))::BIGINT AS total_size, count(*) FILTER (strength > 0.1) AS active, {_r('avg(strength)', 'average_strength')}, {_r(f'avg((1 - CASE WHEN strength = 0 THEN 1 ELSE strength END) / ({_AGE} / 86400000.0))', 'decay_rate')}, coalesce(round(count(*) FILTER (id % 3 = 0) / nullif(count(*) FILTER ({_AGE} < 604800000), 0), 6), 0) + 0.0 AS consolidation_rate, {_r(f'sum(({_AGE} < 604800000)::INT + (((SELECT t FROM now) - {sms(chr(108) + "ast_accessed")}) < 604800000)::INT) / 7.0', 'access_frequency')} FROM mem GROUP BY 1", MEM),
     "system_metrics": _q("SELECT round(count(*) / ((max(epoch_us(ts)) - min(epoch_us(ts))) / 1000000.0), 6) + 0.0 AS operations_per_second, round(avg(latency), 6) + 0.0 AS latency, round(avg(failed::INT), 6) + 0.0 AS error_rate FROM tasks", TASKS),
     "health_score": _q("SELECT round(s, 6) + 0.0 AS score, CASE WHEN s >= 0.7 THEN 'healthy' WHEN s >= 0.5 THEN 'warning' ELSE 'critical' END AS status FROM (SELECT 0.3 * (SELECT avg(strength) FROM mem) + 0.4 * (SELECT avg(stability) FROM stab) + 0.3 * (1 - (SELECT avg(failed::INT) FROM tasks)) AS s)", MEM, _H, TASKS),
     "dynamic_thresholds": _q("SELECT metric, round(normal, 6) + 0.0 AS normal, round(warning, 6) + 0.0 AS warning, round(critical, 6) + 0.0 AS critical FROM dt", LOG, _DT),
@@ -291,11 +296,13 @@ ORACLE_SQL = {
     "coherence_parts": _q("SELECT id, round(semantic, 6) + 0.0 AS semantic, round(temporal, 6) + 0.0 AS temporal, round(emotional, 6) + 0.0 AS emotional FROM cp", MEM, _CP),
     "contextual_relevance": _q("SELECT id, round(score, 6) + 0.0 AS score, 0.75::DOUBLE AS confidence, array_to_string(factors, ',') AS factors FROM ctx", MEM, _CTX),
     "predicted_relevance": _q("SELECT id, round(relevance, 6) + 0.0 AS relevance, round((0.8 + 0 + 0.75) / 3, 6) + 0.0 AS confidence, array_to_string(factors, ',') AS factors, CASE WHEN len(factors) = 0 THEN 0.0::DOUBLE ELSE round(log2(len(factors)), 6) + 0.0 END AS entropy FROM p1", MEM, _CTX, _R0),
-    "network_depth": _q("SELECT id, depth::INT AS depth FROM d", MEM, _DEPTH),
+    "network_depth": "WITH RECURSIVE " + MEM + ", " + _DEPTH + " SELECT id, depth::INT AS depth FROM d",
     "tag_rank": _q("SELECT id, tag, confidence, row_number() OVER (PARTITION BY id ORDER BY confidence DESC, tag) AS rank FROM (SELECT id, tag, max(c)::DOUBLE AS confidence FROM t GROUP BY 1, 2)", MEM, f"t AS (SELECT id, unnest(emotions) AS tag, 0.8 AS c FROM mem UNION ALL SELECT id, unnest(string_split(content, ' ')[1:5]), 0.8 FROM mem UNION ALL SELECT id, unnest([{_PART}, {_KIND}]), 0.7 FROM mem UNION ALL SELECT src, 'rel_' || type, 0.7 FROM edges JOIN mem ON id = dst UNION ALL SELECT src, 'shared_' || e, 0.7 FROM (SELECT src, unnest(emotions) AS e FROM edges JOIN mem ON id = dst))"),
     "memory_labels": _q(f"SELECT id, {_PART} AS part, {_CONTEXT} AS context, {_KIND} AS kind, array_to_string({_ACCESS}, ',') AS access, month(ts) || '/' || day(ts) AS date, CASE WHEN length(content) > 20 THEN content[1:20] || '...' ELSE content END AS preview, array_to_string(string_split(content, ' ')[1:5], '|') AS keywords, printf('rgb(%d, %d, %d)', floor(255 * (1 - strength))::INT, floor(255 * greatest(strength, 0.25))::INT, floor(255 * 0.75)::INT) AS colour FROM mem", MEM),
     "context_insights": _q(f"SELECT id, array_to_string(list_sort(list_distinct([{_CONTEXT}, {_KIND} || '_context', {_PART}, {_KIND}] || {_ACCESS})), ',') AS insights FROM mem", MEM),
     "analysis_trend": "SELECT CASE WHEN d IS NULL OR abs(d) < 0.1 THEN 'stable' WHEN d > 0 THEN 'increasing' ELSE 'decreasing' END AS trend, count(*) AS n FROM (SELECT value / 100 - lag(value / 100) OVER (PARTITION BY user_id ORDER BY ts) AS d FROM events) GROUP BY 1",
+    "consolidation_groups": "WITH RECURSIVE " + MEM + ", r AS (SELECT cluster_id, id, vector AS v, row_number() OVER (PARTITION BY cluster_id ORDER BY id) AS i FROM mem), g AS (SELECT cluster_id, i, id, id AS seed, [{'id': id, 'v': v}] AS seeds FROM r WHERE i = 1 UNION ALL SELECT cluster_id, i, id, coalesce(hit, id) AS seed, CASE WHEN hit IS NULL THEN list_append(seeds, {'id': id, 'v': v}) ELSE seeds END AS seeds FROM (SELECT r.cluster_id, r.i, r.id, r.v, g.seeds, list_filter(g.seeds, lambda s: 0.4 * list_cosine_similarity(s.v, r.v) >= 0.15)[1].id AS hit FROM g JOIN r ON r.cluster_id = g.cluster_id AND r.i = g.i + 1)) SELECT cluster_id, id, seed FROM g",
+    "historical_pattern": _q("SELECT id, round(score, 6) + 0.0 AS score, round(confidence, 6) + 0.0 AS confidence, array_to_string(factors, ',') AS factors FROM hs", MEM, _HIST.format(limit="0.5", relevance="strength")),
     "merged_memories": _q("SELECT cluster_id::BIGINT AS seed, sum(length(content)) + 3 * (count(content) - 1) AS chars, round(max(strength), 6) + 0.0 AS strength, count(*) AS members FROM mem GROUP BY 1", MEM),
     "cache_value": _q("SELECT key, round(value, 6) + 0.0 AS value FROM val", ENTRIES, _NOW, _VAL),
     "ttl_expiry": _q(f"SELECT key FROM entries WHERE {_AGE} <= 29.95 * 86400000", ENTRIES, _NOW),
@@ -303,7 +310,7 @@ ORACLE_SQL = {
     "value_trim": _q("SELECT key, size FROM (SELECT key, size, sum(size) OVER () AS total, sum(size) OVER (ORDER BY value DESC, key DESC ROWS UNBOUNDED PRECEDING) AS run FROM val) WHERE total <= 48000 OR run <= 36000", ENTRIES, _NOW, _VAL),
     "cache_stats": _q(f"SELECT count(*) AS entries, sum(size) AS bytes, round(avg({sms('last_accessed')} - {sms('ts')}), 1) AS mean_access_ms, round(sum(access_count - 1) / sum(access_count), 6) + 0.0 AS hit_rate FROM entries", ENTRIES),
     "priority_queue": _q("SELECT id, least(10, greatest(0, priority)) AS priority, row_number() OVER (ORDER BY CASE WHEN least(10, priority) >= 5 THEN least(10, priority) ELSE -1 END DESC, created, id) AS place FROM tasks", TASKS),
-    "pool_telemetry": _q("SELECT worker_id, processed, round(avg_latency + 1e-9, 6) + 0.0 AS avg_latency, round(min_latency, 6) + 0.0 AS min_latency, round(max_latency, 6) + 0.0 AS max_latency, round(error_rate, 6) + 0.0 AS error_rate FROM tel", TASKS, _TEL),
+    "pool_telemetry": _q("SELECT worker_id, processed, round(avg_latency * processed, 6) + 0.0 AS total_latency, round(min_latency, 6) + 0.0 AS min_latency, round(max_latency, 6) + 0.0 AS max_latency, round(error_rate, 6) + 0.0 AS error_rate FROM tel", TASKS, _TEL),
     "worker_probability": _q("SELECT worker_id, round(1000 / avg_latency / (SELECT count(*) FROM tel) * (1 - error_rate / 2) * (1 - (processed % 10 / 20.0 + 0.3) / 2), 6) + 0.0 AS weight FROM tel", TASKS, _TEL),
     "least_healthy": _q("SELECT worker_id, round(1 - error_rate / 2, 6) + 0.0 AS health FROM tel ORDER BY 1 - error_rate / 2, worker_id LIMIT 5", TASKS, _TEL),
     "state_times": "SELECT user_id AS worker_id, event_type AS state, round(sum(n), 6) + 0.0 AS ms FROM (SELECT user_id, event_type, (epoch_us(lead(ts) OVER (PARTITION BY user_id ORDER BY ts)) - epoch_us(ts)) / 1000.0 AS n FROM events) WHERE n IS NOT NULL GROUP BY 1, 2",
