@@ -9,9 +9,14 @@ from ..functions import scores as X
 from ..functions.numeric import ms, or_default, safe_div
 from ..functions.vectors import cosine
 from ..params import Prediction
+from ..scratch import staged
+from .ordering import numbered
+from .series import context_anomalies, smooth
 
 P = Prediction()
 NO_TEXT = "array<string>"
+#: Rows of a history that are broadcast; more are joined by type.
+HISTORY_ROWS = 100_000
 
 
 def relationship_score(memories: DataFrame, edges: DataFrame, relevance: DataFrame | None) -> DataFrame:
@@ -99,8 +104,9 @@ def historical_pattern(memories: DataFrame, history: DataFrame, edges: DataFrame
     state in order of time."""
     refs = edges.groupBy(F.col("src").alias("id")).agg(F.count(F.lit(1)).alias("n_refs"))
     m = memories.select("id", F.coalesce("type", F.lit("default")).alias("type"), "ts", "access_count").join(refs, "id", "left")
-    # the history has a bounded number of rows for each type
-    j = m.join(F.broadcast(history.drop("h_vector", "h_emotions")), "type").withColumn("_s", pattern_similarity()).where(F.col("_s") > threshold)
+    # a bounded number of rows for each type, without their vectors
+    small = history.drop("h_vector", "h_emotions")
+    j = m.join(F.broadcast(small) if small.limit(HISTORY_ROWS + 1).count() <= HISTORY_ROWS else small, "type").withColumn("_s", pattern_similarity()).where(F.col("_s") > threshold)
     g = j.groupBy("id").agg(F.transform(F.array_sort(F.collect_list(F.struct("h_ts", "h_id", "h_relevance"))), lambda s: s["h_relevance"]).alias("_v"))
     r = m.select("id").join(g, "id", "left").withColumn("_v", F.coalesce("_v", F.array().cast("array<double>"))).withColumn("_g", gate_state(F.col("_v")))
     n = F.size("_v")
@@ -124,10 +130,12 @@ def predicted_relevance(memories: DataFrame, edges: DataFrame, as_of: Column, hi
     What a memory refers to counts with its own relevance, down to ``depth`` references (cycles end
     there): each level is one keyed join. Without a history its score is 0.5.
     """
-    context = contextual_relevance(memories, edges, as_of)
+    context = staged(contextual_relevance(memories, edges, as_of), "context") if depth > 1 else contextual_relevance(memories, edges, as_of)
     past = historical_pattern(memories, history, edges) if history is not None else memories.select("id", F.lit(0.5).alias("score"), F.lit(0.0).alias("confidence"), F.array().cast(NO_TEXT).alias("factors"))
     rel = None
-    for _ in range(depth + 1):
+    for level in range(depth + 1):
+        if level > 1:  # each level rests on the one before it as a table
+            rel = staged(rel, "relevance")
         own = relevance_factors(memories, relationship_score(memories, edges if rel is not None else edges.limit(0), rel), as_of)
         f, h, c = own.alias("f"), past.alias("h"), context.alias("c")
         j = f.join(h, F.col("f.id") == F.col("h.id")).join(c, F.col("f.id") == F.col("c.id"))
@@ -194,11 +202,33 @@ def context_insights(memories: DataFrame, edges: DataFrame, as_of: Column, histo
     own = memories.select("id", F.concat(*parts).alias("_own"))
     if history is None:
         return own.select("id", F.array_sort(F.array_distinct("_own")).alias("insights"))
-    j = memories.select("id", F.coalesce("type", F.lit("default")).alias("type"), "vector").join(F.broadcast(history), "type").where(cosine("vector", "h_vector") > similar)
+    j = memories.select("id", F.coalesce("type", F.lit("default")).alias("type"), "vector").join(history, "type").where(cosine("vector", "h_vector") > similar)
     semantic = j.select("id", F.explode("h_emotions").alias("e")).groupBy("id").agg(F.collect_set(F.concat(F.lit("semantic_"), "e")).alias("_sem"))
     return own.join(semantic, "id", "left").select("id", F.array_sort(F.array_distinct(F.concat("_own", F.coalesce("_sem", none)))).alias("insights"))
 
 
+def prediction_view(history: DataFrame, p: Prediction = P) -> DataFrame:
+    """(type, idx, ts, relevance, level, forecast, anomaly) of a history as ``history_of`` gives it, in order of
+    time: level is smoothed, the last levels stand for the forecast, and an anomaly is far from the
+    mean of the last rows."""
+    h = history.select("type", F.col("h_ts").alias("ts"), F.col("h_id").alias("id"), F.col("h_relevance").alias("relevance"))
+    order = ["ts", "id"]
+    level = smooth(h, ["type"], order, "relevance", p.smoothing)
+    last = level.groupBy("type").agg(F.max("idx").alias("_last"))
+    odd = context_anomalies(h, ["type"], order, "relevance", p.context_window).select("type", "id", F.lit(True).alias("_a"))
+    rows = numbered(h, ["type"], [F.col(c) for c in order], "idx").join(level.select("type", "idx", "level"), ["type", "idx"])
+    j = rows.join(odd, ["type", "id"], "left").join(last, "type")
+    return j.select("type", "idx", "ts", "relevance", "level", (F.col("idx") > F.col("_last") - p.forecast_steps).alias("forecast"), F.coalesce("_a", F.lit(False)).alias("anomaly"))
+
+
+def tag_confidence(tags: DataFrame, history: DataFrame) -> DataFrame:
+    """(id, tag, confidence) of ``tags(id, type, tag)``: the share of the type's history rows that carry the tag."""
+    n = history.groupBy("type").agg(F.count(F.lit(1)).alias("_n"))
+    seen = history.select("type", F.explode(F.array_distinct("h_emotions")).alias("tag")).groupBy("type", "tag").agg(F.count(F.lit(1)).alias("_k"))
+    j = tags.join(n, "type", "left").join(seen, ["type", "tag"], "left")
+    return j.select("id", "tag", safe_div(F.coalesce("_k", F.lit(0)), F.col("_n")).alias("confidence"))
+
+
 def trend_of(analyses: DataFrame) -> DataFrame:
     """(id, ts, relevance, trend): each analysis against the one before it of the same memory."""
     d = F.col("relevance") - F.lag("relevance").over(Window.partitionBy("id").orderBy("ts"))

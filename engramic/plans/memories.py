@@ -68,6 +68,22 @@ def _pattern(s, d):
     return predict.historical_pattern(m, predict.history_of(m, rel, edges(m)), edges(m), 0.5)
 
 
+def _with_history(s, d):
+    m = _m(s, d)
+    past = predict.history_of(m, m.select("id", F.col("strength").alias("relevance")), edges(m))
+    r = predict.predicted_relevance(m, edges(m), as_of(), past, 1).withColumn("factors", F.array_join("factors", ","))
+    return rounded(r.select("id", "relevance", "confidence", "factors"), "relevance", "confidence")
+
+
+def _full_context(s, d):
+    """Context with a place, company and a history of the type."""
+    m = _m(s, d)
+    place = F.struct(F.when(F.col("id") % 3 == 0, "home").otherwise("work").alias("type"), F.when(F.col("id") % 2 == 0, "quiet").alias("context"))
+    wide = m.withColumn("location", place).withColumn("social_context", F.when(F.col("id") % 5 == 0, "family"))
+    past = predict.history_of(m, m.select("id", F.col("strength").alias("relevance")), edges(m))
+    return predict.context_insights(wide, edges(m), as_of(), past, 0.05).withColumn("insights", F.array_join("insights", ","))
+
+
 def _enriched(s, d):
     m = _m(s, d)
     return m.select("id", "type", "strength", "access_count", "last_accessed", (F.lit(0.2) + F.col("strength") / 2).alias("importance"), F.lit(0.1).alias("decay_rate"), "ts", "cluster_id", "vector")
@@ -169,6 +185,8 @@ QUERIES = {
     "contextual_relevance": lambda s, d: rounded(predict.contextual_relevance(_m(s, d), edges(_m(s, d)), as_of()).withColumn("factors", F.array_join("factors", ",")), "score"),
     "historical_pattern": lambda s, d: rounded(_pattern(s, d).withColumn("factors", F.array_join("factors", ",")), "score", "confidence"),
     "predicted_relevance": lambda s, d: rounded(_relevance(s, d).withColumn("factors", F.array_join("factors", ",")), "relevance", "confidence", "entropy"),
+    "relevance_with_history": _with_history,
+    "full_context": _full_context,
     "network_depth": lambda s, d: predict.network_depth(edges(_m(s, d)), _m(s, d), 5),
     "tag_rank": _tags,
     "memory_labels": _labels,
@@ -242,6 +260,24 @@ _HIST = (
 )
 
 
+WALK = _DEPTH
+_R1 = "{p} AS (SELECT f{k}.id, 0.4 * f{k}.score + 0.3 * {h} + 0.3 * ctx.score AS relevance, f{k}.factors || {hf} ctx.factors AS factors FROM f{k} JOIN ctx USING (id){j})"
+_RSTEP = "r{k} AS (SELECT m.id, coalesce(avg((p{b}.relevance + CASE WHEN r.strength = 0 THEN 0.5 ELSE r.strength END) / 2), 0.3) AS relationship FROM mem m LEFT JOIN edges e ON e.src = m.id LEFT JOIN mem r ON r.id = e.dst LEFT JOIN p{b} ON p{b}.id = e.dst GROUP BY m.id)"
+
+
+def _levels(depth: int, history: bool = False) -> str:
+    """f0, p0, r1, f1, p1, ...: relevance by levels of references."""
+    more = {"h": "hs.score", "hf": "hs.factors ||", "j": " JOIN hs USING (id)"} if history else {"h": "0.5", "hf": "", "j": ""}
+    parts = ["z AS (SELECT id, 0.3 AS relationship FROM mem)", f"f0 AS ({_FAC.format(r='z')})", _R1.format(p="p0", k=0, **more)]
+    for k in range(1, depth + 1):
+        parts += [_RSTEP.format(k=k, b=k - 1), f"f{k} AS ({_FAC.format(r=f'r{k}')})", _R1.format(p=f"p{k}", k=k, **more)]
+    return ", ".join(parts)
+
+
+_TAGS = f"tg AS (SELECT id, unnest(emotions) AS tag FROM mem UNION SELECT id, unnest(string_split(content, ' ')[1:5]) FROM mem UNION SELECT id, unnest([{_PART}, {_KIND}]) FROM mem UNION SELECT src, 'rel_' || type FROM edges JOIN mem ON id = dst UNION SELECT src, 'shared_' || e FROM (SELECT src, unnest(emotions) AS e FROM edges JOIN mem ON id = dst)), tn AS (SELECT id, count(DISTINCT tag) AS tags FROM tg GROUP BY 1)"
+ENRICHED = f"WITH {MEM}, {_CTX}, {_levels(2)}, {_TAGS} SELECT id, round(relevance, 6) + 0.0 AS predicted_relevance, coalesce(tags, 0)::INT AS tags, round(0.4 * relevance + 0.3 * strength + 0.2 * (coalesce(access_count, 0) / 100.0) + 0.1 * (coalesce(tags, 0) / 10.0), 6) + 0.0 AS importance, 128::INT AS weights, 0.1::DOUBLE AS decay_rate FROM mem JOIN p2 USING (id) LEFT JOIN tn USING (id)"
+
+
 def _q(body: str, *ctes: str) -> str:
     return "WITH " + ", ".join(ctes) + " " + body
 
@@ -303,6 +339,8 @@ ORACLE_SQL = {
     "analysis_trend": "SELECT CASE WHEN d IS NULL OR abs(d) < 0.1 THEN 'stable' WHEN d > 0 THEN 'increasing' ELSE 'decreasing' END AS trend, count(*) AS n FROM (SELECT value / 100 - lag(value / 100) OVER (PARTITION BY user_id ORDER BY ts) AS d FROM events) GROUP BY 1",
     "consolidation_groups": "WITH RECURSIVE " + MEM + ", r AS (SELECT cluster_id, id, vector AS v, row_number() OVER (PARTITION BY cluster_id ORDER BY id) AS i FROM mem), g AS (SELECT cluster_id, i, id, id AS seed, [{'id': id, 'v': v}] AS seeds FROM r WHERE i = 1 UNION ALL SELECT cluster_id, i, id, coalesce(hit, id) AS seed, CASE WHEN hit IS NULL THEN list_append(seeds, {'id': id, 'v': v}) ELSE seeds END AS seeds FROM (SELECT r.cluster_id, r.i, r.id, r.v, g.seeds, list_filter(g.seeds, lambda s: 0.4 * list_cosine_similarity(s.v, r.v) >= 0.15)[1].id AS hit FROM g JOIN r ON r.cluster_id = g.cluster_id AND r.i = g.i + 1)) SELECT cluster_id, id, seed FROM g",
     "historical_pattern": _q("SELECT id, round(score, 6) + 0.0 AS score, round(confidence, 6) + 0.0 AS confidence, array_to_string(factors, ',') AS factors FROM hs", MEM, _HIST.format(limit="0.5", relevance="strength")),
+    "relevance_with_history": _q("SELECT p1.id, round(relevance, 6) + 0.0 AS relevance, round((0.8 + confidence + 0.75) / 3, 6) + 0.0 AS confidence, array_to_string(p1.factors, ',') AS factors FROM p1 JOIN hs USING (id)", MEM, _CTX, _HIST.format(limit="0.6", relevance="strength"), _levels(1, True)),
+    "full_context": _q(f"SELECT id, array_to_string(list_sort(list_distinct([{_CONTEXT}, {_KIND} || '_context', {_PART}, {_KIND}] || {_ACCESS} || list_filter(['location_' || CASE WHEN id % 3 = 0 THEN 'home' ELSE 'work' END, CASE WHEN id % 2 = 0 THEN 'context_quiet' END, CASE WHEN id % 5 = 0 THEN 'social_family' END], lambda x: x IS NOT NULL) || coalesce(sem, []))), ',') AS insights FROM mem LEFT JOIN sm USING (id)", MEM, "hist AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY type ORDER BY ts DESC, id DESC) AS r FROM mem) WHERE r <= 20)", "sm AS (SELECT m.id, list_distinct(flatten(list(list_transform(h.emotions, lambda e: 'semantic_' || e)))) AS sem FROM mem m JOIN hist h ON h.type = m.type WHERE list_cosine_similarity(m.vector, h.vector) > 0.05 GROUP BY 1)"),
     "merged_memories": _q("SELECT cluster_id::BIGINT AS seed, sum(length(content)) + 3 * (count(content) - 1) AS chars, round(max(strength), 6) + 0.0 AS strength, count(*) AS members FROM mem GROUP BY 1", MEM),
     "cache_value": _q("SELECT key, round(value, 6) + 0.0 AS value FROM val", ENTRIES, _NOW, _VAL),
     "ttl_expiry": _q(f"SELECT key FROM entries WHERE {_AGE} <= 29.95 * 86400000", ENTRIES, _NOW),

@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..operators import lifecycle, predict
 from ..operators import memories as mem
+from ..scratch import delete_at_exit, scratch_path
 from ..streaming import metrics as stream
-from .common import as_of, edges, memories, r6, rounded, table
+from .common import MEM, as_of, edges, memories, r6, rounded, table
+from .memories import ENRICHED, WALK
 
 
 def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -19,10 +20,23 @@ def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _finished(df: DataFrame, mode: str) -> DataFrame:
-    """What the stream has produced once all input there is now is read."""
-    name = "stream_" + uuid.uuid4().hex
-    df.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start().awaitTermination()
-    return df.sparkSession.table(name)
+    """What the stream has produced once all input there is now is read: each batch is written to the shared
+    folder under its number, so a repeated batch leaves one copy; of a complete result the last counts."""
+    spark, root = df.sparkSession, scratch_path(df.sparkSession, "stream")
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{root}/{mode}/batch={number}")
+
+    query = df.writeStream.foreachBatch(write).outputMode(mode).option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True).start()
+    query.awaitTermination()
+    delete_at_exit(spark, root)
+    done = query.lastProgress
+    if done is None:
+        return spark.createDataFrame([], df.schema)
+    out = spark.read.schema(T.StructType([*df.schema.fields, T.StructField("batch", T.LongType())])).parquet(f"{root}/{mode}")
+    if mode == "complete":
+        out = out.where(F.col("batch") == out.agg(F.max("batch")).first()[0])
+    return out.drop("batch")
 
 
 def _windows(spark, sf_dir):
@@ -55,6 +69,8 @@ QUERIES = {"stream_windows": _windows, "stream_gates": _gates, "enriched_memorie
 
 ORACLE_SQL = {
     "stream_windows": "SELECT event_type, ts::DATE AS day, count(*) AS n, round(avg(value), 6) + 0.0 AS mean, round(stddev_pop(value), 6) + 0.0 AS std_dev FROM events GROUP BY 1, 2",
-    "memory_references": "SELECT vec_id AS id, least(2, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1)::INT AS n_refs FROM embeddings",
-    "relationship_labels": "WITH r AS (SELECT vec_id AS id, label, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS i FROM embeddings) SELECT id, array_to_string(list_filter([CASE WHEN i > 2 THEN 'strong_' || list_extract(['episodic','semantic','procedural','emotional'], label % 4 + 1) || '_connections' END, CASE WHEN i > 4 THEN 'deep_network' WHEN i > 2 THEN 'shallow_network' END], lambda x: x IS NOT NULL), ',') AS labels FROM r",
+    "stream_gates": "WITH RECURSIVE s AS (SELECT event_type AS type, ts, value / 500 AS x, row_number() OVER (PARTITION BY event_type ORDER BY ts) AS i FROM events), g AS (SELECT type, 0::BIGINT AS i, NULL::TIMESTAMP AS ts, []::DOUBLE[] AS vals, []::DOUBLE[] AS cell, []::DOUBLE[] AS hid, 0.0::DOUBLE AS score, 0.0::DOUBLE AS significance FROM (SELECT DISTINCT type FROM s) UNION ALL SELECT type, i, ts, vals, cell, hid, score, abs(score - was) AS significance FROM (SELECT *, CASE WHEN coalesce(list_sum(hid), 0) = 0 THEN 0.5 ELSE list_avg(hid) END AS score FROM (SELECT *, list_transform(cell, lambda c: 0.5 * tanh(c)) AS hid FROM (SELECT *, list_transform(range(1, len(vals) + 1), lambda k: 0.7 * coalesce(old[k], 0) + 0.3 * tanh(CASE WHEN vals[k] = 0 THEN 0.5 ELSE vals[k] END)) AS cell FROM (SELECT s.type, s.i, s.ts, list_append(g.vals, s.x)[-5:] AS vals, g.cell AS old, CASE WHEN coalesce(list_sum(g.hid), 0) = 0 THEN 0.5 ELSE list_avg(g.hid) END AS was FROM g JOIN s ON s.type = g.type AND s.i = g.i + 1))))) SELECT type, ts, round(score, 6) + 0.0 AS score, round(significance, 6) + 0.0 AS significance FROM g WHERE i > 0",
+    "enriched_memories": ENRICHED,
+    "memory_references": f"WITH {MEM} SELECT id, count(dst)::INT AS n_refs FROM mem LEFT JOIN edges ON src = id GROUP BY 1",
+    "relationship_labels": f"WITH RECURSIVE {MEM}, {WALK}, k AS (SELECT src AS id, type, count(*) AS n FROM edges JOIN mem ON id = dst GROUP BY 1, 2 HAVING count(*) > 1), t AS (SELECT id, list(DISTINCT 'strong_' || type || '_connections' ORDER BY 'strong_' || type || '_connections') AS l FROM k GROUP BY 1) SELECT id, array_to_string(coalesce(l, []) || list_filter([CASE WHEN depth > 3 THEN 'deep_network' WHEN depth > 1 THEN 'shallow_network' END], lambda x: x IS NOT NULL), ',') AS labels FROM d LEFT JOIN t USING (id)",
 }

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..operators.memories import SCHEMA
@@ -47,5 +50,27 @@ class MemoryStore:
     def log_anomaly(self, rows: DataFrame) -> None:
         rows.select("ts", "type", "value").write.mode("append").parquet(self._path("anomalies"))
 
+    def save_state(self, history: DataFrame, analyses: DataFrame, gates: DataFrame, config: dict | None = None) -> None:
+        """The predictive state: the pattern history, the last analyses, the gates of each type, and the
+        configuration as JSON."""
+        for name, df in (("pattern_history", history), ("analyses", analyses), ("gates", gates)):
+            self.save(f"state/{name}", df)
+        self.save("state/config", self.spark.createDataFrame([(json.dumps(config or {}, sort_keys=True),)], "config string"))
+
+    def load_state(self) -> dict[str, object]:
+        """What ``save_state`` wrote; raises where there is none."""
+        out: dict[str, object] = {name: self.load(f"state/{name}") for name in ("pattern_history", "analyses", "gates")}
+        return out | {"config": json.loads(self.load("state/config").first()["config"])}
+
     def archive(self, rows: DataFrame) -> None:
         rows.write.mode("append").parquet(self._path("archive"))
+
+
+def to_json(df: DataFrame) -> DataFrame:
+    """Each row as one JSON string."""
+    return df.select(F.to_json(F.struct(*df.columns)).alias("json"))
+
+
+def from_json(rows: DataFrame, schema: T.StructType) -> DataFrame:
+    """Rows of JSON strings by a declared schema; what does not parse is null."""
+    return rows.select(F.from_json("json", schema).alias("r")).select("r.*")
