@@ -135,10 +135,11 @@ def greedy_groups(memories: DataFrame, threshold: float = 0.8, group: str = "clu
         placed = staged(numbered(left, [group], [F.col("id")], "_i"), "placed")
         head = staged(placed.where(F.col("_i") < block_rows).drop("_i").groupBy(group).applyInPandas(one_pass, schema), "head")
         done.append(head)
-        rest = placed.where(F.col("_i") >= block_rows).withColumn("_chunk", F.floor(F.col("_i") / block_rows)).drop("_i")
+        rest = staged(placed.where(F.col("_i") >= block_rows).withColumn("_chunk", F.floor(F.col("_i") / block_rows)).drop("_i"), "rest")
         chunks = rest.select(group, "_chunk").distinct()
         seeds = placed.drop("_i").join(head.where("id = seed").select("id"), "id", "left_semi").join(chunks, group)
-        got = rest.groupBy(group, "_chunk").cogroup(seeds.select(group, "_chunk", "id", "vector", *cols).groupBy(group, "_chunk")).applyInPandas(take, schema)
+        seeds = staged(seeds.select(group, "_chunk", "id", "vector", *cols), "seeds")
+        got = rest.groupBy(group, "_chunk").cogroup(seeds.groupBy(group, "_chunk")).applyInPandas(take, schema)
         got = staged(got, "taken")
         done.append(got)
         left = staged(rest.drop("_chunk").join(got.select("id"), "id", "left_anti").select(*rows.columns), "left")
