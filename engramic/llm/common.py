@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import contextlib
 import contextvars
+import gc
 import os
 import re
 import tempfile
@@ -110,6 +111,13 @@ class Run:
         self._held.paths = []
 
 
+def collect_garbage(spark: SparkSession) -> None:
+    """Lets Spark's cleaner remove the shuffle files of jobs whose results are staged: it does so only when
+    the driver has collected their plans. Called between the steps of long operators."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def numbered_times(rows: DataFrame, times: Column, name: str, block: int = 1 << 16) -> DataFrame:
     """Each row ``times`` times (a row of 0: not at all), numbered from 0 in column ``name``. Numbers are
     made in blocks, so that no array grows with ``times``."""

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordTable, bit_votes, mix64, pack_bits, popcount, record_batch, row_names, scratch, staged, text_slices, xxh64_spans
+from .common import WordTable, bit_votes, collect_garbage, mix64, pack_bits, popcount, record_batch, row_names, scratch, staged, text_slices, xxh64_spans
 from .components import connected_components
 from .hamming import UNIT_ROWS, equal_links, linked
 from .passages import set_links, tuned_bands
@@ -212,6 +212,7 @@ def first_copies(named: DataFrame, threshold: float = SIMILARITY, unit_rows: int
         sets = staged(signed.groupBy("set_hash").agg(F.min(head).alias("head"), F.first("bands").alias("bands")), "sets")
         rows = sets.select("set_hash", F.posexplode("bands").alias("table", "key")).select("key", "table", F.col("set_hash").alias("id"))
         coarse = staged(connected_components(equal_links(rows, unit_rows)), "coarse")
+        collect_garbage(docs.sparkSession)
         # neither side of these joins has a bound: they are merged, not broadcast, at any size
         where = sets.select("set_hash", "head").join(coarse.hint("merge"), F.col("set_hash") == F.col("node")).select("head.*", "component")
         texts = docs.join(where.hint("merge"), ["doc_id", "text_hash", "row_hash"]).select("component", "text")

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WordTable, mix64, record_batch, row_names, scratch, spread, staged, text_slices, xxh64_spans
+from .common import WordTable, collect_garbage, mix64, record_batch, row_names, scratch, spread, staged, text_slices, xxh64_spans
 from .components import connected_components, local_forest
 from .hamming import UNIT_ROWS, _whole_runs, deal_units, equal_links
 
@@ -93,13 +93,29 @@ def anchors(h: np.ndarray, doc: np.ndarray, run: int = ANCHOR_RUN) -> np.ndarray
     return np.unique((least[inside] & low).astype(np.int64))
 
 
-_UNITS = "kind int, unit_hash long, doc_id long, text_hash long, start int, n_words int, bands array<long>, payload binary"
-_SCHEMA = pa.schema([("kind", pa.int32()), ("unit_hash", pa.int64()), ("doc_id", pa.int64()), ("text_hash", pa.int64()), ("start", pa.int32()), ("n_words", pa.int32()), ("bands", pa.list_(pa.int64())), ("payload", pa.binary())])
+_UNITS = "kind int, unit_hash long, doc_id long, text_hash long, start int, n_words int, more array<int>, bands array<long>, payload binary"
+_SCHEMA = pa.schema([("kind", pa.int32()), ("unit_hash", pa.int64()), ("doc_id", pa.int64()), ("text_hash", pa.int64()), ("start", pa.int32()), ("n_words", pa.int32()), ("more", pa.list_(pa.int32())), ("bands", pa.list_(pa.int64())), ("payload", pa.binary())])
+
+
+def _once(keys: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, pa.Array]:
+    """(places of the first of each key, in order; for each of them the other starts of its key or null)."""
+    _, first, group, count = np.unique(keys, return_index=True, return_inverse=True, return_counts=True)
+    rank = np.empty(len(first), np.int64)
+    rank[np.argsort(first)] = np.arange(len(first))
+    other = np.ones(len(keys), bool)
+    other[first] = False
+    rest = np.flatnonzero(other)
+    rest = rest[np.argsort(rank[group[rest]], kind="stable")]
+    number = np.zeros(len(first), np.int64)
+    number[rank] = count - 1
+    ends = pa.array(np.concatenate([[0], np.cumsum(number)]).astype(np.int32))
+    return np.sort(first), pa.ListArray.from_arrays(ends, pa.array(starts[rest].astype(np.int32)), mask=pa.array(number == 0))
 
 
 def paragraph_units(docs: DataFrame, bands: int, band_rows: int = BAND_ROWS, min_words: int = MIN_WORDS) -> DataFrame:
-    """Lines (with band keys and, as payload, sorted shingle hashes), windows, and for each document
-    with a window the 16-bit tags of its words."""
+    """Lines (with band keys and, as payload, sorted shingle hashes), windows (once for each document, with
+    the places of their repetitions in it), and for each document with a window the 16-bit tags of its
+    words."""
     rng = np.random.default_rng(SEED)
     salt = rng.integers(0, 2**63, bands * band_rows, dtype=np.uint64)
     odd = rng.integers(0, 2**63, bands * band_rows, dtype=np.uint64) | np.uint64(1)
@@ -131,12 +147,14 @@ def paragraph_units(docs: DataFrame, bands: int, band_rows: int = BAND_ROWS, min
         place = lambda at: {"doc_id": ids[doc[at]], "text_hash": named[doc[at]], "start": (at - w.first[doc[at]]).astype(np.int32)}
         at = windows_of(roll, w, doc)
         if len(at):
-            k = len(at)
-            yield record_batch({"kind": np.full(k, WINDOW, np.int32), "unit_hash": roll.of(at, at + WINDOW_WORDS).view(np.int64), **place(at), "n_words": np.full(k, WINDOW_WORDS, np.int32), "bands": pa.nulls(k, pa.list_(pa.int64())), "payload": pa.nulls(k, pa.binary())}, _SCHEMA)
+            h = roll.of(at, at + WINDOW_WORDS)
+            first, more = _once(mix64(h ^ mix64(doc[at].astype(np.uint64))), at - w.first[doc[at]])
+            at, h, k = at[first], h[first], len(first)
+            yield record_batch({"kind": np.full(k, WINDOW, np.int32), "unit_hash": h.view(np.int64), **place(at), "n_words": np.full(k, WINDOW_WORDS, np.int32), "more": more, "bands": pa.nulls(k, pa.list_(pa.int64())), "payload": pa.nulls(k, pa.binary())}, _SCHEMA)
             some, tags = np.unique(doc[at]), (words >> np.uint64(48)).astype("<u2")
             k = len(some)
             own = [tags[w.first[d] : w.first[d + 1]].tobytes() for d in some.tolist()]
-            yield record_batch({"kind": np.full(k, TAGS, np.int32), "unit_hash": np.zeros(k, np.int64), **place(w.first[some]), "n_words": np.diff(w.first)[some].astype(np.int32), "bands": pa.nulls(k, pa.list_(pa.int64())), "payload": own}, _SCHEMA)
+            yield record_batch({"kind": np.full(k, TAGS, np.int32), "unit_hash": np.zeros(k, np.int64), **place(w.first[some]), "n_words": np.diff(w.first)[some].astype(np.int32), "more": pa.nulls(k, pa.list_(pa.int32())), "bands": pa.nulls(k, pa.list_(pa.int64())), "payload": own}, _SCHEMA)
         a, b = lines_of(texts, w.first)
         if not len(a):
             return
@@ -152,7 +170,7 @@ def paragraph_units(docs: DataFrame, bands: int, band_rows: int = BAND_ROWS, min
             keys = mix64(keys ^ np.arange(1, bands + 1, dtype=np.uint64))
         payload = [np.unique(sh[x : x + y]).astype("<u8").tobytes() for x, y in zip(begin.tolist(), number.tolist(), strict=True)]
         lists = pa.ListArray.from_arrays(pa.array(np.arange(0, len(a) * bands + 1, bands, dtype=np.int32)), pa.array(keys.view(np.int64).ravel()))
-        yield record_batch({"kind": np.full(len(a), LINE, np.int32), "unit_hash": roll.of(a, b).view(np.int64), **place(a), "n_words": (b - a).astype(np.int32), "bands": lists, "payload": payload}, _SCHEMA)
+        yield record_batch({"kind": np.full(len(a), LINE, np.int32), "unit_hash": roll.of(a, b).view(np.int64), **place(a), "n_words": (b - a).astype(np.int32), "more": pa.nulls(len(a), pa.list_(pa.int32())), "bands": lists, "payload": payload}, _SCHEMA)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in text_slices(batches):
@@ -219,6 +237,7 @@ def line_classes(lines: DataFrame, threshold: float = THRESHOLD, unit_rows: int
     rows = distinct.select("unit_hash", F.posexplode("bands").alias("table", "key")).select("key", "table", F.col("unit_hash").alias("id"))
     # colliding lines as one coarse group each: a line then carries its shingles once, not by band
     coarse = staged(connected_components(equal_links(rows, unit_rows)), "coarse")
+    collect_garbage(lines.sparkSession)
     texts = lines.select(F.col("unit_hash").alias("node"), "payload").join(coarse.hint("merge"), "node").dropDuplicates(["node"])
     groups = staged(texts.select(F.col("component").alias("key"), F.lit(0).alias("table"), F.col("node").alias("id"), F.col("payload").alias("shingles")), "collided")
     links = set_links(groups, threshold, unit_rows)
@@ -234,13 +253,17 @@ def repeated_units(units: DataFrame, threshold: float = THRESHOLD, unit_rows: in
     with scratch(units.sparkSession) as keep:
         lines = units.where(F.col("kind") == LINE)
         classes = staged(line_classes(lines, threshold, unit_rows), "classes")
-        place = [*_PLACE, "n_words", "kind"]
+        place = [*_PLACE, "n_words", "kind", "more"]
         # neither side of these joins has a bound: they are merged, not broadcast, at any size
         named = lines.select("unit_hash", *place).join(classes.hint("merge"), "unit_hash", "left").select(F.coalesce("class", "unit_hash").alias("class"), *place)
         every = named.unionByName(units.where(F.col("kind") == WINDOW).select(F.col("unit_hash").alias("class"), *place))
         # few classes repeat; their extremes are found from the keys alone, then the rows are picked
         repeats = staged(every.groupBy("class").agg(F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc")).where("first_doc < last_doc").drop("last_doc"), "repeats")
-        return keep(staged(every.join(repeats.hint("merge"), "class"), "repeated"))
+        found = every.join(repeats.hint("merge"), "class")
+        starts = F.concat(F.array("start"), F.coalesce("more", F.array().cast("array<int>")))
+        found = keep(staged(found.withColumn("start", F.explode(starts)).drop("more"), "repeated"))
+    collect_garbage(units.sparkSession)
+    return found
 
 
 def _merged(rows: DataFrame, name: str, by: list[str]) -> DataFrame:
@@ -326,6 +349,7 @@ def passage_spans(units: DataFrame, repeated: DataFrame, unit_rows: int = UNIT_R
         joined = _merged(moved, "passage", text)
         passage = Window.partitionBy(*text, "passage")
         low, high = F.min("start").over(passage), F.max("end").over(passage)
+        collect_garbage(repeated.sparkSession)
         long = staged(joined.select(*text, "span", low.alias("start"), high.alias("end")).where(F.col("end") - F.col("start") >= min_words).withColumn("node", F.xxhash64(*text, "start", "end", F.lit("removed"))), "long")
         # what is kept for them: the first place of each class, as far as the outermost ones reach
         # a span has a class once, at however many places of it
