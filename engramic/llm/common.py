@@ -1,13 +1,10 @@
-"""Shared helpers: the shared scratch folder, staged tables, text batches and salted ids."""
+"""Shared helpers: staged tables, text batches, hashes, salts and key ranges."""
 
 from __future__ import annotations
 
 import contextlib
 import contextvars
 import gc
-import os
-import re
-import tempfile
 import threading
 import uuid
 from collections.abc import Callable, Iterable, Iterator
@@ -20,25 +17,12 @@ from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..scratch import scratch_path, write_scratch
+
 #: At most about so many bytes of text are held at once by the vectorised kernels.
 CHUNK_BYTES = 1 << 20
 
 
-def scratch_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share, from ``spark.checkpoint.dir``. Only on a
-    single machine (a local master, as in tests) may it be unset: then it is a temporary folder."""
-    named = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    if named:
-        return named
-    if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
-        raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-    return "file://" + os.path.join(tempfile.gettempdir(), "checkpoints")
-
-
-def scratch_path(spark: SparkSession, tag: str) -> str:
-    return f"{scratch_dir(spark).rstrip('/')}/{tag}-{uuid.uuid4().hex}"
-
-
 #: The paths staged in the innermost scope of this thread, if there is one.
 _SCOPE: contextvars.ContextVar[list[str] | None] = contextvars.ContextVar("scope", default=None)
 
@@ -47,18 +31,10 @@ def staged(df: DataFrame, tag: str) -> DataFrame:
     """``df`` written as Parquet to the shared folder and read back: cuts the lineage, so a lost
     executor never forces what stands before it to run again. The scope around the call deletes it,
     or else the end of the application."""
-    spark, scope = df.sparkSession, _SCOPE.get()
-    path = scratch_path(spark, tag)
+    scope, path = _SCOPE.get(), scratch_path(df.sparkSession, tag)
     if scope is not None:
         scope.append(path)
-    df.write.parquet(path)
-    delete_at_exit(spark, path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def delete_at_exit(spark: SparkSession, path: str) -> None:
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(p)
+    return write_scratch(df, path)
 
 
 def delete_paths(spark: SparkSession, paths: Iterable[str]) -> None:

@@ -36,7 +36,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Sent, delete_at_exit, mix64, open_file, put_file, record_batch, scratch_path, staged, text_slices
+from ..scratch import delete_at_exit, scratch_path
+from .common import Sent, mix64, open_file, put_file, record_batch, staged, text_slices
 from .quality import remainder
 
 ORDER = 5

@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 from .common import WordTable, collect_garbage, mix64, record_batch, row_names, scratch, spread, staged, text_slices, xxh64_spans
 from .components import connected_components, local_forest
-from .hamming import UNIT_ROWS, _whole_runs, deal_units, equal_links
+from .hamming import BROADCAST_ROWS, UNIT_ROWS, _whole_runs, equal_links, hot_keys
 
 SHINGLE_WORDS, THRESHOLD, RECALL, MIN_WORDS = 5, 0.8, 0.998, 51
 #: ANCHOR_RUN + ANCHOR_WORDS - 1 + WINDOW_WORDS = 51.
@@ -46,6 +46,8 @@ BAND_ROWS, SEED = 3, 11
 #: An odd base, and its inverse modulo 2 to the 64th.
 _ODD = 0x9E3779B97F4A7C15
 _INVERSE = pow(_ODD, -1, 1 << 64)
+#: The sets of pivots are broadcast up to so many bytes.
+PIVOT_BYTES = 8 << 20
 #: The kinds of rows that documents give: lines, windows, and the tags of all their words.
 LINE, WINDOW, TAGS = 0, 1, 2
 #: The column of a row's cuts, found by its place; no other has this name.
@@ -207,9 +209,67 @@ def jaccard_search(sets: list[np.ndarray], threshold: float) -> tuple[np.ndarray
     return (np.concatenate(a), np.concatenate(b)) if a else (np.zeros(0, np.int64), np.zeros(0, np.int64))
 
 
+#: Rounds in which the rows of a hot key are compared with one of them before they meet in chunks.
+PIVOTS = 3
+
+
 def set_links(groups: DataFrame, threshold: float, unit_rows: int = UNIT_ROWS, width: str = "<u8") -> DataFrame:
     """Edges (u, v) that connect all pairs of ``groups(key, table, id, shingles)`` of one key at or above
-    the threshold; shingles: sorted hashes of that width."""
+    the threshold; shingles: sorted hashes of that width.
+
+    A key of more than ``unit_rows`` rows is first compared with its least row, and what is not similar
+    to that with its own least row, ``PIVOTS`` times: rows similar to one pivot are linked by it and
+    need not meet. The rest goes in chunks: pairs of chunks meet but for those of one pivot, so a large
+    group of near copies is linear in its rows, and no pair that the pivots leave open is lost.
+    """
+    hot = hot_keys(groups, unit_rows)
+    n = hot.count()
+    if not n:
+        return _unit_links(groups.withColumn("unit", F.lit(0).cast("long")), threshold, width)
+    few = hot.select("key", "table")
+    few = F.broadcast(few) if n <= BROADCAST_ROWS else few
+    cold = groups.join(few, ["key", "table"], "left_anti").withColumn("unit", F.lit(0).cast("long"))
+    names = ["key", "table", "id", "shingles"]
+    rows = staged(groups.join(few, ["key", "table"]).select(*names, F.lit(None).cast("long").alias("pivot")), "hot-sets")
+    for _ in range(PIVOTS):
+        rows = staged(_near_pivots(rows, threshold, width), "hot-sets")
+    # chunks are numbered by key, those of a pivot next to each other
+    sizes = rows.groupBy("key", "table", "pivot").agg(F.ceil(F.count(F.lit(1)) / F.lit(unit_rows)).cast("long").alias("c"))
+    by_key = Window.partitionBy("key", "table")
+    first = F.coalesce(F.sum("c").over(by_key.orderBy(F.col("pivot").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0).cast("long"))
+    sizes = sizes.select(F.col("key").alias("k"), F.col("table").alias("t"), F.col("pivot").alias("p"), "c", first.alias("first"), F.sum("c").over(by_key).alias("all"))
+    dealt = rows.join(sizes, (F.col("key") == F.col("k")) & (F.col("table") == F.col("t")) & F.col("pivot").eqNullSafe(F.col("p")))
+    own = F.col("first") + F.pmod(F.xxhash64("key", "id"), F.col("c"))
+    other = F.filter(F.sequence(F.lit(0).cast("long"), F.col("all") - 1), lambda o: F.col("pivot").isNull() | (o < F.col("first")) | (o >= F.col("first") + F.col("c")))
+    dealt = dealt.withColumn("own", own).withColumn("other", F.explode(other))
+    dealt = dealt.withColumn("unit", F.least("own", "other") * F.col("all") + F.greatest("own", "other")).select(*names, "unit")
+    stars = rows.where("pivot is not null and pivot <> id").select(F.col("id").alias("u"), F.col("pivot").alias("v"))
+    return _unit_links(cold.select(*names, "unit").unionByName(dealt), threshold, width).unionByName(stars)
+
+
+def _near_pivots(rows: DataFrame, threshold: float, width: str) -> DataFrame:
+    """``rows`` with the pivot of those that had none and are similar to the least such row of their key."""
+    names = ["key", "table", "id", "shingles"]
+    least = rows.where("pivot is null").groupBy("key", "table").agg(F.min_by(F.struct("id", "shingles"), "id").alias("l"))
+    least = staged(least.select("key", "table", F.col("l.id").alias("least"), F.col("l.shingles").alias("set")), "pivots")  # a row for each hot key
+    size = least.agg(F.sum(F.length("set"))).first()[0] or 0
+    free = rows.where("pivot is null").select(*names).join(F.broadcast(least) if size <= PIVOT_BYTES else least, ["key", "table"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            one, two, ids = batch.column("shingles").to_pylist(), batch.column("set").to_pylist(), batch.column("least").to_pylist()
+            pivot = []
+            for x, y, i in zip(one, two, ids, strict=True):
+                x, y = np.frombuffer(x, width), np.frombuffer(y, width)
+                shared = len(np.intersect1d(x, y, assume_unique=True))
+                pivot.append(i if shared >= threshold * (len(x) + len(y) - shared) - 1e-9 else None)
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in names], pa.array(pivot, pa.int64())], names=[*names, "pivot"])
+
+    return rows.where("pivot is not null").unionByName(free.mapInArrow(run, "key long, table int, id long, shingles binary, pivot long"))
+
+
+def _unit_links(rows: DataFrame, threshold: float, width: str) -> DataFrame:
+    """Edges of ``rows(key, table, id, shingles, unit)`` within each unit of a key."""
     schema = pa.schema([("u", pa.int64()), ("v", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -226,7 +286,7 @@ def set_links(groups: DataFrame, threshold: float, unit_rows: int = UNIT_ROWS, w
                 one, two = local_forest(np.concatenate(u), np.concatenate(v))
                 yield record_batch({"u": one, "v": two}, schema)
 
-    dealt = deal_units(groups, unit_rows).repartition(spread(groups.sparkSession), "key", "table", "unit").sortWithinPartitions("key", "table", "unit")
+    dealt = rows.repartition(spread(rows.sparkSession), "key", "table", "unit").sortWithinPartitions("key", "table", "unit")
     return dealt.mapInArrow(run, "u long, v long")
 
 

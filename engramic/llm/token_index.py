@@ -30,7 +30,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import delete_at_exit, mix64, open_file, put_file, range_of, range_splits, record_batch, scratch_path, spread, text_slices
+from ..scratch import delete_at_exit, scratch_path
+from .common import mix64, open_file, put_file, range_of, range_splits, record_batch, spread, text_slices
 
 END_ID = 1
 MAGIC, VERSION = b"EGTOKIDX", 1

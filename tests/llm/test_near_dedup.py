@@ -124,3 +124,48 @@ def test_hashes():
         x = t.lower().split()
         want += [xxhash.xxh64_intdigest(b" ".join(x[i : i + 4]), 42) for i in range(max(1, len(x) - 3))] if x else []
     assert h.tolist() == want and first[-1] == len(want)
+
+
+def test_hot_groups_of_sets_lose_no_link(spark):
+    from engramic.llm import passages
+
+    rng = np.random.default_rng(6)
+    sets, base = [], [np.unique(rng.integers(0, 2**63, 60, dtype=np.uint64)) for _ in range(6)]
+    for i in range(240):
+        b = base[0] if i < 140 else base[rng.integers(1, 6)]
+        s = np.unique(np.concatenate([b[rng.random(len(b)) > rng.choice([0.02, 0.1, 0.3])], rng.integers(0, 2**63, rng.integers(0, 6), dtype=np.uint64)]))
+        sets.append(s)
+    rows = [(7, 0, 1000 + i, s.astype("<u8").tobytes()) for i, s in enumerate(sets)] + [(8, 0, 1, sets[0].tobytes()), (8, 0, 2, sets[0].tobytes())]
+    df = spark.createDataFrame(rows, "key long, table int, id long, shingles binary")
+    label = list(range(240))
+    for i in range(240):
+        for j in range(i):
+            shared = len(np.intersect1d(sets[i], sets[j]))
+            if 5 * shared >= 4 * (len(sets[i]) + len(sets[j]) - shared) and label[i] != label[j]:
+                low, high = sorted((label[i], label[j]))
+                label = [low if x == high else x for x in label]
+    want = {1000 + i: 1000 + x for i, x in enumerate(label) if label.count(x) > 1} | {1: 1, 2: 1}
+    for unit_rows in (4096, 50, 7):
+        got = {r["node"]: r["component"] for r in connected_components(passages.set_links(df, 0.8, unit_rows)).collect()}
+        assert got == want
+    hot = {r["u"] for r in passages.set_links(df, 0.8, 7).collect()}
+    assert len(set(label)) > 10 and hot
+
+
+def test_equal_links_are_linear(spark):
+    from engramic.llm.hamming import equal_links
+
+    rows = spark.range(500).select(F.when(F.col("id") < 300, 1).otherwise(F.col("id") % 50 + 10).cast("long").alias("key"), F.lit(0).alias("table"), "id")
+    for unit_rows in (4096, 20):
+        e = equal_links(rows, unit_rows).collect()
+        assert len(e) == 299 + 150
+        assert all(r["v"] == 0 for r in e if r["u"] < 300)
+
+
+def test_manhattan_bounds_hamming():
+    rng = np.random.default_rng(2)
+    x, y = (rng.integers(0, 2**64, (500, 1), dtype=np.uint64) for _ in range(2))
+    counts = near_dedup.segment_counts
+    plain = np.abs(counts(x[:, 0]).astype(int) - counts(y[:, 0]).astype(int)).sum(axis=1)
+    fast = near_dedup.manhattan(near_dedup.packed_counts(x), near_dedup.packed_counts(y))
+    assert (plain == fast).all() and (fast <= np.bitwise_count(x ^ y)[:, 0]).all()
