@@ -46,3 +46,10 @@ def scroll_metrics(scroll_top: int, n: int, p: Listing = L) -> dict[str, float]:
     total = n * p.item_height
     room = total - p.container_height
     return {"total_height": total, "visible_height": p.container_height, "scroll_top": scroll_top, "scroll_percent": scroll_top / room if room else 0.0}
+
+
+def toggled(selected: tuple[int, ...], item: int, most: int = 3) -> tuple[int, ...]:
+    """The items to compare after one was chosen: it goes if it is there, else it comes while there is room."""
+    if item in selected:
+        return tuple(x for x in selected if x != item)
+    return (*selected, item) if len(selected) < most else selected

@@ -82,7 +82,7 @@ QUERIES = {
     "metric_history": lambda s, d: rounded(metrics.history(log(s, d), "click"), "value"),
     "latency_spikes": lambda s, d: rounded(pool.latency_spikes(_latency(s, d), 40, 1.0).drop("ts"), "value"),
     "task_assignments": lambda s, d: pool.assignments(_tasks(s, d), _workers(s, d)).select("id", "worker_id"),
-    "timed_out_tasks": lambda s, d: pool.timed_out(_tasks(s, d), _workers(s, d), F.lit("1996-01-01").cast("timestamp"), 365 * 86_400_000),
+    "timed_out_tasks": lambda s, d: pool.timed_out(_tasks(s, d), _workers(s, d), F.lit("1998-06-01").cast("timestamp"), 365 * 86_400_000),
     "health_actions": lambda s, d: pool.health_actions(_workers(s, d)),
     "scaling_target": lambda s, d: pool.scaling_target(_tasks(s, d).where("id % 50 = 0"), _workers(s, d)),
     "pool_state": lambda s, d: pool.pool_state(_tasks(s, d), _workers(s, d)),
@@ -110,7 +110,7 @@ ORACLE_SQL = {
     "metric_history": f"WITH {LOG} SELECT ts, round(value, 6) + 0.0 AS value FROM log WHERE metric = 'click'",
     "latency_spikes": f"WITH {TASKS}, l AS (SELECT ts, round(avg(latency), 4) AS value FROM tasks GROUP BY 1 ORDER BY ts DESC LIMIT 40), a AS (SELECT avg(value) AS m, stddev_pop(value) AS s FROM l) SELECT 'latency_spike' AS kind, round(value, 6) + 0.0 AS value FROM l, a WHERE abs(value - m) > s",
     "task_assignments": f"WITH {TASKS}, {_W} SELECT tasks.id, w.worker_id FROM tasks LEFT JOIN w ON w.task_id = tasks.id",
-    "timed_out_tasks": f"WITH {TASKS}, {_W} SELECT tasks.id, w.worker_id, 'Task timeout' AS error FROM tasks JOIN w ON w.task_id = tasks.id WHERE epoch_us(TIMESTAMP '1996-01-01') - epoch_us(created::TIMESTAMP) > 365 * 86400000000",
+    "timed_out_tasks": f"WITH {TASKS}, {_W} SELECT tasks.id, w.worker_id, 'Task timeout' AS error FROM tasks JOIN w ON w.task_id = tasks.id WHERE epoch_us(TIMESTAMP '1998-06-01') - epoch_us(created::TIMESTAMP) > 365 * 86400000000",
     "health_actions": f"WITH {TASKS}, {_W} SELECT worker_id, CASE WHEN health < 0.2 THEN 'replace' ELSE 'heal' END AS action FROM w WHERE health < 0.5 OR errors > 5 OR efficiency < 0.5",
     "scaling_target": f"WITH {TASKS}, {_W}, q AS (SELECT count(*) AS queued FROM tasks WHERE id % 50 = 0 AND id NOT IN (SELECT task_id FROM w WHERE task_id IS NOT NULL)) SELECT count(*) AS active, any_value(queued) AS queued, least(8, greatest(2, floor(count(*) * (1 + 0.5 * (any_value(queued) / count(*) + (avg(cpu) + avg(memory)) / 2 - 1)) + 0.5)))::INT AS target FROM w, q",
     "pool_state": f"WITH {TASKS}, {_W} SELECT (SELECT count(*) FROM tasks) AS queue_length, count(*) FILTER (busy) AS busy, false AS idle FROM w",

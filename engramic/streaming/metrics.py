@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 
 from ..params import Prediction
 
@@ -23,6 +24,13 @@ def windowed_metrics(events: DataFrame, key: str = "event_type", value: str = "v
     return g.select(key, F.col("w.start").alias("start"), "n", "mean", "std_dev")
 
 
+def on_update(stream: DataFrame, callback: Callable[[DataFrame, int], None], checkpoint: str, mode: str = "update", every: str | None = "60 seconds") -> StreamingQuery:
+    """Calls ``callback(rows, batch)`` with what each batch of a stream changed; without ``every`` once for all
+    input there is now. A repeated batch comes with the same number."""
+    w = stream.writeStream.foreachBatch(callback).outputMode(mode).option("checkpointLocation", checkpoint)
+    return (w.trigger(processingTime=every) if every else w.trigger(availableNow=True)).start()
+
+
 def gate_step(hidden: list[float], cell: list[float], values: list[float]) -> tuple[list[float], list[float], float, float]:
     """One step of the gated state: (hidden, cell, score, significance)."""
     new = [0.7 * (cell[i] if i < len(cell) else 0.0) + 0.3 * math.tanh(v or 0.5) for i, v in enumerate(values)]

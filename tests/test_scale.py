@@ -184,3 +184,15 @@ def test_statistics_by_ranges(spark, monkeypatch):
         parts = [statistics.half_quartiles(df, ["k"], "x"), statistics.quantiles(df, ["k"], "x", [0.1, 0.5]), statistics.moments(df, ["k"], "x"), statistics.iqr_outliers(df, ["k"], "x"), series.linear_trend(df, ["k"], ["x"], "x")]
         ways.append([sorted(str([round(v, 9) if isinstance(v, float) else v for v in r]) for r in p.collect()) for p in parts])
     assert ways[0] == ways[1]
+
+
+def test_selection_and_updates(spark, tmp_path):
+    from engramic.operators.listing import toggled
+    from engramic.streaming.metrics import on_update, windowed_metrics
+
+    assert toggled((), 1) == (1,) and toggled((1, 2, 3), 4) == (1, 2, 3) and toggled((1, 2, 3), 2) == (1, 3)
+    spark.createDataFrame([(f"2024-01-0{1 + i % 3} 00:00:00", "a", float(i)) for i in range(30)], "ts string, event_type string, value double").selectExpr("cast(ts as timestamp) ts", "event_type", "value").write.parquet(f"{tmp_path}/in")
+    stream = spark.readStream.schema("ts timestamp, event_type string, value double").parquet(f"{tmp_path}/in")
+    seen = []
+    on_update(windowed_metrics(stream), lambda rows, batch: seen.extend(rows.collect()), f"{tmp_path}/checkpoint", "update", None).awaitTermination()
+    assert sorted(r["n"] for r in seen) == [10, 10, 10]
