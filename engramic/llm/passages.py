@@ -115,9 +115,8 @@ def _once(keys: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, pa.Array]:
 
 
 def paragraph_units(docs: DataFrame, bands: int, band_rows: int = BAND_ROWS, min_words: int = MIN_WORDS) -> DataFrame:
-    """Lines (with band keys and, as payload, sorted shingle hashes), windows (once for each document, with
-    the places of their repetitions in it), and for each document with a window the 16-bit tags of its
-    words."""
+    """Lines with their band keys, windows (once for each document, with the places of their repetitions
+    in it), and for each document with a window the 16-bit tags of its words."""
     rng = np.random.default_rng(SEED)
     salt = rng.integers(0, 2**63, bands * band_rows, dtype=np.uint64)
     odd = rng.integers(0, 2**63, bands * band_rows, dtype=np.uint64) | np.uint64(1)
@@ -170,16 +169,18 @@ def paragraph_units(docs: DataFrame, bands: int, band_rows: int = BAND_ROWS, min
                 least = np.minimum.reduceat((sh ^ salt[k]) * odd[k], begin)
                 keys[:, k // band_rows] = mix64(keys[:, k // band_rows] ^ least)
             keys = mix64(keys ^ np.arange(1, bands + 1, dtype=np.uint64))
-        payload = [np.unique(sh[x : x + y]).astype("<u8").tobytes() for x, y in zip(begin.tolist(), number.tolist(), strict=True)]
         lists = pa.ListArray.from_arrays(pa.array(np.arange(0, len(a) * bands + 1, bands, dtype=np.int32)), pa.array(keys.view(np.int64).ravel()))
-        yield record_batch({"kind": np.full(len(a), LINE, np.int32), "unit_hash": roll.of(a, b).view(np.int64), **place(a), "n_words": (b - a).astype(np.int32), "more": pa.nulls(len(a), pa.list_(pa.int32())), "bands": lists, "payload": payload}, _SCHEMA)
+        yield record_batch({"kind": np.full(len(a), LINE, np.int32), "unit_hash": roll.of(a, b).view(np.int64), **place(a), "n_words": (b - a).astype(np.int32), "more": pa.nulls(len(a), pa.list_(pa.int32())), "bands": lists, "payload": pa.nulls(len(a), pa.binary())}, _SCHEMA)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in text_slices(batches):
             yield from units(batch, texts)
 
-    known = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text").where("doc_id is not null")
-    return known.mapInArrow(run, _UNITS)
+    return _known(docs).mapInArrow(run, _UNITS)
+
+
+def _known(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text").where("doc_id is not null")
 
 
 def jaccard_search(sets: list[np.ndarray], threshold: float) -> tuple[np.ndarray, np.ndarray]:
@@ -290,7 +291,31 @@ def _unit_links(rows: DataFrame, threshold: float, width: str) -> DataFrame:
     return dealt.mapInArrow(run, "u long, v long")
 
 
-def line_classes(lines: DataFrame, threshold: float = THRESHOLD, unit_rows: int = UNIT_ROWS) -> DataFrame:
+def line_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(key, table, id, shingles) of the lines of ``wanted(doc_id, text_hash, start, n_words, id, key)``: the
+    sorted hashes of their shingles, from the texts, which are read again for them."""
+    schema = pa.schema([("key", pa.int64()), ("table", pa.int32()), ("id", pa.int64()), ("shingles", pa.binary())])
+    line = F.struct("start", "n_words", "id", "key")
+    by_text = wanted.groupBy("doc_id", "text_hash").agg(F.collect_list(line).alias("lines"))  # no more than a document has
+    texts = _known(docs).join(by_text.hint("merge"), ["doc_id", "text_hash"]).select("text", "lines")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, texts in text_slices(batches):
+            w = WordTable(texts)
+            roll, out = Rolling(xxh64_spans(w.joined, w.start, w.size, 0)), {c: [] for c in schema.names}
+            for base, lines in zip(w.first.tolist(), batch.column("lines").to_pylist(), strict=False):
+                for x in lines:
+                    a, n = base + x["start"], x["n_words"]
+                    s = np.arange(a, a + max(n - SHINGLE_WORDS + 1, 1))
+                    sets = np.unique(roll.of(s, np.minimum(s + SHINGLE_WORDS, a + n))).astype("<u8").tobytes()
+                    for c, v in zip(schema.names, (x["key"], 0, x["id"], sets), strict=True):
+                        out[c].append(v)
+            yield record_batch(out, schema)
+
+    return texts.mapInArrow(run, "key long, table int, id long, shingles binary").dropDuplicates(["id"])
+
+
+def line_classes(docs: DataFrame, lines: DataFrame, threshold: float = THRESHOLD, unit_rows: int = UNIT_ROWS) -> DataFrame:
     """(unit_hash, class) of the lines that have a near duplicate of other text: class is the smallest
     unit_hash of their component of verified pairs."""
     distinct = staged(lines.select("unit_hash", "bands").dropDuplicates(["unit_hash"]), "lines")
@@ -298,8 +323,9 @@ def line_classes(lines: DataFrame, threshold: float = THRESHOLD, unit_rows: int
     # colliding lines as one coarse group each: a line then carries its shingles once, not by band
     coarse = staged(connected_components(equal_links(rows, unit_rows)), "coarse")
     collect_garbage(lines.sparkSession)
-    texts = lines.select(F.col("unit_hash").alias("node"), "payload").join(coarse.hint("merge"), "node").dropDuplicates(["node"])
-    groups = staged(texts.select(F.col("component").alias("key"), F.lit(0).alias("table"), F.col("node").alias("id"), F.col("payload").alias("shingles")), "collided")
+    place = lines.select("doc_id", "text_hash", "start", "n_words", F.col("unit_hash").alias("node")).join(coarse.hint("merge"), "node")
+    first = place.groupBy("node").agg(F.min(F.struct("doc_id", "text_hash", "start", "n_words")).alias("p"), F.min("component").alias("key"))
+    groups = staged(line_sets(docs, first.select("p.*", F.col("node").alias("id"), "key")), "collided")
     links = set_links(groups, threshold, unit_rows)
     return connected_components(links).select(F.col("node").alias("unit_hash"), F.col("component").alias("class"))
 
@@ -307,12 +333,12 @@ def line_classes(lines: DataFrame, threshold: float = THRESHOLD, unit_rows: int
 _PLACE = ["doc_id", "text_hash", "start"]
 
 
-def repeated_units(units: DataFrame, threshold: float = THRESHOLD, unit_rows: int = UNIT_ROWS) -> DataFrame:
-    """(doc_id, text_hash, start, n_words, kind, class, first_doc): every place of the units that lie in
-    two documents or more."""
+def repeated_units(docs: DataFrame, units: DataFrame, threshold: float = THRESHOLD, unit_rows: int = UNIT_ROWS) -> DataFrame:
+    """(doc_id, text_hash, start, n_words, kind, class, first_doc): every place of the ``units`` of ``docs`` that
+    lie in two documents or more."""
     with scratch(units.sparkSession) as keep:
         lines = units.where(F.col("kind") == LINE)
-        classes = staged(line_classes(lines, threshold, unit_rows), "classes")
+        classes = staged(line_classes(docs, lines, threshold, unit_rows), "classes")
         place = [*_PLACE, "n_words", "kind", "more"]
         # neither side of these joins has a bound: they are merged, not broadcast, at any size
         named = lines.select("unit_hash", *place).join(classes.hint("merge"), "unit_hash", "left").select(F.coalesce("class", "unit_hash").alias("class"), *place)
@@ -434,7 +460,7 @@ def repeated_passages(docs: DataFrame, threshold: float = THRESHOLD, min_words:
     """The repeated spans of all documents (see ``passage_spans``)."""
     with scratch(docs.sparkSession) as keep:
         units = staged(paragraph_units(docs, tuned_bands(threshold), min_words=min_words), "units")
-        spans = passage_spans(units, repeated_units(units, threshold, unit_rows), unit_rows, min_words)
+        spans = passage_spans(units, repeated_units(docs, units, threshold, unit_rows), unit_rows, min_words)
         return keep(staged(spans, "passages"))
 
 
