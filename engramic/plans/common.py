@@ -68,11 +68,15 @@ def ms(c: str) -> str:
     return f"(epoch_us({c}) / 1000.0)"
 
 
-#: The error function as DuckDB macro text (the same fixed coefficients as functions.numeric).
+#: The coefficients of functions.numeric below the highest, in falling order.
+ERFC_HIGH_TO_LOW = (-0.82215223, 1.48851587, -1.13520398, 0.27886807, -0.18628806, 0.09678418, 0.37409196, 1.00002368, -1.26551223)
+
+
 def erf_sql(x: str) -> str:
+    """The error function as SQL text."""
     t = f"(1 / (1 + 0.5 * abs({x})))"
     poly = "0.17087277"
-    for c in (-0.82215223, 1.48851587, -1.13520398, 0.27886807, -0.18628806, 0.09678418, 0.37409196, 1.00002368, -1.26551223):
+    for c in ERFC_HIGH_TO_LOW:
         poly = f"({poly} * {t} + ({c}))"
     return f"(CASE WHEN {x} >= 0 THEN 1 - {t} * exp({poly} - {x} * {x}) ELSE {t} * exp({poly} - {x} * {x}) - 1 END)"
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import numeric as N
 from ..operators import series, statistics
-from .common import LOG, cdf_sql, erf_sql, log, r6, rounded, table
+from .common import ERFC_HIGH_TO_LOW, LOG, cdf_sql, erf_sql, log, r6, rounded, table
 
 EV = ["event_type"]
 ORD = ["ts", "event_id"]
@@ -104,7 +104,12 @@ _erf_inv = "(sign(z) * sqrt(sqrt(pow(2 / (pi() * 0.147) + ln(1 - z * z) / 2, 2)
 
 
 def _coarse(x: str) -> str:
-    return erf_sql(x).replace("0.5 * abs", "0.47047 * abs").replace(f"ELSE (1 / (1 + 0.47047 * abs({x})))", "ELSE -1 * (1 - (1 / (1 + 0.47047 * abs(" + x + ")))").replace(" - 1 END)", ") END)")
+    """The coarser variant: the same coefficients at a point of another formula, odd in x."""
+    t = f"(1 / (1 + 0.47047 * abs({x})))"
+    poly = "0.17087277"
+    for c in ERFC_HIGH_TO_LOW:
+        poly = f"({poly} * {t} + ({c}))"
+    return f"(sign({x}) * (1 - {t} * exp({poly} - {x} * {x})) + CASE WHEN {x} = 0 THEN 1 - exp({poly.replace(t, '1')}) ELSE 0 END)"
 
 
 ORACLE_SQL = {
