@@ -303,3 +303,40 @@ def test_pipeline(spark, small):
             assert {r["doc_id"] for r in docs.collect()} == first_of_near_copies(before.collect())
     assert counts[0] > counts[1] > counts[2] >= counts[3]
     assert corpus_pipeline.run(spark, small).count() == counts[-1]
+
+
+def test_line_recall_against_all_pairs(spark):
+    """Of all pairs of different lines of sf0.01 at 0.8, those in one class."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    sets = {}
+    for r in docs.select("text").collect():
+        for line in (r["text"] or "").encode().lower().split(b"\n"):
+            w = line.split()
+            if len(w) >= passages.MIN_WORDS:
+                sets.setdefault(b" ".join(w), {b" ".join(w[i : i + 5]) for i in range(len(w) - 4)})
+    by = {}
+    for k, (_, grams) in enumerate(sets.items()):
+        for g in grams:
+            by.setdefault(g, []).append(k)
+    shared = {}
+    for ks in by.values():
+        for i, j in itertools.combinations(ks, 2):
+            shared[i, j] = shared.get((i, j), 0) + 1
+    lines = list(sets)
+    near = [(i, j) for (i, j), n in shared.items() if 5 * n >= 4 * (len(sets[lines[i]]) + len(sets[lines[j]]) - n)]
+    assert len(near) > 20
+    own = spark.createDataFrame([(i, line.decode()) for i, line in enumerate(lines)], "doc_id long, text string")
+    units = passages.paragraph_units(own, passages.tuned_bands()).where("kind = 0").cache()
+    classes = {r["unit_hash"]: r["class"] for r in passages.line_classes(own, units).collect()}
+    label = {r["doc_id"]: classes.get(r["unit_hash"], r["unit_hash"]) for r in units.select("doc_id", "unit_hash").collect()}
+    assert sum(label[i] == label[j] for i, j in near) >= 0.99 * len(near)
+    exact = list(range(len(lines)))
+    for i, j in near:
+        if exact[i] != exact[j]:
+            low, high = sorted((exact[i], exact[j]))
+            exact = [low if x == high else x for x in exact]
+    # and none are joined that no chain of pairs joins
+    first = {}
+    for i, c in label.items():
+        first.setdefault(c, set()).add(exact[i])
+    assert all(len(x) == 1 for x in first.values())

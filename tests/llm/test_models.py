@@ -266,3 +266,14 @@ def test_suppression_and_rules():
     wide, narrow = (license_scan.Rule(n, p, 0.5, "k", None) for n, p in (("wide", 5), ("narrow", 9)))
     assert [x[2].label for x in license_scan.suppress([(0, 10, wide, 1), (2, 5, narrow, 0)])] == ["wide", "narrow"]
     assert [x[2].label for x in license_scan.suppress([(0, 10, narrow, 0), (2, 5, wide, 1)])] == ["narrow"]
+
+
+def test_held_out_accuracy_on_the_tables(spark):
+    d = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    truth = {r["doc_id"]: r["lang"] for r in d.select("doc_id", "lang").collect()}
+    got = [r for r in language_id.predicted_languages(d).collect() if r["held_out"] and truth[r["doc_id"]] and r["lang_pred"] != "und"]
+    assert len(got) > 100 and sum(r["lang_pred"] == truth[r["doc_id"]] for r in got) >= 0.97 * len(got)
+    labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
+    marks = {r["doc_id"]: r["quality"] for r in labels.collect()}
+    got = [r for r in quality.quality_scores(d, labels).collect() if r["held_out"] and marks.get(r["doc_id"]) is not None]
+    assert len(got) > 20 and sum(r["predicted"] == marks[r["doc_id"]] for r in got) >= 0.9 * len(got)
