@@ -49,10 +49,10 @@ class Remembered(dict):
     """What ``make`` gives for a key, kept for the first ``most`` keys; starts anew when so many others
     were made that the keys kept have become stale."""
 
-    def __init__(self, make: Callable[[str], bytes], most: int):
+    def __init__(self, make: Callable[[str], bytes | int], most: int):
         self.make, self.most, self.missed = make, most, 0
 
-    def __missing__(self, key: str) -> bytes:
+    def __missing__(self, key: str) -> bytes | int:
         made = self.make(key)
         if len(self) >= self.most:
             self.missed += 1
@@ -90,6 +90,7 @@ class Encoder:
         self.dtype = np.dtype("<u2") if self.tok.get_vocab_size() <= 1 << 16 else np.dtype("<u4")
         self.pieces = Remembered(self._piece, most or CACHE_PIECES)
         self.words = Remembered(self._word, most or CACHE_PIECES // 8)
+        self.sizes = Remembered(lambda p: len(self._piece(p)) // self.dtype.itemsize, most or CACHE_PIECES)
         probe = "It's  we'LL 4th c'est\tÉtÉ -- (a_b) x9.y\n'tis $1,200! naïve ''s ÿþà anderebungschließlichkeit"
         want = [np.array(x, self.dtype).tobytes() for x in self._by_word(probe)] if self.tok.pre_tokenizer is not None else None
         self.plain = want == [self._piece(p) for p in _PIECES.findall(probe.lower())]
@@ -128,7 +129,10 @@ class Encoder:
 
     def counts(self, texts: list[str]) -> list[int]:
         """The number of ids of each text."""
-        return [len(b) // self.dtype.itemsize for b in self(texts)]
+        size, known = self.dtype.itemsize, self.sizes.__getitem__
+        if not self.plain:
+            return [len(b) // size for b in self(texts)]
+        return [len(self._text(t)) // size if _OTHER.search(t) else sum(map(known, _PIECES.findall(t.lower()))) for t in texts]
 
 
 def encoder(path: str, most: int = CACHE_PIECES) -> Encoder:
@@ -313,7 +317,7 @@ def shard_count(docs: DataFrame) -> int:
     return max(spread(docs.sparkSession), min(-(-size // SHARD_BYTES), MAX_SHARDS))
 
 
-def token_counts(docs: DataFrame, tokenizer: str, pieces: int = CACHE_PIECES // 4) -> DataFrame:
+def token_counts(docs: DataFrame, tokenizer: str, pieces: int = CACHE_PIECES // 2) -> DataFrame:
     """(doc_id, size): the number of ids of every row's whole text (null: 0), without an end id."""
     schema = pa.schema([("doc_id", pa.int64()), ("size", pa.int64())])
 
