@@ -52,12 +52,21 @@ def carried(placed: DataFrame, keys: list[str], value: Column, name: str) -> Dat
     return joined.withColumn(name, F.col("_b") + F.col("_in")).drop("_in", "_b", "_p", *[f"_k{i}" for i in range(len(keys))])
 
 
-def numbered(df: DataFrame, keys: list[str], order: list[Column], name: str = "i", key_rows: int | None = None) -> DataFrame:
-    """``df`` with each row's place among the rows of its keys, from 0."""
-    if most_rows(df, keys) <= (KEY_ROWS if key_rows is None else key_rows):
-        w = Window.partitionBy(*(keys or [F.lit(0)])).orderBy(*order)
-        return df.withColumn(name, (F.row_number().over(w) - 1).cast("long"))
-    return carried(ranges(df, keys, order), keys, F.lit(1).cast("long"), name).drop("_part", "_at")
+def numbered(df: DataFrame, keys: list[str], order: list[Column], name: str = "i", key_rows: int | None = None, total: str | None = None, most: int | None = None) -> DataFrame:
+    """``df`` with each row's place among the rows of its keys, from 0, and in ``total`` how many those are.
+    ``most``: a bound of the rows of a key, where it is known."""
+    if (most_rows(df, keys) if most is None else most) <= (KEY_ROWS if key_rows is None else key_rows):
+        w = Window.partitionBy(*(keys or [F.lit(0)]))
+        out = df.withColumn(name, (F.row_number().over(w.orderBy(*order)) - 1).cast("long"))
+        return out.withColumn(total, F.count(F.lit(1)).over(w)) if total else out
+    out = carried(ranges(df, keys, order), keys, F.lit(1).cast("long"), name).drop("_part", "_at")
+    if total is None:
+        return out
+    n = df.groupBy(*keys).agg(F.count(F.lit(1)).alias(total)).select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], total)
+    on = F.lit(True)
+    for c in _same(keys):
+        on = on & c
+    return out.join(n, on).drop(*[f"_k{i}" for i in range(len(keys))])
 
 
 def exact_quantiles(df: DataFrame, keys: list[str], x: str, qs: list[float], key_rows: int | None = None) -> DataFrame:
@@ -65,13 +74,9 @@ def exact_quantiles(df: DataFrame, keys: list[str], x: str, qs: list[float], key
     one aggregate; beyond it the rows at the two places around each quantile are picked by their numbers,
     and no task holds a key's values."""
     if most_rows(df, keys) <= (KEY_ROWS if key_rows is None else key_rows):
-        return df.groupBy(*keys).agg(*[F.percentile(x, q).alias(f"q{k}") for k, q in enumerate(qs)])
-    ranked = numbered(df.select(*keys, x), keys, [F.col(x)], "_i", 0)
-    n = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], "_n")
-    on = F.lit(True)
-    for c in _same(keys):
-        on = on & c
-    j = ranked.join(n, on)
+        g = df.groupBy(*keys).agg(F.percentile(x, F.array(*[F.lit(float(q)) for q in qs])).alias("_q"))
+        return g.select(*keys, *[F.col("_q")[k].alias(f"q{k}") for k in range(len(qs))])
+    j = numbered(df.select(*keys, x), keys, [F.col(x)], "_i", 0, "_n")
     place = lambda q: (F.col("_n") - 1) * F.lit(float(q))
     picked = [F.max(F.when(F.col("_i") == f(place(q)), F.col(x))).alias(f"_{s}{k}") for k, q in enumerate(qs) for s, f in (("l", F.floor), ("h", F.ceil))]
     wanted = F.lit(False)

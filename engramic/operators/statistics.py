@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from ..functions.numeric import erf_inv, normal_cdf, normal_pdf, safe_div
 from ..functions.scores import direction_label, strength_label
 from ..params import Correlation, Statistics
-from .ordering import exact_quantiles, numbered
+from .ordering import exact_quantiles, most_rows, numbered
 
 S, C = Statistics(), Correlation()
 
@@ -58,7 +58,7 @@ def modes(df: DataFrame, keys: list[str], value: str) -> DataFrame:
 def half_quartiles(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     """q1, q2, q3: medians of the halves, the middle row left out of both for odd counts."""
     v = _values(df, keys, value)
-    r = _joined([numbered(v, keys, [F.col("x")], "_i"), v.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))], keys)
+    r = numbered(v, keys, [F.col("x")], "_i", total="_n")
     half, i = F.floor(F.col("_n") / 2), F.col("_i")
     # the median of h values from place a on: the mean of the places a + (h - 1) / 2, rounded down and up
     middle = lambda a, h: F.avg(F.when((i == a + F.floor((h - 1) / 2)) | (i == a + F.ceil((h - 1) / 2)), F.col("x")))
@@ -161,10 +161,9 @@ def distribution_fits(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     domain = {"normal": F.lit(True), "lognormal": F.col("x") > 0, "exponential": F.col("x") >= 0}
     cdf = {"normal": normal_cdf("x", F.col("nm"), F.col("ns")), "lognormal": normal_cdf(F.log("x"), F.col("lm"), F.col("ls")), "exponential": 1 - F.exp(-F.col("lam") * F.col("x"))}
     params = {"normal": ("nm", "ns"), "lognormal": ("lm", "ls"), "exponential": ("lam", None)}
-    out = None
+    out, most = None, most_rows(v, keys)
     for k, inside in domain.items():
-        own = j.where(inside)
-        r = _joined([numbered(own, keys, [F.col("x")], "_i").withColumn("_i", F.col("_i") + 1), own.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))], keys)
+        r = numbered(j.where(inside), keys, [F.col("x")], "_i", total="_n", most=most).withColumn("_i", F.col("_i") + 1)
         far = r.groupBy(*keys).agg((1 - F.max(F.abs(F.col("_i") / F.col("_n") - cdf[k]))).alias("fit"))
         a, b = params[k]
         rows = g.select(*keys, F.lit(k).alias("kind"), F.col(a).alias("p1"), (F.col(b) if b else F.lit(None).cast("double")).alias("p2"))
