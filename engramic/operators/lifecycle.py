@@ -10,10 +10,12 @@ from pyspark.sql import functions as F
 from ..functions import scores as X
 from ..functions.numeric import age_days
 from ..functions.vectors import neural_weights
-from ..params import Decay
+from ..params import Decay, Partitions
 from ..scratch import staged
 from . import predict
 from .ordering import numbered
+from .partitions import assign
+from .search import nearest
 
 D = Decay()
 
@@ -159,6 +161,15 @@ def merge_groups(memories: DataFrame, groups: DataFrame) -> DataFrame:
     return j.groupBy("seed").agg(text.alias("content"), tags.alias("tags"), imp.alias("importance"), F.max("strength").alias("strength"), F.count(F.lit(1)).alias("members"))
 
 
+def ingest(new: DataFrame, edges: DataFrame, as_of: Column, parts: DataFrame, lists: DataFrame, p: Partitions = Partitions()) -> DataFrame:
+    """New memories on their way in: enriched, with the partition_id that takes each and the list_id of the
+    index; append them to the store by type."""
+    rich = staged(enrich(new, edges, as_of), "enriched")
+    placed = assign(rich.select("id", "type", "vector"), parts, p).select("id", "partition_id", "created")
+    listed = nearest(rich.select("id", "vector"), lists, "list_id").select("id", "list_id")
+    return rich.join(placed, "id").join(listed, "id", "left")
+
+
 def maintain(memories: DataFrame, edges: DataFrame, as_of: Column, history: DataFrame | None = None, threshold: float = 0.8) -> dict[str, DataFrame]:
     """One maintenance run as a batch: decay, archive, consolidation, fresh predictions; the parts of the
     next snapshot."""

@@ -134,3 +134,14 @@ def metric_view(log: DataFrame, m: Metrics = M) -> DataFrame:
     rows = numbered(log.select("metric", "ts", "value"), ["metric"], [F.col("ts")], "idx")
     j = rows.join(level.select("metric", "idx", "level"), ["metric", "idx"]).join(odd, ["metric", "ts"], "left").join(last, "metric")
     return j.select("metric", "idx", "ts", "value", "level", F.coalesce("_a", F.lit(False)).alias("anomaly"), (F.col("idx") > F.col("_last") - m.horizon).alias("forecast"))
+
+
+def telemetry_bundle(memories: DataFrame, log: DataFrame, as_of: Column, m: Metrics = M) -> DataFrame:
+    """(part, key, value): the number of memories, the members and mean strength of each type, and the values of the
+    window that are far from those before them."""
+    count = memories.agg(F.count(F.lit(1)).cast("double").alias("value")).select(F.lit("count").alias("part"), F.lit("memories").alias("key"), "value")
+    g = memories.groupBy("type").agg(F.count(F.lit(1)).cast("double").alias("size"), F.avg("strength").alias("strength"))
+    sizes = g.select(F.lit("partition").alias("part"), F.col("type").alias("key"), F.col("size").alias("value"))
+    curve = g.select(F.lit("strength").alias("part"), F.col("type").alias("key"), F.col("strength").alias("value"))
+    odd = in_window(rolling_z(log, ["metric"], ["ts"], "value", m.anomaly_window), as_of, m.window_ms)
+    return count.unionByName(sizes).unionByName(curve).unionByName(odd.select(F.lit("anomaly").alias("part"), F.col("metric").alias("key"), F.col("value").cast("double").alias("value")))

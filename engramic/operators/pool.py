@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -102,6 +106,29 @@ def terminated(tasks: DataFrame) -> DataFrame:
     return tasks.select("id", F.lit("Worker pool terminated").alias("error"))
 
 
+def resource_usage(workers: DataFrame) -> DataFrame:
+    """One row: workers, mean processor and memory use, least and greatest efficiency."""
+    return workers.agg(F.count(F.lit(1)).alias("workers"), F.coalesce(F.avg("cpu"), F.lit(0.0)).alias("cpu"), F.coalesce(F.avg("memory"), F.lit(0.0)).alias("memory"), F.min("efficiency").alias("least_efficiency"), F.max("efficiency").alias("greatest_efficiency"))
+
+
+def run_tasks(tasks: DataFrame, functions: dict[str, Callable[[pd.Series], pd.Series]]) -> DataFrame:
+    """(id, result, error) of ``tasks(id, type, value)``: each task's value through the function of its type,
+    wherever the task is; a type without a function is an error of the task."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            out = pd.DataFrame({"id": f["id"], "result": np.full(len(f), np.nan), "error": pd.Series([None] * len(f), index=f.index, dtype=object)})
+            for kind, rows in f.groupby("type", dropna=False):
+                fn = functions.get(kind)
+                if fn is None:
+                    out.loc[rows.index, "error"] = f"Unknown task type: {kind}"
+                else:
+                    out.loc[rows.index, "result"] = fn(rows["value"]).astype(float)
+            yield out
+
+    return tasks.select("id", "type", "value").mapInPandas(run, "id long, result double, error string").withColumn("result", F.nanvl("result", F.lit(None).cast("double")))
+
+
 def idle_to_stop(workers: DataFrame, as_of: Column, idle_ms: float = 60_000, least: int = P.min_workers) -> DataFrame:
     """Workers idle for longer than allowed, the longest idle first, as long as ``least`` remain."""
     n = workers.count()

@@ -275,7 +275,8 @@ def _levels(depth: int, history: bool = False) -> str:
 
 
 _TAGS = f"tg AS (SELECT id, unnest(emotions) AS tag FROM mem UNION SELECT id, unnest(string_split(content, ' ')[1:5]) FROM mem UNION SELECT id, unnest([{_PART}, {_KIND}]) FROM mem UNION SELECT src, 'rel_' || type FROM edges JOIN mem ON id = dst UNION SELECT src, 'shared_' || e FROM (SELECT src, unnest(emotions) AS e FROM edges JOIN mem ON id = dst)), tn AS (SELECT id, count(DISTINCT tag) AS tags FROM tg GROUP BY 1)"
-ENRICHED = f"WITH {MEM}, {_CTX}, {_levels(2)}, {_TAGS} SELECT id, round(relevance, 6) + 0.0 AS predicted_relevance, coalesce(tags, 0)::INT AS tags, round(0.4 * relevance + 0.3 * strength + 0.2 * (coalesce(access_count, 0) / 100.0) + 0.1 * (coalesce(tags, 0) / 10.0), 6) + 0.0 AS importance, 128::INT AS weights, 0.1::DOUBLE AS decay_rate FROM mem JOIN p2 USING (id) LEFT JOIN tn USING (id)"
+ENRICHED_CTES = f"WITH {MEM}, {_CTX}, {_levels(2)}, {_TAGS}"
+ENRICHED = f"{ENRICHED_CTES} SELECT id, round(relevance, 6) + 0.0 AS predicted_relevance, coalesce(tags, 0)::INT AS tags, round(0.4 * relevance + 0.3 * strength + 0.2 * (coalesce(access_count, 0) / 100.0) + 0.1 * (coalesce(tags, 0) / 10.0), 6) + 0.0 AS importance, 128::INT AS weights, 0.1::DOUBLE AS decay_rate FROM mem JOIN p2 USING (id) LEFT JOIN tn USING (id)"
 
 
 def _q(body: str, *ctes: str) -> str:

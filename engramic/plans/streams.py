@@ -65,9 +65,14 @@ def _relationship_labels(spark, sf_dir):
     return predict.relationship_labels(m, edges(m), 1).withColumn("labels", F.array_join("labels", ","))
 
 
-QUERIES = {"stream_windows": _windows, "stream_gates": _gates, "enriched_memories": _enriched, "memory_references": _with_references, "relationship_labels": _relationship_labels}
+def _thresholds(spark, sf_dir):
+    return rounded(_finished(stream.streaming_thresholds(_events(spark, sf_dir)), "complete"), "normal", "warning", "critical")
+
+
+QUERIES = {"stream_windows": _windows, "stream_thresholds": _thresholds, "stream_gates": _gates, "enriched_memories": _enriched, "memory_references": _with_references, "relationship_labels": _relationship_labels}
 
 ORACLE_SQL = {
+    "stream_thresholds": "SELECT event_type, count(*) AS n, round(avg(value), 6) + 0.0 AS normal, round(avg(value) + stddev_pop(value), 6) + 0.0 AS warning, round(avg(value) + 2 * stddev_pop(value), 6) + 0.0 AS critical FROM events GROUP BY 1 HAVING count(*) >= 10",
     "stream_windows": "SELECT event_type, ts::DATE AS day, count(*) AS n, round(avg(value), 6) + 0.0 AS mean, round(stddev_pop(value), 6) + 0.0 AS std_dev FROM events GROUP BY 1, 2",
     "stream_gates": "WITH RECURSIVE s AS (SELECT event_type AS type, ts, value / 500 AS x, row_number() OVER (PARTITION BY event_type ORDER BY ts) AS i FROM events), g AS (SELECT type, 0::BIGINT AS i, NULL::TIMESTAMP AS ts, []::DOUBLE[] AS vals, []::DOUBLE[] AS cell, []::DOUBLE[] AS hid, 0.0::DOUBLE AS score, 0.0::DOUBLE AS significance FROM (SELECT DISTINCT type FROM s) UNION ALL SELECT type, i, ts, vals, cell, hid, score, abs(score - was) AS significance FROM (SELECT *, CASE WHEN coalesce(list_sum(hid), 0) = 0 THEN 0.5 ELSE list_avg(hid) END AS score FROM (SELECT *, list_transform(cell, lambda c: 0.5 * tanh(c)) AS hid FROM (SELECT *, list_transform(range(1, len(vals) + 1), lambda k: 0.7 * coalesce(old[k], 0) + 0.3 * tanh(CASE WHEN vals[k] = 0 THEN 0.5 ELSE vals[k] END)) AS cell FROM (SELECT s.type, s.i, s.ts, list_append(g.vals, s.x)[-5:] AS vals, g.cell AS old, CASE WHEN coalesce(list_sum(g.hid), 0) = 0 THEN 0.5 ELSE list_avg(g.hid) END AS was FROM g JOIN s ON s.type = g.type AND s.i = g.i + 1))))) SELECT type, ts, round(score, 6) + 0.0 AS score, round(significance, 6) + 0.0 AS significance FROM g WHERE i > 0",
     "enriched_memories": ENRICHED,

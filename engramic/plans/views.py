@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..operators import metrics, pool, predict, series, statistics
-from ..params import Metrics
+from ..functions import scores as X
+from ..operators import cache, lifecycle, listing, metrics, pool, predict, search, series, statistics
+from ..params import Metrics, Partitions
 from ..sources.embedding import embedded
 from ..sources.store import from_json, to_json
-from .common import LOG, MEM, TASKS, edges, log, memories, r6, rounded, table, tasks
+from .common import ENTRIES, LOG, MEM, TASKS, as_of, cache_entries, edges, log, memories, r6, rounded, table, tasks
+from .memories import ENRICHED_CTES
 from .statistics import _FITS, EV, ORD
 
 M10 = Metrics(anomaly_window=10)
@@ -66,6 +69,35 @@ def _json(s, d):
     return back.select("id", "type", r6("strength").alias("strength"), F.array_join("emotions", ",").alias("emotions"))
 
 
+def _run_tasks(s, d):
+    t = tasks(s, d).select("id", F.when(F.col("id") % 3 == 0, "square").when(F.col("id") % 3 == 1, "half").otherwise("other").alias("type"), F.col("priority").cast("double").alias("value"))
+    return pool.run_tasks(t, {"square": lambda v: v * v, "half": lambda v: v / 2})
+
+
+def _ingested(s, d):
+    m = memories(s, d)
+    cent = search.centroids(m, "cluster_id").drop("n")
+    parts = m.groupBy("cluster_id").agg(F.min("type").alias("type"), F.count(F.lit(1)).alias("size")).join(cent, "cluster_id").withColumn("partition_id", F.col("cluster_id").cast("string")).drop("cluster_id")
+    got = lifecycle.ingest(m, edges(m), as_of(), parts, cent.withColumnRenamed("cluster_id", "list_id"), Partitions(similarity=0.1))
+    return got.select("id", r6("predicted_relevance").alias("predicted_relevance"), "partition_id", "created", "list_id")
+
+
+def _merged_tags(s, d):
+    m = memories(s, d).withColumn("ai_generated_tags", F.col("emotions"))
+    got = lifecycle.merge_groups(m, m.select("id", F.col("cluster_id").cast("long").alias("seed")))
+    return got.select("seed", F.array_join("tags", ",").alias("tags"), "members")
+
+
+def _idle(s, d):
+    g = tasks(s, d).groupBy("worker_id").agg(F.max("created").alias("last"))
+    w = g.select("worker_id", (F.col("worker_id") % 2 == 0).alias("busy"), F.col("last").cast("timestamp").alias("last_active"))
+    return pool.idle_to_stop(w, F.lit("2002-01-01").cast("timestamp"), 60_000, 70).select("worker_id")
+
+
+def _doubled(f: pd.DataFrame) -> pd.DataFrame:
+    return f.assign(value=f["value"] * 2)
+
+
 def _latency(s, d):
     return tasks(s, d).groupBy(F.col("ts").alias("ts")).agg(F.round(F.avg("latency"), 4).alias("value"))
 
@@ -90,6 +122,16 @@ QUERIES = {
     "workers_to_stop": lambda s, d: pool.resize(_workers(s, d), 2, 60)[1],
     "embedded_texts": _embedded,
     "json_rows": _json,
+    "run_tasks": _run_tasks,
+    "pool_resources": lambda s, d: rounded(pool.resource_usage(_workers(s, d)), "cpu", "memory", "least_efficiency", "greatest_efficiency"),
+    "idle_workers": _idle,
+    "ingested_memories": _ingested,
+    "merged_tags": _merged_tags,
+    "pattern_history": lambda s, d: _history(s, d).select("type", F.col("h_id").alias("id"), r6("h_relevance").alias("relevance")),
+    "telemetry_bundle": lambda s, d: rounded(metrics.telemetry_bundle(memories(s, d), log(s, d).withColumn("ts", F.col("ts").cast("timestamp")), as_of(), Metrics(anomaly_window=5, window_ms=20 * 86_400_000)), "value"),
+    "cache_delete": lambda s, d: cache.delete(cache_entries(s, d), cache_entries(s, d).where("key % 3 = 0")).select("key", "size"),
+    "entry_bytes": lambda s, d: cache_entries(s, d).select("key", X.entry_bytes(F.struct("key", "access_count", "size")).alias("bytes")),
+    "batched_rows": lambda s, d: listing.process_batches(_events(s, d).select("event_id", "value"), _doubled, "event_id long, value double", 50).withColumn("value", r6("value")),
 }
 
 _E = "s AS (SELECT event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) - 1 AS idx FROM events), e AS (SELECT event_type, idx, value AS x, value AS level FROM s WHERE idx = 0 UNION ALL SELECT s.event_type, s.idx, s.value, {a} * s.value + (1 - {a}) * e.level FROM e JOIN s ON s.event_type = e.event_type AND s.idx = e.idx + 1)"
@@ -117,5 +159,15 @@ ORACLE_SQL = {
     "rejected_tasks": f"WITH {TASKS} SELECT id, 'Worker pool terminated' AS error FROM tasks WHERE priority > 9",
     "workers_to_stop": f"WITH {TASKS}, {_W} SELECT worker_id FROM w WHERE NOT busy ORDER BY health, worker_id LIMIT greatest(0, (SELECT count(*) FROM w) - 60)",
     "embedded_texts": f"WITH {MEM} SELECT id, length(content)::DOUBLE AS chars, len(string_split(content, ' '))::DOUBLE AS words FROM mem",
+    "run_tasks": f"WITH {TASKS} SELECT id, CASE id % 3 WHEN 0 THEN priority * priority WHEN 1 THEN priority / 2 END::DOUBLE AS result, CASE WHEN id % 3 = 2 THEN 'Unknown task type: other' END AS error FROM tasks",
+    "pool_resources": f"WITH {TASKS}, {_W} SELECT count(*) AS workers, round(avg(cpu), 6) + 0.0 AS cpu, round(avg(memory), 6) + 0.0 AS memory, round(min(efficiency), 6) + 0.0 AS least_efficiency, round(max(efficiency), 6) + 0.0 AS greatest_efficiency FROM w",
+    "idle_workers": f"WITH {TASKS}, i AS (SELECT worker_id, max(created) AS last FROM tasks GROUP BY 1) SELECT worker_id FROM i WHERE worker_id % 2 <> 0 ORDER BY last, worker_id LIMIT greatest(0, (SELECT count(*) FROM i) - 70)",
+    "ingested_memories": f"{ENRICHED_CTES}, mc AS (SELECT cluster_id, list(x ORDER BY pos) AS centroid FROM (SELECT cluster_id, pos, avg(vector[pos]) AS x FROM mem, range(1, 65) t(pos) GROUP BY ALL) GROUP BY 1), own AS (SELECT m.id, c.cluster_id, list_cosine_similarity(m.vector, c.centroid) AS s FROM mem m JOIN mc c ON c.cluster_id % 4 = m.cluster_id % 4 QUALIFY row_number() OVER (PARTITION BY m.id ORDER BY list_cosine_similarity(m.vector, c.centroid) DESC, c.cluster_id::VARCHAR) = 1), ls AS (SELECT m.id, c.cluster_id AS list_id FROM mem m, mc c QUALIFY row_number() OVER (PARTITION BY m.id ORDER BY list_cosine_similarity(m.vector, c.centroid) DESC, c.cluster_id) = 1) SELECT id, round(relevance, 6) + 0.0 AS predicted_relevance, CASE WHEN s > 0.1 THEN cluster_id::VARCHAR ELSE 'new_' || id END AS partition_id, s <= 0.1 AS created, list_id FROM p2 JOIN own USING (id) JOIN ls USING (id)",
+    "merged_tags": f"WITH {MEM} SELECT cluster_id::BIGINT AS seed, array_to_string(list_sort(list_distinct(flatten(list(emotions)))), ',') AS tags, count(*) AS members FROM mem GROUP BY 1",
+    "pattern_history": f"WITH {MEM}, {_HIST} SELECT type, id, round(strength, 6) + 0.0 AS relevance FROM hist",
+    "telemetry_bundle": f"WITH {MEM}, {LOG}, z AS (SELECT metric, ts, value, avg(value) OVER w AS m, stddev_pop(value) OVER w AS sd, count(*) OVER w AS n FROM log WINDOW w AS (PARTITION BY metric ORDER BY ts ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING)), u AS (SELECT 'count' AS part, 'memories' AS key, count(*)::DOUBLE AS value FROM mem UNION ALL SELECT 'partition', type, count(*) FROM mem GROUP BY type UNION ALL SELECT 'strength', type, avg(strength) FROM mem GROUP BY type UNION ALL SELECT 'anomaly', metric, value FROM z WHERE n = 5 AND sd > 0 AND abs(value - m) / sd > 2 AND ts >= DATE '2024-01-11') SELECT part, key, round(value, 6) + 0.0 AS value FROM u",
+    "cache_delete": f"WITH {ENTRIES} SELECT key, size FROM entries WHERE key % 3 <> 0",
+    "entry_bytes": f"WITH {ENTRIES} SELECT key, length(to_json({{'key': key, 'access_count': access_count, 'size': size::BIGINT}})::VARCHAR) * 2 AS bytes FROM entries",
+    "batched_rows": "SELECT event_id, round(value * 2, 6) + 0.0 AS value FROM events",
     "json_rows": f"WITH {MEM} SELECT id, type, round(strength, 6) + 0.0 AS strength, array_to_string(emotions, ',') AS emotions FROM mem",
 }

@@ -24,6 +24,13 @@ def windowed_metrics(events: DataFrame, key: str = "event_type", value: str = "v
     return g.select(key, F.col("w.start").alias("start"), "n", "mean", "std_dev")
 
 
+def streaming_thresholds(events: DataFrame, key: str = "event_type", value: str = "value", least: int = 10) -> DataFrame:
+    """(key, n, normal, warning, critical) of a stream, refreshed by each batch: mean, and one and two population
+    deviations above it, for keys with ``least`` values."""
+    g = events.groupBy(key).agg(F.count(F.lit(1)).alias("n"), F.avg(value).alias("_m"), F.stddev_pop(value).alias("_s"))
+    return g.where(F.col("n") >= least).select(key, "n", F.col("_m").alias("normal"), (F.col("_m") + F.col("_s")).alias("warning"), (F.col("_m") + 2 * F.col("_s")).alias("critical"))
+
+
 def on_update(stream: DataFrame, callback: Callable[[DataFrame, int], None], checkpoint: str, mode: str = "update", every: str | None = "60 seconds") -> StreamingQuery:
     """Calls ``callback(rows, batch)`` with what each batch of a stream changed; without ``every`` once for all
     input there is now. A repeated batch comes with the same number."""
