@@ -10,7 +10,7 @@ their sizes every passage of 51 words or more holds a whole window wherever it s
 collide in one band over the whole of it, at every place of every document. Of each class of units
 the first document keeps the text. Runs of overlapping units that an earlier document has are spans;
 the windows at their ends are compared word by word with the place that is kept, so that a span
-reaches as far as the repetition does, and spans of fewer than ``MIN_WORDS`` words are let go. Spans
+reaches as far as the repetition does, and spans of fewer than ``MIN_SPAN`` words are let go. Spans
 that share a unit class are one component, and the words of those that are not kept are removed.
 
 Words beyond a window are compared by 16 bits of their hashes, so one end in 65,536 may reach a word
@@ -37,7 +37,10 @@ from .common import WordTable, collect_garbage, mix64, record_batch, row_names,
 from .components import connected_components, local_forest
 from .hamming import BROADCAST_ROWS, UNIT_ROWS, _whole_runs, equal_links, hot_keys
 
-SHINGLE_WORDS, THRESHOLD, RECALL, MIN_WORDS = 5, 0.8, 0.998, 51
+SHINGLE_WORDS, THRESHOLD, RECALL, MIN_WORDS = 5, 0.8, 0.998, 50
+#: The least words of a span: passages of over 50 words, of which marks that stand at a word without a
+#: space between may hide a few at either end.
+MIN_SPAN = 45
 #: ANCHOR_RUN + ANCHOR_WORDS - 1 + WINDOW_WORDS = 51.
 ANCHOR_RUN, ANCHOR_WORDS, WINDOW_WORDS = 23, 2, 27
 #: Words beyond a span's first and last window that can belong to it: with one more there would be an anchor.
@@ -412,7 +415,7 @@ def _reaches(units: DataFrame, borders: DataFrame) -> DataFrame:
     return both.mapInArrow(run, ", ".join(f"`{c}` {t}" for c, t in borders.dtypes) + ", reach int")
 
 
-def passage_spans(units: DataFrame, repeated: DataFrame, unit_rows: int = UNIT_ROWS, min_words: int = MIN_WORDS) -> DataFrame:
+def passage_spans(units: DataFrame, repeated: DataFrame, unit_rows: int = UNIT_ROWS, min_span: int = MIN_SPAN) -> DataFrame:
     """(doc_id, text_hash, start_word, n_words, removed, component_id): runs of overlapping units that an
     earlier document has (removed), and the places that are kept for them; component_id is the smallest
     doc_id that shares a passage of the component."""
@@ -436,7 +439,7 @@ def passage_spans(units: DataFrame, repeated: DataFrame, unit_rows: int = UNIT_R
         passage = Window.partitionBy(*text, "passage")
         low, high = F.min("start").over(passage), F.max("end").over(passage)
         collect_garbage(repeated.sparkSession)
-        long = staged(joined.select(*text, "span", low.alias("start"), high.alias("end")).where(F.col("end") - F.col("start") >= min_words).withColumn("node", F.xxhash64(*text, "start", "end", F.lit("removed"))), "long")
+        long = staged(joined.select(*text, "span", low.alias("start"), high.alias("end")).where(F.col("end") - F.col("start") >= min_span).withColumn("node", F.xxhash64(*text, "start", "end", F.lit("removed"))), "long")
         # what is kept for them: the first place of each class, as far as the outermost ones reach
         # a span has a class once, at however many places of it
         classes = late.select(*text, "span", "class").distinct()
@@ -460,7 +463,7 @@ def repeated_passages(docs: DataFrame, threshold: float = THRESHOLD, min_words:
     """The repeated spans of all documents (see ``passage_spans``)."""
     with scratch(docs.sparkSession) as keep:
         units = staged(paragraph_units(docs, tuned_bands(threshold), min_words=min_words), "units")
-        spans = passage_spans(units, repeated_units(docs, units, threshold, unit_rows), unit_rows, min_words)
+        spans = passage_spans(units, repeated_units(docs, units, threshold, unit_rows), unit_rows)
         return keep(staged(spans, "passages"))
 
 
