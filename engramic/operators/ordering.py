@@ -93,8 +93,10 @@ def in_blocks(df: DataFrame, keys: list[str], order: list[Column], before: int,
     of the one before it, marked _own false; ``place`` then holds the row's place in its key."""
     if most_rows(df, keys) <= (KEY_ROWS if key_rows is None else key_rows):
         return df.withColumn("_own", F.lit(True)), keys
-    t = numbered(df, keys, order, "_i", 0)
-    own = F.floor(F.col("_i") / block)
-    also = F.when(F.pmod(F.col("_i"), F.lit(block)) >= block - before, F.array(own, own + 1)).otherwise(F.array(own))
+    # a name that no column of the caller has: its own places travel along
+    at = place or max(df.columns, key=len) + "_i"
+    t = numbered(df, keys, order, at, 0)
+    own = F.floor(F.col(at) / block)
+    also = F.when(F.pmod(F.col(at), F.lit(block)) >= block - before, F.array(own, own + 1)).otherwise(F.array(own))
     t = t.withColumn("_block", F.explode(also)).withColumn("_own", F.col("_block") == own)
-    return t.withColumnRenamed("_i", place) if place else t.drop("_i"), [*keys, "_block"]
+    return t if place else t.drop(at), [*keys, "_block"]

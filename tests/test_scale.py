@@ -46,6 +46,23 @@ def test_places(spark):
     assert ordering.numbered(df.limit(0), ["k"], [F.col("x")], key_rows=0).count() == 0
 
 
+def test_stats_view_by_ranges(spark, monkeypatch):
+    rng = random.Random(12)
+    rows = [("ab"[i % 3 == 0], i // 2, i, rng.choice([0.5, 1.0, 2.0, 40.0]) * rng.random()) for i in range(900)]
+    df = spark.createDataFrame(rows, "k string, ts long, id long, v double").repartition(5)
+    monkeypatch.setattr(series, "BLOCK_ROWS", 64)
+
+    def view():
+        got = series.stats_view(df, ["k"], ["ts", "id"], "v").collect()
+        return sorted((r["k"], r["part"], round(r["x"], 6), round(r["y"], 6)) for r in got)
+
+    one = view()
+    monkeypatch.setattr(ordering, "KEY_ROWS", 1)
+    monkeypatch.setattr(series, "FOLD_ROWS", 1)
+    two = view()
+    assert one == two and {p for _, p, _, _ in one} == {"histogram", "density", "outlier", "forecast"}
+
+
 def test_rolling_frames_and_folds_in_blocks(spark, monkeypatch):
     monkeypatch.setattr(series, "BLOCK_ROWS", 64)
     rng = random.Random(3)
