@@ -10,8 +10,11 @@ cells one step away, so that they meet halfway. Of pairs that meet the Manhattan
 segments is taken first, as the lower bound that it is; what it leaves is verified on the fingerprints.
 
 The pipeline's stage (``keep_one``) has a contract of its own: a pair at 0.8 of the 5-word shingles
-differs in about 10 of 64 bits, where the chance pairs of a radius that reaches it grow with the square
-of the table. Its pairs collide by MinHash bands instead and are verified on the whole shingle sets.
+differs in about 10 of 64 bits, where chance pairs are too many. It takes 128-bit SimHash of the sets of
+shingles, whose grid has 64 coordinates, and a radius of 28 bits. No groups of coordinates cover that
+radius by the pigeonhole principle, so its range join goes by equal cells of drawn groups, whose
+size follows the size of the table; Manhattan and Hamming distances are taken as above. What the draw
+leaves out is brought together by MinHash bands beside it, and the whole shingle sets decide.
 
 Defined results: null or empty texts and texts of white space have fingerprint 0 and link like any
 other; equal fingerprints are one class; repeated rows share a class; rows with a null doc_id keep
@@ -36,6 +39,9 @@ from .passages import set_links, tuned_bands
 SHINGLE_WORDS, RADIUS, SEED = 4, 4, 42
 #: The pipeline's stage: exact Jaccard similarity of 5-word shingles; bands that bring pairs at it together.
 SET_WORDS, SIMILARITY, RECALL, BAND_ROWS = 5, 0.8, 0.9995, 4
+#: Bits of 128 that a pair at SIMILARITY hardly exceeds (19 on average); groups of coordinates that are
+#: drawn, and the rows that chance alone brings to the cell of a row.
+SET_RADIUS, SET_GROUPS, CELL_ROWS = 28, 48, 24
 SEGMENTS = 32
 #: (segments, reach) of each group.
 COARSE = ((11, 1), (11, 1), (10, 0))
@@ -161,17 +167,61 @@ def _sets_of(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, list[np.ndarra
     return h, first, sets, whole
 
 
+def set_fingerprints(sets: list[np.ndarray]) -> np.ndarray:
+    """128-bit SimHash of sets of hashes, a row of two words each: bit b is 1 if it is set in over half."""
+    size = np.array([len(x) for x in sets], np.int64)
+    h, first = np.concatenate([np.zeros(0, np.uint64), *sets]), np.concatenate([[0], np.cumsum(size)])
+    return np.stack([pack_bits(2 * bit_votes(w, first) > size[:, None]) for w in (h, mix64(h))], axis=1)
+
+
+def drawn_groups(n: int, groups: int = SET_GROUPS) -> np.ndarray:
+    """A row of coordinates for each group, of the 64 of a 128-bit fingerprint: so many that about ``CELL_ROWS``
+    of n rows share a cell by chance, whose coordinates are equal with a chance of 3/8."""
+    size = int(np.clip(np.ceil(np.log(max(n, 1) / CELL_ROWS) / np.log(8 / 3)), 4, 40))
+    rng = np.random.default_rng(SEED)
+    return np.stack([rng.choice(2 * SEGMENTS, size, replace=False) for _ in range(groups)])
+
+
+def wide_counts(fp: np.ndarray) -> np.ndarray:
+    """``packed_counts`` of every column of ``fp``."""
+    return np.stack([packed_counts(fp[:, k : k + 1]) for k in range(fp.shape[1])], axis=1)
+
+
+def wide_manhattan(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    return manhattan(x, y).sum(axis=-1, dtype=np.int16)
+
+
+def set_fingerprint_links(sets: DataFrame, radius: int = SET_RADIUS, unit_rows: int = UNIT_ROWS) -> DataFrame:
+    """Edges (u, v) between the ids of ``sets(id, f0, f1)`` that connect what is within the radius, of the
+    fingerprints that share a cell of a drawn group."""
+    groups = drawn_groups(sets.count())
+    weight = np.uint64(3) ** np.arange(groups.shape[1], dtype=np.uint64)
+    schema = pa.schema([("key", pa.int64()), ("table", pa.int32()), ("id", pa.int64()), ("resident", pa.bool_()), ("f0", pa.int64()), ("f1", pa.int64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n, words = batch.num_rows, {c: batch.column(c) for c in ("id", "f0", "f1")}
+            counts = np.concatenate([segment_counts(words[c].to_numpy().view(np.uint64)) for c in ("f0", "f1")], axis=1)
+            for g, own in enumerate(groups):
+                cell = (counts[:, own] * weight).sum(axis=1, dtype=np.uint64)
+                yield record_batch({"key": mix64(cell).view(np.int64), "table": np.full(n, g, np.int32), "resident": np.full(n, True), **words}, schema)
+
+    rows = sets.select("id", "f0", "f1").mapInArrow(run, "key long, table int, id long, resident boolean, f0 long, f1 long")
+    return linked(rows, ["f0", "f1"], radius, unit_rows, wide_counts, wide_manhattan)
+
+
 def shingle_signatures(docs: DataFrame, bands: int, band_rows: int = BAND_ROWS) -> DataFrame:
-    """(doc_id, text_hash, row_hash, set_hash, bands) of ``docs(doc_id, text, text_hash, row_hash)``: the
-    hash of the set of 5-word shingles and its MinHash band keys."""
+    """(doc_id, text_hash, row_hash, set_hash, f0, f1, bands) of ``docs(doc_id, text, text_hash, row_hash)``:
+    the hash of the set of 5-word shingles, its SimHash and its MinHash band keys."""
     keep = ("doc_id", "text_hash", "row_hash")
-    schema = pa.schema([(c, pa.int64()) for c in (*keep, "set_hash")] + [("bands", pa.list_(pa.int64()))])
+    schema = pa.schema([(c, pa.int64()) for c in (*keep, "set_hash", "f0", "f1")] + [("bands", pa.list_(pa.int64()))])
     rng = np.random.default_rng(SEED)
     salt = rng.integers(0, 2**63, bands * band_rows, dtype=np.uint64)
     odd = rng.integers(0, 2**63, bands * band_rows, dtype=np.uint64) | np.uint64(1)
 
     def signed(batch: pa.RecordBatch, texts: list[bytes]) -> pa.RecordBatch:
-        h, first, _, whole = _sets_of(texts)
+        h, first, sets, whole = _sets_of(texts)
+        fp = set_fingerprints(sets).view(np.int64)
         some = np.flatnonzero(np.diff(first))
         keys = np.zeros((len(some), bands), np.uint64)
         with np.errstate(over="ignore"):
@@ -181,13 +231,13 @@ def shingle_signatures(docs: DataFrame, bands: int, band_rows: int = BAND_ROWS)
             keys = mix64(keys ^ np.arange(1, bands + 1, dtype=np.uint64))
         ends = np.concatenate([[0], np.cumsum(np.where(np.diff(first) > 0, bands, 0))]).astype(np.int32)
         lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(keys.view(np.int64).ravel()))
-        return record_batch({c: batch.column(c) for c in keep} | {"set_hash": whole.view(np.int64), "bands": lists}, schema)
+        return record_batch({c: batch.column(c) for c in keep} | {"set_hash": whole.view(np.int64), "f0": fp[:, 0], "f1": fp[:, 1], "bands": lists}, schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in text_slices(batches):
             yield signed(batch, texts)
 
-    return docs.mapInArrow(run, "doc_id long, text_hash long, row_hash long, set_hash long, bands array<long>")
+    return docs.mapInArrow(run, "doc_id long, text_hash long, row_hash long, set_hash long, f0 long, f1 long, bands array<long>")
 
 
 def first_copies(named: DataFrame, threshold: float = SIMILARITY, unit_rows: int = UNIT_ROWS) -> DataFrame:
@@ -195,8 +245,8 @@ def first_copies(named: DataFrame, threshold: float = SIMILARITY, unit_rows: int
     similarity of their 5-word shingles at or above the threshold, the row with the smallest doc_id
     (then the smallest hashes).
 
-    Equal sets are one; sets that collide in a band are gathered, and only their documents are read
-    again for the exact similarities.
+    Equal sets are one; sets whose fingerprints are linked or that collide in a band are gathered, and only
+    their documents are read again for the exact similarities.
     """
     docs = named.select("doc_id", "text", "text_hash", "row_hash").where("doc_id is not null")
     schema = pa.schema([("key", pa.int64()), ("table", pa.int32()), ("id", pa.int64()), ("shingles", pa.binary())])
@@ -209,9 +259,11 @@ def first_copies(named: DataFrame, threshold: float = SIMILARITY, unit_rows: int
     head = F.struct("doc_id", "text_hash", "row_hash")
     with scratch(docs.sparkSession) as keep:
         signed = shingle_signatures(docs, tuned_bands(threshold, RECALL, BAND_ROWS))
-        sets = staged(signed.groupBy("set_hash").agg(F.min(head).alias("head"), F.first("bands").alias("bands")), "sets")
+        sets = staged(signed.groupBy("set_hash").agg(F.min(head).alias("head"), *[F.first(c).alias(c) for c in ("f0", "f1", "bands")]), "sets")
+        # texts without words are one set
+        near = staged(set_fingerprint_links(sets.where("set_hash <> 0").select(F.col("set_hash").alias("id"), "f0", "f1"), unit_rows=unit_rows), "near")
         rows = sets.select("set_hash", F.posexplode("bands").alias("table", "key")).select("key", "table", F.col("set_hash").alias("id"))
-        coarse = staged(connected_components(equal_links(rows, unit_rows)), "coarse")
+        coarse = staged(connected_components(near.unionByName(equal_links(rows, unit_rows))), "coarse")
         collect_garbage(docs.sparkSession)
         # neither side of these joins has a bound: they are merged, not broadcast, at any size
         where = sets.select("set_hash", "head").join(coarse.hint("merge"), F.col("set_hash") == F.col("node")).select("head.*", "component")

@@ -104,6 +104,49 @@ def test_keep_one_finds_edited_copies(spark):
     assert far > 10
 
 
+def test_keep_one_goes_by_simhash(spark, monkeypatch):
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(7))
+    texts = []
+    for _ in range(150):
+        own = [word() for _ in range(rng.randint(60, 300))]
+        edited, at = list(own), rng.randrange(len(own))
+        edited[at : at + 1] = [word() for _ in range(rng.randint(1, max(1, len(own) // 10)))]
+        texts += [own, edited]
+    sets = [{tuple(t[i : i + 5]) for i in range(len(t) - 4)} for t in texts]
+    same = [len(a & b) / len(a | b) for a, b in zip(sets[::2], sets[1::2], strict=True)]
+    d = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    # without the bands beside them the fingerprints' links find nearly all
+    monkeypatch.setattr(near_dedup, "tuned_bands", lambda *_: 0)
+    got = {r["doc_id"] for r in near_dedup.keep_one(d).collect()}
+    wanted = {2 * i + 1 for i, s in enumerate(same) if s >= 0.8}
+    assert got >= {2 * i for i in range(150)} | {2 * i + 1 for i, s in enumerate(same) if s < 0.8}
+    assert len(wanted) > 100 and len(wanted - got) >= 0.97 * len(wanted)
+
+
+@pytest.mark.parametrize("unit_rows", [4096, 6])
+def test_set_fingerprint_links(spark, unit_rows):
+    rng = np.random.default_rng(4)
+    near = [rng.integers(0, 2**64, 2, dtype=np.uint64) for _ in range(30)]
+    fps = []
+    for f in near:
+        bits = np.unpackbits(f.view(np.uint8))
+        bits[rng.choice(128, 10, replace=False)] ^= 1
+        fps += [f, np.packbits(bits).view(np.uint64)]
+    fps = np.array(fps).view(np.int64).tolist()
+    df = spark.createDataFrame([(i, *f) for i, f in enumerate(fps)], "id long, f0 long, f1 long")
+    edges = near_dedup.set_fingerprint_links(df, unit_rows=unit_rows).collect()
+    far = near_dedup.set_fingerprint_links(df, 9, unit_rows).collect()
+    assert {tuple(sorted((r["u"], r["v"]))) for r in edges} == {(2 * i, 2 * i + 1) for i in range(30)} and not far
+    x, y = (rng.integers(0, 2**64, (300, 2), dtype=np.uint64) for _ in range(2))
+    bound = near_dedup.wide_manhattan(near_dedup.wide_counts(x), near_dedup.wide_counts(y))
+    assert (bound <= np.bitwise_count(x ^ y).sum(axis=1)).all() and bound.max() > 28
+
+
+def test_drawn_groups_follow_the_size():
+    assert near_dedup.drawn_groups(0).shape == (48, 4) and near_dedup.drawn_groups(200_000).shape == (48, 10) and near_dedup.drawn_groups(10**9).shape[1] == 18
+
+
 def test_components(spark):
     e = spark.createDataFrame([(1, 2), (3, 2), (5, 6), (7, 7), (None, 1), (9, 8), (8, 10), (10, 1)], "u long, v long")
     got = {r["node"]: r["component"] for r in connected_components(e).collect()}
